@@ -12,12 +12,15 @@ ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,51 +28,28 @@ from pyspark.sql import functions as F
 from .common import doc_texts, durable
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: A single space between characters that are no white space: the vocabulary's splitting pattern always begins a new
-#: part there, with the space in front, so the parts can be encoded, and remembered, one by one.
-SAFE = re.compile(r"(?<=\S) (?=\S)")
-
-
-class Encoder:
-    """Token ids of texts, as little-endian unsigned 32-bit bytes; parts of texts are remembered up to a bound."""
-
-    def __init__(self, path: str, most: int = 400_000, longest: int = 64):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.most, self.longest = most, longest
-
-    def _fill(self, parts: set[str]) -> dict[str, bytes]:
-        new = list(parts)
-        got = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        return {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(new, got)}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > self.most:
-            self.known = {}
-        split = []
-        for t in texts:
-            first, *rest = SAFE.split(t or "")
-            split.append((first, rest))
-        known = self.known
-        wanted = {f for f, _ in split if f not in known}
-        spaced = {}
-        for _, rest in split:
-            for w in rest:
-                if w not in spaced:
-                    spaced[w] = None
-        for w in spaced:
-            key = " " + w
-            if key not in known:
-                wanted.add(key)
-        fresh = self._fill(wanted) if wanted else {}
-        known.update((k, v) for k, v in fresh.items() if len(k) <= self.longest)
-        for w in spaced:
-            key = " " + w
-            spaced[w] = known[key] if key in known else fresh[key]
-        return [(known[f] if f in known else fresh[f]) + b"".join(map(spaced.__getitem__, rest)) for f, rest in split]
+#: How byte-level vocabularies of this kind split a text before merging; a fixed value of the vocabulary file.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_of() -> dict[str, int]:
+    """The character that stands for each byte in such a file: printable Latin-1 as itself, the rest from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+@lru_cache(2)
+def encoder(path: str) -> tiktoken.Encoding:
+    """The byte-level vocabulary of a tokenizers file; its ids are the merge ranks. Control strings are ordinary text."""
+    spec, byte = json.loads(Path(path).read_text()), _byte_of()
+    special = {t["content"] for t in spec["added_tokens"]}
+    ranks = {bytes(byte[c] for c in token): k for token, k in spec["model"]["vocab"].items() if token not in special}
+    return tiktoken.Encoding("byte level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def ids_of(path: str, text: str | None, end_id: int) -> np.ndarray:
+    return np.array([*encoder(path).encode_ordinary(text or ""), end_id], "<u4")
 
 
 def cuts(n: int, size: int) -> list[tuple[int, int]]:
@@ -82,32 +62,19 @@ def cuts(n: int, size: int) -> list[tuple[int, int]]:
 
 def _pieces(path: str, end_id: int, size: int, emit: bool):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(path), np.array([end_id], "<u4").tobytes()
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
         for b in batches:
-            n, at = b.num_rows, 0
-            sizes = [len(x) for x in b.column(1).cast(pa.binary()).fill_null(b"").to_pylist()]
-            while at < n:
-                to, total = at, 0
-                while to < n and total < 2_000_000:
-                    total += sizes[to]
-                    to += 1
-                part = b.slice(at, to - at)
-                rows, ids = [], []
-                for doc, raw in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).cast(pa.string()).to_pylist())):
-                    raw += end
-                    for k, (start, length) in enumerate(cuts(len(raw) // 4, size)):
-                        own = raw[4 * start : 4 * (start + length)]
-                        rows.append((doc, k, start, length, zlib.crc32(own)))
-                        if emit:
-                            ids.append(np.frombuffer(own, "<u4").astype(np.int32))
-                at = to
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            for first in range(0, b.num_rows, 500):
+                part = b.slice(first, 500)
+                rows = []
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    ids = ids_of(path, text, end_id)
+                    for k, (start, length) in enumerate(cuts(len(ids), size)):
+                        own = ids[start : start + length]
+                        rows.append((doc, k, start, length, zlib.crc32(own.tobytes()), own.astype(np.int32) if emit else None))
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-                if emit:
-                    columns.append(pa.array(ids, pa.list_(pa.int32())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(columns, names)
+                yield pa.RecordBatch.from_arrays(columns[: 5 + emit], names[: 5 + emit])
 
     return pieces
 
