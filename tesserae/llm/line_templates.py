@@ -30,15 +30,15 @@ def masked(line) -> F.Column:
 def _templates(line, depth: int, blocks: int, least_tokens: int) -> F.Column:
     """Numbers of the templates that a masked line fits: itself, and with one block open where it is long enough."""
 
-    def of(t):
-        n = F.size(t)
-        rest = n - depth
-
-        def part(first, last):  # tokens [first, last)
-            return F.array_join(F.slice(t, first + 1, F.greatest(last - first, F.lit(0))), " ")
+    def cut(*args):
+        return F.call_function("substring_index", *args)
 
-        edges = [F.lit(depth) + F.floor(rest * j / blocks).cast("int") for j in range(blocks + 1)]
-        open_ = [F.xxhash64(n, F.lit(j), part(F.lit(0), edges[j]), part(edges[j + 1], n)) for j in range(blocks)]
+    def of(n):
+        rest = n - depth
+        edges = [(F.lit(depth) + F.floor(rest * j / blocks)).cast("int") for j in range(blocks + 1)]
+        open_ = [
+            F.xxhash64(n, F.lit(j), cut(line, F.lit(" "), edges[j]), cut(line, F.lit(" "), edges[j + 1] - n)) for j in range(blocks)
+        ]
         whole = F.array(F.xxhash64(n, F.lit(-1), line))
         return (
             F.when(n < least_tokens, F.array().cast("array<bigint>"))
@@ -46,7 +46,8 @@ def _templates(line, depth: int, blocks: int, least_tokens: int) -> F.Column:
             .otherwise(F.concat(whole, F.array(*open_)))
         )
 
-    return F.transform(F.array(F.split(line, " ")), of)[0]
+    tokens = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "))) + 1
+    return F.transform(F.array(tokens), of)[0]
 
 
 def _rows(documents: DataFrame) -> DataFrame:
@@ -60,7 +61,8 @@ def recurring(documents: DataFrame, depth: int = 3, blocks: int = 4, least_token
     begins = F.transform("lines", lambda x: F.struct((-F.length(x)).alias("size"), F.substring_index(x, " ", 8).alias("lead")))
     sketch = F.xxhash64(F.slice(F.sort_array(begins), 1, 2))
     own = F.array_distinct(F.flatten(F.transform("lines", lambda x: _templates(x, depth, blocks, least_tokens))))
-    rows = _rows(documents).select(sketch.alias("sketch"), F.explode(own).alias("template"))
+    # what repeats for each template is a column before explode, else it is worked out again for each of them
+    rows = _rows(documents).select(sketch.alias("sketch"), own.alias("own")).select("sketch", F.explode("own").alias("template"))
     by_sketch = rows.groupBy("template", "sketch").agg(F.count("*").alias("n"))
     counts = by_sketch.groupBy("template").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_sketches"))
     return counts.where((F.col("n_sketches") >= least_docs) & (2 * F.col("n_sketches") >= F.col("n_docs")))
@@ -72,7 +74,8 @@ def dropped(documents: DataFrame, depth: int = 3, blocks: int = 4, least_tokens:
     def numbered(line, at):
         return F.transform(_templates(line, depth, blocks, least_tokens), lambda t: F.struct(at.alias("at"), t.alias("template")))
 
-    rows = _rows(documents).select("doc_id", "copy", F.explode(F.flatten(F.transform("lines", numbered))).alias("one"))
+    rows = _rows(documents).select("doc_id", "copy", F.flatten(F.transform("lines", numbered)).alias("own"))
+    rows = rows.select("doc_id", "copy", F.explode("own").alias("one"))
     found = recurring(documents, depth, blocks, least_tokens, least_docs).select("template")
     hits = rows.select("doc_id", "copy", "one.at", "one.template").join(found, "template", "left_semi")
     return hits.groupBy("doc_id", "copy").agg(F.collect_set("at").alias("gone"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, line_templates, packing
+from . import chat, decontaminate, line_templates, ngram_join, packing, pii
 from .common import table
 
 
@@ -38,12 +38,21 @@ def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.report(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op6_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_chat_format, op3_line_templates, op6_best_two_fit)}
+    own = (op1_decontaminate, op2_chat_format, op3_line_templates, op4_ngram_join, op6_best_two_fit, op9_personal_data)
+    return {f.__name__: f for f in own}
 
 
 OP1_SQL = r"""
@@ -118,6 +127,23 @@ select doc_id, cast(n_lines as bigint) as n_lines, cast(c as bigint) as n_droppe
 from kept
 """
 
+OP4_SQL = r"""
+with recursive w as (
+  select doc_id, [x for x in regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') if x <> ''] as w
+  from documents),
+s as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as g from (
+        select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from w where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as u, b.doc_id as v, count(*) as shared from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select u, v from p join n a on a.doc_id = u join n b on b.doc_id = v where 100 * shared >= 75 * (a.n + b.n - shared)),
+e as (select u, v from l union select v, u from l),
+r(doc_id, component_id) as (
+  select doc_id, doc_id from documents union select e.v, r.component_id from r join e on e.u = r.doc_id where r.component_id < e.v)
+select w.doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, c.component_id
+from w left join n using (doc_id) join (select doc_id, min(component_id) as component_id from r group by 1) c using (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op2_chat_format": OP2_SQL, "op3_line_templates": OP3_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op2_chat_format": OP2_SQL, "op3_line_templates": OP3_SQL, "op4_ngram_join": OP4_SQL}
