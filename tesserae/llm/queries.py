@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, line_templates, ngram_join, packing, pii
+from . import chat, decontaminate, line_templates, lm, ngram_join, packing, pii, toxicity, vector_dedup
 from .common import table
 
 
@@ -46,12 +46,27 @@ def op6_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_vector_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op8_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_decontaminate, op2_chat_format, op3_line_templates, op4_ngram_join, op6_best_two_fit, op9_personal_data)
+    own = (
+        op1_decontaminate, op2_chat_format, op3_line_templates, op4_ngram_join, op6_best_two_fit,
+        op7_vector_passes, op8_log_bilinear, op9_personal_data, op10_toxicity,
+    )
     return {f.__name__: f for f in own}
 
 
