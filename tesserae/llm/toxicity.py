@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from math import log
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, doc_texts
+from .common import crc_of_id, doc_texts, durable
 
 #: Signs and the letters they may stand for; fixed values.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i"}
@@ -216,23 +217,28 @@ def _held(doc: int | None, folds: int, held: int) -> bool:
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, folds: int, held: int, most_rows: int) -> DataFrame:
-    """doc_id, text, toxic of the training rows, most_rows at most, by hashed id."""
+    """doc_id, text, toxic of the training rows, most_rows at most, by hashed id; of copies one, toxic if any is."""
     own = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic"))
     own = own.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     own = own.where(F.pmod(crc_of_id(F.col("doc_id")), F.lit(folds)) != held).withColumn("order", F.xxhash64("doc_id"))
     own = own.orderBy("order").limit(most_rows).select("doc_id", "toxic")
-    return doc_texts(documents).where("text is not null").join(own, "doc_id")
+    # most_rows bounds what is broadcast
+    texts = doc_texts(documents).where("text is not null").join(F.broadcast(own), "doc_id")
+    begins = F.substring_index(F.lower(F.col("text").cast("string")), " ", 6)
+    one = texts.groupBy(F.xxhash64(begins).alias("copy")).agg(F.max(F.struct("toxic", "doc_id", "text")).alias("one"))
+    return durable(one.select("one.doc_id", "one.text", "one.toxic"))
 
 
 def _mark_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = []
+        n, bad = Counter(), Counter()
         for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
-            text = text.decode("utf-8", "replace")
-            copy = zlib.crc32(" ".join(text.lower().split()[:6]).encode())
-            rows += [(m, copy, toxic) for m in {m for w in plain_words(text) for m in marks_of(w)}]
-        types = [pa.string(), pa.int64(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3, types)], ["mark", "copy", "toxic"])
+            own = {m for w in plain_words(text.decode("utf-8", "replace")) for m in marks_of(w)}
+            n.update(own)
+            if toxic:
+                bad.update(own)
+        columns = [pa.array(list(n), pa.string()), pa.array([bad[m] for m in n], pa.int64()), pa.array(list(n.values()), pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["mark", "bad", "n"])
 
 
 def _feature_rows(restorer: Restorer, place: dict[str, int]):
@@ -274,8 +280,8 @@ def learn(
     """The restorer, the weights of its marks, and the bias (None: there was nothing to learn from)."""
     model = character_model(documents)
     rows = training_rows(documents, labels, folds, held, most_rows)
-    marked = rows.select("text", "toxic").mapInArrow(_mark_rows, "mark string, copy long, toxic int").groupBy("mark", "copy").agg(F.max("toxic").alias("toxic"))
-    counts = marked.groupBy("mark").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
+    marked = rows.select("text", "toxic").mapInArrow(_mark_rows, "mark string, bad long, n long")
+    counts = marked.groupBy("mark").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     texts = rows.agg(F.sum("toxic"), F.count("*")).first()
     if not texts[1]:
         return Restorer([], model), {}, None
