@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, line_templates, lm, ngram_join, packing, pii, toxicity, vector_dedup
+from . import chat, decontaminate, line_templates, lm, ngram_join, packing, pii, suffix_dedup, toxicity, vector_dedup
 from .common import table
 
 
@@ -42,6 +42,10 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -64,7 +68,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
-        op1_decontaminate, op2_chat_format, op3_line_templates, op4_ngram_join, op6_best_two_fit,
+        op1_decontaminate, op2_chat_format, op3_line_templates, op4_ngram_join, op5_suffix_dedup, op6_best_two_fit,
         op7_vector_passes, op8_log_bilinear, op9_personal_data, op10_toxicity,
     )
     return {f.__name__: f for f in own}
