@@ -86,3 +86,10 @@ def blob_arrays(column: pa.ChunkedArray | pa.Array, dtype) -> tuple[np.ndarray,
 
 def crc_of_id(col) -> F.Column:
     return F.crc32(col.cast("string").cast("binary"))
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the installed public tokenizers keep a file; any other path to such a file does as well."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

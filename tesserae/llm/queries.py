@@ -7,14 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, line_templates, lm, ngram_join, packing, pii, suffix_dedup, toxicity, vector_dedup
-from .common import table
-
+import corpus_pipeline
 
-def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+from . import chat, decontaminate, line_templates, lm, ngram_join, packing, pii, suffix_dedup, toxicity, vector_dedup
+from .common import table, tokenizer_path
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_decontaminate, op2_chat_format, op3_line_templates, op4_ngram_join, op5_suffix_dedup, op6_best_two_fit,
         op7_vector_passes, op8_log_bilinear, op9_personal_data, op10_toxicity,
     )
-    return {f.__name__: f for f in own}
+    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 OP1_SQL = r"""
