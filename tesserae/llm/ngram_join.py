@@ -56,10 +56,10 @@ def _emit(buckets: int, width: int):
     multipliers = odd_numbers(width, 5)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHash()
+        known = WordHash(200_000)
         for b in batches:
-            for first in range(0, b.num_rows, 4000):
-                part = b.slice(first, 4000)
+            for first in range(0, b.num_rows, 1500):
+                part = b.slice(first, 1500)
                 ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 sets = [shingles(known.of((t or b"").lower().split()), width, multipliers) for t in part.column(1).to_pylist()]
                 sizes = np.array([len(s) for s in sets], np.int32)
