@@ -3,8 +3,9 @@
 Words are runs of what is no ASCII white space, A-Z lower-cased; a document's set is its distinct five-word shingles. Two
 documents link when 100 * shared >= 75 * union. The join is exact and set-based:
 
-1. Every shingle gets a 64-bit number; numbers travel packed, by range, and those of one document only are left out (they
-   cannot be shared). A document that keeps less than 75 % of its set links with nothing and is done.
+1. Every shingle gets a number; numbers travel packed, by range, and those of one document only are left out (they cannot
+   be shared). A document that keeps less than 75 % of its set links with nothing and is done. Sizes and the test for
+   equal sets use 64 bits of the numbers, overlaps 48.
 2. Documents of equal sets become one. The others are ordered rare shingle first; two that link share one of the first
    size - ceil(0.75 size) + 1 shingles (the prefix), so only those are indexed.
 3. Each inverted list proposes its pairs in rounds: first every member with one centre, and what links is merged; in the
@@ -14,8 +15,8 @@ documents link when 100 * shared >= 75 * union. The join is exact and set-based:
    merged by a heap, the long ones probed by bisection (DivideSkip), keeping those that reach the required overlap.
 
 Defined results: null, empty and blank texts have empty sets and link with nothing; fewer than five words are one shingle,
-the whole sequence; rows of one doc_id with equal sets give one row, with different sets one row each, in one component;
-rows with a null doc_id get a null component; extra columns are ignored.
+the whole sequence; rows that repeat a doc_id give one row each, in one component; rows with a null doc_id get a null
+component; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from math import log2
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,122 +54,111 @@ def shingles(words: np.ndarray, width: int, multipliers: np.ndarray) -> np.ndarr
     return np.unique(mix(h))
 
 
+EMITTED = "bucket int, block long, docs binary, counts binary, high binary, low binary, home binary"
+EMITTED_NAMES = [x.split()[0] for x in EMITTED.split(", ")]
+HOME = np.dtype([("doc_id", "<i8"), ("mark", "<u8"), ("size", "<i4")])
+
+
 def _emit(buckets: int, width: int):
-    """Per batch and range of numbers: the documents with their shares of the numbers; and each document's home row."""
+    """Per block of documents and range of numbers: which documents have how many of them, and the numbers' first 48 bits.
+
+    One more row of a block has its documents' ids, marks (sums of their numbers, the same for equal sets) and sizes.
+    """
     multipliers = odd_numbers(width, 5)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHash(200_000)
+        known, block = WordHash(200_000), TaskContext.get().partitionId() << 32
         for b in batches:
             for first in range(0, b.num_rows, 1500):
                 part = b.slice(first, 1500)
-                ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 sets = [shingles(known.of((t or b"").lower().split()), width, multipliers) for t in part.column(1).to_pylist()]
-                sizes = np.array([len(s) for s in sets], np.int32)
-                marks = np.array([s.sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64)
+                home = np.zeros(len(sets), HOME)
+                home["doc_id"] = part.column(0).to_numpy(zero_copy_only=False)
+                home["mark"] = [s.sum(dtype=np.uint64) if len(s) else 0 for s in sets]
+                home["size"] = [len(s) for s in sets]
                 every = np.concatenate(sets)
-                doc = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
+                doc = np.repeat(np.arange(len(sets), dtype=np.uint16), home["size"])
                 bucket = (every >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
                 order = np.argsort(bucket.astype(np.uint16 if buckets < 65536 else np.int64), kind="stable")
                 every, doc, bucket = every[order], doc[order], bucket[order]
-                edges = np.searchsorted(bucket, np.arange(buckets + 1))
-                home = (mix(ids.view(np.uint64)) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-                by_home = np.argsort(home, kind="stable")
-                home_edges = np.searchsorted(home[by_home], np.arange(buckets + 1))
-                rows = []
-                for k in range(buckets):
-                    s, e = edges[k], edges[k + 1]
-                    here = by_home[home_edges[k] : home_edges[k + 1]]
-                    if s == e and not len(here):
-                        continue
-                    starts = np.flatnonzero(np.diff(doc[s:e], prepend=-1))
-                    own = doc[s:e][starts]
-                    counts = np.diff(np.append(starts, e - s)).astype(np.int32)
-                    info = (ids[own], sizes[own], marks[own], counts, every[s:e], ids[here], sizes[here], marks[here])
-                    rows.append((k, *(x.tobytes() for x in info)))
-                if rows:
-                    types = [pa.int32()] + [pa.binary()] * 8
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], EMITTED_NAMES)
+                high, low = (every >> np.uint64(32)).astype(np.uint32), (every >> np.uint64(16)).astype(np.uint16)
+                edges = np.searchsorted(bucket, np.arange(buckets + 1)).tolist()
+                rows = [(block % buckets, block, None, None, None, None, home.tobytes())]
+                for k, (s, e) in enumerate(zip(edges, edges[1:])):
+                    if s < e:
+                        starts = np.flatnonzero(np.append(True, doc[s + 1 : e] != doc[s : e - 1]))
+                        counts = np.diff(np.append(starts, e - s)).astype(np.uint32)
+                        rows.append((k, block, *(x.tobytes() for x in (doc[s:e][starts], counts, high[s:e], low[s:e])), None))
+                block += 1
+                types = [pa.int32(), pa.int64()] + [pa.binary()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], EMITTED_NAMES)
 
     return emit
 
 
-EMITTED_NAMES = ["bucket", "docs", "sizes", "marks", "counts", "numbers", "home_docs", "home_sizes", "home_marks"]
-EMITTED = "bucket int, docs binary, sizes binary, marks binary, counts binary, numbers binary, home_docs binary, home_sizes binary, home_marks binary"
-KEPT = "doc_id long, mark long, size int, home int, numbers binary, dfs binary"
-
-
-def _packed(values: np.ndarray, starts: np.ndarray) -> list[bytes]:
-    raw, size = values.tobytes(), values.dtype.itemsize
-    edges = [*(starts * size).tolist(), len(raw)]
-    return [raw[s:e] for s, e in zip(edges, edges[1:])]
+KEPT = "block long, docs binary, counts binary, numbers binary, dfs binary, home binary"
+KEPT_NAMES = [x.split()[0] for x in KEPT.split(", ")]
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one range of numbers: those in several documents, with how many, by document; and the home rows."""
+    """Of one range of numbers: those in several documents, with how many (65535 for more), by block; and the home rows."""
     t = by_key(batches)
     if t is None:
         return
-    numbers, _ = blob_arrays(t["numbers"], np.uint64)
-    counts, _ = blob_arrays(t["counts"], np.int32)
-    docs, sizes, marks = (np.repeat(blob_arrays(t[c], k)[0], counts) for c, k in (("docs", np.int64), ("sizes", np.int32), ("marks", np.int64)))
-    homes, home_sizes, home_marks = (blob_arrays(t[c], k)[0] for c, k in (("home_docs", np.int64), ("home_sizes", np.int32), ("home_marks", np.int64)))
-    order = np.argsort(numbers, kind="stable")
-    starts = np.flatnonzero(np.diff(numbers[order], prepend=~numbers[order[:1]])) if len(order) else order
-    df = np.diff(np.append(starts, len(order)))
-    dfs = np.repeat(df, df)
-    order, dfs = order[dfs > 1], dfs[dfs > 1].astype(np.int32)
-    numbers, docs, sizes, marks = numbers[order], docs[order], sizes[order], marks[order]
-    order = np.lexsort((numbers, marks, docs))
-    numbers, docs, sizes, marks, dfs = numbers[order], docs[order], sizes[order], marks[order], dfs[order]
-    if len(docs):  # rows that repeat a document and its text
-        fresh = np.append(True, (np.diff(docs) != 0) | (np.diff(marks) != 0) | (numbers[1:] != numbers[:-1]))
-        numbers, docs, sizes, marks, dfs = (x[fresh] for x in (numbers, docs, sizes, marks, dfs))
-    starts = np.flatnonzero(np.append(True, (np.diff(docs) != 0) | (np.diff(marks) != 0))) if len(docs) else np.zeros(0, np.int64)
-    for s in range(0, len(starts), 20_000):
-        own = starts[s : s + 20_000]
-        end = starts[s + 20_000] if s + 20_000 < len(starts) else len(docs)
-        columns = [docs[own], marks[own], sizes[own], np.zeros(len(own), np.int32)]
-        packed = [_packed(x[own[0] : end], own - own[0]) for x in (numbers, dfs)]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *(pa.array(x, pa.binary()) for x in packed)], KEPT_NAMES)
-    for s in range(0, len(homes), 20_000):
-        own = slice(s, s + 20_000)
-        columns = [homes[own], home_marks[own], home_sizes[own], np.ones(len(homes[own]), np.int32)]
-        none = pa.nulls(len(homes[own]), pa.binary())
-        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), none, none], KEPT_NAMES)
-
-
-KEPT_NAMES = ["doc_id", "mark", "size", "home", "numbers", "dfs"]
+    own = t.filter(pc.is_valid(t["home"]))
+    rows = [(b, None, None, None, None, h) for b, h in zip(own["block"].to_pylist(), own["home"].to_pylist())]
+    t = t.filter(pc.is_null(t["home"]))
+    if t.num_rows:
+        high, _ = blob_arrays(t["high"], np.uint32)
+        low, sizes = blob_arrays(t["low"], np.uint16)
+        counts, _ = blob_arrays(t["counts"], np.uint32)
+        docs = np.repeat(blob_arrays(t["docs"], np.uint16)[0], counts)
+        row = np.repeat(np.arange(t.num_rows, dtype=np.int32), sizes)
+        blocks = t["block"].to_pylist()
+        del t
+        numbers = high.astype(np.uint64) << np.uint64(32) | low.astype(np.uint64) << np.uint64(16)
+        order = np.argsort(numbers, kind="stable")
+        starts = np.flatnonzero(np.append(True, np.diff(numbers[order]) != 0))
+        df = np.diff(np.append(starts, len(order)))
+        dfs = np.empty(len(numbers), np.uint16)
+        dfs[order] = np.repeat(np.minimum(df, 65535), df)
+        many = dfs > 1
+        numbers, docs, row, dfs = numbers[many], docs[many], row[many], dfs[many]
+        edges = np.searchsorted(row, np.arange(len(blocks) + 1)).tolist()
+        for k, (s, e) in enumerate(zip(edges, edges[1:])):
+            if s < e:
+                first = np.flatnonzero(np.append(True, docs[s + 1 : e] != docs[s : e - 1]))
+                n = np.diff(np.append(first, e - s)).astype(np.uint32)
+                rows.append((blocks[k], docs[s:e][first].tobytes(), n.tobytes(), numbers[s:e].tobytes(), dfs[s:e].tobytes(), None))
+    types = [pa.int64()] + [pa.binary()] * 5
+    for s in range(0, len(rows), 5000):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[s : s + 5000]), types)], KEPT_NAMES)
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per document and set: its shared numbers, rare ones first, if they are enough for any link; else null."""
+    """Of whole blocks, one row per document: its shared numbers, rare ones first, if they are enough for any link; else null."""
     t = by_key(batches)
     if t is None:
         return
-    docs, marks, sizes, home = (t[c].to_numpy() for c in ("doc_id", "mark", "size", "home"))
-    order = np.lexsort((home, marks, docs))
-    cells, dfs = t["numbers"].to_pylist(), t["dfs"].to_pylist()
-    rows = []
-    for _, group in groupby(order.tolist(), key=lambda i: (docs[i], marks[i])):
-        own = list(group)
-        size, parts = int(sizes[own[0]]), [i for i in own if cells[i]]
-        packed, n = None, sum(len(cells[i]) for i in parts) // 8
-        if parts and 100 * n >= SHARE * size:
-            numbers = np.frombuffer(b"".join(cells[i] for i in parts), np.uint64)
-            rare = np.lexsort((numbers, np.frombuffer(b"".join(dfs[i] for i in parts), np.int32)))
-            packed = numbers[rare].tobytes()
-        rows.append((int(docs[own[0]]), int(marks[own[0]]), size, packed))
-        if len(rows) == 5000:
-            yield _rows(rows)
-            rows = []
-    if rows:
-        yield _rows(rows)
-
-
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["doc_id", "mark", "size", "numbers"])
+    blocks = t["block"].to_numpy()
+    for own in np.split(np.argsort(blocks, kind="stable"), np.flatnonzero(np.diff(np.sort(blocks))) + 1):
+        rows = t.take(pa.array(own))
+        home = np.frombuffer(next(h for h in rows["home"].to_pylist() if h is not None), HOME)
+        rows = rows.filter(pc.is_null(rows["home"]))
+        kept = np.zeros(len(home), np.int64)
+        packed: list[bytes | None] = [None] * len(home)
+        if rows.num_rows:
+            docs = np.repeat(blob_arrays(rows["docs"], np.uint16)[0], blob_arrays(rows["counts"], np.uint32)[0])
+            numbers, dfs = blob_arrays(rows["numbers"], np.uint64)[0], blob_arrays(rows["dfs"], np.uint16)[0]
+            kept = np.bincount(docs, minlength=len(home))
+            enough = 100 * kept >= SHARE * home["size"].astype(np.int64)
+            pick = enough[docs]
+            docs, numbers, dfs = docs[pick], numbers[pick], dfs[pick]
+            order = np.lexsort((numbers, dfs, docs))
+            raw, edges = numbers[order].tobytes(), np.searchsorted(docs[order], np.arange(len(home) + 1)).tolist()
+            packed = [raw[8 * s : 8 * e] if s < e else None for s, e in zip(edges, edges[1:])]
+        columns = [pa.array(home["doc_id"]), pa.array(home["mark"].astype(np.int64)), pa.array(home["size"]), pa.array(packed, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "size", "numbers"])
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,7 +276,7 @@ def join(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     docs = doc_texts(documents)
     emitted = docs.where("doc_id is not null").mapInArrow(_emit(8 * parts, width), EMITTED)
     kept = emitted.repartition(parts, "bucket").mapInArrow(_shared, KEPT)
-    sized = durable(kept.repartition(parts, "doc_id").mapInArrow(_candidates, "doc_id long, mark long, size int, numbers binary"))
+    sized = durable(kept.repartition(parts, "block").mapInArrow(_candidates, "doc_id long, mark long, size int, numbers binary"))
     able = sized.where("numbers is not null")
     same = able.groupBy("size", "mark").agg(F.min(F.struct("doc_id", "numbers")).alias("one"))
     sets = durable(same.select("one.doc_id", "mark", "size", "one.numbers"))
