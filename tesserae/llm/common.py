@@ -33,8 +33,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame, rows: int = 2000) -> None:
+    """Texts can be long: Arrow batches of fewer rows than the session's default bound the memory of a Python worker."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(name)) > rows:
+        conf.set(name, str(rows))
+
+
 def doc_texts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Two columns, doc_id long and text binary (UTF-8), whatever else the table holds."""
+    small_batches(documents)
     return documents.select(
         documents[id_col].cast("long").alias("doc_id"), documents[text_col].cast("string").cast("binary").alias("text")
     )

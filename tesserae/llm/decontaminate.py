@@ -21,7 +21,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import odd_numbers
+from .common import doc_texts, odd_numbers, small_batches
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 CHUNK = 400_000  # words looked up at once
@@ -129,9 +129,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, width: int = 10, most_word
     for block in blocks(benchmark, most_words):
         windows = Windows([(r.item_id, bytes(r.text)) for r in block.toLocalIterator()], width)
         parts.append((windows, block))
-    docs = documents.select(
-        documents["doc_id"].cast("long").alias("doc_id"), documents["text"].cast("string").cast("binary").alias("text")
-    )
+    docs = doc_texts(documents)
     if len(parts) == 1:
         return docs.mapInArrow(_scan(parts[0][0]), SCHEMA)
     # one row per document and block, told apart by the text's digest where ids repeat
@@ -222,6 +220,7 @@ def clean(
     """
     names = documents.columns
     text_at, chars_at = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
+    small_batches(documents)
     out = documents
     for block in blocks(benchmark, most_words):
         windows = Windows([(r.item_id, bytes(r.text)) for r in block.toLocalIterator()], width)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, doc_texts, durable
+from .common import crc_of_id, doc_texts, durable, small_batches
 
 #: Signs and the letters they may stand for; fixed values.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i"}
@@ -44,7 +44,7 @@ RUNS = re.compile(r"(.)\1+")
 SKELETON = {ord(c): to[0].replace("l", "i") for c, to in LEET.items()} | {ord("l"): "i"} | {ord(c): None for c in SEPARATORS}
 
 
-@lru_cache(200_000)
+@lru_cache(50_000)
 def skeleton(token: str) -> str:
     return RUNS.sub(r"\1", token.translate(SKELETON))
 
@@ -139,6 +139,7 @@ def plain_words(text: str) -> set[str]:
 
 
 BEGINNINGS = range(3, 9)
+NONE: frozenset = frozenset()
 
 
 def marks_of(word: str) -> list[str]:
@@ -161,9 +162,9 @@ class Restorer:
         """Marks of a clean word."""
         got = self.plain.get(word)
         if got is None:
-            if len(self.plain) > 300_000:
+            if len(self.plain) > 50_000:
                 self.plain = {}
-            got = self.plain[word] = self.marks.intersection(marks_of(word))
+            got = self.plain[word] = self.marks.intersection(marks_of(word)) or NONE
         return got
 
     def reachable(self, bones: str) -> bool:
@@ -173,9 +174,9 @@ class Restorer:
         """Marks of the decoded token."""
         got = self.known.get(token)
         if got is None:
-            if len(self.known) > 300_000:
+            if len(self.known) > 50_000:
                 self.known = {}
-            got = self.of_word(decode(token, self.model)) if self.reachable(skeleton(token)) else frozenset()
+            got = self.of_word(decode(token, self.model)) if self.reachable(skeleton(token)) else NONE
             self.known[token] = got
         return got
 
@@ -326,8 +327,10 @@ def score(documents: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2
 def _accepts(learned: tuple, text_at: int, threshold: float):
     def accepts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores = _score_texts(*learned, b.column(text_at).to_pylist())
-            yield b.filter(pa.array([s < threshold for s in scores]))
+            for first in range(0, b.num_rows, 1000):
+                part = b.slice(first, 1000)
+                scores = _score_texts(*learned, part.column(text_at).to_pylist())
+                yield part.filter(pa.array([s < threshold for s in scores]))
 
     return accepts
 
@@ -335,4 +338,5 @@ def _accepts(learned: tuple, text_at: int, threshold: float):
 def accepted(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, **how: int) -> DataFrame:
     """The documents, in their own columns, whose score stays below the threshold."""
     learned = learn(documents, labels, **how)
+    small_batches(documents)
     return documents.mapInArrow(_accepts(learned, documents.columns.index("text"), threshold), documents.schema)
