@@ -1,0 +1,155 @@
+"""Patches of a mosaic: regular grids, seam-aware cuts, padded extraction, coverage."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import intervals
+
+PATCH_NAME = r"^(\d+)-(\d+)-(\d+)-(\d+)$"
+
+
+def name_of(*parts: str) -> F.Column:
+    """quadrant row, quadrant column, patch row and patch column, joined by hyphens."""
+    return F.concat_ws("-", *(F.col(p).cast("string") for p in parts))
+
+
+def parse_name(name: F.Column) -> F.Column:
+    """The four numbers of a patch name (suffixes of its file taken off), or null."""
+    stem = F.regexp_replace(name, r"(\.tif)?(\.hdf5|\.csv|\.tif)$", "")
+    field = lambda k: F.regexp_extract(stem, PATCH_NAME, k).cast("int")
+    parts = ("quadrant_row", "quadrant_col", "patch_row", "patch_col")
+    return F.when(stem.rlike(PATCH_NAME), F.struct(*(field(k + 1).alias(p) for k, p in enumerate(parts))))
+
+
+def regular_grid(spark: SparkSession, h: int, w: int, tile: int) -> DataFrame:
+    """Tiles of a size over an image; the last ones are what is left."""
+    if tile <= 0:
+        raise ValueError("tile size must be above zero")
+    rows = spark.range(0, max(h, 0), tile).select(F.expr(f"id div {tile}").cast("int").alias("patch_row"), F.col("id").cast("int").alias("y0"))
+    columns = spark.range(0, max(w, 0), tile).select(F.expr(f"id div {tile}").cast("int").alias("patch_col"), F.col("id").cast("int").alias("x0"))
+    grid = rows.crossJoin(F.broadcast(columns))  # one row for each tile is the result itself
+    out = grid.withColumns({"quadrant_row": F.lit(0), "quadrant_col": F.lit(0), "y1": F.least(F.col("y0") + tile, F.lit(h)), "x1": F.least(F.col("x0") + tile, F.lit(w))})
+    return out.select(name_of("quadrant_row", "quadrant_col", "patch_row", "patch_col").alias("name"), "quadrant_row", "quadrant_col", "patch_row", "patch_col", "y0", "y1", "x0", "x1")
+
+
+def in_patches(pixel: DataFrame, specs: DataFrame, pad: int = 0, bin_size: int = 64) -> DataFrame:
+    """Pixels with each patch whose box, widened by pad, holds them: name, y and x from the padded corner.
+
+    A range join made an equi-join: boxes are listed by the bins of the grid they touch, pixels by the bin they are in.
+    """
+    if pad < 0:
+        raise ValueError("pad must not be negative")
+
+    def bins(low: str, high: str):
+        first = F.floor((F.col(low) - pad) / bin_size).cast("int")
+        return F.sequence(first, F.floor((F.col(high) + pad - 1) / bin_size).cast("int"))
+
+    boxes = specs.select("name", "y0", "y1", "x0", "x1", F.explode(bins("y0", "y1")).alias("_by")).withColumn("_bx", F.explode(bins("x0", "x1")))
+    binned = pixel.withColumns({"_by": F.floor(F.col("y") / bin_size).cast("int"), "_bx": F.floor(F.col("x") / bin_size).cast("int")})
+    inside = (F.col("y") >= F.col("y0") - pad) & (F.col("y") < F.col("y1") + pad) & (F.col("x") >= F.col("x0") - pad) & (F.col("x") < F.col("x1") + pad)
+    joined = binned.join(boxes, ["_by", "_bx"]).where(inside)
+    return joined.select("name", "frame", (F.col("y") - F.col("y0") + pad).alias("y"), (F.col("x") - F.col("x0") + pad).alias("x"), "v")
+
+
+def padded_patches(pixel: DataFrame, specs: DataFrame, frames: DataFrame, pad: int) -> DataFrame:
+    """Every pixel of every padded patch and frame; what lies outside the image is 0."""
+    height, width = F.col("y1") - F.col("y0") + 2 * pad, F.col("x1") - F.col("x0") + 2 * pad
+    grid = specs.select("name", F.explode(F.sequence(F.lit(0), height - 1)).alias("y"), width.alias("w")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("w") - 1)))
+    dense = grid.drop("w").crossJoin(frames.select("frame").distinct())
+    return dense.join(in_patches(pixel, specs, pad), ["name", "frame", "y", "x"], "left").withColumn("v", F.coalesce(F.col("v").cast("double"), F.lit(0.0)))
+
+
+def write_patches(pixel: DataFrame, specs: DataFrame, path: str, pad: int) -> None:
+    """One pass over the movie, a folder for each patch."""
+    in_patches(pixel, specs, pad).write.partitionBy("name").parquet(path)
+
+
+def coverage(specs: DataFrame) -> DataFrame:
+    """(y, x, n): how many patches cover each pixel that any does."""
+    rows = specs.select(F.explode(F.sequence("y0", F.col("y1") - 1)).alias("y"), "x0", "x1").withColumn("x", F.explode(F.sequence("x0", F.col("x1") - 1)))
+    return rows.groupBy("y", "x").agg(F.count("*").alias("n"))
+
+
+def covers_once(specs: DataFrame, h: int, w: int) -> bool:
+    """Whether the patches tile the image exactly."""
+    row = coverage(specs).where((F.col("y") < h) & (F.col("x") < w)).agg(F.count("*"), F.min("n"), F.max("n")).first()
+    return tuple(row) == (h * w, 1, 1)
+
+
+def has_holes(specs: DataFrame, h: int, w: int) -> bool:
+    return coverage(specs).where((F.col("y") < h) & (F.col("x") < w)).count() < h * w
+
+
+def border_mask(specs: DataFrame, width: int) -> DataFrame:
+    """(y, x) of the pixels on the border of a patch, half the seam's width from each side."""
+    half = width // 2
+    rows = specs.select("y0", "y1", "x0", "x1", F.explode(F.sequence("y0", F.col("y1") - 1)).alias("y")).withColumn("x", F.explode(F.sequence("x0", F.col("x1") - 1)))
+    near = (F.col("y") < F.col("y0") + half) | (F.col("y") >= F.col("y1") - half) | (F.col("x") < F.col("x0") + half) | (F.col("x") >= F.col("x1") - half)
+    return rows.where(near).select("y", "x").distinct()
+
+
+def seam_masks(spark: SparkSession, h: int, w: int, tile: int, width: int) -> DataFrame:
+    """(quadrant_row, quadrant_col, y, x): seam pixels of each quadrant, tile lines and border, as painted before stitching."""
+    if width < 2 or width % 2:
+        raise ValueError("seam width must be even and at least 2")
+    stripes = []
+    for qr, (y0, y1) in enumerate(((0, h // 2), (h // 2, h))):
+        for qc, (x0, x1) in enumerate(((0, w // 2), (w // 2, w))):
+            edge = width // 2
+            for axis, a0, a1, b0, b1, limit in (("x", x0, x1, y0, y1, w), ("y", y0, y1, x0, x1, h)):
+                lines = [intervals.stripe(a0 + k, limit, width) for k in range(tile, a1 - a0, tile)]
+                lines = [(max(s, a0), min(e, a1)) for s, e in lines] + [(a0, min(a0 + edge, a1)), (max(a1 - edge, a0), a1)]
+                stripes += [(qr, qc, *((b0, b1, s, e) if axis == "x" else (s, e, b0, b1))) for s, e in lines if s < e]
+    boxes = spark.createDataFrame(stripes, "quadrant_row int, quadrant_col int, y0 int, y1 int, x0 int, x1 int")
+    rows = boxes.withColumn("y", F.explode(F.sequence("y0", F.col("y1") - 1))).withColumn("x", F.explode(F.sequence("x0", F.col("x1") - 1)))
+    return rows.select("quadrant_row", "quadrant_col", "y", "x").distinct()
+
+
+def seam_specs(spark: SparkSession, supports: DataFrame, seams: DataFrame, h: int, w: int, width: int, ratio: float, least: int) -> DataFrame:
+    """Seam-aware patches of a mosaic, from the quadrants' stitched support and seam pixels (quadrant_row, quadrant_col, y, x).
+
+    The quadrants meet in the middle of their overlap; inside each, seams that cover a row or column become cuts.
+    """
+
+    def middle(a: DataFrame, b: DataFrame, axis: str, limit: int) -> int:
+        both = a.select("y", "x").intersect(b.select("y", "x")).select(axis).distinct().withColumns({"k": F.lit(0), "t": F.lit(True)})
+        row = intervals.longest_run_cut(intervals.true_runs(both, ["k"], axis, "t"), ["k"], limit).first()
+        if row:
+            return row.cut
+        last, first = a.agg(F.max(axis)).first()[0], b.agg(F.min(axis)).first()[0]
+        if last is None or first is None:
+            raise ValueError("a quadrant has no support")
+        return max(1, min(int((last + first) / 2.0 + 0.5), limit - 1))
+
+    def part(r: int | None, c: int | None) -> DataFrame:
+        out = supports
+        out = out if r is None else out.where(F.col("quadrant_row") == r)
+        return out if c is None else out.where(F.col("quadrant_col") == c)
+
+    x_cut = middle(part(None, 0), part(None, 1), "x", w)
+    y_cuts = [middle(part(0, c), part(1, c), "y", h) for c in (0, 1)]
+    regions = [(r, c, 0 if r == 0 else y_cuts[c], y_cuts[c] if r == 0 else h, 0 if c == 0 else x_cut, x_cut if c == 0 else w) for r in (0, 1) for c in (0, 1)]
+    region = F.broadcast(spark.createDataFrame(regions, "quadrant_row int, quadrant_col int, ry0 int, ry1 int, rx0 int, rx1 int"))  # four rows
+    inside = seams.join(region, ["quadrant_row", "quadrant_col"]).where("y >= ry0 and y < ry1 and x >= rx0 and x < rx1")
+    inside = inside.select("quadrant_row", "quadrant_col", (F.col("y") - F.col("ry0")).alias("y"), (F.col("x") - F.col("rx0")).alias("x"), (F.col("ry1") - F.col("ry0")).alias("hq"), (F.col("rx1") - F.col("rx0")).alias("wq"))
+    axes = None
+    for along, extent, length in (("y", "wq", "hq"), ("x", "hq", "wq")):
+        keys = ["quadrant_row", "quadrant_col", length]
+        runs = intervals.merged_runs(intervals.seam_runs(inside, keys, along, extent, ratio), keys)
+        cuts = intervals.cuts_of_runs(runs, ["quadrant_row", "quadrant_col"], length, max(1, width // 2 * 2))
+        size = (F.col("ry1") - F.col("ry0")) if along == "y" else (F.col("rx1") - F.col("rx0"))
+        every = region.select("quadrant_row", "quadrant_col", size.alias("length")).join(cuts.drop(length), ["quadrant_row", "quadrant_col"], "left")
+        keyed = every.withColumn("axis", F.concat_ws("-", "quadrant_row", "quadrant_col", F.lit(along)))
+        one = intervals.spans_by_axis(keyed, "axis", "length", least)
+        axes = one if axes is None else axes.unionByName(one)
+    split = F.split("axis", "-")
+    axes = axes.select(split[0].cast("int").alias("quadrant_row"), split[1].cast("int").alias("quadrant_col"), split[2].alias("along"), "row", "start", "end")
+    rows = axes.where("along = 'y'").select("quadrant_row", "quadrant_col", F.col("row").alias("patch_row"), F.col("start").alias("ys"), F.col("end").alias("ye"))
+    columns = axes.where("along = 'x'").select("quadrant_row", "quadrant_col", F.col("row").alias("patch_col"), F.col("start").alias("xs"), F.col("end").alias("xe"))
+    out = rows.join(columns, ["quadrant_row", "quadrant_col"]).join(region, ["quadrant_row", "quadrant_col"])
+    return out.select(
+        name_of("quadrant_row", "quadrant_col", "patch_row", "patch_col").alias("name"), "quadrant_row", "quadrant_col", "patch_row", "patch_col",
+        (F.col("ry0") + F.col("ys")).alias("y0"), (F.col("ry0") + F.col("ye")).alias("y1"), (F.col("rx0") + F.col("xs")).alias("x0"), (F.col("rx0") + F.col("xe")).alias("x1"),
+    )
