@@ -14,20 +14,22 @@ by anchors, without loss:
    in one leaf are equal strings; all but the first one's bytes go.
 4. By document, the spans are united and cut out.
 
+Numbers of anchors and surroundings go with 48 bits; surroundings are told apart within one anchor only.
+
 Defined results: null text is empty; texts under `length` bytes lose nothing; rows that repeat doc_id and text count as
-one document and give a row each; rows of one doc_id with different texts are documents ordered by a hash of their text;
+one document and give a row each; rows of one doc_id with different texts are documents ordered by the texts' CRC-32;
 rows with a null doc_id neither lose bytes nor take them from others; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -95,14 +97,10 @@ def anchors(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int
     return at, h[at], around
 
 
-SENT = "bucket int, docs binary, marks binary, sizes binary, counts binary, places binary, grams binary, arounds binary"
+SENT = "bucket int, docs binary, marks binary, counts binary, places binary, high binary, low binary, around_high binary, around_low binary"
 SENT_NAMES = [x.split()[0] for x in SENT.split(", ")]
 
 
-def _mark(text: bytes) -> int:
-    return int(np.array([xxhash.xxh3_64_intdigest(text)], np.uint64).view(np.int64)[0])
-
-
 def _stretches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[list[tuple[int, int, int, int, bytes]]]:
     """Lists of (doc_id, mark, size, first place, bytes) of about CHUNK bytes; long documents overlap so far that no window is lost."""
     out, total = [], 0
@@ -110,7 +108,7 @@ def _stretches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[list[
         for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             if doc is None or not text or len(text) < length:
                 continue
-            mark = _mark(text)
+            mark = zlib.crc32(text)
             for s in range(0, max(len(text) - length, 0) + 1, CHUNK):
                 first = max(0, s - length)
                 part = text[first : s + CHUNK + 2 * length]
@@ -124,7 +122,7 @@ def _stretches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[list[
 
 
 def _send(buckets: int, length: int):
-    """Anchors of the documents by range of their numbers."""
+    """Anchors of the documents by range of their numbers, of which 48 bits go."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, held, n = Powers(), [], 0
@@ -133,13 +131,12 @@ def _send(buckets: int, length: int):
             starts = np.cumsum(sizes) - sizes
             at, gram, around = anchors(np.frombuffer(b"".join(x[4] for x in own), np.uint8), starts, sizes, length, powers)
             k = np.searchsorted(starts, at, side="right") - 1
-            whole = np.array([x[2] for x in own])
-            first = np.array([x[3] for x in own])
+            whole, first = np.array([x[2] for x in own]), np.array([x[3] for x in own])
             place = at - starts[k] + first[k]
             # surroundings that a stretch cuts short belong to the next or the last stretch
             full = (at - starts[k] >= np.minimum(length - GRAM, place)) & (at - starts[k] + np.minimum(length, whole[k] - place) <= sizes[k])
-            docs, marks = (np.array([x[i] for x in own], np.int64) for i in (0, 1))
-            held.append(tuple(x[full] for x in (docs[k], marks[k], whole[k].astype(np.int32), place.astype(np.int32), gram, around)))
+            docs, marks = np.array([x[0] for x in own], np.int64), np.array([x[1] for x in own], np.uint32)
+            held.append(tuple(x[full] for x in (docs[k], marks[k], place.astype(np.int32), gram, around)))
             n += len(at)
             if n > 300_000:
                 yield _sent(held, buckets)
@@ -151,87 +148,118 @@ def _send(buckets: int, length: int):
 
 
 def _sent(held: list[tuple], buckets: int) -> pa.RecordBatch:
-    docs, marks, sizes, places, grams, arounds = (np.concatenate(x) for x in zip(*held))
-    bucket = ((grams >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    docs, marks, places, grams, arounds = (np.concatenate(x) for x in zip(*held))
+    bucket = _range(grams, buckets)
     order = np.argsort(bucket, kind="stable")
-    docs, marks, sizes, places, grams, arounds = (x[order] for x in (docs, marks, sizes, places, grams, arounds))
+    docs, marks, places, grams, arounds = (x[order] for x in (docs, marks, places, grams, arounds))
+    high, low = (grams >> np.uint64(32)).astype(np.uint32), (grams >> np.uint64(16)).astype(np.uint16)
+    around_high, around_low = (arounds >> np.uint64(32)).astype(np.uint32), (arounds >> np.uint64(16)).astype(np.uint16)
     edges = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
     rows = []
     for k, (s, e) in enumerate(zip(edges, edges[1:])):
         if s < e:
-            new = np.flatnonzero(np.append(True, (np.diff(docs[s:e]) != 0) | (np.diff(marks[s:e]) != 0))) + s
-            counts = np.diff(np.append(new, e)).astype(np.int32)
-            rows.append((k, *(x.tobytes() for x in (docs[new], marks[new], sizes[new], counts, places[s:e], grams[s:e], arounds[s:e]))))
-    types = [pa.int32()] + [pa.binary()] * 7
-    columns = zip(*rows) if rows else [[]] * 8
+            new = np.flatnonzero(np.append(True, (np.diff(docs[s:e]) != 0) | (marks[s + 1 : e] != marks[s : e - 1]))) + s
+            counts = np.diff(np.append(new, e)).astype(np.uint32)
+            packed = (docs[new], marks[new], counts, *(x[s:e] for x in (places, high, low, around_high, around_low)))
+            rows.append((k, *(x.tobytes() for x in packed)))
+    types = [pa.int32()] + [pa.binary()] * 8
+    columns = zip(*rows) if rows else [[]] * 9
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], SENT_NAMES)
 
 
-ANSWERED = "doc_id long, mark long, spans binary, asked binary, grams binary, text binary"
-ANSWERED_NAMES = [x.split()[0] for x in ANSWERED.split(", ")]
+def _range(numbers: np.ndarray, n: int) -> np.ndarray:
+    return ((numbers >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+def _dest(docs: np.ndarray, n: int) -> np.ndarray:
+    """The range of documents that a doc_id belongs to."""
+    return _range(mix(docs.view(np.uint64)), n)
+
+
+WAY = "dest int, kind string, docs binary, marks binary, places binary, grams binary, text binary"
+WAY_NAMES = [x.split()[0] for x in WAY.split(", ")]
 
 
-def _answered(docs, marks, values: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Rows by document of arrays that are in their order."""
+def _ways(kind: str, dests: int, docs: np.ndarray, marks: np.ndarray, places: np.ndarray, grams: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Items for documents, one row for each range of documents."""
     if not len(docs):
         return
-    new = np.flatnonzero(np.append(True, (np.diff(docs) != 0) | (np.diff(marks) != 0)))
-    for s in range(0, len(new), 20_000):
-        own = new[s : s + 20_000].tolist()
-        end = int(new[s + 20_000]) if s + 20_000 < len(new) else len(docs)
-        columns = {"doc_id": pa.array(docs[own]), "mark": pa.array(marks[own])}
-        for name, x in values.items():
-            columns[name] = pa.array([x[a:b].tobytes() for a, b in zip(own, [*own[1:], end])], pa.binary())
-        none = pa.nulls(len(own), pa.binary())
-        yield pa.RecordBatch.from_arrays([columns.get(c, none) for c in ANSWERED_NAMES], ANSWERED_NAMES)
+    dest = _dest(docs, dests)
+    order = np.lexsort((places[:, 0] if places.ndim > 1 else places, marks, docs, dest))
+    docs, marks, places, dest = docs[order], marks[order], places[order], dest[order]
+    edges = [0, *(np.flatnonzero(np.diff(dest)) + 1).tolist(), len(dest)]
+    rows = []
+    for s, e in zip(edges, edges[1:]):
+        own = None if grams is None else grams[order][s:e].tobytes()
+        rows.append((int(dest[s]), kind, docs[s:e].tobytes(), marks[s:e].tobytes(), np.ascontiguousarray(places[s:e]).tobytes(), own, None))
+    types = [pa.int32(), pa.string()] + [pa.binary()] * 5
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], WAY_NAMES)
 
 
-def _meet(length: int):
-    """Anchors of one range: spans that go because the surroundings stand earlier, and places that are asked for."""
+def _meet(length: int, dests: int):
+    """Anchors of one range: places whose surroundings stand earlier, and places that are asked for."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = by_key(batches)
         if t is None:
             return
-        counts, _ = blob_arrays(t["counts"], np.int32)
-        docs, marks, sizes = (np.repeat(blob_arrays(t[c], k)[0], counts) for c, k in (("docs", np.int64), ("marks", np.int64), ("sizes", np.int32)))
-        places, grams, arounds = (blob_arrays(t[c], k)[0] for c, k in (("places", np.int32), ("grams", np.uint64), ("arounds", np.uint64)))
+        counts, _ = blob_arrays(t["counts"], np.uint32)
+        docs, marks = (np.repeat(blob_arrays(t[c], k)[0], counts) for c, k in (("docs", np.int64), ("marks", np.uint32)))
+        places, _ = blob_arrays(t["places"], np.int32)
+        grams, arounds = (
+            blob_arrays(t[h], np.uint32)[0].astype(np.uint64) << np.uint64(32) | blob_arrays(t[w], np.uint16)[0].astype(np.uint64) << np.uint64(16)
+            for h, w in (("high", "low"), ("around_high", "around_low"))
+        )
         del t
         order = np.argsort(grams, kind="stable")
         same = grams[order][1:] == grams[order][:-1]
-        order = order[np.append(same, False) | np.append(False, same)]
-        docs, marks, sizes, places, grams, arounds = (x[order] for x in (docs, marks, sizes, places, grams, arounds))
+        order = order[np.append(same, False) | np.append(False, same)] if len(order) else order
+        docs, marks, places, grams, arounds = (x[order] for x in (docs, marks, places, grams, arounds))
         order = np.lexsort((places, marks, docs, arounds, grams))
-        docs, marks, sizes, places, grams, arounds = (x[order] for x in (docs, marks, sizes, places, grams, arounds))
+        docs, marks, places, grams, arounds = (x[order] for x in (docs, marks, places, grams, arounds))
         if not len(docs):
             return
         new_gram = np.append(True, grams[1:] != grams[:-1])
         new_around = new_gram | np.append(True, arounds[1:] != arounds[:-1])
         repeat = ~new_around & np.append(False, (docs[1:] == docs[:-1]) & (marks[1:] == marks[:-1]) & (places[1:] == places[:-1]))
         gone = np.flatnonzero(~new_around & ~repeat)
-        low = np.maximum(places - (length - GRAM), 0)
-        high = np.minimum(places, sizes - length) + length
-        kinds = np.add.reduceat(new_around.astype(np.int64), np.flatnonzero(new_gram))
-        asked = np.flatnonzero(new_around & (np.repeat(kinds, np.diff(np.append(np.flatnonzero(new_gram), len(grams)))) > 1))
-        gone = gone[np.lexsort((low[gone], marks[gone], docs[gone]))]
-        yield from _answered(docs[gone], marks[gone], {"spans": np.stack([low[gone], high[gone]], axis=1).astype(np.int32)})
-        asked = asked[np.lexsort((places[asked], marks[asked], docs[asked]))]
-        yield from _answered(docs[asked], marks[asked], {"asked": places[asked], "grams": grams[asked]})
+        begin = np.flatnonzero(new_gram)
+        kinds = np.add.reduceat(new_around.astype(np.int64), begin)
+        asked = np.flatnonzero(new_around & (np.repeat(kinds, np.diff(np.append(begin, len(grams)))) > 1))
+        yield from _ways("gone", dests, docs[gone], marks[gone], places[gone])
+        yield from _ways("asked", dests, docs[asked], marks[asked], places[asked], grams[asked])
 
     return meet
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The documents, packed for their way to the answers."""
-    press = zstandard.ZstdCompressor(level=1)
-    for b in batches:
-        texts = [t or b"" for t in b.column(1).to_pylist()]
-        none = pa.nulls(b.num_rows, pa.binary())
-        packed = pa.array([press.compress(t) for t in texts], pa.binary())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_mark(t) for t in texts], pa.int64()), none, none, none, packed], ANSWERED_NAMES)
-
-
-STATE = "kind string, doc_id long, mark long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans binary, text binary, gram long, start int, low int, high int, around binary"
+def _texts(dests: int):
+    """The documents, packed by range, on their way to the answers."""
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            ids, own = b.column(0), [t or b"" for t in b.column(1).to_pylist()]
+            docs = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            marks, sizes = np.array([zlib.crc32(t) for t in own], np.uint32), np.array([len(t) for t in own], np.int32)
+            named, dest = ids.is_valid().to_numpy(zero_copy_only=False), _dest(docs, dests)
+            dest[~named] = np.arange((~named).sum()) % dests
+            rows = []
+            for kind, pick in (("text", named), ("nameless", ~named)):
+                at = np.flatnonzero(pick)
+                at = at[np.argsort(dest[at], kind="stable")]
+                for k in np.split(at, np.flatnonzero(np.diff(dest[at])) + 1) if len(at) else ():
+                    packed = press.compress(b"".join(own[i] for i in k.tolist()))
+                    rows.append((int(dest[k[0]]), kind, docs[k].tobytes(), marks[k].tobytes(), sizes[k].tobytes(), None, packed))
+            types = [pa.int32(), pa.string()] + [pa.binary()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, types)], WAY_NAMES)
+
+    return texts
+
+
+STATE = (
+    "kind string, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
+    "bucket int, docs binary, marks binary, places binary, highs binary, counts binary, spans binary, text binary"
+)
 STATE_NAMES = [x.split()[0] for x in STATE.split(", ")]
 STATE_TYPES = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
 
@@ -260,50 +288,99 @@ def cut(text: bytes, spans: np.ndarray) -> tuple[int, int, str]:
     return gone, runs, hashlib.sha256(b"".join(kept)).hexdigest()
 
 
-def _by_document(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[tuple]]:
-    """Rows of each document, over batches sorted by doc_id and mark."""
-    rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in columns)))
-    for _, own in groupby(rows, key=lambda r: r[:2]):
-        yield list(own)
-
-
 def _result(doc: int | None, text: bytes, spans: np.ndarray) -> dict:
     gone, runs, sha = cut(text, spans)
     return {"kind": "done", "doc_id": doc, "n_bytes": len(text), "n_removed": gone, "n_spans": runs, "kept_sha256": sha}
 
 
-def _advance(length: int):
+def _items(rows: pa.Table, *columns: tuple[str, str]) -> dict[tuple[int, int], list[np.ndarray]]:
+    """Arrays of items by document; columns: (name, dtype), in the order of docs and marks."""
+    docs, marks = blob_arrays(rows["docs"], np.int64)[0], blob_arrays(rows["marks"], np.uint32)[0]
+    if not len(docs):
+        return {}
+    order = np.lexsort((marks, docs))
+    docs, marks = docs[order], marks[order]
+    values = [blob_arrays(rows[c], k)[0].reshape(len(order), -1)[order] for c, k in columns]
+    new = np.flatnonzero(np.append(True, (np.diff(docs) != 0) | (marks[1:] != marks[:-1])))
+    edges = [*new.tolist(), len(docs)]
+    return {(int(docs[s]), int(marks[s])): [v[s:e] for v in values] for s, e in zip(edges, edges[1:])}
+
+
+def _ranges(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int, pa.Table]]:
+    """The rows of each range of documents in this partition."""
+    t = by_key(batches)
+    if t is None:
+        return
+    dest = t[column].to_numpy()
+    order = np.argsort(dest, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(dest[order])) + 1):
+        yield int(dest[own[0]]), t.take(pa.array(own))
+
+
+def _kind(rows: pa.Table, *kinds: str) -> pa.Table:
+    return rows.filter(pc.is_in(rows["kind"], pa.array(kinds)))
+
+
+def _unpacked(rows: pa.Table) -> Iterator[tuple[str, int, int, bytes]]:
+    """(kind, doc_id, mark, text) of packed rows."""
+    open_ = zstandard.ZstdDecompressor()
+    for kind, d, m, n, raw in zip(*(rows[c].to_pylist() for c in ("kind", "docs", "marks", "places", "text"))):
+        whole, at = open_.decompress(raw), 0
+        for doc, mark, size in zip(np.frombuffer(d, np.int64).tolist(), np.frombuffer(m, np.uint32).tolist(), np.frombuffer(n, np.int32).tolist()):
+            yield kind, doc, mark, whole[at : at + size]
+            at += size
+
+
+def _advance(length: int, buckets: int):
     """Documents with their answers: finished ones, and of the others the surroundings that are asked for."""
 
     def advance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_, out, size = zstandard.ZstdDecompressor(), [], 0
-        for own in _by_document(batches, ANSWERED_NAMES):
-            doc, mark = own[0][:2]
-            spans = np.frombuffer(b"".join(r[2] for r in own if r[2]), np.int32).reshape(-1, 2)
-            places = np.frombuffer(b"".join(r[3] for r in own if r[3]), np.int32)
-            grams = np.frombuffer(b"".join(r[4] for r in own if r[4]), np.int64)
-            packed = [r[5] for r in own if r[5] is not None]
-            text = open_.decompress(packed[0]) if packed else b""
-            if doc is None:  # rows without an id can differ in their texts only
-                spans, places = spans[:0], places[:0]
-            if not len(places):
-                out += [_result(doc, text, spans) for _ in packed]
-            else:
-                out += [{"kind": "open", "doc_id": doc, "mark": mark, "spans": spans.tobytes(), "text": p} for p in packed]
-                for place, gram in zip(places.tolist(), grams.tolist()):
-                    low = max(place - (length - GRAM), 0)
-                    high = min(place, len(text) - length)
-                    out.append({"kind": "around", "doc_id": doc, "mark": mark, "gram": gram, "start": low - place, "low": low, "high": high, "around": text[low : high + length]})
-            size += len(text)
-            if size > 4_000_000 or len(out) > 20_000:
+        press = zstandard.ZstdCompressor(level=3)
+        around, n = [], 0
+        for dest, rows in _ranges(batches, "dest"):
+            gone, asked = _items(_kind(rows, "gone"), ("places", "<i4")), _items(_kind(rows, "asked"), ("places", "<i4"), ("grams", "<u8"))
+            out, left = [], []
+            for kind, doc, mark, text in _unpacked(_kind(rows, "text", "nameless")):
+                key = (doc, mark) if kind == "text" else None
+                place = gone[key][0][:, 0] if key in gone else np.zeros(0, np.int32)
+                spans = np.stack([np.maximum(place - (length - GRAM), 0), np.minimum(place, len(text) - length) + length], axis=1).astype(np.int32)
+                if key not in asked:
+                    out.append(_result(doc if key else None, text, spans))
+                    continue
+                left.append((doc, mark, text, spans))
+                places, grams = (x[:, 0].tolist() for x in asked[key])
+                for p, gram in zip(places, grams):
+                    low, high = max(p - (length - GRAM), 0), min(p, len(text) - length)
+                    around.append((gram, doc, mark, low, high, text[low : high + length]))
+                    n += 1
+            if left:
+                counts = np.array([len(x[3]) for x in left], np.uint32)
+                packed = {"docs": np.array([x[0] for x in left], np.int64), "marks": np.array([x[1] for x in left], np.uint32), "places": np.array([len(x[2]) for x in left], np.int32)}
+                packed |= {"counts": counts, "spans": np.concatenate([x[3] for x in left])}
+                out.append({"kind": "open", "bucket": dest, "text": press.compress(b"".join(x[2] for x in left))} | {k: v.tobytes() for k, v in packed.items()})
+            if out:
                 yield _state(out)
-                out, size = [], 0
-        if out:
-            yield _state(out)
+            if n > 100_000:
+                yield _state(_packed_around(around, buckets, press))
+                around, n = [], 0
+        if around:
+            yield _state(_packed_around(around, buckets, press))
 
     return advance
 
 
+def _packed_around(around: list[tuple], buckets: int, press) -> list[dict]:
+    """Surroundings by range of grams; those of one gram stand together and are much alike."""
+    around.sort(key=lambda x: x[0])
+    bucket = _range(np.array([x[0] for x in around], np.uint64), buckets)
+    edges, out = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(around)], []
+    for s, e in zip(edges, edges[1:]):
+        own = around[s:e]
+        packed = {"docs": (1, np.int64), "marks": (2, np.uint32), "places": (3, np.int32), "highs": (4, np.int32)}
+        out.append({"kind": "around", "bucket": int(bucket[s]), "text": press.compress(b"".join(x[5] for x in own))} | {c: np.array([x[i] for x in own], k).tobytes() for c, (i, k) in packed.items()})
+    return out
+
+
 # ---- deep-shallow sorting
 
 
@@ -347,73 +424,71 @@ def deep_shallow(character, n: int, depth: int, shallow: int = SHALLOW) -> tuple
     return order, group
 
 
-def _sort(length: int):
+def _sort(length: int, dests: int):
     """Surroundings of some anchors to spans that go: all suffixes of `length` bytes in them but the first of each kind."""
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = by_key(batches)
         if t is None:
             return
-        docs, marks, low, high = (t[c].to_numpy() for c in ("doc_id", "mark", "low", "high"))
-        raw = t["around"].to_pylist()
-        sizes = np.array([len(x) for x in raw])
-        flat = np.frombuffer(b"".join(raw) + b"\0" * 8, np.uint8)
-        del raw, t
+        docs, marks, low, high = (blob_arrays(t[c], k)[0] for c, k in (("docs", np.int64), ("marks", np.uint32), ("places", np.int32), ("highs", np.int32)))
+        open_ = zstandard.ZstdDecompressor()
+        flat = np.frombuffer(b"".join(open_.decompress(x) for x in t["text"].to_pylist()) + b"\0" * 8, np.uint8)
+        del t
+        sizes = high - low + length
         eight = np.zeros(len(flat) - 7, np.uint64)  # 8-byte characters at every place
         for j in range(8):
             eight = (eight << np.uint64(8)) | flat[j : len(flat) - 7 + j]
         windows = high - low + 1
-        own = np.repeat(np.arange(len(docs)), windows)
-        offset = np.arange(len(own)) - np.repeat(np.cumsum(windows) - windows, windows)
-        at = (np.cumsum(sizes) - sizes)[own] + offset
-        depth = -(-length // 8)
-        where = [min(8 * i, length - 8) for i in range(depth)]
-        order, group = deep_shallow(lambda s, i: eight[at[s] + where[i]], len(at), depth)
-        start = low[own] + offset
-        k = np.lexsort((start[order], marks[own[order]], docs[own[order]], group))
-        order, group = order[k], group[k]
+        own = np.repeat(np.arange(len(docs), dtype=np.int32), windows)
+        offset = (np.arange(len(own)) - np.repeat(np.cumsum(windows) - windows, windows)).astype(np.int32)
+        at = (np.cumsum(sizes, dtype=np.int64) - sizes)[own] + offset
+        where = [min(8 * i, length - 8) for i in range(-(-length // 8))]
+        order, group = deep_shallow(lambda s, i: eight[at[s] + where[i]], len(at), len(where))
+        start = low[own[order]] + offset[order]
+        d, m = docs[own[order]], marks[own[order]]
+        k = np.lexsort((start, m, d, group))
+        d, m, start, group = d[k], m[k], start[k], group[k]
         later = np.append(False, group[1:] == group[:-1])
-        d, m, s = docs[own[order]], marks[own[order]], start[order]
-        itself = later & np.append(False, (d[1:] == d[:-1]) & (m[1:] == m[:-1]) & (s[1:] == s[:-1]))  # one place, asked for twice
-        # a place that repeats the first one is the first one
-        head = np.maximum.accumulate(np.where(later, 0, np.arange(len(order))))
-        itself |= (d == d[head]) & (m == m[head]) & (s == s[head]) if len(order) else itself
-        pick = np.flatnonzero(later & ~itself)
-        pick = pick[np.lexsort((s[pick], m[pick], d[pick]))]
-        d, m, s = d[pick], m[pick], s[pick]
+        # a place that is asked for twice is the first one again
+        head = np.maximum.accumulate(np.where(later, 0, np.arange(len(d)))) if len(d) else later.astype(int)
+        pick = np.flatnonzero(later[: len(d)] & ~((d == d[head]) & (m == m[head]) & (start == start[head])))
+        pick = pick[np.lexsort((start[pick], m[pick], d[pick]))]
+        d, m, start = d[pick], m[pick], start[pick]
         if not len(d):
             return
-        fresh = np.append(True, (np.diff(d) != 0) | (np.diff(m) != 0) | (np.diff(s) > length))
+        fresh = np.append(True, (np.diff(d) != 0) | (m[1:] != m[:-1]) | (np.diff(start) > length))
         begin = np.flatnonzero(fresh)
-        end = np.append(begin[1:], len(d)) - 1
-        spans = np.stack([s[begin], s[end] + length], axis=1).astype(np.int32)
-        yield from _answered(d[begin], m[begin], {"spans": spans})
+        spans = np.stack([start[begin], start[np.append(begin[1:], len(d)) - 1] + length], axis=1).astype(np.int32)
+        yield from _ways("span", dests, d[begin], m[begin], spans)
 
     return sort
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    open_, out = zstandard.ZstdDecompressor(), []
-    for own in _by_document(batches, ["doc_id", "mark", "spans", "text"]):
-        spans = np.frombuffer(b"".join(r[2] for r in own if r[2]), np.int32).reshape(-1, 2)
-        out += [_result(own[0][0], open_.decompress(r[3]), spans) for r in own if r[3] is not None]
-        if len(out) > 2000:
+    for _, rows in _ranges(batches, "dest"):
+        more, out = _items(_kind(rows, "span"), ("places", "<i4")), []
+        left = _kind(rows, "open")
+        counts, spans = blob_arrays(left["counts"], np.uint32)[0], blob_arrays(left["spans"], np.int32)[0].reshape(-1, 2)
+        ends = np.cumsum(counts).tolist()
+        for (_, doc, mark, text), n, e in zip(_unpacked(left), counts.tolist(), ends):
+            own = [spans[e - n : e], *([more[doc, mark][0]] if (doc, mark) in more else [])]
+            out.append(_result(doc, text, np.concatenate(own)))
+        if out:
             yield _state(out)
-            out = []
-    if out:
-        yield _state(out)
 
 
 def dedup(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per document."""
     parts = partitions(documents.sparkSession)
-    docs = doc_texts(documents)
-    sent = docs.where(F.octet_length("text") >= length).mapInArrow(_send(4 * parts, length), SENT)
-    answers = sent.repartition(parts, "bucket").mapInArrow(_meet(length), ANSWERED)
-    both = answers.unionByName(docs.mapInArrow(_texts, ANSWERED))
-    state = durable(both.repartition(parts, "doc_id", "mark").sortWithinPartitions("doc_id", "mark").mapInArrow(_advance(length), STATE))
-    around = state.where("kind = 'around'").select("gram", "doc_id", "mark", "low", "high", "around")
-    spans = around.repartition(parts, "gram").mapInArrow(_sort(length), ANSWERED).select("doc_id", "mark", "spans", "text")
-    left = state.where("kind = 'open'").select("doc_id", "mark", "spans", "text").unionByName(spans)
-    rest = left.repartition(parts, "doc_id", "mark").sortWithinPartitions("doc_id", "mark").mapInArrow(_finish, STATE)
+    ranges, docs = 4 * parts, doc_texts(documents)
+    sent = docs.where(F.octet_length("text") >= length).mapInArrow(_send(ranges, length), SENT)
+    answers = sent.repartition(parts, "bucket").mapInArrow(_meet(length, ranges), WAY)
+    both = answers.unionByName(docs.mapInArrow(_texts(ranges), WAY))
+    state = durable(both.repartition(parts, "dest").mapInArrow(_advance(length, ranges), STATE))
+    around = state.where("kind = 'around'").select("bucket", "docs", "marks", "places", "highs", "text")
+    spans = around.repartition(parts, "bucket").mapInArrow(_sort(length, ranges), WAY).select("dest", "kind", "docs", "marks", "places", "text")
+    spans = spans.withColumns({"counts": F.lit(None).cast("binary"), "spans": F.lit(None).cast("binary")})
+    left = state.where("kind = 'open'").select(F.col("bucket").alias("dest"), "kind", "docs", "marks", "places", "text", "counts", "spans")
+    rest = left.unionByName(spans).repartition(parts, "dest").mapInArrow(_finish, STATE)
     return state.where("kind = 'done'").unionByName(rest).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
