@@ -8,14 +8,15 @@ documents link when 100 * shared >= 75 * union. The join is exact and set-based:
    equal sets use 64 bits of the numbers, overlaps 48.
 2. Documents of equal sets become one. The others are ordered rare shingle first; two that link share one of the first
    size - ceil(0.75 size) + 1 shingles (the prefix), so only those are indexed.
-3. Each inverted list proposes its pairs in rounds: first every member with one centre, and what links is merged; in the
-   last round all pairs of members that are in different components then. Members that are already joined need no pair,
-   so a group of copies costs its size, not its square, and no link between components is lost.
+3. Inverted lists propose pairs in rounds: first each set with the centres of its two most frequent lists, then every
+   member with its list's centre, and in the last round all members that are in different components then. Members that
+   are already joined need no pair, so a group of copies costs its size, not its square, and no link between components
+   is lost.
 4. The candidates of a query document are searched in blocks: inverted lists over the query's shingles, the short ones
    merged by a heap, the long ones probed by bisection (DivideSkip), keeping those that reach the required overlap.
 
 Defined results: null, empty and blank texts have empty sets and link with nothing; fewer than five words are one shingle,
-the whole sequence; rows that repeat a doc_id give one row each, in one component; rows with a null doc_id get a null
+the whole sequence; rows that repeat a doc_id are documents of their own, a row each; rows with a null doc_id get a null
 component; extra columns are ignored.
 """
 
@@ -96,7 +97,7 @@ def _emit(buckets: int, width: int):
     return emit
 
 
-KEPT = "block long, docs binary, counts binary, numbers binary, dfs binary, home binary"
+KEPT = "block long, docs binary, counts binary, high binary, low binary, dfs binary, home binary"
 KEPT_NAMES = [x.split()[0] for x in KEPT.split(", ")]
 
 
@@ -106,17 +107,15 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if t is None:
         return
     own = t.filter(pc.is_valid(t["home"]))
-    rows = [(b, None, None, None, None, h) for b, h in zip(own["block"].to_pylist(), own["home"].to_pylist())]
+    rows = [(b, *[None] * 5, h) for b, h in zip(own["block"].to_pylist(), own["home"].to_pylist())]
     t = t.filter(pc.is_null(t["home"]))
     if t.num_rows:
-        high, _ = blob_arrays(t["high"], np.uint32)
-        low, sizes = blob_arrays(t["low"], np.uint16)
+        numbers, sizes = _whole(t["high"], t["low"])
         counts, _ = blob_arrays(t["counts"], np.uint32)
         docs = np.repeat(blob_arrays(t["docs"], np.uint16)[0], counts)
         row = np.repeat(np.arange(t.num_rows, dtype=np.int32), sizes)
         blocks = t["block"].to_pylist()
         del t
-        numbers = high.astype(np.uint64) << np.uint64(32) | low.astype(np.uint64) << np.uint64(16)
         order = np.argsort(numbers, kind="stable")
         starts = np.flatnonzero(np.append(True, np.diff(numbers[order]) != 0))
         df = np.diff(np.append(starts, len(order)))
@@ -129,50 +128,102 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if s < e:
                 first = np.flatnonzero(np.append(True, docs[s + 1 : e] != docs[s : e - 1]))
                 n = np.diff(np.append(first, e - s)).astype(np.uint32)
-                rows.append((blocks[k], docs[s:e][first].tobytes(), n.tobytes(), numbers[s:e].tobytes(), dfs[s:e].tobytes(), None))
-    types = [pa.int64()] + [pa.binary()] * 5
+                rows.append((blocks[k], docs[s:e][first].tobytes(), n.tobytes(), *(x.tobytes() for x in (*_halves(numbers[s:e]), dfs[s:e])), None))
+    types = [pa.int64()] + [pa.binary()] * 6
     for s in range(0, len(rows), 5000):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[s : s + 5000]), types)], KEPT_NAMES)
 
 
+def _halves(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first 48 bits of numbers, as 32 and 16."""
+    return (numbers >> np.uint64(32)).astype(np.uint32), (numbers >> np.uint64(16)).astype(np.uint16)
+
+
+def _whole(high: pa.ChunkedArray, low: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers from cells of their halves, and how many each cell has."""
+    a, _ = blob_arrays(high, np.uint32)
+    b, counts = blob_arrays(low, np.uint16)
+    return a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64) << np.uint64(16), counts
+
+
+OWN = "key long, doc_id long, mark long, size int, able boolean, high binary, low binary"
+OWN_NAMES = [x.split()[0] for x in OWN.split(", ")]
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of whole blocks, one row per document: its shared numbers, rare ones first, if they are enough for any link; else null."""
+    """Of whole blocks, one row per document: whether its shared numbers are enough for any link, and if so these numbers,
+    rare ones first. Of equal sets in this partition only the first row has them. Equal sets have the same key.
+    """
     t = by_key(batches)
     if t is None:
         return
-    blocks = t["block"].to_numpy()
+    blocks, seen = t["block"].to_numpy(), set()
     for own in np.split(np.argsort(blocks, kind="stable"), np.flatnonzero(np.diff(np.sort(blocks))) + 1):
         rows = t.take(pa.array(own))
         home = np.frombuffer(next(h for h in rows["home"].to_pylist() if h is not None), HOME)
         rows = rows.filter(pc.is_null(rows["home"]))
-        kept = np.zeros(len(home), np.int64)
-        packed: list[bytes | None] = [None] * len(home)
+        n = len(home)
+        able, high, low = np.zeros(n, bool), [None] * n, [None] * n
         if rows.num_rows:
             docs = np.repeat(blob_arrays(rows["docs"], np.uint16)[0], blob_arrays(rows["counts"], np.uint32)[0])
-            numbers, dfs = blob_arrays(rows["numbers"], np.uint64)[0], blob_arrays(rows["dfs"], np.uint16)[0]
-            kept = np.bincount(docs, minlength=len(home))
-            enough = 100 * kept >= SHARE * home["size"].astype(np.int64)
-            pick = enough[docs]
+            numbers, dfs = _whole(rows["high"], rows["low"])[0], blob_arrays(rows["dfs"], np.uint16)[0]
+            able = (100 * np.bincount(docs, minlength=n) >= SHARE * home["size"].astype(np.int64)) & (home["size"] > 0)
+            fresh = able.copy()
+            for k in np.flatnonzero(able).tolist():
+                mark = int(home["mark"][k])
+                fresh[k] = mark not in seen
+                seen.add(mark)
+            pick = fresh[docs]
             docs, numbers, dfs = docs[pick], numbers[pick], dfs[pick]
             order = np.lexsort((numbers, dfs, docs))
-            raw, edges = numbers[order].tobytes(), np.searchsorted(docs[order], np.arange(len(home) + 1)).tolist()
-            packed = [raw[8 * s : 8 * e] if s < e else None for s, e in zip(edges, edges[1:])]
-        columns = [pa.array(home["doc_id"]), pa.array(home["mark"].astype(np.int64)), pa.array(home["size"]), pa.array(packed, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "size", "numbers"])
+            a, b = _halves(numbers[order])
+            edges = np.searchsorted(docs[order], np.arange(n + 1)).tolist()
+            for k in np.flatnonzero(fresh).tolist():
+                high[k], low[k] = a[edges[k] : edges[k + 1]].tobytes(), b[edges[k] : edges[k + 1]].tobytes()
+        marks = home["mark"].astype(np.int64)
+        key = np.where(able, marks, mix(home["doc_id"].astype(np.uint64)).view(np.int64))
+        columns = [pa.array(key), pa.array(home["doc_id"]), pa.array(marks), pa.array(home["size"]), pa.array(able), pa.array(high, pa.binary()), pa.array(low, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, OWN_NAMES)
+
+
+SETS = "doc_id long, mark long, size int, first long, high binary, low binary"
+
+
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with the smallest id of those with an equal set; a row of its own has the set, its doc_id null."""
+    t = by_key(batches)
+    if t is None:
+        return
+    docs, marks, sizes, able = (t[c].to_numpy() for c in ("doc_id", "mark", "size", "able"))
+    first = docs.copy()
+    at = np.flatnonzero(able)
+    at = at[np.lexsort((docs[at], sizes[at], marks[at]))]
+    new = np.flatnonzero(np.append(True, (np.diff(marks[at]) != 0) | (np.diff(sizes[at]) != 0))) if len(at) else at
+    first[at] = np.repeat(docs[at][new], np.diff(np.append(new, len(at))))
+    none = pa.nulls(len(docs), pa.binary())
+    names = ["doc_id", "mark", "size", "first", "high", "low"]
+    yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(marks), pa.array(sizes), pa.array(first), none, none], names)
+    full = np.flatnonzero(t["high"].is_valid().to_numpy())
+    full = full[np.unique(marks[full], return_index=True)[1]]
+    for s in range(0, len(full), 2000):
+        k = full[s : s + 2000]
+        own = t.take(pa.array(k)).combine_chunks()
+        columns = [pa.nulls(len(k), pa.int64()), pa.array(marks[k]), pa.array(sizes[k]), pa.array(first[k]), own["high"].chunk(0), own["low"].chunk(0)]
+        yield pa.RecordBatch.from_arrays(columns, names)
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The inverted index: a row for each number of a document's prefix."""
+    """The inverted index: a row for each number of a set's prefix; tail counts from the prefix's end, most frequent first."""
     for b in batches:
-        docs, sizes = b.column("doc_id").to_numpy(), b.column("size").to_numpy()
-        numbers, counts = blob_arrays(b.column("numbers"), np.int64)
+        marks, sizes = b.column("mark").to_numpy(), b.column("size").to_numpy()
+        numbers, counts = _whole(b.column("high"), b.column("low"))
         # numbers of this document alone come first in its order and are not here any more
         take = np.maximum(sizes - (SHARE * sizes.astype(np.int64) + 99) // 100 + 1 - (sizes - counts), 0)
-        begin = np.cumsum(counts) - counts
-        at = np.repeat(begin - (np.cumsum(take) - take), take) + np.arange(take.sum())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(numbers[at]), pa.array(np.repeat(docs, take)), pa.array(np.repeat(sizes, take))], ["token", "doc_id", "size"]
-        )
+        place = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
+        at = np.repeat(np.cumsum(counts) - counts, take) + place
+        tail = (np.repeat(take, take) - 1 - place).astype(np.int32)
+        columns = [pa.array(numbers[at].view(np.int64)), pa.array(np.repeat(marks, take)), pa.array(np.repeat(sizes, take)), pa.array(tail)]
+        yield pa.RecordBatch.from_arrays(columns, ["token", "mark", "size", "tail"])
 
 
 def divide_skip(query: np.ndarray, size: int, cells: list[np.ndarray], sizes: list[int]) -> list[int]:
@@ -211,29 +262,43 @@ def divide_skip(query: np.ndarray, size: int, cells: list[np.ndarray], sizes: li
     return out
 
 
+def _numbers(high: bytes, low: bytes) -> np.ndarray:
+    return np.frombuffer(high, np.uint32).astype(np.uint64) << np.uint64(32) | np.frombuffer(low, np.uint16).astype(np.uint64) << np.uint64(16)
+
+
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of candidates, each with its query, to links."""
+    """Blocks of candidates, each with its query among them, to links."""
     for b in batches:
         us, vs = [], []
-        for r in b.to_pylist():
-            query = np.frombuffer(r["query"], np.uint64)
-            own = r["block"]
-            cells = [np.frombuffer(x["numbers"], np.uint64) for x in own]
-            for k in divide_skip(query, r["query_size"], cells, [x["size"] for x in own]):
-                us.append(r["centre"])
-                vs.append(own[k]["doc_id"])
+        for centre, block in zip(b.column("centre").to_pylist(), b.column("block")):
+            own = block.as_py()
+            query = next(x for x in own if x["mark"] == centre)
+            own = [x for x in own if x["mark"] != centre]
+            cells = [_numbers(x["high"], x["low"]) for x in own]
+            for k in divide_skip(_numbers(query["high"], query["low"]), query["size"], cells, [x["size"] for x in own]) if own else ():
+                us.append(centre)
+                vs.append(own[k]["mark"])
         yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
 
+FEW = 200_000  # rows of numbers that are broadcast at most
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """A table of some numbers a row, written once; broadcast if it has few rows, else left to a shuffled join."""
+    df = durable(df)
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (centre, doc_id) that link. A centre's candidates are dealt to blocks of about BLOCK shingles."""
-    pairs = pairs.distinct()
-    loads = pairs.join(sets.select("doc_id", "size"), "doc_id").groupBy("centre").agg(F.sum("size").alias("load"))
-    loads = loads.select("centre", (F.floor(F.col("load") / BLOCK) + 1).cast("int").alias("blocks"))
-    dealt = pairs.join(loads, "centre").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-    full = dealt.join(sets, "doc_id").groupBy("centre", "part").agg(F.collect_list(F.struct("doc_id", "size", "numbers")).alias("block"))
-    query = sets.select(F.col("doc_id").alias("centre"), F.col("size").alias("query_size"), F.col("numbers").alias("query"))
-    return full.join(query, "centre").select("centre", "query", "query_size", "block").mapInArrow(_search, "u long, v long")
+    """The pairs (centre, mark, size) that link. A centre's candidates are dealt to blocks of about BLOCK shingles."""
+    pairs = durable(pairs.groupBy("centre", "mark").agg(F.max("size").alias("size")))
+    loads = pairs.groupBy("centre").agg((F.floor(F.sum("size") / BLOCK) + 1).cast("int").alias("blocks"))
+    dealt = pairs.join(loads, "centre").select("centre", "mark", F.pmod(F.xxhash64("mark"), F.col("blocks")).cast("int").alias("part"))
+    queries = dealt.select("centre", F.col("centre").alias("mark"), "part").distinct()
+    wanted = _few(dealt.unionByName(queries))
+    full = sets.join(wanted, "mark").groupBy("centre", "part").agg(F.collect_list(F.struct("mark", "size", "high", "low")).alias("block"))
+    return full.select("centre", "block").mapInArrow(_search, "u long, v long")
 
 
 def _near(size, other) -> F.Column:
@@ -241,32 +306,37 @@ def _near(size, other) -> F.Column:
     return (100 * F.least(size, other) >= SHARE * F.greatest(size, other))
 
 
-def links(sets: DataFrame, rounds: int = 2) -> DataFrame:
-    """Links (u, v) enough to join all that link, among documents of different sets (doc_id, size, numbers rare first)."""
-    lists = durable(sets.select("doc_id", "size", "numbers").mapInArrow(_prefixes, "token long, doc_id long, size int"))
-    found = None
-    for k in range(rounds):
-        if found is None:
-            rows = lists.withColumn("component", F.col("doc_id"))
-        else:
-            rows = lists.join(components(found, "u", "v").withColumnRenamed("id", "doc_id"), "doc_id", "left")
-            rows = rows.withColumn("component", F.coalesce("component", "doc_id"))
-        first = F.col("size").cast("long") if k == 0 else F.xxhash64("doc_id", F.lit(k))
-        pick = F.struct(first.alias("first"), "doc_id", "size", "component")
-        mixed = F.min("component") < F.max("component")
-        centres = rows.groupBy("token").agg(F.min(pick).alias("c"), mixed.alias("mixed")).where("mixed").select("token", "c.doc_id", "c.size", "c.component")
-        centres = centres.toDF("token", "centre", "centre_size", "centre_component")
-        pairs = rows.join(centres, "token").where((F.col("component") != F.col("centre_component")) & _near(F.col("size"), F.col("centre_size")))
-        new = _links(pairs.select("centre", "doc_id"), sets)
-        found = durable(new if found is None else found.unionByName(new))
-    rows = lists.join(components(found, "u", "v").withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    rows = rows.withColumn("component", F.coalesce("component", "doc_id"))
+def _joined(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Index rows of lists whose members are in several components of the links so far, with these components."""
+    named = _few(components(found, "u", "v").withColumnRenamed("id", "mark"))
+    rows = rows.drop("component").join(named, "mark", "left").withColumn("component", F.coalesce("component", "mark"))
     mixed = rows.groupBy("token").agg((F.min("component") < F.max("component")).alias("mixed")).where("mixed").select("token")
-    rows = durable(rows.join(mixed, "token", "left_semi"))
-    other = rows.toDF("token", "centre", "centre_size", "centre_component")
+    return durable(rows.join(_few(mixed), "token", "left_semi"))
+
+
+def _with_centres(rows: DataFrame, first: F.Column) -> DataFrame:
+    """Each list's members with the one that comes first, its centre, where that is in another component."""
+    pick = F.struct(first.alias("first"), "mark", "size", "component")
+    centres = rows.groupBy("token").agg(F.min(pick).alias("c"), F.count("*").alias("n")).where("n > 1")
+    centres = centres.select("token", F.col("c.mark").alias("centre"), F.col("c.size").alias("centre_size"), F.col("c.component").alias("centre_component"))
+    pairs = rows.join(centres, "token").where((F.col("component") != F.col("centre_component")) & _near(F.col("size"), F.col("centre_size")))
+    return pairs.select("centre", "mark", "size")
+
+
+def links(sets: DataFrame) -> DataFrame:
+    """Links (u, v) enough to join all that link, among different sets (mark, size, high, low: numbers, rare first)."""
+    index = sets.select("mark", "size", "high", "low").mapInArrow(_prefixes, "token long, mark long, size int, tail int")
+    # first each set meets the centres of its two most frequent lists: families of copies join here
+    often = durable(index.where("tail < 2").withColumn("component", F.col("mark")))
+    found = durable(_links(_with_centres(often, F.col("size").cast("long")), sets))
+    # then the centres of all lists that are still mixed
+    rows = _joined(index, found)
+    found = durable(found.unionByName(_links(_with_centres(rows, F.xxhash64("mark")), sets)))
+    # and then all members of different components
+    rows = _joined(rows, found)
+    other = rows.select("token", F.col("mark").alias("centre"), F.col("size").alias("centre_size"), F.col("component").alias("centre_component"))
     apart = (F.col("centre_component") < F.col("component")) & _near(F.col("size"), F.col("centre_size"))
-    pairs = other.join(rows, "token").where(apart).select("centre", "doc_id")
-    return found.unionByName(_links(pairs, sets))
+    return found.unionByName(_links(other.join(rows, "token").where(apart).select("centre", "mark", "size"), sets))
 
 
 def join(documents: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -276,20 +346,13 @@ def join(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     docs = doc_texts(documents)
     emitted = docs.where("doc_id is not null").mapInArrow(_emit(8 * parts, width), EMITTED)
     kept = emitted.repartition(parts, "bucket").mapInArrow(_shared, KEPT)
-    sized = durable(kept.repartition(parts, "block").mapInArrow(_candidates, "doc_id long, mark long, size int, numbers binary"))
-    able = sized.where("numbers is not null")
-    same = able.groupBy("size", "mark").agg(F.min(F.struct("doc_id", "numbers")).alias("one"))
-    sets = durable(same.select("one.doc_id", "mark", "size", "one.numbers"))
-    # in the search a set goes by its mark: ids may have several sets
-    found = links(sets.select(F.col("mark").alias("doc_id"), "size", "numbers"))
-    left, right = (sets.select(F.col("mark").alias(x), F.col("doc_id").alias(y)) for x, y in (("u", "a"), ("v", "b")))
-    edges = found.join(left, "u").join(right, "v").select("a", "b")
-    copies = able.select("doc_id", "size", "mark").join(sets.select("size", "mark", F.col("doc_id").alias("b")), ["size", "mark"])
-    edges = edges.unionByName(copies.select(F.col("doc_id").alias("a"), "b"))
-    named = components(edges, "a", "b")
-    out = sized.join(named, sized["doc_id"] == named["id"], "left").select(
-        sized["doc_id"], F.col("size").cast("long").alias("n_shingles"), F.coalesce("component", sized["doc_id"]).alias("component_id")
-    )
+    own = kept.repartition(parts, "block").mapInArrow(_candidates, OWN)
+    both = durable(own.repartition(parts, "key").mapInArrow(_classes, SETS))
+    sets, rows = both.where("doc_id is null"), both.where("doc_id is not null").select("doc_id", "mark", "size", "first")
+    named = durable(components(links(sets), "u", "v"))
+    least = named.join(sets.select(F.col("mark").alias("id"), "first"), "id").groupBy("component").agg(F.min("first").alias("least"))
+    least = named.join(least, "component").select(F.col("id").alias("mark"), "least")
+    out = rows.join(least, "mark", "left").select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.coalesce("least", "first").alias("component_id"))
     nameless = docs.where("doc_id is null").withColumn("doc_id", F.lit(0).cast("long")).mapInArrow(_sizes(width), "n_shingles long")
     return out.unionByName(nameless.select(F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component_id")))
 

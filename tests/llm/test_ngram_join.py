@@ -36,7 +36,7 @@ def brute(rows):
     for i, s in enumerate(sets):
         for j in {j for g in s for j in place[g] if j < i}:
             shared = len(s & sets[j])
-            if rows[i][0] is not None and rows[j][0] is not None and 100 * shared >= 75 * (len(s) + len(sets[j]) - shared) or rows[i][0] == rows[j][0]:
+            if rows[i][0] is not None and rows[j][0] is not None and 100 * shared >= 75 * (len(s) + len(sets[j]) - shared):
                 parent[find(i)] = find(j)
     least = {}
     for i, (d, _) in enumerate(rows):
