@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kinetics
-from ..operators import footprints, intervals, kernels, movies, patches, quality, stitching, traces
+from ..operators import footprints, geometry, intervals, kernels, match_points, movies, patches, quality, rendering, stitching, traces
+from ..schemas import BOX
 from . import tables as t
 
 QC = [quality.Metric("snr", "log", -1.0, None), quality.Metric("r_value", "linear", -1.2, 1.2)]
@@ -569,6 +570,71 @@ def kernel_half_decay(spark, d):
     return kinetics.with_timing(rows)
 
 
+# ---- geometry, match points, pictures
+
+BOXES = "(select c_custkey as k, c_custkey % 90 - 5.5 as y0, c_custkey % 70 - 3.0 as x0, c_custkey % 13 + 0.5 as h, c_custkey % 31 as w from customer)"
+
+
+@query(f"""with s as (select k, y0, x0, least(greatest(round_even(cast(h as double), 0), 8), 80) as h, least(greatest(round_even(cast(w as double), 0), 8), 60) as w from {BOXES}),
+p as (select k, least(greatest(round_even(cast(y0 as double), 0), 0), 80 - h) as y, least(greatest(round_even(cast(x0 as double), 0), 0), 60 - w) as x, h, w from s)
+select k, cast(y as integer) as y0, cast(y + h as integer) as y1, cast(x as integer) as x0, cast(x + w as integer) as x1, (30 >= x and 30 <= x + w and 20 >= y and 20 <= y + h) as has_point from p""")
+def clamped_boxes(spark, d):
+    k = F.col("c_custkey")
+    b = geometry.clamped(k % 90 - 5.5, k % 70 - 3.0, k % 13 + 0.5, k % 31, (80, 60))
+    rows = t.table(spark, d, "customer").select(k.alias("k"), b.alias("b"))
+    return rows.select("k", "b.*", geometry.in_roi(F.lit(20), F.lit(30), F.col("b")).alias("has_point"))
+
+
+@query("""with b as (select c_custkey as k, cast(c_custkey % 40 as integer) as y0, cast(c_custkey % 40 + 12 as integer) as y1, cast(c_custkey % 30 as integer) as x0, cast(c_custkey % 30 + 9 as integer) as x1 from customer)
+select k, y0, y1, x0, x1, cast(60 - y1 as integer) as my0, cast(60 - y0 as integer) as my1, x0 as mx0, x1 as mx1 from b""")
+def mirrored_boxes(spark, d):
+    k = (F.col("c_custkey")).cast("int")
+    roi = geometry.box(k % 40, k % 40 + 12, k % 30, k % 30 + 9)
+    pair = geometry.mirror_pair(roi, F.lit(None).cast(BOX), ((60, 50), (60, 50)), "vertical")
+    rows = t.table(spark, d, "customer").select(F.col("c_custkey").alias("k"), pair.alias("p"))
+    return rows.select("k", "p.reference.*", *(F.col(f"p.moving.{c}").alias(f"m{c}") for c in ("y0", "y1", "x0", "x1")))
+
+
+@query(f"""with q as (select frame, y // 4 as r, x // 4 as c, 3 - y % 4 as y, 3 - x % 4 as x, cast(v as double) as v from {PX}),
+h as (select frame, r, y, x, sum(v) as v from (select frame, r, y, x, v * case when x < 2 then 1 else 1 - (x - 2) end as v from q where c = 0
+ union all select frame, r, y, x + 2, v * case when x < 2 then x else 1 end from q where c = 1) group by all),
+a as (select frame, y, x, v * case when y < 2 then 1 else 1 - (y - 2) end as v from h where r = 0 union all select frame, y + 2, x, v * case when y < 2 then y else 1 end from h where r = 1)
+select frame, cast(y as integer) as y, cast(x as integer) as x, round(sum(v), 6) + 0.0::double as v from a group by frame, y, x""")
+def match_point_mosaic(spark, d):
+    points = (((3, 1), (1, 1)), ((3, 1), (1, 1)), ((1, 3), (1, 1)))
+    return match_points.mosaic(movies.pixels(t.movie(spark, d)), (8, 8), points).select("frame", "y", "x", _r("v").alias("v"))
+
+
+@query()
+def display_bytes(spark, d):
+    return rendering.rgb(rendering.display_bytes(movies.pixels(t.movie(spark, d))))
+
+
+@query(f"select frame, y, x, case when y = x then 255 else 0 end as r, case when y = x then 255 else 0 end as g, case when y = x then 255 else 0 end as b from {PX}")
+def mask_pictures(spark, d):
+    px = movies.pixels(t.movie(spark, d))
+    return rendering.mask_picture(px, px.where("y = x").select("y", "x"))
+
+
+@query("select n_regionkey as kind, count(*) as n from customer join nation on c_nationkey = n_nationkey group by 1")
+def anchor_kinds(spark, d):
+    c, n = t.table(spark, d, "customer"), t.table(spark, d, "nation")
+    return c.join(F.broadcast(n), c["c_nationkey"] == n["n_nationkey"]).groupBy(F.col("n_regionkey").alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query(f"select frame, cast(y as integer) as y, cast(x as integer) as x, v from (select *, row_number() over (partition by frame order by v desc, y, x) as r from {PX}) where r = 1")
+def image_peaks(spark, d):
+    px = movies.pixels(t.movie(spark, d))
+    best = F.max_by(F.struct("y", "x", "v"), F.struct("v", (-F.col("y")).alias("a"), (-F.col("x")).alias("b")))
+    return px.groupBy("frame").agg(best.alias("m")).select("frame", "m.y", "m.x", "m.v")
+
+
+@query()
+def spatial_fields(spark, d):
+    rows = t.table(spark, d, "customer").select((F.col("c_custkey") % 40).cast("int").alias("y"), (F.col("c_custkey") * 7 % 50).cast("int").alias("x"), F.col("c_mktsegment").alias("metric"), "c_acctbal")
+    return rendering.spatial_field(rows, "c_acctbal", (40, 50), 6.0)
+
+
 # ---- array kernels and iterative operators, checked against numpy in the tests
 
 
