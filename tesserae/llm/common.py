@@ -25,6 +25,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+FEW = 200_000  # rows of a few numbers that are broadcast at most
+
+
+def few(df: DataFrame) -> DataFrame:
+    """A table of a few numbers a row, written once; broadcast if it has few rows, else left to a shuffled join."""
+    df = durable(df)
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import few
+
 DIGITS = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
 
 
@@ -77,7 +79,7 @@ def dropped(documents: DataFrame, depth: int = 3, blocks: int = 4, least_tokens:
     rows = _rows(documents).select("doc_id", "copy", F.flatten(F.transform("lines", numbered)).alias("own"))
     rows = rows.select("doc_id", "copy", F.explode("own").alias("one"))
     found = recurring(documents, depth, blocks, least_tokens, least_docs).select("template")
-    hits = rows.select("doc_id", "copy", "one.at", "one.template").join(found, "template", "left_semi")
+    hits = rows.select("doc_id", "copy", "one.at", "one.template").join(few(found), "template", "left_semi")
     return hits.groupBy("doc_id", "copy").agg(F.collect_set("at").alias("gone"))
 
 
