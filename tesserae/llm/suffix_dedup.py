@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blob_arrays, by_key, doc_texts, durable, mix, odd_numbers, partitions
+from .common import arrow, blob_arrays, by_key, doc_texts, durable, mix, odd_numbers, partitions
 
 LENGTH, GRAM = 100, 32
 SHALLOW = 2  # 8-byte characters that multikey quicksort looks at before blind tries take over
@@ -360,7 +360,7 @@ def _advance(length: int, buckets: int):
                 out.append({"kind": "open", "bucket": dest, "text": press.compress(b"".join(x[2] for x in left))} | {k: v.tobytes() for k, v in packed.items()})
             if out:
                 yield _state(out)
-            if n > 100_000:
+            if n > 30_000:
                 yield _state(_packed_around(around, buckets, press))
                 around, n = [], 0
         if around:
@@ -428,9 +428,10 @@ def _sort(length: int, dests: int):
     """Surroundings of some anchors to spans that go: all suffixes of `length` bytes in them but the first of each kind."""
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = by_key(batches)
-        if t is None:
-            return
+        for _, rows in _ranges(batches, "bucket"):
+            yield from sort_range(rows)
+
+    def sort_range(t: pa.Table) -> Iterator[pa.RecordBatch]:
         docs, marks, low, high = (blob_arrays(t[c], k)[0] for c, k in (("docs", np.int64), ("marks", np.uint32), ("places", np.int32), ("highs", np.int32)))
         open_ = zstandard.ZstdDecompressor()
         flat = np.frombuffer(b"".join(open_.decompress(x) for x in t["text"].to_pylist()) + b"\0" * 8, np.uint8)
@@ -481,14 +482,14 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per document."""
     parts = partitions(documents.sparkSession)
-    ranges, docs = 4 * parts, doc_texts(documents)
-    sent = docs.where(F.octet_length("text") >= length).mapInArrow(_send(ranges, length), SENT)
-    answers = sent.repartition(parts, "bucket").mapInArrow(_meet(length, ranges), WAY)
-    both = answers.unionByName(docs.mapInArrow(_texts(ranges), WAY))
-    state = durable(both.repartition(parts, "dest").mapInArrow(_advance(length, ranges), STATE))
+    ranges, docs = 8 * parts, doc_texts(documents)
+    sent = docs.where(F.octet_length("text") >= length).transform(arrow, _send(ranges, length), SENT)
+    answers = sent.repartition(parts, "bucket").transform(arrow, _meet(length, ranges), WAY)
+    both = answers.unionByName(docs.transform(arrow, _texts(ranges), WAY))
+    state = durable(both.repartition(parts, "dest").transform(arrow, _advance(length, ranges), STATE))
     around = state.where("kind = 'around'").select("bucket", "docs", "marks", "places", "highs", "text")
-    spans = around.repartition(parts, "bucket").mapInArrow(_sort(length, ranges), WAY).select("dest", "kind", "docs", "marks", "places", "text")
+    spans = around.repartition(parts, "bucket").transform(arrow, _sort(length, ranges), WAY).select("dest", "kind", "docs", "marks", "places", "text")
     spans = spans.withColumns({"counts": F.lit(None).cast("binary"), "spans": F.lit(None).cast("binary")})
     left = state.where("kind = 'open'").select(F.col("bucket").alias("dest"), "kind", "docs", "marks", "places", "text", "counts", "spans")
-    rest = left.unionByName(spans).repartition(parts, "dest").mapInArrow(_finish, STATE)
+    rest = left.unionByName(spans).repartition(parts, "dest").transform(arrow, _finish, STATE)
     return state.where("kind = 'done'").unionByName(rest).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
