@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +59,26 @@ def doc_texts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
+def _release() -> None:
+    """Give freed memory back: Python workers live on between tasks, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def arrow(df: DataFrame, task: Callable, schema) -> DataFrame:
+    """df.mapInArrow with small batches, and memory given back after each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            _release()
+
+    small_batches(df)
+    return df.mapInArrow(run, schema)
+
+
 class WordHash(dict):
     """64-bit hashes of words, remembered up to a bound; forgetting costs time only."""
 

@@ -21,7 +21,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_texts, odd_numbers, small_batches
+from .common import arrow, doc_texts, odd_numbers, small_batches
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 CHUNK = 400_000  # words looked up at once
@@ -131,12 +131,12 @@ def leaks(documents: DataFrame, benchmark: DataFrame, width: int = 10, most_word
         parts.append((windows, block))
     docs = doc_texts(documents)
     if len(parts) == 1:
-        return docs.mapInArrow(_scan(parts[0][0]), SCHEMA)
+        return docs.transform(arrow, _scan(parts[0][0]), SCHEMA)
     # one row per document and block, told apart by the text's digest where ids repeat
     keyed = docs.withColumn("copy", F.coalesce(F.sha2("text", 256), F.lit("")))
     scanned = None
     for windows, _ in parts:
-        one = keyed.mapInArrow(_keyed(_scan(windows)), SCHEMA + ", copy string")
+        one = keyed.transform(arrow, _keyed(_scan(windows)), SCHEMA + ", copy string")
         scanned = one if scanned is None else scanned.unionByName(one)
     merged = scanned.groupBy("doc_id", "copy", "n_words").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
@@ -224,5 +224,5 @@ def clean(
     out = documents
     for block in blocks(benchmark, most_words):
         windows = Windows([(r.item_id, bytes(r.text)) for r in block.toLocalIterator()], width)
-        out = out.mapInArrow(_cut(windows, text_at, chars_at, least_words, most_share), documents.schema)
+        out = out.transform(arrow, _cut(windows, text_at, chars_at, least_words, most_share), documents.schema)
     return out

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import arrow, durable
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,7 +53,7 @@ def components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     Nulls and self-links are ignored; repeated and reversed links count once. An empty table gives an empty table.
     """
     start = links.select(F.greatest(u, v).cast("long").alias("u"), F.least(u, v).cast("long").alias("v")).where("u > v")
-    links = durable(start.mapInArrow(_forest, "u long, v long").where("u > v").distinct())
+    links = durable(start.transform(arrow, _forest, "u long, v long").where("u > v").distinct())
     mark = None
     while True:
         links = durable(_stars(_stars(links, True), False))

@@ -35,12 +35,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, blob_arrays, by_key, doc_texts, durable, mix, odd_numbers, partitions
+from .common import WordHash, arrow, blob_arrays, by_key, doc_texts, durable, few, mix, odd_numbers, partitions
 from .graph import components
 
 WIDTH = 5
 SHARE = 75  # per cent
-BLOCK = 200_000  # shingles of candidates searched at once
+BLOCK = 100_000  # shingles of candidates searched at once
 
 
 def shingles(words: np.ndarray, width: int, multipliers: np.ndarray) -> np.ndarray:
@@ -68,10 +68,10 @@ def _emit(buckets: int, width: int):
     multipliers = odd_numbers(width, 5)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, block = WordHash(200_000), TaskContext.get().partitionId() << 32
+        known, block = WordHash(100_000), TaskContext.get().partitionId() << 32
         for b in batches:
-            for first in range(0, b.num_rows, 2000):
-                part = b.slice(first, 2000)
+            for first in range(0, b.num_rows, 1000):
+                part = b.slice(first, 1000)
                 sets = [shingles(known.of((t or b"").lower().split()), width, multipliers) for t in part.column(1).to_pylist()]
                 home = np.zeros(len(sets), HOME)
                 home["doc_id"] = part.column(0).to_numpy(zero_copy_only=False)
@@ -281,24 +281,15 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
 
-FEW = 200_000  # rows of numbers that are broadcast at most
-
-
-def _few(df: DataFrame) -> DataFrame:
-    """A table of some numbers a row, written once; broadcast if it has few rows, else left to a shuffled join."""
-    df = durable(df)
-    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
-
-
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (centre, mark, size) that link. A centre's candidates are dealt to blocks of about BLOCK shingles."""
     pairs = durable(pairs.groupBy("centre", "mark").agg(F.max("size").alias("size")))
     loads = pairs.groupBy("centre").agg((F.floor(F.sum("size") / BLOCK) + 1).cast("int").alias("blocks"))
     dealt = pairs.join(loads, "centre").select("centre", "mark", F.pmod(F.xxhash64("mark"), F.col("blocks")).cast("int").alias("part"))
     queries = dealt.select("centre", F.col("centre").alias("mark"), "part").distinct()
-    wanted = _few(dealt.unionByName(queries))
+    wanted = few(dealt.unionByName(queries))
     full = sets.join(wanted, "mark").groupBy("centre", "part").agg(F.collect_list(F.struct("mark", "size", "high", "low")).alias("block"))
-    return full.select("centre", "block").mapInArrow(_search, "u long, v long")
+    return full.select("centre", "block").transform(arrow, _search, "u long, v long")
 
 
 def _near(size, other) -> F.Column:
@@ -308,10 +299,10 @@ def _near(size, other) -> F.Column:
 
 def _joined(rows: DataFrame, found: DataFrame) -> DataFrame:
     """Index rows of lists whose members are in several components of the links so far, with these components."""
-    named = _few(components(found, "u", "v").withColumnRenamed("id", "mark"))
+    named = few(components(found, "u", "v").withColumnRenamed("id", "mark"))
     rows = rows.drop("component").join(named, "mark", "left").withColumn("component", F.coalesce("component", "mark"))
     mixed = rows.groupBy("token").agg((F.min("component") < F.max("component")).alias("mixed")).where("mixed").select("token")
-    return durable(rows.join(_few(mixed), "token", "left_semi"))
+    return durable(rows.join(few(mixed), "token", "left_semi"))
 
 
 def _with_centres(rows: DataFrame, first: F.Column) -> DataFrame:
@@ -325,7 +316,7 @@ def _with_centres(rows: DataFrame, first: F.Column) -> DataFrame:
 
 def links(sets: DataFrame) -> DataFrame:
     """Links (u, v) enough to join all that link, among different sets (mark, size, high, low: numbers, rare first)."""
-    index = sets.select("mark", "size", "high", "low").mapInArrow(_prefixes, "token long, mark long, size int, tail int")
+    index = sets.select("mark", "size", "high", "low").transform(arrow, _prefixes, "token long, mark long, size int, tail int")
     # first each set meets the centres of its two most frequent lists: families of copies join here
     often = durable(index.where("tail < 2").withColumn("component", F.col("mark")))
     found = durable(_links(_with_centres(often, F.col("size").cast("long")), sets))
@@ -344,16 +335,16 @@ def join(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     spark = documents.sparkSession
     parts = partitions(spark)
     docs = doc_texts(documents)
-    emitted = docs.where("doc_id is not null").mapInArrow(_emit(8 * parts, width), EMITTED)
-    kept = emitted.repartition(parts, "bucket").mapInArrow(_shared, KEPT)
-    own = kept.repartition(parts, "block").mapInArrow(_candidates, OWN)
-    both = durable(own.repartition(parts, "key").mapInArrow(_classes, SETS))
+    emitted = docs.where("doc_id is not null").transform(arrow, _emit(8 * parts, width), EMITTED)
+    kept = emitted.repartition(parts, "bucket").transform(arrow, _shared, KEPT)
+    own = kept.repartition(parts, "block").transform(arrow, _candidates, OWN)
+    both = durable(own.repartition(parts, "key").transform(arrow, _classes, SETS))
     sets, rows = both.where("doc_id is null"), both.where("doc_id is not null").select("doc_id", "mark", "size", "first")
     named = durable(components(links(sets), "u", "v"))
     least = named.join(sets.select(F.col("mark").alias("id"), "first"), "id").groupBy("component").agg(F.min("first").alias("least"))
     least = named.join(least, "component").select(F.col("id").alias("mark"), "least")
     out = rows.join(least, "mark", "left").select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.coalesce("least", "first").alias("component_id"))
-    nameless = docs.where("doc_id is null").withColumn("doc_id", F.lit(0).cast("long")).mapInArrow(_sizes(width), "n_shingles long")
+    nameless = docs.where("doc_id is null").withColumn("doc_id", F.lit(0).cast("long")).transform(arrow, _sizes(width), "n_shingles long")
     return out.unionByName(nameless.select(F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component_id")))
 
 

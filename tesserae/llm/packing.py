@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import doc_texts, durable
+from .common import arrow, doc_texts, durable
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: How byte-level vocabularies of this kind split a text before merging; a fixed value of the vocabulary file.
@@ -166,7 +166,7 @@ def pack(documents: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and the ids if asked for."""
     docs = doc_texts(documents).withColumn("text", F.col("text").cast("string"))
     kinds = PIECES + ", ids array<int>" * emit_ids
-    pieces = durable(docs.mapInArrow(_pieces(tokenizer, end_id, size, emit_ids), kinds).withColumn("part", F.spark_partition_id()))
+    pieces = durable(docs.transform(arrow, _pieces(tokenizer, end_id, size, emit_ids), kinds).withColumn("part", F.spark_partition_id()))
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).toLocalIterator()}
     if not histogram:
@@ -182,4 +182,4 @@ def pack(documents: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0
         .select(*names, (F.col("before") + F.col("within") - 1).alias("rank"))
     )
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.select(names).schema) + ", sequence_id long, offset long"
-    return ranked.mapInArrow(_place(table), kinds)
+    return ranked.transform(arrow, _place(table), kinds)

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import doc_texts
+from .common import arrow, doc_texts
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("url", "address", "iban", "ssn", "account", "secret")
@@ -217,7 +217,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def find(documents: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans: one row per document."""
     docs = doc_texts(documents).selectExpr("doc_id", "cast(text as string) as text")
-    return docs.mapInArrow(_scan, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.transform(arrow, _scan, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def _mask(text_at: int):
@@ -244,4 +244,4 @@ def redact(text: str, anchors) -> str:
 
 def mask(documents: DataFrame) -> DataFrame:
     """The documents in their own columns with personal data masked in text."""
-    return documents.mapInArrow(_mask(documents.columns.index("text")), documents.schema)
+    return documents.transform(arrow, _mask(documents.columns.index("text")), documents.schema)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, doc_texts, durable, small_batches
+from .common import arrow, crc_of_id, doc_texts, durable, small_batches
 
 #: Signs and the letters they may stand for; fixed values.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i"}
@@ -76,7 +76,7 @@ def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def character_model(documents: DataFrame) -> np.ndarray:
     """log P(character | two before), counted over all documents: SIZE**3 numbers, whatever the input."""
-    rows = doc_texts(documents).select("text").mapInArrow(_trigrams, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    rows = doc_texts(documents).select("text").transform(arrow, _trigrams, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(SIZE**3)
     for r in rows:
         counts[r.gram] = r.n
@@ -281,7 +281,7 @@ def learn(
     """The restorer, the weights of its marks, and the bias (None: there was nothing to learn from)."""
     model = character_model(documents)
     rows = training_rows(documents, labels, folds, held, most_rows)
-    marked = rows.select("text", "toxic").mapInArrow(_mark_rows, "mark string, bad long, n long")
+    marked = rows.select("text", "toxic").transform(arrow, _mark_rows, "mark string, bad long, n long")
     counts = marked.groupBy("mark").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     texts = rows.agg(F.sum("toxic"), F.count("*")).first()
     if not texts[1]:
@@ -291,7 +291,7 @@ def learn(
     chosen = counts.where((F.col("n") >= max(5, least_share * texts[1])) & (excess >= 4)).orderBy(F.desc(excess), "mark").limit(most_marks).collect()
     names = [r.mark for r in chosen]
     restorer, place = Restorer(names, model), {w: k for k, w in enumerate(names)}
-    data = rows.select("text", "toxic").mapInArrow(_feature_rows(restorer, place), "toxic int, marks array<int>").collect()
+    data = rows.select("text", "toxic").transform(arrow, _feature_rows(restorer, place), "toxic int, marks array<int>").collect()
     x = np.zeros((len(data), len(names)), np.float32)
     for k, r in enumerate(data):
         x[k, r.marks] = 1
@@ -321,7 +321,7 @@ def score(documents: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2
     """doc_id, held_out, score, predicted: one row per document."""
     learned = learn(documents, labels, folds, held, **how)
     docs = doc_texts(documents).selectExpr("doc_id", "cast(text as string) as text")
-    return docs.mapInArrow(_scorer(*learned, folds, held, threshold), "doc_id long, held_out boolean, score double, predicted int")
+    return docs.transform(arrow, _scorer(*learned, folds, held, threshold), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def _accepts(learned: tuple, text_at: int, threshold: float):
@@ -339,4 +339,4 @@ def accepted(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, **
     """The documents, in their own columns, whose score stays below the threshold."""
     learned = learn(documents, labels, **how)
     small_batches(documents)
-    return documents.mapInArrow(_accepts(learned, documents.columns.index("text"), threshold), documents.schema)
+    return documents.transform(arrow, _accepts(learned, documents.columns.index("text"), threshold), documents.schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_key, durable, partitions
+from .common import arrow, by_key, durable, partitions
 from .graph import components
 
 BITS = 64
@@ -114,14 +114,14 @@ def _forest(u: np.ndarray, v: np.ndarray) -> tuple[list[int], list[int]]:
 def pairs(vectors: DataFrame, least: float, passes: int, window: int) -> DataFrame:
     """(u, v): pairs found in any pass, as forests. vectors: label, dim, vec_id, vector."""
     parts = partitions(vectors.sparkSession)
-    keyed = vectors.mapInArrow(_keys(passes), f"run int, label {vectors.schema['label'].dataType.simpleString()}, dim int, key binary, vec_id long, vector binary")
+    keyed = vectors.transform(arrow, _keys(passes), f"run int, label {vectors.schema['label'].dataType.simpleString()}, dim int, key binary, vec_id long, vector binary")
     order = ["run", "label", "dim", "key", "vec_id"]
     ranged = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
     ranged = durable(ranged)
     # the first rows of each range also follow the range before, so no window ends at a border
-    firsts = ranged.mapInArrow(_firsts(window), ranged.schema).withColumn("part", F.col("part") - 1).where("part >= 0")
+    firsts = ranged.transform(arrow, _firsts(window), ranged.schema).withColumn("part", F.col("part") - 1).where("part >= 0")
     dealt = ranged.unionByName(firsts).repartition(parts, "part").sortWithinPartitions("part", *order)
-    return dealt.mapInArrow(_neighbours(window, least), "u long, v long")
+    return dealt.transform(arrow, _neighbours(window, least), "u long, v long")
 
 
 def _firsts(window: int):
@@ -170,7 +170,7 @@ def near_duplicates(
     """vec_id, n_links, component_id, kept: one row per vector."""
     rows = embeddings.select(embeddings["vec_id"].cast("long").alias("vec_id"), "label", embeddings["embedding"].cast("array<double>").alias("embedding"))
     kind = rows.schema["label"].dataType.simpleString()
-    valid = rows.mapInArrow(_valid, f"label {kind}, vec_id long, vector binary, dim int")
+    valid = rows.transform(arrow, _valid, f"label {kind}, vec_id long, vector binary, dim int")
     classes = durable(valid.groupBy("label", "dim", "vector").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")))
     found = durable(pairs(classes.drop("copies"), least, passes, window).distinct())
     named = components(found, "u", "v").withColumnRenamed("id", "vec_id")
@@ -181,13 +181,13 @@ def near_duplicates(
     other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(k.alias("i"), F.col("part").alias("j")))
     tasks = dealt.withColumn("task", F.explode(F.array_distinct(F.concat(every, other))))
     tasks = tasks.select("component", "task.i", "task.j", "part", "vec_id", "copies", "vector").repartition(partitions(embeddings.sparkSession), "component", "i", "j")
-    linked = tasks.mapInArrow(_counts(least), "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n"))
+    linked = tasks.transform(arrow, _counts(least), "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n"))
     of_class = classes.join(linked, "vec_id", "left").join(named, "vec_id", "left")
     of_class = of_class.select(
         "label", "dim", "vector", (F.coalesce("n", "copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")
     )
     linkable = valid.join(of_class, ["label", "dim", "vector"]).select("vec_id", "n_links", "component_id")
-    rest = rows.mapInArrow(_invalid, "vec_id long")
+    rest = rows.transform(arrow, _invalid, "vec_id long")
     rest = rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = linkable.unionByName(rest)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
