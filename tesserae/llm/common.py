@@ -116,6 +116,19 @@ def by_key(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
     return pa.Table.from_batches(got) if got else None
 
 
+def by_value(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int, pa.Table]]:
+    """The rows of a partition by the value of an integer column: copied once, then sliced."""
+    t = by_key(batches)
+    if t is None:
+        return
+    order = np.argsort(t[column].to_numpy(), kind="stable")
+    t = t.combine_chunks().take(pa.array(order)).combine_chunks()
+    values = t[column].to_numpy()
+    edges = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+    for s, e in zip(edges, edges[1:]):
+        yield int(values[s]), t.slice(s, e - s)
+
+
 def blob_arrays(column: pa.ChunkedArray | pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
     """Binary cells that hold packed numbers: all numbers in order, and how many each cell has."""
     cells = column.to_pylist()

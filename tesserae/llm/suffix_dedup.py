@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, blob_arrays, by_key, doc_texts, durable, mix, odd_numbers, partitions
+from .common import arrow, blob_arrays, by_key, by_value, doc_texts, durable, mix, odd_numbers, partitions
 
 LENGTH, GRAM = 100, 32
 SHALLOW = 2  # 8-byte characters that multikey quicksort looks at before blind tries take over
@@ -149,7 +149,7 @@ def _send(buckets: int, length: int):
 
 def _sent(held: list[tuple], buckets: int) -> pa.RecordBatch:
     docs, marks, places, grams, arounds = (np.concatenate(x) for x in zip(*held))
-    bucket = _range(grams, buckets)
+    bucket = _gram_range(grams, buckets)
     order = np.argsort(bucket, kind="stable")
     docs, marks, places, grams, arounds = (x[order] for x in (docs, marks, places, grams, arounds))
     high, low = (grams >> np.uint64(32)).astype(np.uint32), (grams >> np.uint64(16)).astype(np.uint16)
@@ -171,6 +171,11 @@ def _range(numbers: np.ndarray, n: int) -> np.ndarray:
     return ((numbers >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
+def _gram_range(grams: np.ndarray, n: int) -> np.ndarray:
+    """The range of an anchor. Anchors are least numbers, so these are spread before they are dealt."""
+    return _range(mix(grams >> np.uint64(16)), n)
+
+
 def _dest(docs: np.ndarray, n: int) -> np.ndarray:
     """The range of documents that a doc_id belongs to."""
     return _range(mix(docs.view(np.uint64)), n)
@@ -306,17 +311,6 @@ def _items(rows: pa.Table, *columns: tuple[str, str]) -> dict[tuple[int, int], l
     return {(int(docs[s]), int(marks[s])): [v[s:e] for v in values] for s, e in zip(edges, edges[1:])}
 
 
-def _ranges(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int, pa.Table]]:
-    """The rows of each range of documents in this partition."""
-    t = by_key(batches)
-    if t is None:
-        return
-    dest = t[column].to_numpy()
-    order = np.argsort(dest, kind="stable")
-    for own in np.split(order, np.flatnonzero(np.diff(dest[order])) + 1):
-        yield int(dest[own[0]]), t.take(pa.array(own))
-
-
 def _kind(rows: pa.Table, *kinds: str) -> pa.Table:
     return rows.filter(pc.is_in(rows["kind"], pa.array(kinds)))
 
@@ -337,7 +331,7 @@ def _advance(length: int, buckets: int):
     def advance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         around, n = [], 0
-        for dest, rows in _ranges(batches, "dest"):
+        for dest, rows in by_value(batches, "dest"):
             gone, asked = _items(_kind(rows, "gone"), ("places", "<i4")), _items(_kind(rows, "asked"), ("places", "<i4"), ("grams", "<u8"))
             out, left = [], []
             for kind, doc, mark, text in _unpacked(_kind(rows, "text", "nameless")):
@@ -371,8 +365,9 @@ def _advance(length: int, buckets: int):
 
 def _packed_around(around: list[tuple], buckets: int, press) -> list[dict]:
     """Surroundings by range of grams; those of one gram stand together and are much alike."""
-    around.sort(key=lambda x: x[0])
-    bucket = _range(np.array([x[0] for x in around], np.uint64), buckets)
+    bucket = _gram_range(np.array([x[0] for x in around], np.uint64), buckets)
+    order = np.lexsort((np.array([x[0] for x in around], np.uint64), bucket))
+    around, bucket = [around[k] for k in order.tolist()], bucket[order]
     edges, out = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(around)], []
     for s, e in zip(edges, edges[1:]):
         own = around[s:e]
@@ -428,7 +423,7 @@ def _sort(length: int, dests: int):
     """Surroundings of some anchors to spans that go: all suffixes of `length` bytes in them but the first of each kind."""
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _ranges(batches, "bucket"):
+        for _, rows in by_value(batches, "bucket"):
             yield from sort_range(rows)
 
     def sort_range(t: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -467,7 +462,7 @@ def _sort(length: int, dests: int):
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, rows in _ranges(batches, "dest"):
+    for _, rows in by_value(batches, "dest"):
         more, out = _items(_kind(rows, "span"), ("places", "<i4")), []
         left = _kind(rows, "open")
         counts, spans = blob_arrays(left["counts"], np.uint32)[0], blob_arrays(left["spans"], np.int32)[0].reshape(-1, 2)
