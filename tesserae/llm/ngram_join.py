@@ -9,9 +9,9 @@ documents link when 100 * shared >= 75 * union. The join is exact and set-based:
 2. Documents of equal sets become one. The others are ordered rare shingle first; two that link share one of the first
    size - ceil(0.75 size) + 1 shingles (the prefix), so only those are indexed.
 3. Inverted lists propose pairs in rounds: first each set with the centres of its two most frequent lists, then every
-   member with its list's centre, and in the last round all members that are in different components then. Members that
-   are already joined need no pair, so a group of copies costs its size, not its square, and no link between components
-   is lost.
+   member with its list's centre, the set likest to be the original. Sets that are already joined need no pair, so a
+   group of copies costs its size, not its square. What the lists still tie together is searched as a whole, by blocks,
+   so no link between components is lost, and tasks give links, not pairs.
 4. The candidates of a query document are searched in blocks: inverted lists over the query's shingles, the short ones
    merged by a heap, the long ones probed by bisection (DivideSkip), keeping those that reach the required overlap.
 
@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, arrow, blob_arrays, by_key, doc_texts, durable, few, mix, odd_numbers, partitions
+from .common import WordHash, arrow, blob_arrays, by_key, by_value, doc_texts, durable, few, mix, odd_numbers, partitions
 from .graph import components
 
 WIDTH = 5
@@ -154,12 +154,8 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of whole blocks, one row per document: whether its shared numbers are enough for any link, and if so these numbers,
     rare ones first. Of equal sets in this partition only the first row has them. Equal sets have the same key.
     """
-    t = by_key(batches)
-    if t is None:
-        return
-    blocks, seen = t["block"].to_numpy(), set()
-    for own in np.split(np.argsort(blocks, kind="stable"), np.flatnonzero(np.diff(np.sort(blocks))) + 1):
-        rows = t.take(pa.array(own))
+    seen: set[int] = set()
+    for _, rows in by_value(batches, "block"):
         home = np.frombuffer(next(h for h in rows["home"].to_pylist() if h is not None), HOME)
         rows = rows.filter(pc.is_null(rows["home"]))
         n = len(home)
@@ -213,7 +209,9 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The inverted index: a row for each number of a set's prefix; tail counts from the prefix's end, most frequent first."""
+    """The inverted index: a row for each number of a set's prefix. tail counts from the prefix's end, most frequent first;
+    lone is how many shingles the set shares with no other: an original has fewer than its edited copies.
+    """
     for b in batches:
         marks, sizes = b.column("mark").to_numpy(), b.column("size").to_numpy()
         numbers, counts = _whole(b.column("high"), b.column("low"))
@@ -222,44 +220,62 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
         at = np.repeat(np.cumsum(counts) - counts, take) + place
         tail = (np.repeat(take, take) - 1 - place).astype(np.int32)
-        columns = [pa.array(numbers[at].view(np.int64)), pa.array(np.repeat(marks, take)), pa.array(np.repeat(sizes, take)), pa.array(tail)]
-        yield pa.RecordBatch.from_arrays(columns, ["token", "mark", "size", "tail"])
+        lone = np.repeat(sizes - counts, take).astype(np.int32)
+        columns = [pa.array(numbers[at].view(np.int64)), pa.array(np.repeat(marks, take)), pa.array(np.repeat(sizes, take)), pa.array(tail), pa.array(lone)]
+        yield pa.RecordBatch.from_arrays(columns, ["token", "mark", "size", "tail", "lone"])
+
+
+class Inverted:
+    """Inverted lists over some sets: for every number, in order, which sets have it."""
+
+    def __init__(self, cells: list[np.ndarray], sizes: list[int]):
+        every = np.concatenate(cells) if cells else np.zeros(0, np.uint64)
+        owner = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
+        order = np.argsort(every, kind="stable")
+        self.owner, every = owner[order], every[order]
+        self.starts = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
+        self.numbers, self.ends = every[self.starts], np.append(self.starts[1:], len(every))
+        self.sizes = np.array(sizes, np.int64)
+
+    def search(self, query: np.ndarray, size: int, able: np.ndarray | None = None) -> list[int]:
+        """Which sets share enough with the query: T-occurrence search. able: which of them are asked about.
+
+        query: distinct numbers that may be shared; size, sizes: of the whole sets.
+        """
+        able = np.ones(len(self.sizes), bool) if able is None else able
+        able = able & (100 * np.minimum(self.sizes, size) >= SHARE * np.maximum(self.sizes, size))
+        if not able.any() or not len(self.numbers):
+            return []
+        need = -(-SHARE * (size + self.sizes) // (100 + SHARE))  # shared >= share / (1 + share) * both sizes
+        at = np.searchsorted(self.numbers, query)
+        at[at == len(self.numbers)] = 0
+        at = at[self.numbers[at] == query]
+        lists = sorted((self.owner[s:e].tolist() for s, e in zip(self.starts[at].tolist(), self.ends[at].tolist())), key=len)
+        least = int(need[able].min())
+        if len(lists) < least:
+            return []
+        long = min(int(least / (0.0085 * log2(len(lists[-1]) + 1) + 1)), least - 1)
+        short, long_lists = lists[: len(lists) - long], lists[len(lists) - long :]
+        asked, need, out = able.tolist(), need.tolist(), []
+        for k, same in groupby(heapq.merge(*short)):
+            if not asked[k]:
+                continue
+            shared = sum(1 for _ in same)
+            if shared < need[k] - long:
+                continue
+            for i, own in enumerate(long_lists):
+                if shared >= need[k] or shared + long - i < need[k]:
+                    break
+                p = bisect_left(own, k)
+                shared += p < len(own) and own[p] == k
+            if shared >= need[k]:
+                out.append(k)
+        return out
 
 
 def divide_skip(query: np.ndarray, size: int, cells: list[np.ndarray], sizes: list[int]) -> list[int]:
-    """Which of the candidate sets share enough with the query: T-occurrence search over inverted lists.
-
-    query, cells: distinct numbers that may be shared; size, sizes: of the whole sets.
-    """
-    need = [-(-SHARE * (size + n) // (100 + SHARE)) for n in sizes]  # shared >= share / (1 + share) * both sizes
-    ordered = np.sort(query)
-    every = np.concatenate(cells)
-    owner = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
-    at = np.searchsorted(ordered, every)
-    at[at == len(ordered)] = 0
-    hit = ordered[at] == every
-    at, owner = at[hit], owner[hit]
-    order = np.lexsort((owner, at))
-    at, owner = at[order], owner[order]
-    lists = [x.tolist() for x in np.split(owner, np.flatnonzero(np.diff(at)) + 1)] if len(at) else []
-    lists.sort(key=len)
-    least = min(need)
-    longest = len(lists[-1]) if lists else 1
-    long = min(int(least / (0.0085 * log2(longest + 1) + 1)), least - 1, len(lists))
-    short, long_lists = lists[: len(lists) - long], lists[len(lists) - long :]
-    out = []
-    for k, same in groupby(heapq.merge(*short)):
-        shared = sum(1 for _ in same)
-        if shared < need[k] - long:
-            continue
-        for i, own in enumerate(long_lists):
-            if shared >= need[k] or shared + long - i < need[k]:
-                break
-            p = bisect_left(own, k)
-            shared += p < len(own) and own[p] == k
-        if shared >= need[k]:
-            out.append(k)
-    return out
+    """Which of the candidate sets link with the query."""
+    return Inverted(cells, sizes).search(query, size)
 
 
 def _numbers(high: bytes, low: bytes) -> np.ndarray:
@@ -298,36 +314,98 @@ def _near(size, other) -> F.Column:
 
 
 def _joined(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """Index rows of lists whose members are in several components of the links so far, with these components."""
+    """Index rows with the components of the links so far, of lists whose members are in several; of equal lists one."""
     named = few(components(found, "u", "v").withColumnRenamed("id", "mark"))
     rows = rows.drop("component").join(named, "mark", "left").withColumn("component", F.coalesce("component", "mark"))
-    mixed = rows.groupBy("token").agg((F.min("component") < F.max("component")).alias("mixed")).where("mixed").select("token")
+    members = F.sum(F.xxhash64("mark").cast("decimal(20,0)"))
+    lists = rows.groupBy("token").agg((F.min("component") < F.max("component")).alias("mixed"), F.count("*").alias("n"), members.alias("members"))
+    mixed = lists.where("mixed").groupBy("n", "members").agg(F.min("token").alias("token")).select("token")
     return durable(rows.join(few(mixed), "token", "left_semi"))
 
 
-def _with_centres(rows: DataFrame, first: F.Column) -> DataFrame:
-    """Each list's members with the one that comes first, its centre, where that is in another component."""
-    pick = F.struct(first.alias("first"), "mark", "size", "component")
+ORIGINAL = ("lone", "size", "mark")  # what comes first is likest to be what the others are copies of
+
+
+def _with_centres(rows: DataFrame) -> DataFrame:
+    """Each list's members with its first one by ORIGINAL, its centre, where that is in another component."""
+    pick = F.struct(*ORIGINAL, "component")
     centres = rows.groupBy("token").agg(F.min(pick).alias("c"), F.count("*").alias("n")).where("n > 1")
     centres = centres.select("token", F.col("c.mark").alias("centre"), F.col("c.size").alias("centre_size"), F.col("c.component").alias("centre_component"))
     pairs = rows.join(centres, "token").where((F.col("component") != F.col("centre_component")) & _near(F.col("size"), F.col("centre_size")))
     return pairs.select("centre", "mark", "size")
 
 
-def links(sets: DataFrame) -> DataFrame:
+def _without_first(rows: DataFrame) -> DataFrame:
+    """Lists without the component of their centre, where two components are left."""
+    first = rows.groupBy("token").agg(F.min(F.struct(*ORIGINAL, "component")).alias("c")).select("token", F.col("c.component").alias("first"))
+    return rows.join(first, "token").where("component <> first").drop("first")
+
+
+def links(sets: DataFrame, rounds: int = 1) -> DataFrame:
     """Links (u, v) enough to join all that link, among different sets (mark, size, high, low: numbers, rare first)."""
-    index = sets.select("mark", "size", "high", "low").transform(arrow, _prefixes, "token long, mark long, size int, tail int")
+    index = sets.select("mark", "size", "high", "low").transform(arrow, _prefixes, "token long, mark long, size int, tail int, lone int")
     # first each set meets the centres of its two most frequent lists: families of copies join here
     often = durable(index.where("tail < 2").withColumn("component", F.col("mark")))
-    found = durable(_links(_with_centres(often, F.col("size").cast("long")), sets))
-    # then the centres of all lists that are still mixed
+    found = durable(_links(_with_centres(often), sets))
+    # then the centres of all lists that are still mixed, and the centres of what they leave
     rows = _joined(index, found)
-    found = durable(found.unionByName(_links(_with_centres(rows, F.xxhash64("mark")), sets)))
-    # and then all members of different components
-    rows = _joined(rows, found)
-    other = rows.select("token", F.col("mark").alias("centre"), F.col("size").alias("centre_size"), F.col("component").alias("centre_component"))
-    apart = (F.col("centre_component") < F.col("component")) & _near(F.col("size"), F.col("centre_size"))
-    return found.unionByName(_links(other.join(rows, "token").where(apart).select("centre", "mark", "size"), sets))
+    for k in range(rounds):
+        left = rows
+        for _ in range(k):
+            left = _without_first(left)
+        found = durable(found.unionByName(_links(_with_centres(left), sets)))
+        rows = _joined(rows, found)
+    # and then all of different components, family by family: sets that any of the lists still tie together
+    return found.unionByName(_within_families(rows, sets))
+
+
+FAMILY = 512  # sets of a block
+
+
+def _within_families(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between different components of a family. A large family is cut into blocks, and each task gets two of them;
+    what leaves it is links, not pairs.
+    """
+    one = rows.groupBy("token").agg(F.min("mark").alias("v"))
+    family = components(rows.join(one, "token").select("mark", "v"), "mark", "v").select(F.col("id").alias("mark"), F.col("component").alias("family"))
+    members = durable(rows.select("mark", "component").distinct().join(family, "mark"))
+    blocks = members.groupBy("family").agg(F.ceil(F.count("*") / FAMILY).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "family").withColumn("part", F.pmod(F.xxhash64("mark"), F.col("blocks")).cast("int"))
+    both = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("part", k).alias("i"), F.greatest("part", k).alias("j")))
+    tasks = dealt.withColumn("task", F.explode(both)).select("mark", "component", "family", "part", "task.i", "task.j")
+    one = F.struct("mark", "size", "component", "part", "high", "low")
+    full = sets.join(few(tasks), "mark").groupBy("family", "i", "j").agg(F.collect_list(one).alias("block"))
+    return full.select("i", "j", "block").transform(arrow, _search_blocks, "u long, v long")
+
+
+def _search_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Two blocks of a family to links between sets that are in different components there."""
+    for b in batches:
+        for i, j, block in zip(b.column("i").to_pylist(), b.column("j").to_pylist(), b.column("block")):
+            own = block.as_py()
+            queries, cells = ([x for x in own if x["part"] == k] for k in (i, j))
+            index = Inverted([_numbers(x["high"], x["low"]) for x in cells], [x["size"] for x in cells])
+            joined: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while joined.setdefault(x, x) != x:
+                    joined[x] = joined[joined[x]]
+                    x = joined[x]
+                return x
+
+            us, vs = [], []
+            roots = np.array([find(x["component"]) for x in cells], np.int64)
+            for q in queries:
+                root = find(q["component"])
+                for k in index.search(_numbers(q["high"], q["low"]), q["size"], roots != root):
+                    us.append(q["mark"])
+                    vs.append(cells[k]["mark"])
+                    a, c = find(root), find(cells[k]["component"])
+                    if a != c:
+                        joined[max(a, c)] = min(a, c)
+                if us:
+                    roots = np.array([find(x["component"]) for x in cells], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
 
 def join(documents: DataFrame, width: int = WIDTH) -> DataFrame:
