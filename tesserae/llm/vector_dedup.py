@@ -29,35 +29,39 @@ def planes(run: int, dim: int) -> np.ndarray:
     return np.random.default_rng((run, dim, 2027)).standard_normal((dim, BITS))
 
 
-def unit(raw: list[bytes]) -> np.ndarray:
-    """Packed vectors of one dimension as unit rows in double precision."""
-    x = np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), -1)
+def unit(raw: list[bytes], kind: str) -> np.ndarray:
+    """Packed vectors of one dimension as unit rows in double precision; kind: how they are packed, as the table has them."""
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows that can link: label, id, vector as packed doubles, its dimension."""
-    for b in batches:
-        rows = []
-        for label, key, vector in zip(*(b.column(c).to_pylist() for c in ("label", "vec_id", "embedding"))):
-            if label is None or key is None or not vector or None in vector:
-                continue
-            x = np.array(vector, "<f8")
-            if np.isfinite(x).all() and x.any():
-                rows.append((label, key, (x + 0.0).tobytes(), len(x)))
-        if rows:
-            types = [b.schema.field("label").type, pa.int64(), pa.binary(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["label", "vec_id", "vector", "dim"])
+def _valid(kind: str):
+    """Rows that can link: label, id, packed vector, its dimension."""
+
+    def valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for label, key, vector in zip(*(b.column(c).to_pylist() for c in ("label", "vec_id", "embedding"))):
+                if label is None or key is None or not vector or None in vector:
+                    continue
+                x = np.array(vector, kind)
+                if np.isfinite(x).all() and x.any():
+                    rows.append((label, key, (x + x.dtype.type(0)).tobytes(), len(x)))  # no negative zero
+            if rows:
+                types = [b.schema.field("label").type, pa.int64(), pa.binary(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["label", "vec_id", "vector", "dim"])
+
+    return valid
 
 
-def _keys(passes: int):
+def _keys(passes: int, kind: str):
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             dims = b.column("dim").to_numpy()
             for dim in np.unique(dims).tolist():
                 own = b.filter(pa.array(dims == dim))
-                x = unit(own.column("vector").to_pylist())
+                x = unit(own.column("vector").to_pylist(), kind)
                 for run in range(passes):
                     key = np.packbits(x @ planes(run, dim) > 0, axis=1)
                     columns = [pa.array(np.full(len(x), run, np.int32)), own.column("label"), own.column("dim")]
@@ -67,7 +71,7 @@ def _keys(passes: int):
     return keys
 
 
-def _neighbours(window: int, least: float):
+def _neighbours(window: int, least: float, kind: str):
     """Over one sorted partition: pairs within the window that reach the cosine, as a forest."""
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +86,7 @@ def _neighbours(window: int, least: float):
             for s, e in zip(edges, edges[1:]):
                 if e - s < 2:
                     continue
-                x = unit(raw[s:e])
+                x = unit(raw[s:e], kind)
                 for shift in range(1, min(window, e - s - 1) + 1):
                     near = np.flatnonzero(np.einsum("ij,ij->i", x[:-shift], x[shift:]) >= least)
                     us.append(ids[s:e][near])
@@ -111,17 +115,17 @@ def _forest(u: np.ndarray, v: np.ndarray) -> tuple[list[int], list[int]]:
     return nodes, [find(x) for x in nodes]
 
 
-def pairs(vectors: DataFrame, least: float, passes: int, window: int) -> DataFrame:
+def pairs(vectors: DataFrame, least: float, passes: int, window: int, kind: str) -> DataFrame:
     """(u, v): pairs found in any pass, as forests. vectors: label, dim, vec_id, vector."""
     parts = partitions(vectors.sparkSession)
-    keyed = vectors.transform(arrow, _keys(passes), f"run int, label {vectors.schema['label'].dataType.simpleString()}, dim int, key binary, vec_id long, vector binary")
+    keyed = vectors.transform(arrow, _keys(passes, kind), f"run int, label {vectors.schema['label'].dataType.simpleString()}, dim int, key binary, vec_id long, vector binary")
     order = ["run", "label", "dim", "key", "vec_id"]
     ranged = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
     ranged = durable(ranged)
     # the first rows of each range also follow the range before, so no window ends at a border
     firsts = ranged.transform(arrow, _firsts(window), ranged.schema).withColumn("part", F.col("part") - 1).where("part >= 0")
     dealt = ranged.unionByName(firsts).repartition(parts, "part").sortWithinPartitions("part", *order)
-    return dealt.transform(arrow, _neighbours(window, least), "u long, v long")
+    return dealt.transform(arrow, _neighbours(window, least, kind), "u long, v long")
 
 
 def _firsts(window: int):
@@ -136,7 +140,7 @@ def _firsts(window: int):
     return firsts
 
 
-def _counts(least: float):
+def _counts(least: float, kind: str):
     """Rows of (component, i, j) blocks: how many vectors, copies counted, each row of block i links with in block j."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +155,7 @@ def _counts(least: float):
         order = order.tolist()
         for s, e in zip(edges, edges[1:]):
             own = order[s:e]
-            x = unit([raw[k] for k in own])
+            x = unit([raw[k] for k in own], kind)
             here = np.array([part[k] for k in own])
             i, j = int(keys[1, s]), int(keys[2, s])
             rows, columns = np.flatnonzero(here == i), np.flatnonzero(here == j)
@@ -165,14 +169,17 @@ def _counts(least: float):
 
 
 def near_duplicates(
-    embeddings: DataFrame, least: float = 0.98, passes: int = 16, window: int = 40, block: int = 1024
+    embeddings: DataFrame, least: float = 0.98, passes: int = 16, window: int = 40, block: int = 256
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per vector."""
-    rows = embeddings.select(embeddings["vec_id"].cast("long").alias("vec_id"), "label", embeddings["embedding"].cast("array<double>").alias("embedding"))
+    single = embeddings.schema["embedding"].dataType.simpleString() == "array<float>"
+    packed = "<f4" if single else "<f8"
+    own = embeddings["embedding"] if single else embeddings["embedding"].cast("array<double>")
+    rows = embeddings.select(embeddings["vec_id"].cast("long").alias("vec_id"), "label", own.alias("embedding"))
     kind = rows.schema["label"].dataType.simpleString()
-    valid = rows.transform(arrow, _valid, f"label {kind}, vec_id long, vector binary, dim int")
+    valid = rows.transform(arrow, _valid(packed), f"label {kind}, vec_id long, vector binary, dim int")
     classes = durable(valid.groupBy("label", "dim", "vector").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")))
-    found = durable(pairs(classes.drop("copies"), least, passes, window).distinct())
+    found = durable(pairs(classes.drop("copies"), least, passes, window, packed).distinct())
     named = components(found, "u", "v").withColumnRenamed("id", "vec_id")
     grouped = durable(classes.join(named, "vec_id"))
     sizes = grouped.groupBy("component", "label", "dim").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
@@ -181,7 +188,7 @@ def near_duplicates(
     other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(k.alias("i"), F.col("part").alias("j")))
     tasks = dealt.withColumn("task", F.explode(F.array_distinct(F.concat(every, other))))
     tasks = tasks.select("component", "task.i", "task.j", "part", "vec_id", "copies", "vector").repartition(partitions(embeddings.sparkSession), "component", "i", "j")
-    linked = tasks.transform(arrow, _counts(least), "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n"))
+    linked = tasks.transform(arrow, _counts(least, packed), "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n"))
     of_class = classes.join(linked, "vec_id", "left").join(named, "vec_id", "left")
     of_class = of_class.select(
         "label", "dim", "vector", (F.coalesce("n", "copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")
