@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import kinetics
 from ..operators import footprints, geometry, intervals, kernels, match_points, movies, patches, quality, rendering, stitching, traces
 from ..schemas import BOX
+from ..sources import params
 from . import tables as t
 
 QC = [quality.Metric("snr", "log", -1.0, None), quality.Metric("r_value", "linear", -1.2, 1.2)]
@@ -570,6 +571,50 @@ def kernel_half_decay(spark, d):
     return kinetics.with_timing(rows)
 
 
+@query("""select n_regionkey, n_nationkey, cast(coalesce(sum(n_nationkey % 5 + 1) over (partition by n_regionkey order by n_nationkey rows between unbounded preceding and 1 preceding), 0) as bigint) as "offset" from nation""")
+def cumulative_offsets(spark, d):
+    sizes = t.table(spark, d, "nation").select("n_regionkey", "n_nationkey", (F.col("n_nationkey") % 5 + 1).alias("size"))
+    return intervals.cumulative_offsets(sizes, ["n_regionkey"], "n_nationkey", "size").select("n_regionkey", "n_nationkey", F.col("offset").cast("long").alias("offset"))
+
+
+@query(QC_FIT + """ select 'snr' as key, 'log' as scale, round(ms, 8) + 0.0::double as mean, round(ss, 8) + 0.0::double as std, -1.0::double as lower_z, null::double as upper_z from s
+union all select 'r_value', 'linear', round(mr, 8) + 0.0::double, round(sr, 8) + 0.0::double, -1.2::double, 1.2::double from s""")
+def qc_specs(spark, d):
+    rows = t.profile(spark, d)
+    out = quality.specs(quality.fit(rows, [*QC, quality.Metric("t_peak")]), [*QC, quality.Metric("t_peak")])
+    return out.select("key", "scale", _r("mean", 8).alias("mean"), _r("std", 8).alias("std"), "lower_z", "upper_z")
+
+
+@query("""select round(avg(0.9::double + p_size / 80.0::double), 8) + 0.0::double as g_0, round(avg(-0.05::double - p_size / 150.0::double), 8) + 0.0::double as g_1,
+round(avg(p_retailprice), 6) + 0.0::double as t_peak, round(avg(p_retailprice) filter (p_size > 10), 6) + 0.0::double as t_half from part""")
+def kernel_means(spark, d):
+    half = F.when(F.col("p_size") > 10, F.col("p_retailprice")).otherwise(F.lit(float("nan")))
+    rows = t.table(spark, d, "part").select((0.9 + F.col("p_size") / 80.0).alias("g_0"), (-0.05 - F.col("p_size") / 150.0).alias("g_1"), F.col("p_retailprice").alias("t_peak"), half.alias("t_half"))
+    means = quality.kernel_means(rows)
+    return means.select(*(_r(c, 8 if c[0] == "g" else 6).alias(c) for c in means.columns))
+
+
+@query()
+def axis_spans(spark, d):
+    runs = intervals.merged_runs(_lives(spark, d), ["id"]).withColumn("length", F.lit(474060))
+    return intervals.spans_by_axis(intervals.cuts_of_runs(runs, ["id"], "length", 200), "id", "length", 24)
+
+
+@query("select s_nationkey, count(*) as n from supplier where s_nationkey in (select c_nationkey from customer) group by 1 intersect select s_nationkey, count(*) from supplier group by 1")
+def mask_intersection(spark, d):
+    s = t.table(spark, d, "supplier")
+    alive = s.join(t.table(spark, d, "customer").select(F.col("c_nationkey").alias("s_nationkey")).distinct(), "s_nationkey", "left_semi")
+    count = lambda df: df.groupBy("s_nationkey").agg(F.count("*").alias("n"))
+    return count(alive).intersect(count(s))
+
+
+@query("select to_json({'id': c_custkey, 'x': c_nationkey, 'y': c_custkey % 7, 'v': case when c_acctbal > 0 then c_custkey + 0.5::double end}) as value from customer")
+def points_json(spark, d):
+    c = t.table(spark, d, "customer")
+    v = F.when(F.col("c_acctbal") > 0, F.col("c_custkey") + F.lit(0.5)).otherwise(F.lit(float("nan")))
+    return params.points_json(c.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("x"), (F.col("c_custkey") % 7).alias("y"), v.cast("double").alias("v")), ["v"])
+
+
 # ---- geometry, match points, pictures
 
 BOXES = "(select c_custkey as k, c_custkey % 90 - 5.5 as y0, c_custkey % 70 - 3.0 as x0, c_custkey % 13 + 0.5 as h, c_custkey % 31 as w from customer)"
