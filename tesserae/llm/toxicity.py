@@ -10,7 +10,8 @@ the token's skeleton (signs mapped to one letter of their kind, separators gone,
 begins otherwise has no path to the word; and a token of plain letters without runs has one path, itself.
 
 Training rows are labelled rows whose crc32 of the id as text has not the remainder `held` modulo `folds`; of more than
-`most_rows` of them, those with the smallest hashed ids are used. Copies (documents that begin alike) count once.
+`most_rows` different texts, those with the smallest hashes are used. Rows with the same whole text count once, toxic by
+the share of them that are: a text that was labelled both ways keeps both labels by their weight.
 
 Defined results: null and empty texts get the score of a text without scored words; every input row gives one output row,
 repeated and null ids included (a null id counts as the empty text); rows without a label are not learned from; without
@@ -218,16 +219,15 @@ def _held(doc: int | None, folds: int, held: int) -> bool:
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, folds: int, held: int, most_rows: int) -> DataFrame:
-    """doc_id, text, toxic of the training rows, most_rows at most, by hashed id; of copies one, toxic if any is."""
+    """doc_id, text, toxic of the training texts, most_rows at most, by hash; toxic is the share of toxic rows among equal texts."""
     own = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic"))
     own = own.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    own = own.where(F.pmod(crc_of_id(F.col("doc_id")), F.lit(folds)) != held).withColumn("order", F.xxhash64("doc_id"))
-    own = own.orderBy("order").limit(most_rows).select("doc_id", "toxic")
-    # most_rows bounds what is broadcast
-    texts = doc_texts(documents).where("text is not null").join(F.broadcast(own), "doc_id")
-    begins = F.substring_index(F.lower(F.col("text").cast("string")), " ", 6)
-    one = texts.groupBy(F.xxhash64(begins).alias("copy")).agg(F.max(F.struct("toxic", "doc_id", "text")).alias("one"))
-    return durable(one.select("one.doc_id", "one.text", "one.toxic"))
+    own = own.where(F.pmod(crc_of_id(F.col("doc_id")), F.lit(folds)) != held)
+    texts = doc_texts(documents).where("text is not null").withColumn("copy", F.xxhash64("text"))
+    classes = texts.select("doc_id", "copy").join(own, "doc_id").groupBy("copy").agg(F.avg("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
+    # copies are one row before most_rows is counted, which bounds what is broadcast
+    chosen = classes.orderBy(F.xxhash64("copy"), "copy").limit(most_rows)
+    return durable(texts.join(F.broadcast(chosen), ["doc_id", "copy"]).dropDuplicates(["copy"]).select("doc_id", "text", "toxic"))
 
 
 def _mark_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,8 +237,8 @@ def _mark_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = {m for w in plain_words(text.decode("utf-8", "replace")) for m in marks_of(w)}
             n.update(own)
             if toxic:
-                bad.update(own)
-        columns = [pa.array(list(n), pa.string()), pa.array([bad[m] for m in n], pa.int64()), pa.array(list(n.values()), pa.int64())]
+                bad.update(dict.fromkeys(own, toxic))
+        columns = [pa.array(list(n), pa.string()), pa.array([float(bad[m]) for m in n], pa.float64()), pa.array(list(n.values()), pa.int64())]
         yield pa.RecordBatch.from_arrays(columns, ["mark", "bad", "n"])
 
 
@@ -281,7 +281,7 @@ def learn(
     """The restorer, the weights of its marks, and the bias (None: there was nothing to learn from)."""
     model = character_model(documents)
     rows = training_rows(documents, labels, folds, held, most_rows)
-    marked = rows.select("text", "toxic").transform(arrow, _mark_rows, "mark string, bad long, n long")
+    marked = rows.select("text", "toxic").transform(arrow, _mark_rows, "mark string, bad double, n long")
     counts = marked.groupBy("mark").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     texts = rows.agg(F.sum("toxic"), F.count("*")).first()
     if not texts[1]:
@@ -291,7 +291,7 @@ def learn(
     chosen = counts.where((F.col("n") >= max(5, least_share * texts[1])) & (excess >= 4)).orderBy(F.desc(excess), "mark").limit(most_marks).collect()
     names = [r.mark for r in chosen]
     restorer, place = Restorer(names, model), {w: k for k, w in enumerate(names)}
-    data = rows.select("text", "toxic").transform(arrow, _feature_rows(restorer, place), "toxic int, marks array<int>").collect()
+    data = rows.select("text", "toxic").transform(arrow, _feature_rows(restorer, place), "toxic double, marks array<int>").collect()
     x = np.zeros((len(data), len(names)), np.float32)
     for k, r in enumerate(data):
         x[k, r.marks] = 1

@@ -84,3 +84,13 @@ def test_logistic_regression_is_at_its_minimum():
     w, b = toxicity.logistic(x, y, decay=0.5)
     gradient = x.T @ (1 / (1 + np.exp(-(x @ w + b))) - y) + 0.5 * w
     assert np.abs(gradient).max() < 1e-2
+
+
+def test_training_texts_that_begin_alike_all_count(spark):
+    head = "One header that opens every page: "
+    df = documents(spark, [*(f"{head}body {k}" for k in range(30)), *[head + "labelled both ways"] * 4])
+    labels = spark.createDataFrame([(k, 1, int(k % 10 == 0 or k == 33)) for k in range(34)], "doc_id long, quality int, toxic int")
+    rows = {bytes(r.text).decode(): r.toxic for r in toxicity.training_rows(df, labels, 4, 9, 100).collect()}
+    assert len(rows) == 31 and rows.pop(head + "labelled both ways") == 0.5
+    assert sorted(rows.values()) == [0] * 27 + [1] * 3
+    assert toxicity.training_rows(df, labels, 4, 9, 31).count() == 31
