@@ -3,7 +3,9 @@
 A written token is read as the output of a channel that swaps letters for signs (leetspeak), repeats letters and puts
 separators between them. Its lattice holds, for every sign, the letters it may stand for, or nothing; a character trigram
 model, counted over all documents, picks the likeliest path. Words of the restored text are scored by a logistic
-regression over marks, whole words (written `word$`) and word beginnings, chosen and weighed from labelled training rows.
+regression over marks, whole words (written `word$`) and word beginnings, chosen and weighed from labelled training rows:
+all marks, of plain and of restored words, that `least_rows` rows hold and that toxic rows hold clearly more often than
+others do. The support asked for is fixed, so a word that few rows hold counts however many rows there are.
 
 Only tokens that can be restored to a word with a mark are decoded. That loses nothing: every edit of the channel keeps
 the token's skeleton (signs mapped to one letter of their kind, separators gone, runs single), so a token whose skeleton
@@ -230,16 +232,32 @@ def training_rows(documents: DataFrame, labels: DataFrame, folds: int, held: int
     return durable(texts.join(F.broadcast(chosen), ["doc_id", "copy"]).dropDuplicates(["copy"]).select("doc_id", "text", "toxic"))
 
 
-def _mark_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        n, bad = Counter(), Counter()
-        for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
-            own = {m for w in plain_words(text.decode("utf-8", "replace")) for m in marks_of(w)}
-            n.update(own)
-            if toxic:
-                bad.update(dict.fromkeys(own, toxic))
-        columns = [pa.array(list(n), pa.string()), pa.array([float(bad[m]) for m in n], pa.float64()), pa.array(list(n.values()), pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, ["mark", "bad", "n"])
+def _hidden(low: str) -> Iterator[str]:
+    """Written tokens that may stand for another word than WORD reads in them."""
+    for token in set(low.split()):
+        bare = token.strip(SEPARATORS)
+        if not bare.isalpha() or RUNS.search(bare):  # others have one path, themselves
+            yield token
+    for m in SPACED.finditer(low):
+        yield m[0]
+
+
+def _mark_rows(model: np.ndarray):
+    def mark_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restored = lru_cache(50_000)(lambda token: decode(token, model))
+        for b in batches:
+            n, bad = Counter(), Counter()
+            for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
+                low = text.decode("utf-8", "replace").lower()
+                words = plain_words(low) | {w for w in map(restored, _hidden(low)) if w}
+                own = {m for w in words for m in marks_of(w)}
+                n.update(own)
+                if toxic:
+                    bad.update(dict.fromkeys(own, toxic))
+            columns = [pa.array(list(n), pa.string()), pa.array([float(bad[m]) for m in n], pa.float64()), pa.array(list(n.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["mark", "bad", "n"])
+
+    return mark_rows
 
 
 def _feature_rows(restorer: Restorer, place: dict[str, int]):
@@ -252,21 +270,51 @@ def _feature_rows(restorer: Restorer, place: dict[str, int]):
     return feature_rows
 
 
-def logistic(x: np.ndarray, y: np.ndarray, decay: float = 0.05, steps: int = 60) -> tuple[np.ndarray, float]:
-    """Weights and bias by Newton's method with halved steps; the weights are held by a quadratic penalty."""
-    x = np.hstack([x.astype(np.float64), np.ones((len(x), 1))])
-    keep = np.append(np.full(x.shape[1] - 1, decay), 1e-6)
+class Marked:
+    """Which rows hold which marks, as pairs, and a last column of ones."""
+
+    def __init__(self, rows: np.ndarray, marks: np.ndarray, shape: tuple[int, int]):
+        self.rows, self.marks, self.shape = rows, marks, shape
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, w[self.marks], self.shape[0]) + w[-1]
+
+    def back(self, v: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(self.marks, v[self.rows], self.shape[1]), v.sum())
+
+
+def _solved(x: Marked, curve: np.ndarray, keep: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """The Newton step by conjugate gradients, scaled by the diagonal: no matrix of marks by marks."""
+    scale = x.back(curve) + keep
+    s, r = np.zeros_like(g), g.copy()
+    z = r / scale
+    d, size = z, r @ z
+    for _ in range(500):
+        if size < 1e-20 or np.abs(r).max() < 1e-9:
+            break
+        q = x.back(curve * x.times(d)) + keep * d
+        a = size / (d @ q)
+        s, r = s + a * d, r - a * q
+        z = r / scale
+        size, last = r @ z, size
+        d = z + size / last * d
+    return s
+
+
+def logistic(x: np.ndarray | Marked, y: np.ndarray, decay: float = 0.05, steps: int = 60) -> tuple[np.ndarray, float]:
+    """Weights and bias by Newton's method with halved steps; the weights are held by a quadratic penalty. x holds 0 and 1."""
+    x = x if isinstance(x, Marked) else Marked(*np.nonzero(x), x.shape)
+    keep = np.append(np.full(x.shape[1], decay), 1e-6)
 
     def loss(w):
-        z = x @ w
+        z = x.times(w)
         return (np.logaddexp(0, z) - y * z).sum() + (keep * w * w).sum() / 2
 
-    w = np.zeros(x.shape[1])
+    w = np.zeros(x.shape[1] + 1)
     now = loss(w)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(keep)
-        step, size = np.linalg.solve(h, x.T @ (p - y) + keep * w), 1.0
+        p = 1 / (1 + np.exp(-np.clip(x.times(w), -30, 30)))
+        step, size = _solved(x, p * (1 - p), keep, x.back(p - y) + keep * w), 1.0
         while (new := loss(w - size * step)) > now and size > 1e-6:
             size /= 2
         if now - new < 1e-7:
@@ -276,25 +324,23 @@ def logistic(x: np.ndarray, y: np.ndarray, decay: float = 0.05, steps: int = 60)
 
 
 def learn(
-    documents: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, most_rows: int = 16_000, most_marks: int = 256, least_share: float = 0.005
+    documents: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, most_rows: int = 16_000, least_rows: int = 5
 ) -> tuple[Restorer, dict[str, float], float | None]:
     """The restorer, the weights of its marks, and the bias (None: there was nothing to learn from)."""
     model = character_model(documents)
     rows = training_rows(documents, labels, folds, held, most_rows)
-    marked = rows.select("text", "toxic").transform(arrow, _mark_rows, "mark string, bad double, n long")
+    marked = rows.select("text", "toxic").transform(arrow, _mark_rows(model), "mark string, bad double, n long")
     counts = marked.groupBy("mark").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     texts = rows.agg(F.sum("toxic"), F.count("*")).first()
     if not texts[1]:
         return Restorer([], model), {}, None
     share = max(texts[0], 1) / texts[1]
     excess = (F.col("bad") - F.col("n") * share) / F.sqrt(F.col("n") * share)
-    chosen = counts.where((F.col("n") >= max(5, least_share * texts[1])) & (excess >= 4)).orderBy(F.desc(excess), "mark").limit(most_marks).collect()
-    names = [r.mark for r in chosen]
+    names = [r.mark for r in counts.where((F.col("n") >= least_rows) & (excess >= 4)).orderBy(F.desc(excess), "mark").collect()]
     restorer, place = Restorer(names, model), {w: k for k, w in enumerate(names)}
     data = rows.select("text", "toxic").transform(arrow, _feature_rows(restorer, place), "toxic double, marks array<int>").collect()
-    x = np.zeros((len(data), len(names)), np.float32)
-    for k, r in enumerate(data):
-        x[k, r.marks] = 1
+    held_by = np.repeat(np.arange(len(data)), [len(r.marks) for r in data])
+    x = Marked(held_by, np.array([m for r in data for m in r.marks], np.int64), (len(data), len(names)))
     weights, bias = logistic(x, np.array([r.toxic for r in data], np.float64))
     return restorer, dict(zip(names, weights.tolist())), bias
 

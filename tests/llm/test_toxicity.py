@@ -94,3 +94,18 @@ def test_training_texts_that_begin_alike_all_count(spark):
     assert len(rows) == 31 and rows.pop(head + "labelled both ways") == 0.5
     assert sorted(rows.values()) == [0] * 27 + [1] * 3
     assert toxicity.training_rows(df, labels, 4, 9, 31).count() == 31
+
+
+def test_rare_and_only_obfuscated_words_become_marks(spark):
+    pick = random.Random(5)
+    prose = "the river old mill stone night boat lamp field road winter garden".split()
+    forms = ["l4mpn1ght", "lampn1ght", "l4mpnight", "l.a.m.p.n.i.g.h.t", "lam.pnight", "l a m p n i g h t", "lampn!ght"]
+    text = lambda *more: " ".join([*pick.sample(prose, 8), *more])
+    rows = [text(str(k)) for k in range(1500)]
+    rows += [text("grolmish", f"a{k}") for k in range(6)] + [text(w) for w in forms] + [text("tovarek") for _ in range(60)]
+    df = documents(spark, rows)
+    labels = spark.createDataFrame([(k, 1, int(k >= 1500)) for k in range(len(rows))], "doc_id long, quality int, toxic int")
+    restorer, weights, bias = toxicity.learn(df, labels, folds=4, held=9)  # nothing is held out; half a percent of the rows is 7
+    assert weights["grolmish$"] > 0
+    scores = toxicity._score_texts(restorer, weights, bias, [text("grolmish"), text("gr0lm1sh"), text("l4mpn1ght"), text("lampnight"), text()])
+    assert min(scores[:4]) > 0.3 > scores[4]
