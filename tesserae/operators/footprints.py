@@ -5,6 +5,8 @@ A footprint row is (patch, k, p, w) with p counted down the columns: y = p % h,
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -127,17 +129,46 @@ def joint_only(footprint: DataFrame, active: DataFrame, least: float = 0.1) -> D
     return footprint.select("patch", "k").distinct().join(private, ["patch", "k"], "left").select("patch", "k", F.col("own").isNull().alias("joint_only"))
 
 
-def nearest(points: DataFrame, key: str, size: float) -> DataFrame:
-    """(key, distance) to the nearest other point within `size`: a self-join over neighbouring cells of a grid of that size.
+def _durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a checkpoint; without spark.checkpoint.dir (tests on one machine) in a temporary folder."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getConf().get("spark.checkpoint.dir") and not sc.getCheckpointDir():
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tesserae-checkpoint-"))
+    return df.checkpoint()
+
+
+def _near(some: DataFrame, points: DataFrame, size: float) -> DataFrame:
+    """(id, distance) of some points to the nearest other one within `size`: a join over neighbouring cells of a grid of that size."""
+
+    def cells(df):
+        return df.select("id", "y", "x", F.floor(F.col("y") / size).alias("cy"), F.floor(F.col("x") / size).alias("cx"))
 
-    Points without another that near are left out; take a larger size for those.
-    """
-    cell = points.select(F.col(key).alias("id"), "y", "x", F.floor(F.col("y") / size).alias("cy"), F.floor(F.col("x") / size).alias("cx"))
     around = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]))
-    spread = cell.withColumn("o", around).select(F.col("id").alias("j"), F.col("y").alias("v"), F.col("x").alias("u"), (F.col("cy") + F.col("o.dy")).alias("cy"), (F.col("cx") + F.col("o.dx")).alias("cx"))
+    spread = cells(points).withColumn("o", around).select(F.col("id").alias("j"), F.col("y").alias("v"), F.col("x").alias("u"), (F.col("cy") + F.col("o.dy")).alias("cy"), (F.col("cx") + F.col("o.dx")).alias("cx"))
     gap = F.sqrt((F.col("y") - F.col("v")) ** 2 + (F.col("x") - F.col("u")) ** 2)
-    pairs = cell.join(spread, ["cy", "cx"]).where("id <> j").withColumn("distance", gap)
-    return pairs.where(F.col("distance") <= size).groupBy(F.col("id").alias(key)).agg(F.min("distance").alias("distance"))
+    pairs = cells(some).join(spread, ["cy", "cx"]).where("id <> j").withColumn("distance", gap)
+    return pairs.where(F.col("distance") <= size).groupBy("id").agg(F.min("distance").alias("distance"))
+
+
+def nearest(points: DataFrame, key: str, size: float) -> DataFrame:
+    """(key, distance) to the nearest other point, however far: a self-join over a grid whose cells are `size` wide at first.
+
+    Points without a neighbour that near go on to cells twice as wide, until none is left. Points without a finite place
+    or a key are left out.
+    """
+    rows = points.select(F.col(key).alias("id"), F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"))
+    rows = rows.where("id is not null").where((F.abs("y") < float("inf")) & (F.abs("x") < float("inf")))
+    span = rows.agg(F.max("y") - F.min("y"), F.max("x") - F.min("x")).first()
+    widest = 0.0 if span[0] is None else (span[0] ** 2 + span[1] ** 2) ** 0.5
+    found = _near(rows, rows, size)
+    while size < widest:
+        found = _durable(found)
+        left = rows.join(found, "id", "left_anti")
+        if left.isEmpty():
+            break
+        size = 2 * size
+        found = found.unionByName(_near(left, rows, size))
+    return found.select(F.col("id").alias(key), "distance")
 
 
 def spacing(distances: DataFrame) -> DataFrame:
@@ -160,11 +191,11 @@ def painted(outlines: DataFrame, order: str, colour: str) -> DataFrame:
     return outlines.groupBy("y", "x").agg(F.max_by(colour, order).alias(colour))
 
 
-def outlines(core: DataFrame, share: float = 0.2, steps: int = 64) -> DataFrame:
+def outlines(core: DataFrame, share: float = 0.2) -> DataFrame:
     """(patch, k, y, x): the border of each component's core.
 
     The core is the 4-connected part, about the peak, of pixels with at least a share of the greatest weight; its border
-    is what a 3 x 3 erosion takes away. The connected part grows by joins, a step each, at most `steps` for one component.
+    is what a 3 x 3 erosion takes away. The part grows from its newest pixels until it has no more neighbours.
     """
     most = core.groupBy("patch", "k").agg(F.max("w").alias("_m"))
     top = core.join(most, ["patch", "k"]).where((F.col("w") >= share * F.col("_m")) & (F.col("w") > 0)).select("patch", "k", "y", "x", "w")
@@ -173,11 +204,15 @@ def outlines(core: DataFrame, share: float = 0.2, steps: int = 64) -> DataFrame:
 
     def grow(s, _):
         def touches(c):
-            return F.exists(s, lambda d: (F.abs(c["y"] - d["y"]) + F.abs(c["x"] - d["x"])) <= 1)
+            return F.exists(s["new"], lambda d: (F.abs(c["y"] - d["y"]) + F.abs(c["x"] - d["x"])) <= 1)
+
+        def moved(new):
+            return F.struct(F.concat(s["part"], new).alias("part"), new.alias("new"), F.array_except(s["left"], new).alias("left"))
 
-        return F.filter("cells", touches)
+        return F.when(F.size(s["new"]) == 0, s).otherwise(F.transform(F.array(F.filter(s["left"], touches)), moved)[0])
 
-    whole = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.array("m"), grow)
+    start = F.struct(F.array("m").alias("part"), F.array("m").alias("new"), F.array_except("cells", F.array("m")).alias("left"))
+    whole = F.aggregate(F.sequence(F.lit(1), F.size("cells")), start, grow, lambda s: s["part"])  # a step adds a pixel or is the last
     part = pieces.select("patch", "k", whole.alias("part"))
     inner = F.filter("part", lambda c: F.size(F.filter("part", lambda d: (F.abs(c["y"] - d["y"]) <= 1) & (F.abs(c["x"] - d["x"]) <= 1))) == 9)
     return part.select("patch", "k", F.explode(F.array_except("part", inner)).alias("c")).select("patch", "k", "c.y", "c.x")

@@ -446,12 +446,12 @@ def _points(spark, d):
 
 @query(f"select a.k, (round(min(sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2)), 6) + 0.0::double) as distance from {POINTS} a join {POINTS} b on a.k <> b.k group by a.k having min(sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2)) <= 12".replace("select a.k, round", "select a.k as k, round"))
 def nearest_neighbours(spark, d):
-    return footprints.nearest(_points(spark, d), "k", 12.0).select("k", _r("distance").alias("distance"))
+    return footprints.nearest(_points(spark, d), "k", 12.0).where("distance <= 12").select("k", _r("distance").alias("distance"))
 
 
 @query(f"select case when count(*) >= 2 then round(quantile_cont(d, 0.5), 6) + 0.0::double else 24 end as sigma from (select min(sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2)) as d from {POINTS} a join {POINTS} b on a.k <> b.k group by a.k) where d <= 12")
 def typical_spacing(spark, d):
-    return footprints.spacing(footprints.nearest(_points(spark, d), "k", 12.0)).select(_r("sigma").alias("sigma"))
+    return footprints.spacing(footprints.nearest(_points(spark, d), "k", 12.0).where("distance <= 12")).select(_r("sigma").alias("sigma"))
 
 
 @query("select cast(c_custkey % 20 as integer) as y, cast(c_nationkey as integer) as x, (round(sum(c_acctbal), 4) + 0.0::double) as total, count(*) as n from customer group by 1, 2")

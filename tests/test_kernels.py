@@ -205,6 +205,21 @@ def test_outlines(spark):
     assert got == {(y, x) for y, x in cells if y in (2, 6) or x in (3, 7)}
 
 
+def test_outlines_reach_the_end_of_a_long_core(spark):
+    rows = [("p", 1, 0, x, 1.0 + (x == 0)) for x in range(150)]
+    got = {(r.y, r.x) for r in footprints.outlines(spark.createDataFrame(rows, "patch string, k int, y int, x int, w double")).collect()}
+    assert got == {(0, x) for x in range(150)}
+
+
+def test_nearest_has_no_radius(spark):
+    places = {1: (0.0, 0.0), 2: (0.0, 3.0), 3: (500.0, 0.0), 4: (-1000.0, 2000.0), 5: (520.0, 0.0)}
+    points = spark.createDataFrame([(k, y, x) for k, (y, x) in places.items()] + [(6, float("nan"), 0.0)], "k int, y double, x double")
+    want = {k: min(((y - v) ** 2 + (x - u) ** 2) ** 0.5 for j, (v, u) in places.items() if j != k) for k, (y, x) in places.items()}
+    got = {r.k: r.distance for r in footprints.nearest(points, "k", 12.0).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert footprints.nearest(points.where("k = 1"), "k", 12.0).count() == 0
+
+
 def test_regions(spark):
     members = spark.createDataFrame([("a", 1), ("b", 2)], "roi_id string, neuron_id long")
     rows = lambda df: sorted(map(tuple, df.collect()))
