@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -19,12 +20,21 @@ MASK = 0xFFFFFFFFFFFFFFFF
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage of df with a checkpoint in the folder that spark.checkpoint.dir names.
 
-    Only where that setting is absent (tests on one machine) a temporary folder is used.
+    Only a session on one machine (tests) gets a temporary folder where that setting is absent. The shuffle files of
+    plans that a checkpoint has finished go when the driver's JVM collects its garbage; a driver with much memory seldom
+    does, so it is asked to here. With spark.cleaner.referenceTracking.cleanCheckpoints, checkpoints that nothing refers
+    to any more go likewise.
     """
     sc = df.sparkSession.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and not sc.getCheckpointDir():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tesserae-checkpoint-"))
-    return df.checkpoint()
+    out = df.checkpoint()
+    del df
+    gc.collect()
+    sc._jvm.System.gc()
+    return out
 
 
 FEW = 200_000  # rows of a few numbers that are broadcast at most
@@ -40,6 +50,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+RANGE = 4 << 20  # bytes of text behind a range of numbers
+
+
+def text_ranges(docs: DataFrame, least: int = 48) -> int:
+    """How many ranges the packed numbers of these texts are dealt to: by bytes, so that cells stay full however many
+    partitions there are. doc_texts' columns.
+    """
+    return max(least, (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

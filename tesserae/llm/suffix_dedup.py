@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, blob_arrays, by_key, by_value, doc_texts, durable, mix, odd_numbers, partitions
+from .common import arrow, blob_arrays, by_key, by_value, doc_texts, durable, mix, odd_numbers, partitions, text_ranges
 
 LENGTH, GRAM = 100, 32
 SHALLOW = 2  # 8-byte characters that multikey quicksort looks at before blind tries take over
@@ -138,7 +138,7 @@ def _send(buckets: int, length: int):
             docs, marks = np.array([x[0] for x in own], np.int64), np.array([x[1] for x in own], np.uint32)
             held.append(tuple(x[full] for x in (docs[k], marks[k], place.astype(np.int32), gram, around)))
             n += len(at)
-            if n > 300_000:
+            if n > max(300_000, 8 * buckets):
                 yield _sent(held, buckets)
                 held, n = [], 0
         if held:
@@ -476,15 +476,16 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per document."""
-    parts = partitions(documents.sparkSession)
-    ranges, docs = 8 * parts, doc_texts(documents)
+    parts, docs = partitions(documents.sparkSession), doc_texts(documents)
+    ranges = text_ranges(docs)
+    dests = ranges // 2  # ranges of documents, of which a task holds one at a time
     sent = docs.where(F.octet_length("text") >= length).transform(arrow, _send(ranges, length), SENT)
-    answers = sent.repartition(parts, "bucket").transform(arrow, _meet(length, ranges), WAY)
-    both = answers.unionByName(docs.transform(arrow, _texts(ranges), WAY))
-    state = durable(both.repartition(parts, "dest").transform(arrow, _advance(length, ranges), STATE))
+    answers = sent.repartitionById(parts, "bucket").transform(arrow, _meet(length, dests), WAY)
+    both = answers.unionByName(docs.transform(arrow, _texts(dests), WAY))
+    state = durable(both.repartitionById(parts, "dest").transform(arrow, _advance(length, ranges), STATE))
     around = state.where("kind = 'around'").select("bucket", "docs", "marks", "places", "highs", "text")
-    spans = around.repartition(parts, "bucket").transform(arrow, _sort(length, ranges), WAY).select("dest", "kind", "docs", "marks", "places", "text")
+    spans = around.repartitionById(parts, "bucket").transform(arrow, _sort(length, dests), WAY).select("dest", "kind", "docs", "marks", "places", "text")
     spans = spans.withColumns({"counts": F.lit(None).cast("binary"), "spans": F.lit(None).cast("binary")})
     left = state.where("kind = 'open'").select(F.col("bucket").alias("dest"), "kind", "docs", "marks", "places", "text", "counts", "spans")
-    rest = left.unionByName(spans).repartition(parts, "dest").transform(arrow, _finish, STATE)
+    rest = left.unionByName(spans).repartitionById(parts, "dest").transform(arrow, _finish, STATE)
     return state.where("kind = 'done'").unionByName(rest).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
