@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import arrow, durable
@@ -32,19 +33,23 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["u", "v"])
 
 
-def _stars(links: DataFrame, large: bool) -> DataFrame:
-    """links: u > v. Large star: nodes above u move to the smallest neighbour; small star: those below it do."""
+TASK = 100_000  # links of a task: link tables are far smaller than what they come from
+
+
+def _star(links: DataFrame, large: bool) -> DataFrame:
+    """links: u > v. Large star: neighbours above a node move to its smallest one; small star: those below it do.
+
+    A window per node, which spills, so that a hub needs no memory; every link gives one link, so they never grow more.
+    moved: whether any of the two steps so far changed the link.
+    """
+    near = links
     if large:
-        near = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    else:
-        near = links
-    least = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    joined = near.join(least, "u")
+        near = links.withColumn("moved", F.lit(False)).unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"), F.lit(False).alias("moved")))
+    near = near.withColumn("m", F.least("u", F.min("v").over(W.partitionBy("u"))))
     if large:
-        out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.where("u > v").distinct()
+        return near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"), (F.col("m") < F.col("u")).alias("moved"))
+    first = F.col("v") == F.col("m")
+    return near.select(F.when(first, F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"), (F.col("moved") | ~first).alias("moved"))
 
 
 def components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
@@ -53,13 +58,12 @@ def components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     Nulls and self-links are ignored; repeated and reversed links count once. An empty table gives an empty table.
     """
     start = links.select(F.greatest(u, v).cast("long").alias("u"), F.least(u, v).cast("long").alias("v")).where("u > v")
-    links = durable(start.transform(arrow, _forest, "u long, v long").where("u > v").distinct())
-    mark = None
-    while True:
-        links = durable(_stars(_stars(links, True), False))
-        row = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if (row[0], row[1]) == mark:
-            break
-        mark = (row[0], row[1])
+    links = durable(start.transform(arrow, _forest, "u long, v long").where("u > v"))
+    tasks = links.count() // TASK + 4
+    moved = True
+    while moved:
+        links = durable(_star(_star(links.select("u", "v").coalesce(tasks), True), False).coalesce(tasks))
+        moved = links.agg(F.max("moved")).first()[0]
+    links = links.select("u", "v").distinct()
     ids = links.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return ids.unionByName(links.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

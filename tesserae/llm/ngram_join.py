@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, arrow, blob_arrays, by_key, by_value, doc_texts, durable, few, mix, odd_numbers, partitions
+from .common import WordHash, arrow, blob_arrays, by_key, by_value, doc_texts, durable, few, mix, odd_numbers, partitions, text_ranges
 from .graph import components
 
 WIDTH = 5
@@ -413,8 +413,8 @@ def join(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     spark = documents.sparkSession
     parts = partitions(spark)
     docs = doc_texts(documents)
-    emitted = docs.where("doc_id is not null").transform(arrow, _emit(8 * parts, width), EMITTED)
-    kept = emitted.repartition(parts, "bucket").transform(arrow, _shared, KEPT)
+    emitted = docs.where("doc_id is not null").transform(arrow, _emit(text_ranges(docs), width), EMITTED)
+    kept = emitted.repartitionById(parts, "bucket").transform(arrow, _shared, KEPT)
     own = kept.repartition(parts, "block").transform(arrow, _candidates, OWN)
     both = durable(own.repartition(parts, "key").transform(arrow, _classes, SETS))
     sets, rows = both.where("doc_id is null"), both.where("doc_id is not null").select("doc_id", "mark", "size", "first")
