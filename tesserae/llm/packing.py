@@ -41,15 +41,28 @@ def _byte_of() -> dict[str, int]:
 
 @lru_cache(2)
 def encoder(path: str) -> tiktoken.Encoding:
-    """The byte-level vocabulary of a tokenizers file; its ids are the merge ranks. Control strings are ordinary text."""
+    """The byte-level vocabulary of a tokenizers file; ids of plain tokens are the merge ranks. Raises if that, or how the
+    text is split before merging, is not what the file says.
+    """
     spec, byte = json.loads(Path(path).read_text()), _byte_of()
-    special = {t["content"] for t in spec["added_tokens"]}
-    ranks = {bytes(byte[c] for c in token): k for token, k in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("byte level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    if any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"{path}: control strings that are matched in another way than as they stand")
+    raw = lambda token: bytes(byte[c] for c in token)
+    ranks = {raw(token): k for token, k in spec["model"]["vocab"].items() if token not in special}
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
+    made = [ranks[raw(a + b)] for a, b in merges]
+    if spec["model"]["type"] != "BPE" or made != sorted(made) or len(ranks) != 256 + len(set(made)):
+        raise ValueError(f"{path}: the order of its merges is not that of its ids")
+    before = spec["pre_tokenizer"]
+    if spec.get("normalizer") or before["type"] != "ByteLevel" or before["add_prefix_space"] or not before.get("use_regex", True):
+        raise ValueError(f"{path}: it does not split texts as byte-level files of this kind do")
+    return tiktoken.Encoding("byte level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def ids_of(path: str, text: str | None, end_id: int) -> np.ndarray:
-    return np.array([*encoder(path).encode_ordinary(text or ""), end_id], "<u4")
+    """Ids of the text, control strings in it as their own ids, and the end id."""
+    return np.array([*encoder(path).encode(text or "", allowed_special="all"), end_id], "<u4")
 
 
 def cuts(n: int, size: int) -> list[tuple[int, int]]:

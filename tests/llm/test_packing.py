@@ -12,7 +12,6 @@ from .helpers import awkward, documents
 
 
 TOKENIZER = Tokenizer.from_file(tokenizer_path())
-TOKENIZER.encode_special_tokens = True
 
 
 def ids_of(text):
