@@ -1,9 +1,11 @@
 """Benchmark decontamination: windows of benchmark words, broadcast as a hash set, looked up in every document.
 
 A word is a run of 0-9, a-z (A-Z lower-cased) and characters above U+007F. A window is `width` consecutive words of a
-benchmark item; an item with fewer words (but some) is one window. The table of windows is broadcast only while it is
-within `most_words`; a larger benchmark is split by item into blocks of that size, the documents are scanned once per
-block, and the hits are merged, so the answer does not depend on the bound.
+benchmark item; an item with fewer words (but some) is one window. The table of windows (packed arrays, some 60 bytes a
+word; Spark broadcasts what a task needs beyond a megabyte) is made for `most_words` words at most. A larger benchmark is
+split by item into blocks of that size: the documents pass by one block after the other, each adding its hits to the row,
+with a checkpoint between, so the driver holds one block at a time. Hits are judged when all blocks have been by, so no
+answer depends on the bound.
 
 Defined results: null or empty text has no words and is clean; null item ids and null item texts are ignored; repeated
 items count once; every input row gives one output row, repeated ids included; further columns pass through `clean`.
@@ -12,7 +14,6 @@ items count once; every input row gives one output row, repeated ids included; f
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,13 +21,13 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import arrow, doc_texts, odd_numbers, small_batches
+from .common import arrow, doc_texts, durable, odd_numbers, small_batches
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 CHUNK = 400_000  # words looked up at once
-
-SCHEMA = "doc_id long, n_words long, items array<string>, hits array<int>"
+MOST_WORDS = 2_000_000
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -35,24 +36,26 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Windows:
-    """The windows of some items: word numbers, and by window length the sorted hashes and what they stand for."""
+    """The windows of some items: word numbers, and by window length the windows in the order of their hashes."""
 
     def __init__(self, items: list[tuple[str, bytes]], width: int):
         self.words: dict[bytes, int] = {}
-        self.width = width
-        found: dict[int, dict[tuple, set]] = defaultdict(lambda: defaultdict(set))
+        self.names = sorted({item for item, _ in items})
+        number = {item: k for k, item in enumerate(self.names)}
+        found: dict[int, list[tuple[np.ndarray, int]]] = {}
         for item, text in items:
-            ids = [self.words.setdefault(w, len(self.words) + 1) for w in words_of(text)]
+            ids = np.array([self.words.setdefault(w, len(self.words) + 1) for w in words_of(text)], np.int32)
             n = min(width, len(ids))
-            for i in range(len(ids) - n + 1) if n else ():
-                found[n][tuple(ids[i : i + n])].add(item)
+            if n:
+                found.setdefault(n, []).append((np.lib.stride_tricks.sliding_window_view(ids, n), number[item]))
         self.by_length = {}
-        for n, windows in found.items():
-            named = defaultdict(list)
-            keys = np.array(list(windows), np.uint64).reshape(-1, n)
-            for h, (ids, who) in zip(self.hashes(keys.ravel(), np.arange(len(keys)) * n, n).tolist(), windows.items()):
-                named[h].append((ids, sorted(who)))
-            self.by_length[n] = (np.array(sorted(named), np.uint64), dict(named))
+        for n, own in found.items():
+            keys = np.concatenate([k for k, _ in own])
+            who = np.repeat(np.array([i for _, i in own], np.int32), [len(k) for k, _ in own])
+            h = self.hashes(keys.ravel().astype(np.uint64), np.arange(len(keys)) * n, n)
+            order = np.argsort(h, kind="stable")
+            starts = np.flatnonzero(np.append(True, np.diff(h[order]) != 0))
+            self.by_length[n] = (h[order][starts], np.append(starts, len(order)), keys[order], who[order])
 
     def hashes(self, ids: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
         h = np.zeros(len(at), np.uint64)
@@ -61,56 +64,76 @@ class Windows:
             h ^= h >> np.uint64(29)
         return h
 
-    def scan(self, ids: np.ndarray) -> list[tuple[int, int, list[str]]]:
-        """Every occurrence in a line of word numbers (0: in no item): start, length, items."""
-        out = []
+    def scan(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Every occurrence in a line of word numbers (0: in no item): starts, lengths, items."""
+        out = [(np.zeros(0, np.int64),) * 3]
         unknown = np.concatenate([[0], np.cumsum(ids == 0)])
         wide = ids.astype(np.uint64)
-        for n, (hashes, named) in self.by_length.items():
+        for n, (hashes, edges, keys, who) in self.by_length.items():
             if len(ids) < n:
                 continue
             at = np.flatnonzero(unknown[n:] == unknown[:-n])
             h = self.hashes(wide, at, n)
             k = np.searchsorted(hashes, h)
             k[k == len(hashes)] = 0
-            for i in np.flatnonzero(hashes[k] == h).tolist():
-                start = int(at[i])
-                seen = tuple(ids[start : start + n].tolist())
-                out += [(start, n, who) for own, who in named[int(h[i])] if own == seen]  # the hit is verified word by word
-        return out
+            hit = hashes[k] == h
+            at, k = at[hit], k[hit]
+            many = edges[k + 1] - edges[k]
+            at = np.repeat(at, many)
+            row = np.repeat(edges[k], many) + np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+            same = np.ones(len(at), bool)
+            for j in range(n):  # hits are verified word by word
+                same &= ids[at + j] == keys[row, j]
+            out.append((at[same], np.full(same.sum(), n), who[row[same]].astype(np.int64)))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def find(self, texts: list[bytes | None]) -> tuple[list[int], list[list[str]], list[list[int]]]:
+        """Of each text: how many words, the items with a window in it, and the positions of the words they cover."""
+        get, counts = self.words.get, []
+        items, hits = [[] for _ in texts], [[] for _ in texts]
+        lines, starts, total, first = [], [], 0, 0
+        for k, text in enumerate(texts):
+            found = words_of(text)
+            counts.append(len(found))
+            starts.append(total)
+            lines.append(np.fromiter((get(w, 0) for w in found), np.int32, len(found)))
+            lines.append(np.zeros(1, np.int32))  # no window crosses documents
+            total += len(found) + 1
+            if total < CHUNK and k < len(texts) - 1:
+                continue
+            at, n, who = self.scan(np.concatenate(lines))
+            if len(at):
+                begin = np.array(starts)
+                step = np.zeros(total + 1, np.int32)
+                np.add.at(step, at, 1)
+                np.add.at(step, at + n, -1)
+                covered = np.flatnonzero(np.cumsum(step[:-1]) > 0)
+                doc = np.searchsorted(begin, covered, side="right") - 1
+                for d in np.unique(doc).tolist():
+                    hits[first + d] = (covered[doc == d] - begin[d]).tolist()
+                for d, i in np.unique(np.stack([np.searchsorted(begin, at, side="right") - 1, who], axis=1), axis=0).tolist():
+                    items[first + d].append(self.names[i])
+            lines, starts, total, first = [], [], 0, k + 1
+        return counts, items, hits
+
+
+ADDED = (("n_words", T.LongType()), ("items", T.ArrayType(T.StringType())), ("hits", T.ArrayType(T.IntegerType())))
+
 
+def _marked(windows: Windows, text_at: int, before: bool):
+    """Rows with three more columns at the end, as ADDED; before: they are there already, from other blocks."""
 
-def _scan(windows: Windows):
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = windows.words.get
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, n = b.column(1).to_pylist(), b.num_rows
-            counts, items, hits = [0] * n, [[] for _ in range(n)], [[] for _ in range(n)]
-            first = 0
-            while first < n:
-                lines, starts, total, k = [], [], 0, first
-                while k < n and total < CHUNK:
-                    found = words_of(texts[k])
-                    counts[k] = len(found)
-                    starts.append(total)
-                    lines.append(np.fromiter((get(w, 0) for w in found), np.int32, len(found)))
-                    lines.append(np.zeros(1, np.int32))  # no window crosses documents
-                    total += len(found) + 1
-                    k += 1
-                covered, named = defaultdict(set), defaultdict(set)
-                for at, length, who in windows.scan(np.concatenate(lines)):
-                    doc = int(np.searchsorted(starts, at, side="right")) - 1
-                    covered[doc].update(range(at - starts[doc], at - starts[doc] + length))
-                    named[doc].update(who)
-                for doc in covered:
-                    hits[first + doc], items[first + doc] = sorted(covered[doc]), sorted(named[doc])
-                first = k
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(counts, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(hits, pa.list_(pa.int32()))],
-                ["doc_id", "n_words", "items", "hits"],
-            )
-
-    return scan
+            counts, items, hits = windows.find(b.column(text_at).cast(pa.binary()).to_pylist())
+            columns, names = list(b.columns), list(b.schema.names)
+            if before:
+                items, hits = ([sorted({*x, *y}) for x, y in zip(c.to_pylist(), own)] for c, own in zip(columns[-2:], (items, hits)))
+                columns, names = columns[:-3], names[:-3]
+            added = [pa.array(counts, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(hits, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*columns, *added], [*names, *(f"_{k}" for k in range(3))])
+
+    return marked
 
 
 def blocks(benchmark: DataFrame, most_words: int, item_col: str = "item_id", text_col: str = "text") -> list[DataFrame]:
@@ -123,39 +146,29 @@ def blocks(benchmark: DataFrame, most_words: int, item_col: str = "item_id", tex
     return [items] if n == 1 else [items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) for k in range(n)]
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame, width: int = 10, most_words: int = 20_000_000) -> DataFrame:
-    """doc_id, n_words, items (ids of items with a window in the document), hits (positions of the words they cover)."""
-    parts = []
-    for block in blocks(benchmark, most_words):
-        windows = Windows([(r.item_id, bytes(r.text)) for r in block.toLocalIterator()], width)
-        parts.append((windows, block))
-    docs = doc_texts(documents)
-    if len(parts) == 1:
-        return docs.transform(arrow, _scan(parts[0][0]), SCHEMA)
-    # one row per document and block, told apart by the text's digest where ids repeat
-    keyed = docs.withColumn("copy", F.coalesce(F.sha2("text", 256), F.lit("")))
-    scanned = None
-    for windows, _ in parts:
-        one = keyed.transform(arrow, _keyed(_scan(windows)), SCHEMA + ", copy string")
-        scanned = one if scanned is None else scanned.unionByName(one)
-    merged = scanned.groupBy("doc_id", "copy", "n_words").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"),
-        (F.count("*") / len(parts)).cast("int").alias("rows"),
-    )
-    return merged.withColumn("one", F.explode(F.sequence(F.lit(1), "rows"))).select("doc_id", "n_words", "items", "hits")
-
+def _past(documents: DataFrame, benchmark: DataFrame, width: int, most_words: int, text_at: int, end=None, schema: T.StructType | None = None) -> DataFrame:
+    """The rows past all blocks, with the columns of ADDED at their end; end: what the last task does with them, giving schema."""
+    plain, parts = documents.schema.fields, blocks(benchmark, most_words)
+    full = T.StructType([*(T.StructField(f"_c{k}", f.dataType) for k, f in enumerate(plain)), *(T.StructField(*x) for x in ADDED)])
+    small_batches(documents)
+    out = documents
+    for k, block in enumerate(parts):
+        one = _marked(Windows([(r.item_id, bytes(r.text)) for r in block.toLocalIterator()], width), text_at, k > 0)
+        if k < len(parts) - 1:
+            out = durable(out.transform(arrow, one, full))
+        elif end:
+            out = out.transform(arrow, lambda batches: end(one(batches)), schema)  # noqa: B023
+        else:
+            out = out.transform(arrow, one, full)
+    return out
 
-def _keyed(scan):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for out in scan(iter([b])):
-                yield pa.RecordBatch.from_arrays([*out.columns, b.column("copy")], [*out.schema.names, "copy"])
 
-    return run
+def leaks(documents: DataFrame, benchmark: DataFrame, width: int = 10, most_words: int = MOST_WORDS) -> DataFrame:
+    """doc_id, n_words, items (ids of items with a window in the document), hits (positions of the words they cover)."""
+    return _past(doc_texts(documents), benchmark, width, most_words, 1).select(F.col("_c0").alias("doc_id"), "n_words", "items", "hits")
 
 
-def report(documents: DataFrame, benchmark: DataFrame, width: int = 10, most_words: int = 20_000_000) -> DataFrame:
+def report(documents: DataFrame, benchmark: DataFrame, width: int = 10, most_words: int = MOST_WORDS) -> DataFrame:
     """One row per document: how many words, how many are covered by benchmark windows, and which items they come from."""
     found = leaks(documents, benchmark, width, most_words)
     return found.select(
@@ -168,28 +181,24 @@ def report(documents: DataFrame, benchmark: DataFrame, width: int = 10, most_wor
     )
 
 
-def _cut(windows: Windows, text_at: int, chars_at: int, least_words: int, most_share: float):
+def _cut(names: list[str], text_at: int, chars_at: int, least_words: int, most_share: float):
     """Spans of covered words leave the text, up to the next word; documents left with too little go."""
-    scan = _scan(windows)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(text_at).cast(pa.binary())
-            ids = pa.array(range(b.num_rows), pa.int64())
-            found = next(scan(iter([pa.RecordBatch.from_arrays([ids, texts], ["doc_id", "text"])])))
-            hits, counts = found.column("hits").to_pylist(), found.column("n_words").to_pylist()
-            new, keep, raw = [], [], texts.to_pylist()
+            raw, counts, hits = b.column(text_at).cast(pa.binary()).to_pylist(), b.column(b.num_columns - 3).to_pylist(), b.column(b.num_columns - 1).to_pylist()
+            new, keep = [], []
             for text, own, n in zip(raw, hits, counts):
                 keep.append(not own or (len(own) <= most_share * n and n - len(own) >= least_words))
                 new.append(remove_words(text, set(own)) if own and keep[-1] else text)
             text = pa.array([None if t is None else t.decode("utf-8", "replace") for t in new], pa.string())
-            columns = list(b.columns)
+            columns = list(b.columns[:-3])
             columns[text_at] = text
             if chars_at >= 0:
                 changed = pa.array([bool(own) for own in hits])
-                lengths = pa.array([None if t is None else len(t) for t in text.to_pylist()], b.column(chars_at).type)
-                columns[chars_at] = pyarrow.compute.if_else(changed, lengths, b.column(chars_at))
-            yield pa.RecordBatch.from_arrays(columns, b.schema.names).filter(pa.array(keep))
+                lengths = pa.array([None if t is None else len(t) for t in text.to_pylist()], columns[chars_at].type)
+                columns[chars_at] = pyarrow.compute.if_else(changed, lengths, columns[chars_at])
+            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep))
 
     return cut
 
@@ -210,7 +219,7 @@ def remove_words(text: bytes, positions: set[int]) -> bytes:
 
 
 def clean(
-    documents: DataFrame, benchmark: DataFrame, width: int = 10, most_words: int = 20_000_000, least_words: int = 1, most_share: float = 0.5
+    documents: DataFrame, benchmark: DataFrame, width: int = 10, most_words: int = MOST_WORDS, least_words: int = 1, most_share: float = 0.5
 ) -> DataFrame:
     """The documents, in their own columns, without benchmark passages.
 
@@ -220,9 +229,5 @@ def clean(
     """
     names = documents.columns
     text_at, chars_at = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
-    small_batches(documents)
-    out = documents
-    for block in blocks(benchmark, most_words):
-        windows = Windows([(r.item_id, bytes(r.text)) for r in block.toLocalIterator()], width)
-        out = out.transform(arrow, _cut(windows, text_at, chars_at, least_words, most_share), documents.schema)
-    return out
+    cut = _cut(names, text_at, chars_at, least_words, most_share)
+    return _past(documents, benchmark, width, most_words, text_at, cut, documents.schema)
