@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import heapq
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
 from math import log2
@@ -33,6 +34,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import WordHash, arrow, blob_arrays, by_key, by_value, doc_texts, durable, few, mix, odd_numbers, partitions, text_ranges
@@ -363,28 +365,42 @@ FAMILY = 512  # sets of a block
 
 
 def _within_families(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between different components of a family. A large family is cut into blocks, and each task gets two of them;
-    what leaves it is links, not pairs.
+    """Links between different components of a family, block against block; what leaves a task is links, not pairs.
+
+    A component of a block's size or more has blocks of its own, and two blocks of one component never meet: its sets go
+    out as often as there are blocks of others, not of itself. Smaller components share blocks.
     """
     one = rows.groupBy("token").agg(F.min("mark").alias("v"))
     family = components(rows.join(one, "token").select("mark", "v"), "mark", "v").select(F.col("id").alias("mark"), F.col("component").alias("family"))
     members = durable(rows.select("mark", "component").distinct().join(family, "mark"))
-    blocks = members.groupBy("family").agg(F.ceil(F.count("*") / FAMILY).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "family").withColumn("part", F.pmod(F.xxhash64("mark"), F.col("blocks")).cast("int"))
-    both = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("part", k).alias("i"), F.greatest("part", k).alias("j")))
-    tasks = dealt.withColumn("task", F.explode(both)).select("mark", "component", "family", "part", "task.i", "task.j")
-    one = F.struct("mark", "size", "component", "part", "high", "low")
-    full = sets.join(few(tasks), "mark").groupBy("family", "i", "j").agg(F.collect_list(one).alias("block"))
-    return full.select("i", "j", "block").transform(arrow, _search_blocks, "u long, v long")
+    sizes = members.groupBy("family", "component").agg(F.count("*").alias("n")).withColumn("large", F.col("n") >= FAMILY)
+    rest = F.sum(F.when(F.col("large"), 0).otherwise(F.col("n"))).over(W.partitionBy("family"))
+    n = F.ceil(F.when(F.col("large"), F.col("n")).otherwise(rest) / FAMILY)
+    own = few(sizes.select("family", "component", F.when(F.col("large"), F.col("component")).alias("owner"), n.cast("int").alias("blocks")))
+    number = F.xxhash64(F.when(F.col("owner").isNull(), F.col("component")).otherwise(F.col("mark")))
+    dealt = members.join(own, ["family", "component"]).select("family", "component", "mark", "owner", F.pmod(number, F.col("blocks")).cast("int").alias("k"))
+    dealt = durable(dealt.withColumn("block", F.xxhash64("owner", "k")))
+    blocks = dealt.select("family", "owner", "block").distinct()
+    other = blocks.select("family", F.col("owner").alias("other"), F.col("block").alias("with"))
+    meet = blocks.join(other, "family").where((F.col("block") <= F.col("with")) & ~F.coalesce(F.col("owner") == F.col("other"), F.lit(False)))
+    meet = meet.withColumn("task", F.xxhash64("family", "block", "with"))
+    asks = meet.select("family", "block", "task", F.lit(True).alias("asks"), (F.col("block") == F.col("with")).alias("answers"))
+    answers = meet.where("block <> with").select("family", F.col("with").alias("block"), "task", F.lit(False).alias("asks"), F.lit(True).alias("answers"))
+    tasks = dealt.join(few(asks.unionByName(answers)), ["family", "block"]).select("mark", "component", "family", "task", "asks", "answers")
+    one = F.struct("mark", "size", "component", "asks", "answers", "high", "low")
+    full = sets.join(few(tasks), "mark").groupBy("family", "task").agg(F.collect_list(one).alias("block"))
+    return full.select("block").transform(arrow, _search_blocks, "u long, v long")
 
 
 def _search_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two blocks of a family to links between sets that are in different components there."""
+    """Two blocks of a family to links between sets that are in different components there.
+
+    The largest component of the answering block has an index of its own, which its own queries need not read.
+    """
     for b in batches:
-        for i, j, block in zip(b.column("i").to_pylist(), b.column("j").to_pylist(), b.column("block")):
+        for block in b.column("block"):
             own = block.as_py()
-            queries, cells = ([x for x in own if x["part"] == k] for k in (i, j))
-            index = Inverted([_numbers(x["high"], x["low"]) for x in cells], [x["size"] for x in cells])
+            queries, cells = ([x for x in own if x[side]] for side in ("asks", "answers"))
             joined: dict[int, int] = {}
 
             def find(x: int) -> int:
@@ -393,18 +409,21 @@ def _search_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     x = joined[x]
                 return x
 
+            most = Counter(x["component"] for x in cells).most_common(1)[0][0]
+            parts = []
+            for some in ([x for x in cells if x["component"] == most], [x for x in cells if x["component"] != most]):
+                parts.append((some, Inverted([_numbers(x["high"], x["low"]) for x in some], [x["size"] for x in some])))
             us, vs = [], []
-            roots = np.array([find(x["component"]) for x in cells], np.int64)
             for q in queries:
-                root = find(q["component"])
-                for k in index.search(_numbers(q["high"], q["low"]), q["size"], roots != root):
-                    us.append(q["mark"])
-                    vs.append(cells[k]["mark"])
-                    a, c = find(root), find(cells[k]["component"])
-                    if a != c:
+                numbers = _numbers(q["high"], q["low"])
+                for some, index in parts:
+                    root = find(q["component"])
+                    able = np.array([find(x["component"]) != root for x in some], bool)
+                    for k in index.search(numbers, q["size"], able) if able.any() else ():
+                        us.append(q["mark"])
+                        vs.append(some[k]["mark"])
+                        a, c = find(root), find(some[k]["component"])
                         joined[max(a, c)] = min(a, c)
-                if us:
-                    roots = np.array([find(x["component"]) for x in cells], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
 
