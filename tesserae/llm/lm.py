@@ -1,10 +1,16 @@
 """LM scoring: a log-bilinear model trained in numpy with noise-contrastive estimation, normalised exactly when it scores.
 
 Counts come from all training documents: word numbers travel packed, by range, each range counts its words and answers
-with sums for every document, so no vocabulary is collected. The `classes` most frequent words, one class for all others
-and the end are what the log-bilinear model predicts from the classes of the last `context` tokens; inside the class of
-the others a word has its smoothed share of their counts. Every partition trains on its own tokens from one start, and the
-parameters are averaged by tokens; they are a few thousand numbers whatever the input.
+with sums for every document, so no vocabulary is collected. The whole vocabulary is factored into leaves, about twice the
+square root of its size: the most frequent words are leaves of their own, all others share the leaves of their spelling
+(the word's end, in CODES codes), and one leaf is the end of the text. A word costs its group of leaves, its leaf in the
+group, and its smoothed share of the leaf's counts: P(w | h) = P(group | h) P(leaf | group, h) P(w | leaf). The first two
+are log-bilinear in the vectors of the last `context` leaves and are normalised by batched matrix products.
+
+Training documents are dealt to shards of about SHARD tokens by a hash of the document, and lie there in the order of
+their hashes, as leaf numbers of two bytes. In each of ROUNDS rounds every shard trains on its part of that round from the
+same start, and the parameters are averaged by tokens; shards, parts and order follow from the documents, so the model
+does not depend on how the table is partitioned. Parameters are some thousand short vectors.
 
 Tokens are runs of what is no ASCII white space, A-Z lower-cased, then one end for each text. Training documents are those
 whose crc32 of the id as text has not the remainder `held` modulo `folds`; a null id counts as the empty text.
@@ -18,7 +24,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from math import log10
+from math import ceil, log2, log10, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +34,36 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, arrow, blob_arrays, by_key, doc_texts, durable, partitions
+from .common import arrow, blob_arrays, by_key, doc_texts, durable, partitions, text_ranges
+
+CODES = 8192  # codes of spelling; the last bits of a word's number
+CODE = np.uint64(CODES - 1)
+FREQUENT = 4096  # leaves of single words at most
+DIM, CONTEXT, NOISE, BATCH, SCORED = 16, 4, 32, 8192, 16384
+SHARD, ROUNDS = 2_000_000, 3
+EDGES = b".,;:!?\"'()[]{}<>|-_*"
+
+
+def number_of(word: bytes) -> int:
+    """51 bits of the word's hash, and as the last ones the code of its spelling: its last three bytes without signs."""
+    return xxhash.xxh3_64_intdigest(word) & ~(CODES - 1) | xxhash.xxh3_64_intdigest((word.strip(EDGES) or word)[-3:]) & (CODES - 1)
+
+
+END = number_of(b"\n")  # no word holds a line end
 
-END = xxhash.xxh3_64_intdigest(b"\n")  # no word holds a line end
-DIM, CONTEXT, NOISE, BATCH, SCORED = 16, 4, 32, 8192, 1024
+
+class Remembered(dict):
+    """Numbers of words, remembered up to a bound; forgetting costs time only."""
+
+    def __init__(self, number, most: int = 200_000):
+        super().__init__()
+        self.number, self.most = number, most
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        n = self[word] = self.number(word)
+        return n
 
 
 def tokens_of(text: bytes | None) -> list[bytes]:
@@ -47,6 +79,13 @@ def _key(doc: int | None, text: bytes | None) -> int:
     return xxhash.xxh3_64_intdigest(b"%d\0" % (doc if doc is not None else -1) + (b"n" if doc is None else b"") + (text or b""))
 
 
+def _numbers(known: Remembered, words: list[bytes]) -> np.ndarray:
+    """Numbers of the words and the end."""
+    out = np.full(len(words) + 1, END, np.uint64)
+    out[:-1] = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    return out
+
+
 COUNTED = "bucket int, block long, docs binary, trains binary, spans binary, words binary, times binary, keys binary"
 COUNTED_NAMES = [x.split()[0] for x in COUNTED.split(", ")]
 
@@ -58,13 +97,13 @@ def _emit(buckets: int, folds: int, held: int):
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, block = WordHash(200_000), TaskContext.get().partitionId() << 32
+        known, block = Remembered(number_of), TaskContext.get().partitionId() << 32
         for b in batches:
             for first in range(0, b.num_rows, 2000):
                 part = b.slice(first, 2000)
                 keys, trains, words, times = [], [], [], []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    w, n = np.unique(np.append(known.of(tokens_of(text)), np.uint64(END)), return_counts=True)
+                    w, n = np.unique(_numbers(known, tokens_of(text)), return_counts=True)
                     keys.append(_key(doc, text))
                     trains.append(not held_out(doc, folds, held))
                     words.append(w)
@@ -90,19 +129,19 @@ def _emit(buckets: int, folds: int, held: int):
     return emit
 
 
-ANSWERS = "kind string, block long, docs binary, logs binary, knowns binary, keys binary, word long, n long"
+ANSWERS = "kind string, block long, docs binary, logs binary, knowns binary, keys binary, word long, n long, codes binary"
 ANSWER_NAMES = [x.split()[0] for x in ANSWERS.split(", ")]
 
 
 def _answer(top: int):
-    """Of one range of words: the most frequent ones, the totals, and for each document its sums."""
+    """Of some ranges of words: the most frequent ones, tokens and distinct words by code, and for each document its sums."""
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = by_key(batches)
         if t is None:
             return
         home = t.filter(pc.is_valid(t["keys"]))
-        rows = [("home", b, None, None, None, k, None, None) for b, k in zip(home["block"].to_pylist(), home["keys"].to_pylist())]
+        rows = [("home", b, None, None, None, k, None, None, None) for b, k in zip(home["block"].to_pylist(), home["keys"].to_pylist())]
         t = t.filter(pc.is_null(t["keys"]))
         words, _ = blob_arrays(t["words"], np.uint64)
         times, _ = blob_arrays(t["times"], np.uint32)
@@ -122,12 +161,14 @@ def _answer(top: int):
             starts = np.cumsum(spans) - spans
             logs = np.add.reduceat(times * np.log10(count + 1), starts)
             knowns = np.add.reduceat(times * (count > 0), starts).astype(np.uint32)
-            rows.append(("total", *[None] * 5, int((per_word > 0).sum()), int(per_word.sum())))
+            code, seen = (distinct & CODE).astype(np.int64), per_word > 0
+            codes = np.stack([np.bincount(code, per_word, CODES), np.bincount(code[seen], minlength=CODES)])
+            rows.append(("codes", *[None] * 7, codes.tobytes()))
             best = np.lexsort((distinct, -per_word))[: top + 1]
-            rows += [("word", *[None] * 5, w, n) for w, n in zip(distinct[best].view(np.int64).tolist(), per_word[best].tolist()) if n]
+            rows += [("word", *[None] * 5, w, n, None) for w, n in zip(distinct[best].view(np.int64).tolist(), per_word[best].tolist()) if n]
             edges = np.append(0, np.cumsum(per_row)).tolist()
-            rows += [("sums", b, d, logs[s:e].tobytes(), knowns[s:e].tobytes(), *[None] * 3) for b, d, s, e in zip(blocks, docs, edges, edges[1:])]
-        types = [pa.string(), pa.int64()] + [pa.binary()] * 4 + [pa.int64()] * 2
+            rows += [("sums", b, d, logs[s:e].tobytes(), knowns[s:e].tobytes(), *[None] * 4) for b, d, s, e in zip(blocks, docs, edges, edges[1:])]
+        types = [pa.string(), pa.int64()] + [pa.binary()] * 4 + [pa.int64()] * 2 + [pa.binary()]
         for s in range(0, len(rows), 5000):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[s : s + 5000]), types)], ANSWER_NAMES)
 
@@ -152,23 +193,57 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["key", "logs", "n_known"])
 
 
+class Leaves:
+    """Which leaf a word number belongs to, and the counts of the leaves.
+
+    Leaves 0..f-1 are words, then k of spelling, then the end; after it comes what stands before the beginning, which is
+    never predicted. A leaf of spelling holds `others` known words.
+    """
+
+    def __init__(self, top: list[tuple[int, int]], codes: np.ndarray, most: int):
+        """top: (number, count) of the most frequent words; codes: tokens and distinct words by code, the end included."""
+        tokens, words = codes[0].copy(), codes[1].copy()
+        size = 1 << max(6, round(log2(max(words.sum(), 1)) / 2))
+        self.spelled = min(size, CODES)
+        ends = dict(top).get(END, 0)
+        top = [x for x in top if x[0] != END][: min(size, most)]
+        for number, n in [*top, (END, ends)]:
+            tokens[number % CODES] -= n
+            words[number % CODES] -= n > 0
+        self.numbers = {number: k for k, (number, _) in enumerate(top)}
+        fold = lambda x: x.reshape(-1, self.spelled).sum(axis=0)
+        self.others = fold(words)
+        self.counts = np.array([*(n for _, n in top), *fold(tokens), ends], np.float64)
+
+    def __len__(self) -> int:
+        return len(self.counts)
+
+    def of(self, number: int) -> int:
+        return self.numbers.get(number, len(self.numbers) + number % CODES % self.spelled)
+
+
 class LogBilinear:
-    """Classes 0..k-1 are words, k all others, k+1 the end; k+2 stands before the beginning and is never predicted.
+    """Probabilities of leaves given the leaves before, by groups.
 
-    A prediction is the sum of the context's vectors, each scaled by its position; a class scores by its product with the
-    prediction plus a bias.
+    A prediction is the sum of the context's vectors, each scaled by its position. A leaf scores by its product with the
+    prediction plus a bias, and so does a group. Leaf l is number l // groups of group l % groups.
     """
 
     def __init__(self, counts: np.ndarray, dim: int = DIM, context: int = CONTEXT):
         n, pick = len(counts), np.random.default_rng(8)
-        self.noise = ((counts + 1) / (counts + 1).sum()).astype(np.float32)
-        self.context = context
+        self.n, self.groups, self.context = n, ceil(sqrt(n)), context
+        self.noise = (counts + 1) / (counts + 1).sum()
+        self.group_noise = np.bincount(np.arange(n) % self.groups, self.noise, self.groups)
+        some = lambda *shape: (0.1 * pick.standard_normal(shape)).astype(np.float32)
         self.p = {
-            "r": (0.1 * pick.standard_normal((n + 1, dim))).astype(np.float32),
-            "t": (0.1 * pick.standard_normal((n, dim))).astype(np.float32),
+            "r": some(n + 1, dim),
+            "t": some(n, dim),
+            "u": some(self.groups, dim),
             "c": np.full((context, dim), 0.5, np.float32),
-            "b": np.log(self.noise),
+            "b": np.log(self.noise).astype(np.float32),
+            "a": np.log(self.group_noise).astype(np.float32),
         }
+        self.squares = {k: np.full_like(v, 1e-6) for k, v in self.p.items()}
 
     def predicted(self, before: np.ndarray) -> np.ndarray:
         q = self.p["r"][before[:, 0]] * self.p["c"][0]
@@ -177,115 +252,138 @@ class LogBilinear:
         return q
 
     def log_probabilities(self, before: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural logarithms, normalised over all classes by one matrix product a batch; the biases are its last row."""
-        n = len(self.noise)
-        out, t, ones = np.empty(len(target), np.float32), np.ascontiguousarray(np.vstack([self.p["t"].T, self.p["b"]])), np.ones(n, np.float32)
+        """Natural logarithms, normalised over all groups, and over the leaves of the target's group."""
+        size = -(-self.n // self.groups)
+        leaf = np.full((size * self.groups, len(self.p["t"][0]) + 1), 0, np.float32)
+        leaf[:, -1] = -1e30  # places without a leaf
+        leaf[: self.n, :-1], leaf[: self.n, -1] = self.p["t"], self.p["b"]
+        leaf = leaf.reshape(size, self.groups, -1)
+        group = np.hstack([self.p["u"], self.p["a"][:, None]]).T
+        out = np.empty(len(target), np.float32)
         for s in range(0, len(target), SCORED):
+            own = target[s : s + SCORED].astype(np.int64)
             q = self.predicted(before[s : s + SCORED])
-            every = np.hstack([q, np.ones((len(q), 1), np.float32)]) @ t
-            most = every.max()  # products of trained vectors are small; if one is not, its row is scaled
-            if most > 80 or every.min() < -80:
-                every -= every.max(axis=1, keepdims=True)
-            own = every[np.arange(len(every)), target[s : s + SCORED]]
-            np.exp(every, out=every)
-            out[s : s + SCORED] = own - np.log(every @ ones)
+            q = np.hstack([q, np.ones((len(q), 1), np.float32)])
+            g, at = own % self.groups, own // self.groups
+            logs = _normalised(q @ group, g)
+            order = np.argsort(g, kind="stable")
+            edges = np.searchsorted(g[order], np.arange(self.groups + 1)).tolist()
+            for k, (i, j) in enumerate(zip(edges, edges[1:])):
+                if i < j:
+                    rows = order[i:j]
+                    logs[rows] += _normalised(q[rows] @ np.ascontiguousarray(leaf[:, k].T), at[rows])
+            out[s : s + SCORED] = logs
         return out
 
-    def train(self, before: np.ndarray, target: np.ndarray, seed: int, rate: float, squares: dict | None = None) -> dict:
-        """One pass of noise-contrastive estimation; the noise of a batch is shared by its tokens. Returns Adagrad's sums."""
+    def train(self, before: np.ndarray, target: np.ndarray, seed: int, rate: float) -> None:
+        """One pass of noise-contrastive estimation with Adagrad; the noise of a batch is shared by its tokens."""
         pick, p = np.random.default_rng(seed), self.p
-        squares = squares or {k: np.full_like(v, 1e-9) for k, v in p.items()}
         order = pick.permutation(len(target))
-        n_classes, shift = len(self.noise), np.log(NOISE * self.noise)
-        for s in range(0, len(order), BATCH):
-            own = order[s : s + BATCH]
-            w, h = target[own], before[own]
-            false = pick.choice(n_classes, NOISE, p=self.noise / self.noise.sum())
+        batch = int(min(BATCH, max(256, len(target) // 200)))
+        levels = []
+        for vectors, bias, noise in (("t", "b", self.noise), ("u", "a", self.group_noise)):
+            levels.append((vectors, bias, np.log(NOISE * noise).astype(np.float32), np.cumsum(noise) / noise.sum()))
+        for s in range(0, len(order), batch):
+            own = order[s : s + batch]
+            w, h = target[own].astype(np.int64), before[own]
             q = self.predicted(h)
-            up = 1 / (1 + np.exp(np.einsum("ij,ij->i", q, p["t"][w]) + p["b"][w] - shift[w]))  # 1 - P(true)
-            down = -1 / (1 + np.exp(-(q @ p["t"][false].T + p["b"][false] - shift[false])))
-            dq = up[:, None] * p["t"][w] + down @ p["t"][false]
-            g = {k: np.zeros_like(v) for k, v in p.items()}
-            _add(g["t"], w, up[:, None] * q)
-            g["b"] += np.bincount(w, up, n_classes).astype(np.float32)
-            np.add.at(g["t"], false, down.T @ q)
-            np.add.at(g["b"], false, down.sum(axis=0))
-            for i in range(self.context):
-                r = p["r"][h[:, i]]
-                g["c"][i] = (dq * r).sum(axis=0)
-                _add(g["r"], h[:, i], dq * p["c"][i])
+            dq, g = np.zeros_like(q), {}
+            for (vectors, bias, shift, steps), true in zip(levels, (w, w % self.groups)):
+                v, b = p[vectors], p[bias]
+                false = np.minimum(np.searchsorted(steps, pick.random(NOISE)), len(b) - 1)
+                up = 1 / (1 + np.exp(np.einsum("ij,ij->i", q, v[true]) + b[true] - shift[true]))  # 1 - P(true)
+                down = -1 / (1 + np.exp(-(q @ v[false].T + b[false] - shift[false])))
+                dq += up[:, None] * v[true] + down @ v[false]
+                g[vectors] = _summed(true, up[:, None] * q, len(b))
+                g[bias] = np.bincount(true, up, len(b)).astype(np.float32)
+                np.add.at(g[vectors], false, down.T @ q)
+                np.add.at(g[bias], false, down.sum(axis=0))
+            g["c"] = np.stack([(dq * p["r"][h[:, i]]).sum(axis=0) for i in range(self.context)])
+            g["r"] = _summed(h.T.ravel(), np.concatenate([dq * p["c"][i] for i in range(self.context)]), self.n + 1)
             for k, v in p.items():
                 step = g[k] / np.float32(len(own))
-                squares[k] += step * step
-                v += np.float32(rate) * step / np.sqrt(squares[k])
-        return squares
+                self.squares[k] += step * step
+                v += np.float32(rate) * step / np.sqrt(self.squares[k])
 
+    def packed(self, times: float) -> bytes:
+        return np.concatenate([(v.astype(np.float64) * times).ravel() for d in (self.p, self.squares) for v in d.values()]).tobytes()
 
-def _add(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    for d in range(values.shape[1]):
-        into[:, d] += np.bincount(rows, values[:, d], len(into)).astype(np.float32)
+    def unpack(self, numbers: np.ndarray) -> None:
+        at = 0
+        for d in (self.p, self.squares):
+            for k, v in d.items():
+                d[k] = numbers[at : at + v.size].reshape(v.shape).astype(np.float32)
+                at += v.size
 
 
-class _Classes(dict):
-    """Words to classes; what is not among the frequent words is remembered up to a bound."""
+def _normalised(scores: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Log probabilities of one column a row."""
+    most = scores.max(axis=1, keepdims=True)
+    scores -= most
+    picked = scores[np.arange(len(scores)), own]
+    np.exp(scores, out=scores)
+    return picked - np.log(scores @ np.ones(scores.shape[1], np.float32))
 
-    def __init__(self, of_number: dict[int, int], other: int):
-        super().__init__()
-        self.of_number, self.other = of_number, other
 
-    def __missing__(self, word: bytes) -> int:
-        k = self.of_number.get(xxhash.xxh3_64_intdigest(word), self.other)
-        if len(self) >= 500_000:
-            self.clear()
-        self[word] = k
-        return k
-
-
-def sequences(texts: list[bytes | None], classes: _Classes, context: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context classes, target classes, where each text begins): the end follows each text, the context starts afresh."""
-    other = classes.other
-    ids = []
-    for t in texts:
-        w = tokens_of(t)
-        line = np.full(len(w) + 1 + context, other + 2, np.int16)
-        line[context:-1] = np.fromiter(map(classes.__getitem__, w), np.int16, len(w))
-        line[-1] = other + 1
-        ids.append(line)
-    sizes = np.array([len(x) for x in ids])
-    flat = np.concatenate(ids)
-    starts = np.cumsum(sizes) - sizes
-    real = np.ones(len(flat), bool)
-    for i in range(context):
-        real[starts + i] = False
-    at = np.flatnonzero(real)
-    before = np.stack([flat[at - 1 - i] for i in range(context)], axis=1)
-    return before, flat[at], starts - context * np.arange(len(starts))
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for first in range(0, b.num_rows, 1000):
-            yield b.slice(first, 1000)
+def _summed(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    return np.stack([np.bincount(rows, values[:, d], n) for d in range(values.shape[1])], axis=1).astype(np.float32)
 
 
-def _trainer(start: dict, counts: np.ndarray, numbers: dict[int, int], folds: int, held: int, rate: float):
-    def trainer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, classes, squares, seen = LogBilinear(counts), _Classes(numbers, len(counts) - 2), None, 0
-        model.p = {k: v.copy() for k, v in start.items()}
-        for b in _chunks(batches):
-            own = [t for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if not held_out(d, folds, held)]
-            if own:
-                before, target, _ = sequences(own, classes, model.context)
-                squares = model.train(before, target, seen, rate, squares)
-                seen += len(target)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([_pack(model.p, seen)], pa.binary())], ["n", "sums"])
+ENCODED = "shard int, doc_id long, key long, trains boolean, ids binary"
 
-    return trainer
+
+def _encode(leaves: Leaves, shards: int, folds: int, held: int):
+    """Documents as leaf numbers, with their shard."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, end = Remembered(lambda word: leaves.of(number_of(word))), len(leaves) - 1
+        for b in batches:
+            for first in range(0, b.num_rows, 1000):
+                part = b.slice(first, 1000)
+                rows = []
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    words = tokens_of(text)
+                    ids = np.full(len(words) + 1, end, np.int16)
+                    ids[:-1] = np.fromiter(map(known.__getitem__, words), np.int16, len(words))
+                    key = _key(doc, text)
+                    rows.append((key * shards >> 64, doc, key - (key >> 63 << 64), not held_out(doc, folds, held), ids.tobytes()))
+                types = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [x.split()[0] for x in ENCODED.split(", ")])
+
+    return encode
+
+
+def sequences(ids: list[np.ndarray], start: int, context: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context leaves, target leaves, where each text begins); the context starts afresh with each text."""
+    lines = [x for own in ids for x in (np.full(context, start, np.int16), own)]
+    flat, sizes = np.concatenate(lines), np.array([len(x) for x in ids])
+    begins = np.cumsum(sizes) - sizes
+    at = np.arange(sizes.sum()) + np.repeat(context * np.arange(1, len(sizes) + 1), sizes)
+    return np.stack([flat[at - 1 - i] for i in range(context)], axis=1), flat[at], begins
 
 
-def _pack(p: dict, times: float) -> bytes:
-    return np.concatenate([(v.astype(np.float64) * times).ravel() for v in p.values()]).tobytes()
+def _trainer(state: np.ndarray | None, counts: np.ndarray, turn: int, rate: float):
+    """A shard's part of a round: every ROUNDS-th of its training documents in the order of their keys."""
+
+    def trainer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = by_key(batches)
+        if t is None:
+            return
+        t = t.filter(t["trains"])
+        shard, keys = t["shard"].to_numpy(), t["key"].to_numpy()
+        for k in np.unique(shard).tolist():
+            rows = np.flatnonzero(shard == k)
+            rows = rows[np.argsort(keys[rows], kind="stable")][turn::ROUNDS]
+            if len(rows):
+                model = LogBilinear(counts)
+                if state is not None:
+                    model.unpack(state)
+                own = [np.frombuffer(x, np.int16) for x in t["ids"].take(pa.array(rows)).to_pylist()]
+                before, target, _ = sequences(own, len(counts), model.context)
+                model.train(before, target, k * ROUNDS + turn, rate)
+                yield pa.RecordBatch.from_arrays([pa.array([len(target)], pa.int64()), pa.array([model.packed(len(target))], pa.binary())], ["n", "sums"])
+
+    return trainer
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,68 +395,66 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([sums.tobytes()], pa.binary())], ["n", "sums"])
 
 
-def fit(docs: DataFrame, counts: np.ndarray, numbers: dict[int, int], folds: int, held: int, rate: float = 0.05) -> LogBilinear:
-    """Parameters averaged over the partitions by tokens; the means are taken in sixteen tasks first."""
-    model, kind = LogBilinear(counts), "n long, sums binary"
-    trained = docs.transform(arrow, _trainer(model.p, counts, numbers, folds, held, rate), kind)
-    rows = trained.repartition(16).transform(arrow, _merge, kind).collect()
-    if rows:
-        mean, at = sum(np.frombuffer(r.sums) for r in rows) / sum(r.n for r in rows), 0
-        for k, v in model.p.items():
-            model.p[k] = mean[at : at + v.size].reshape(v.shape).astype(np.float32)
-            at += v.size
+def _total(rows: DataFrame) -> tuple[int, np.ndarray | None]:
+    """The sums of a table (n, sums), added up in sixteen tasks and then one; a row is a model or a table of codes."""
+    kind = "n long, sums binary"
+    found = rows.repartition(16).transform(arrow, _merge, kind).coalesce(1).transform(arrow, _merge, kind).collect()
+    return (found[0].n, np.frombuffer(found[0].sums)) if found else (0, None)
+
+
+def fit(encoded: DataFrame, counts: np.ndarray, rate: float = 0.1) -> LogBilinear:
+    """Parameters averaged over the shards by tokens, round by round."""
+    model, state = LogBilinear(counts), None
+    for turn in range(ROUNDS):
+        n, sums = _total(encoded.transform(arrow, _trainer(state, counts, turn, rate), "n long, sums binary"))
+        if n:
+            state = sums / n
+    if state is not None:
+        model.unpack(state)
     return model
 
 
-def _scorer(p: dict, counts: np.ndarray, numbers: dict[int, int], folds: int, held: int):
+def _scorer(state: dict, leaves: Leaves):
     def scorer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, other = LogBilinear(counts), len(counts) - 2
-        model.p, classes = p, _Classes(numbers, other)
-        logs = np.log10(counts + 1.0)
-        logs[other] = 0
-        for b in _chunks(batches):
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            before, target, starts = sequences(texts, classes, model.context)
-            own = model.log_probabilities(before, target).astype(np.float64) / np.log(10)
-            columns = [
-                b.column(0),
-                pa.array([held_out(d, folds, held) for d in ids]),
-                pa.array(np.array([_key(d, t) for d, t in zip(ids, texts)], np.uint64).view(np.int64)),
-                pa.array(np.diff(np.append(starts, len(target))).astype(np.int64)),
-                pa.array(np.add.reduceat((target == other).astype(np.int64), starts)),
-                pa.array(np.add.reduceat(own, starts)),
-                pa.array(np.add.reduceat(logs[target], starts)),  # what frequent words and the end put into the sums of logs
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "key", "n_tokens", "n_other", "model", "frequent"])
+        model, f = LogBilinear(leaves.counts), len(leaves.numbers)
+        model.p = state
+        logs = np.log10(leaves.counts + 1.0)  # what frequent words and the end put into the sums of logs
+        logs[f:-1] = 0
+        shares = np.zeros(len(leaves))  # what a word of a leaf of spelling divides its count by
+        shares[f:-1] = np.log10(leaves.counts[f:-1] + leaves.others + 1)
+        for b in batches:
+            for first in range(0, b.num_rows, 500):
+                part = b.slice(first, 500)
+                own = [np.frombuffer(x, np.int16) for x in part.column("ids").to_pylist()]
+                before, target, starts = sequences(own, len(leaves), model.context)
+                each = model.log_probabilities(before, target).astype(np.float64) / np.log(10) - logs[target] - shares[target]
+                columns = [part.column("doc_id"), pc.invert(part.column("trains")), part.column("key"), pa.array([len(x) for x in own], pa.int64()), pa.array(np.add.reduceat(each, starts))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "key", "n_tokens", "model"])
 
     return scorer
 
 
-def score(documents: DataFrame, folds: int = 7, held: int = 2, classes: int = 254) -> DataFrame:
+def score(documents: DataFrame, folds: int = 7, held: int = 2, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per document, logarithms to base 10."""
     spark, docs = documents.sparkSession, doc_texts(documents)
     parts = partitions(spark)
-    emitted = docs.transform(arrow, _emit(4 * parts, folds, held), COUNTED).repartition(parts, "bucket")
-    answers = durable(emitted.transform(arrow, _answer(classes), ANSWERS))
-    total = answers.where("kind = 'total'").agg(F.sum("n"), F.sum("word")).first()
-    n, v = total[0] or 0, total[1] or 0
-    end = int(np.array([END], np.uint64).view(np.int64)[0])
-    top = answers.where("kind = 'word'").orderBy(F.desc("n"), "word").limit(classes + 1).collect()
-    ends = sum(r.n for r in top if r.word == end)
-    top = [r for r in top if r.word != end][:classes]
-    numbers = {int(np.array([r.word]).view(np.uint64)[0]): k for k, r in enumerate(top)}
-    other = n - ends - sum(r.n for r in top)
-    counts = np.array([*(r.n for r in top), other, ends], np.float64)
-    model = fit(docs, counts, numbers, folds, held)
-    scored = docs.transform(arrow, 
-        _scorer(model.p, counts, numbers, folds, held), "doc_id long, held_out boolean, key long, n_tokens long, n_other long, model double, frequent double"
-    )
+    emitted = docs.transform(arrow, _emit(text_ranges(docs), folds, held), COUNTED).repartitionById(parts, "bucket")
+    answers = durable(emitted.transform(arrow, _answer(frequent), ANSWERS))
+    del emitted
+    _, codes = _total(answers.where("kind = 'codes'").select(F.lit(1).cast("long").alias("n"), F.col("codes").alias("sums")))
+    codes = (codes if codes is not None else np.zeros(2 * CODES)).reshape(2, CODES)
+    n, v = int(codes[0].sum()), int(codes[1].sum())
+    top = answers.where("kind = 'word'").orderBy(F.desc("n"), "word").limit(frequent + 1).collect()
+    leaves = Leaves([(r.word % (1 << 64), r.n) for r in top], codes, frequent)
+    shards = n // SHARD + 1
+    encoded = docs.transform(arrow, _encode(leaves, shards, folds, held), ENCODED)
+    encoded = durable(encoded.repartitionById(shards, "shard"))
+    model = fit(encoded, leaves.counts)
+    scored = encoded.transform(arrow, _scorer(model.p, leaves), "doc_id long, held_out boolean, key long, n_tokens long, model double")
     packed = answers.where("kind in ('sums', 'home')").select("block", "docs", "logs", "knowns", "keys")
     # rows that repeat a document have the same key and the same sums
     sums = packed.repartition(parts, "block").transform(arrow, _sums, "key long, logs double, n_known long").dropDuplicates(["key"])
     base = F.col("logs") - F.col("n_tokens") * F.lit(log10(n + v + 1))
-    known_other = v - len(top) - (ends > 0)
-    inside = F.col("logs") - F.col("frequent") - F.col("n_other") * F.lit(log10(other + known_other + 1))
     return scored.join(sums, "key").select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("model") + inside).alias("score")
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("model") + F.col("logs")).alias("score")
     )
