@@ -1,13 +1,19 @@
 """Line dedup by a log-template tree: lines of the same template that recur across documents are dropped.
 
-The tree has a fixed depth: first the number of tokens (parts between single spaces; a token with a digit is a variable
-and reads `<*>`), then the leading tokens. In a leaf a template is the whole line, or the line with one of its `blocks`
-stretches of later tokens left open, so that a variable field of any length of words within a stretch is generalised too.
-A line belongs to every template it fits; it goes if one of them recurs.
-
-A template recurs if `least_docs` documents that are not copies of each other have it. Copies show by their sketch (how
-the two longest lines of the document begin): the documents must have that many sketches, and half as many as there are
-documents. So a passage that only lives in copies of one document stays, and boilerplate goes from all of them.
+The tree has a fixed depth. A line first goes by its number of tokens (parts between single spaces; a token with a digit
+is a variable and reads `<*>`), then by its `depth` leading tokens. A node that few documents reach is left at once, and
+most lines end there. In the leaves that remain a template is the whole line, or the line with variable fields open:
+of lines with many tokens one or two of `blocks` stretches behind the leading tokens, of shorter ones one such token.
+So a field may be of any words within its stretch, but lines of different numbers of tokens never share a template, nor
+do lines that differ in a leading token without a digit. Templates are told apart by their text, not by a hash of it. A
+line belongs to every template it fits; it goes if one of them recurs.
+
+A template recurs if `least_docs` different documents have it. Copies are not different documents, and show by what else
+they hold: a line that `least_docs` documents hold as a whole is shared, and a document counts for a template only if a
+third at least of the tokens of its other lines (`least_tokens` and more each) is not shared. So a passage that lives in
+copies of one document stays, as does a document whose only line it is; neither a thousand copies nor a long header can
+hide a passage of three other documents, and edited copies, whose other lines are still shared, do not count. Documents
+that stand alone with one copy count as two.
 
 Everything is DataFrame functions. Defined results: null text has no lines and stays null; lines of under `least_tokens`
 tokens always stay; equal lines of one document count once; rows that repeat an id are judged by their own text; documents
@@ -16,12 +22,16 @@ whose lines all go keep an empty text; extra columns pass through.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import few
+from .common import durable, few
 
 DIGITS = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
+OPEN = "\n"  # no line holds one
 
 
 def masked(line) -> F.Column:
@@ -29,72 +39,84 @@ def masked(line) -> F.Column:
     return F.when(line.rlike("[0-9]"), F.regexp_replace(line, DIGITS, "<*>")).otherwise(line)
 
 
-def _templates(line, depth: int, blocks: int, least_tokens: int) -> F.Column:
-    """Numbers of the templates that a masked line fits: itself, and with one block open where it is long enough."""
-
-    def cut(*args):
-        return F.call_function("substring_index", *args)
+def _tokens(line) -> F.Column:
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "))) + 1
 
-    def of(n):
-        rest = n - depth
-        edges = [(F.lit(depth) + F.floor(rest * j / blocks)).cast("int") for j in range(blocks + 1)]
-        open_ = [
-            F.xxhash64(n, F.lit(j), cut(line, F.lit(" "), edges[j]), cut(line, F.lit(" "), edges[j + 1] - n)) for j in range(blocks)
-        ]
-        whole = F.array(F.xxhash64(n, F.lit(-1), line))
-        return (
-            F.when(n < least_tokens, F.array().cast("array<bigint>"))
-            .when(n < depth + 2 * blocks, whole)
-            .otherwise(F.concat(whole, F.array(*open_)))
-        )
 
-    tokens = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "))) + 1
-    return F.transform(F.array(tokens), of)[0]
+def _node(line, depth: int, least_tokens: int) -> F.Column:
+    """Number of the line's node; null for short lines. It only says what is worth a look, so it need not be unique."""
+    n = _tokens(line)
+    return F.when(n >= least_tokens, F.xxhash64(n, F.call_function("substring_index", line, F.lit(" "), F.lit(depth))))
 
 
 def _rows(documents: DataFrame) -> DataFrame:
-    """doc_id, copy (number of the text: ids may repeat), lines."""
+    """doc_id, copy (number of the text: ids may repeat), lines (different ones, masked)."""
     text = F.coalesce(documents["text"].cast("string"), F.lit(""))
-    return documents.select(documents["doc_id"].alias("doc_id"), F.xxhash64(text).alias("copy"), F.transform(F.split(text, "\n"), masked).alias("lines"))
-
-
-def recurring(documents: DataFrame, depth: int = 3, blocks: int = 4, least_tokens: int = 5, least_docs: int = 10) -> DataFrame:
-    """template, n_docs, n_sketches: the templates that recur."""
-    begins = F.transform("lines", lambda x: F.struct((-F.length(x)).alias("size"), F.substring_index(x, " ", 8).alias("lead")))
-    sketch = F.xxhash64(F.slice(F.sort_array(begins), 1, 2))
-    own = F.array_distinct(F.flatten(F.transform("lines", lambda x: _templates(x, depth, blocks, least_tokens))))
-    # what repeats for each template is a column before explode, else it is worked out again for each of them
-    rows = _rows(documents).select(sketch.alias("sketch"), own.alias("own")).select("sketch", F.explode("own").alias("template"))
-    by_sketch = rows.groupBy("template", "sketch").agg(F.count("*").alias("n"))
-    counts = by_sketch.groupBy("template").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_sketches"))
-    return counts.where((F.col("n_sketches") >= least_docs) & (2 * F.col("n_sketches") >= F.col("n_docs")))
-
-
-def dropped(documents: DataFrame, depth: int = 3, blocks: int = 4, least_tokens: int = 5, least_docs: int = 10) -> DataFrame:
-    """doc_id, copy, gone: the positions of the lines that go, for documents that lose any."""
-
-    def numbered(line, at):
-        return F.transform(_templates(line, depth, blocks, least_tokens), lambda t: F.struct(at.alias("at"), t.alias("template")))
-
-    rows = _rows(documents).select("doc_id", "copy", F.flatten(F.transform("lines", numbered)).alias("own"))
-    rows = rows.select("doc_id", "copy", F.explode("own").alias("one"))
-    found = recurring(documents, depth, blocks, least_tokens, least_docs).select("template")
-    hits = rows.select("doc_id", "copy", "one.at", "one.template").join(few(found), "template", "left_semi")
-    return hits.groupBy("doc_id", "copy").agg(F.collect_set("at").alias("gone"))
+    lines = F.array_distinct(F.transform(F.split(text, "\n"), masked))
+    return documents.select(documents["doc_id"].alias("doc_id"), F.xxhash64(text).alias("copy"), lines.alias("lines"))
+
+
+def leaf_lines(documents: DataFrame, depth: int, least_tokens: int, least_docs: int, share: int) -> DataFrame:
+    """doc_id, copy, line, n, counts: the lines of nodes that enough documents reach, and whether the document counts."""
+    rows = _rows(documents)
+    own = F.array_compact(F.array_distinct(F.transform("lines", lambda x: _node(x, depth, least_tokens))))
+    nodes = rows.select(own.alias("own")).select(F.explode("own").alias("node")).groupBy("node").agg(F.count("*").alias("docs"))
+    busy = few(nodes.where(F.col("docs") >= least_docs).select("node"))
+    sizes = F.transform("lines", _tokens)
+    total = F.aggregate(F.filter(sizes, lambda n: n >= least_tokens), F.lit(0), lambda s, n: s + n)
+    lines = rows.select("doc_id", "copy", total.alias("total"), F.explode("lines").alias("line"))
+    lines = lines.withColumn("node", _node(F.col("line"), depth, least_tokens)).where("node is not null").join(busy, "node", "left_semi")
+    # rows that repeat a document are one; all that follows stays with the document but for the counts of whole lines
+    lines = durable(lines.repartition("doc_id", "copy").dropDuplicates(["doc_id", "copy", "line"]).select("doc_id", "copy", "total", "line", _tokens(F.col("line")).alias("n")))
+    shared = few(lines.groupBy("line").agg(F.count("*").alias("docs")).where(F.col("docs") >= least_docs).select("line", F.lit(True).alias("shared")))
+    marked = lines.join(shared, "line", "left")
+    common = F.sum(F.when(F.col("shared"), F.col("n")).otherwise(0)).over(W.partitionBy("doc_id", "copy"))
+    others = F.col("total") - F.col("n")
+    rest = F.col("total") - common - F.when(F.col("shared"), 0).otherwise(F.col("n"))  # of other lines, what is not shared
+    return marked.select("doc_id", "copy", "line", "n", ((rest > 0) & (share * rest >= others)).alias("counts"))
+
+
+def _templates(depth: int, blocks: int) -> F.Column:
+    """The templates that a line fits, as text, from columns line and n."""
+    t, n = F.split("line", " "), F.col("n")
+    text = lambda lo, hi: F.array_join(F.slice(t, lo + 1, hi - lo), " ")
+    edges = [(F.lit(depth) + F.floor((n - depth) * j / blocks)).cast("int") for j in range(blocks + 1)]
+    head, parts = text(F.lit(0), F.lit(depth)), [text(a, b) for a, b in zip(edges, edges[1:])]
+    ways = [set(c) for k in range(3) for c in combinations(range(blocks), k)]
+    long = F.array(*(F.concat_ws(" ", head, *(F.lit(OPEN) if j in c else p for j, p in enumerate(parts))) for c in ways))
+    one = F.transform(F.sequence(F.lit(depth + 1), n), lambda i: F.array_join(F.transform(t, lambda x, k: F.when(k + 1 == i, F.lit(OPEN)).otherwise(x)), " "))
+    return F.when(n >= depth + 2 * blocks, long).otherwise(F.concat(F.array("line"), one))
+
+
+def recurring(lines: DataFrame, depth: int, blocks: int, least_docs: int) -> DataFrame:
+    """n, template: those that recur, of leaf lines."""
+    rows = lines.where("counts").select("n", F.explode(_templates(depth, blocks)).alias("template"))
+    return rows.groupBy("n", "template").agg(F.count("*").alias("docs")).where(F.col("docs") >= least_docs).select("n", "template")
+
+
+def dropped(documents: DataFrame, depth: int = 3, blocks: int = 4, least_tokens: int = 5, least_docs: int = 3, share: int = 3) -> DataFrame:
+    """doc_id, copy, gone: the masked lines that go, for documents that lose any."""
+    lines = durable(leaf_lines(documents.select("doc_id", "text"), depth, least_tokens, least_docs, share))
+    found = few(recurring(lines, depth, blocks, least_docs))
+    rows = lines.select("doc_id", "copy", "line", "n", F.explode(_templates(depth, blocks)).alias("template"))
+    return rows.join(found, ["n", "template"], "left_semi").groupBy("doc_id", "copy").agg(F.collect_set("line").alias("gone"))
 
 
 def _judged(documents: DataFrame, **how: int) -> DataFrame:
-    """The documents' columns, and _gone: positions of the lines that go (null: none)."""
+    """The documents' columns, and _gone: the masked lines that go (null: none)."""
     found = dropped(documents, **how).select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), F.col("gone").alias("_gone"))
     keyed = documents.withColumn("_text_number", F.xxhash64(F.coalesce(documents["text"].cast("string"), F.lit(""))))
     same = keyed["doc_id"].eqNullSafe(found["_id"]) & (keyed["_text_number"] == found["_copy"])
     return keyed.join(found, same, "left").drop("_id", "_copy", "_text_number")
 
 
+def _stays() -> F.Column:
+    """The lines that stay, of a document that loses some."""
+    return F.filter(F.split(F.col("text").cast("string"), "\n"), lambda x: ~F.array_contains("_gone", masked(x)))
+
+
 def _kept() -> F.Column:
-    text = F.col("text").cast("string")
-    stays = F.filter(F.split(text, "\n"), lambda _, at: ~F.array_contains("_gone", at))
-    return F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(stays, "\n"))
+    return F.when(F.col("_gone").isNull(), F.col("text").cast("string")).otherwise(F.array_join(_stays(), "\n"))
 
 
 def strip(documents: DataFrame, **how: int) -> DataFrame:
@@ -112,7 +134,7 @@ def report(documents: DataFrame, **how: int) -> DataFrame:
     return _judged(documents.select("doc_id", "text"), **how).select(
         "doc_id",
         F.size(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size(F.split(F.col("text").cast("string"), "\n")) - F.size(_stays())).cast("long").alias("n_dropped"),
         F.length(kept).cast("long").alias("kept_chars"),
         F.sha2(kept.cast("binary"), 256).alias("kept_sha256"),
     )

@@ -120,25 +120,29 @@ from said
 
 OP3_SQL = r"""
 with d as (select doc_id, text, string_split(coalesce(text, ''), chr(10)) as raw from documents),
-l as (select doc_id, i - 1 as pos, regexp_replace(raw[i], '[^ 0-9]*[0-9][^ ]*', '<*>', 'g') as m
+l as (select doc_id, raw[i] as raw, regexp_replace(raw[i], '[^ 0-9]*[0-9][^ ]*', '<*>', 'g') as m
       from (select doc_id, raw, unnest(range(1, len(raw) + 1)) as i from d)),
-b as (select doc_id, length(m) as size, array_to_string(string_split(m, ' ')[1:8], ' ') as lead from l),
-s as (select doc_id, list((size, lead) order by size desc, lead)[1:2] as sketch from b group by 1),
-t as (select doc_id, pos, m, string_split(m, ' ') as t, len(string_split(m, ' ')) as n from l),
-e as (select *, 3 + ((n - 3) * j) // 4 as a, 3 + ((n - 3) * (j + 1)) // 4 as b
-      from (select *, unnest([0, 1, 2, 3]) as j from t where n >= 11)),
-k as (select doc_id, pos, n, -1 as j, m as head, '' as tail from t where n >= 5
-      union all select doc_id, pos, n, j, array_to_string(t[1:a], ' '), array_to_string(t[b + 1:n], ' ') from e),
-r as (select n, j, head, tail from (select distinct doc_id, n, j, head, tail from k) join s using (doc_id)
-      group by all having count(distinct sketch) >= 10 and 2 * count(distinct sketch) >= count(*)),
-gone as (select distinct doc_id, pos from k join r using (n, j, head, tail)),
-g as (select doc_id, count(*) as c, list(pos) as ats from gone group by 1),
-kept as (select doc_id, len(raw) as n_lines, coalesce(c, 0) as c,
-                case when c is null then coalesce(text, '')
-                     else array_to_string([x for x, i in raw if not list_contains(ats, i - 1)], chr(10)) end as kept
+u as (select doc_id, list(distinct m) as lines from l group by 1),
+x as (select doc_id, m, string_split(m, ' ') as t, len(string_split(m, ' ')) as n from (select doc_id, unnest(lines) as m from u)),
+h as (select x.*, count(*) over (partition by m) >= 3 as shared from x where n >= 5),
+o as (select *, sum(n) over (partition by doc_id) - n as others,
+             sum(case when shared then 0 else n end) over (partition by doc_id) - case when shared then 0 else n end as rest from h),
+s as (select doc_id, m, t, n, rest > 0 and 3 * rest >= others as counts from o),
+e as (select *, [3 + ((n - 3) * j) // 4 for j in [0, 1, 2, 3, 4]] as e from s where n >= 11),
+k as (select doc_id, m, n, counts, bits, array_to_string(t[1:3], ' ') as head,
+             [case when bits // (1 << j) % 2 = 1 then '' else array_to_string(t[e[j + 1] + 1:e[j + 2]], ' ') end for j in [0, 1, 2, 3]] as parts
+      from (select *, unnest([0, 1, 2, 4, 8, 3, 5, 9, 6, 10, 12]) as bits from e)
+      union all
+      select doc_id, m, n, counts, i, array_to_string(t[1:3], ' '), [case when j = i then '' else t[j] end for j in range(4, n + 1)]
+      from (select *, unnest([0] || range(4, n + 1)) as i from s where n < 11)),
+r as (select n, bits, head, parts from k where counts group by all having count(*) >= 3),
+gone as (select distinct doc_id, m from k join r using (n, bits, head, parts)),
+g as (select doc_id, list(m) as ms from gone group by 1),
+kept as (select doc_id, len(raw) as n_lines, case when ms is null then raw
+                 else list_filter(raw, lambda y: not list_contains(ms, regexp_replace(y, '[^ 0-9]*[0-9][^ ]*', '<*>', 'g'))) end as stays
          from d left join g using (doc_id))
-select doc_id, cast(n_lines as bigint) as n_lines, cast(c as bigint) as n_dropped, cast(length(kept) as bigint) as kept_chars,
-       sha256(kept) as kept_sha256
+select doc_id, cast(n_lines as bigint) as n_lines, cast(n_lines - len(stays) as bigint) as n_dropped,
+       cast(length(array_to_string(stays, chr(10))) as bigint) as kept_chars, sha256(array_to_string(stays, chr(10))) as kept_sha256
 from kept
 """
 

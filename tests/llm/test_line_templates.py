@@ -32,6 +32,28 @@ def test_report_counts(spark):
     assert [(rows[i].n_lines, rows[i].n_dropped) for i in (0, 12, 27, 28)] == [(4, 2), (2, 0), (1, 0), (1, 0)]
 
 
+def test_what_hides_and_what_does_not(spark):
+    own = lambda k: "".join(chr(97 + int(d)) for d in str(k)).title() + " is a word that no other page has ever had on it."
+    head = "This very long header stands above each of the pages of one great source, and is longer than all that they say."
+    foot = "And this footer, which is long as well, closes every page of the same great source without any change at all."
+    passage = "A passage that unrelated pages share."
+    hot = [f"{head}\n{own(k)}\n{own(k + 30)}\n{own(k + 60)}\n{foot}" for k in range(12)]
+    some = [f"{own(100 + k)}\n{passage}" for k in range(3)]
+    copies = [f"The original has this line.\nThe original has that line too.\nAnd a third one follows here.\n{passage}\nThen copy {w} ends the page here." for w in "abcdefghijklmnopqrst"]
+    field = [f"{own(200 + k)}\nPosted on the board by {w}" for k, w in enumerate(("Anna", "Bert", "Carl"))]
+    two = [f"{own(300 + k)}\nSent at noon by {a} of the old town hall to {b} in the valley below." for k, (a, b) in enumerate((("Anna", "Dora"), ("Bert", "Emil"), ("Carl", "Fred")))]
+    texts = [*hot, *some, *copies, *field, *two, passage, passage]
+    got = {r.doc_id: r.text.split("\n") for r in line_templates.strip(documents(spark, texts)).collect()}
+    at = 0
+    for k in range(12):
+        assert got[k] == texts[k].split("\n")[1:-1]  # header and footer go, though each is longer than what is between
+    at = 12
+    assert all(got[at + k] == [own(100 + k)] for k in range(3))  # twenty copies do not outvote three pages
+    assert all(got[15 + k] == [x for x in texts[15 + k].split("\n") if x != passage] for k in range(20))  # and keep their own lines
+    assert all(got[35 + k] == [own(200 + k)] for k in range(3)) and all(got[38 + k] == [own(300 + k)] for k in range(3))
+    assert got[41] == got[42] == [""]
+
+
 def test_awkward_rows_stay(spark):
     df = awkward(spark)
     after = line_templates.strip(df)
