@@ -1,39 +1,72 @@
-"""Uncompressed TIFF stacks as a Spark data source: format "tiff" reads frames in ranges, and writes a file for each task.
+"""TIFF stacks as a Spark data source: format "tiff" reads frames in ranges, and every task writes files of its own.
 
     spark.dataSource.register(TiffSource)
     spark.read.format("tiff").option("chunk", 16).load(path)      # frame, h, w, data
     movie.write.format("tiff").mode("overwrite").save(folder)
 
-Strips must follow each other without compression, one sample a pixel: 8, 16 or 32-bit integers or floats, classic or
-BigTIFF. A partition reads the pages of its frames only.
+Pages have one sample a pixel, plain or deflated: 8, 16 or 32-bit integers or floats, classic or BigTIFF. A partition
+reads the pages of its frames only. The files of a folder are one movie, in the order of their names: frames are counted
+on from file to file. Pages that this module wrote know their frame, so the order in which tasks wrote does not matter.
+Paths are local or of a file system that pyarrow opens (hdfs://, s3://, gs://, file://).
+
+An overwrite is one step: the list of the movie's files (`_frames`) is replaced when all new files are there, and old
+files go afterwards; a failed or aborted job changes nothing and leaves no file.
 """
 
 from __future__ import annotations
 
-import os
+import posixpath
+import re
 import struct
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow.fs as pafs
 from pyspark.sql import Row
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..schemas import MOVIE
 
 #: Tags of the format, fixed values.
-WIDTH, HEIGHT, BITS, COMPRESSION, OFFSETS, SAMPLES, COUNTS, FORMAT = 256, 257, 258, 259, 273, 277, 279, 339
-SIZES = {1: "B", 3: "H", 4: "I", 16: "Q"}
+WIDTH, HEIGHT, BITS, COMPRESSION, DESCRIPTION, OFFSETS, SAMPLES, COUNTS, PREDICTOR, FORMAT = 256, 257, 258, 259, 270, 273, 277, 279, 317, 339
+SIZES = {1: "B", 2: "s", 3: "H", 4: "I", 16: "Q"}
+PLAIN, DEFLATED = 1, (8, 32946)
 BIG = 2 << 30  # files of this size on are BigTIFF
+LISTED = "_frames"  # the files of a movie, one a line
 
 
-def pages(f) -> list[dict]:
-    """Directory of every page: shape, dtype and strips."""
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+
+
+def _header(f) -> tuple[str, bool, int]:
+    """Byte order, whether it is a BigTIFF, and where the first directory is."""
     head = f.read(16)
     end = {b"II": "<", b"MM": ">"}.get(head[:2])
     if end is None:
         raise ValueError("no TIFF file")
     big = struct.unpack(end + "H", head[2:4])[0] == 43
-    at = struct.unpack(end + ("Q" if big else "I"), head[8:16] if big else head[4:8])[0]
+    return end, big, struct.unpack(end + ("Q" if big else "I"), head[8:16] if big else head[4:8])[0]
+
+
+def count_pages(f) -> int:
+    """How many pages a file has, by the chain of directories alone."""
+    end, big, at = _header(f)
+    n = 0
+    while at:
+        f.seek(at)
+        entries = struct.unpack(end + ("Q" if big else "H"), f.read(8 if big else 2))[0]
+        f.seek(at + (8 + 20 * entries if big else 2 + 12 * entries))
+        at = struct.unpack(end + ("Q" if big else "I"), f.read(8 if big else 4))[0]
+        n += 1
+    return n
+
+
+def pages(f) -> list[dict]:
+    """Directory of every page: shape, dtype, strips, and its frame if it is written there."""
+    end, big, at = _header(f)
     out = []
     while at:
         f.seek(at)
@@ -48,7 +81,7 @@ def pages(f) -> list[dict]:
             if kind not in SIZES:
                 continue
             count = struct.unpack(end + ("Q" if big else "I"), e[4:12] if big else e[4:8])[0]
-            size = struct.calcsize(SIZES[kind]) * count
+            size = struct.calcsize("=" + SIZES[kind]) * count
             value = e[12:] if big else e[8:]
             if size > len(value):
                 here = f.tell()
@@ -56,24 +89,30 @@ def pages(f) -> list[dict]:
                 value = f.read(size)
                 f.seek(here)
             tags[tag] = struct.unpack(end + f"{count}{SIZES[kind]}", value[:size])
-        if tags.get(COMPRESSION, (1,))[0] != 1 or tags.get(SAMPLES, (1,))[0] != 1:
-            raise ValueError("only uncompressed single-channel pages can be read")
+        packed = tags.get(COMPRESSION, (PLAIN,))[0]
+        if packed not in (PLAIN, *DEFLATED) or tags.get(SAMPLES, (1,))[0] != 1 or tags.get(PREDICTOR, (1,))[0] != 1:
+            raise ValueError("only plain or deflated single-channel pages without a predictor can be read")
         kind = {1: "u", 2: "i", 3: "f"}[tags.get(FORMAT, (1,))[0]]
-        out.append({"h": tags[HEIGHT][0], "w": tags[WIDTH][0], "dtype": f"{end}{kind}{tags[BITS][0] // 8}", "strips": list(zip(tags[OFFSETS], tags[COUNTS]))})
+        frame = re.match(rb"frame=(\d+)", tags.get(DESCRIPTION, (b"",))[0])
+        page = {"h": tags[HEIGHT][0], "w": tags[WIDTH][0], "dtype": f"{end}{kind}{tags[BITS][0] // 8}", "strips": list(zip(tags[OFFSETS], tags[COUNTS]))}
+        out.append(page | {"deflated": packed in DEFLATED, "frame": int(frame[1]) if frame else None})
     return out
 
 
 def page_pixels(f, page: dict) -> np.ndarray:
-    raw = b""
+    parts = []
     for at, n in page["strips"]:
         f.seek(at)
-        raw += f.read(n)
-    return np.frombuffer(raw, page["dtype"]).reshape(page["h"], page["w"]).astype(np.float32)
+        raw = f.read(n)
+        parts.append(zlib.decompress(raw) if page["deflated"] else raw)
+    return np.frombuffer(b"".join(parts), page["dtype"]).reshape(page["h"], page["w"]).astype(np.float32)
 
 
 class Frames(InputPartition):
-    def __init__(self, path: str, first: int, last: int):
-        self.path, self.first, self.last = path, first, last
+    """Pages [first, last) of a file, whose first page is frame `base` of the movie unless the pages say otherwise."""
+
+    def __init__(self, path: str, first: int, last: int, base: int):
+        self.path, self.first, self.last, self.base = path, first, last, base
 
 
 class TiffReader(DataSourceReader):
@@ -82,81 +121,139 @@ class TiffReader(DataSourceReader):
         self.start, self.end = int(options.get("start", 0)), int(options.get("end", -1))
 
     def files(self) -> list[str]:
-        if os.path.isdir(self.path):
-            return [os.path.join(self.path, n) for n in sorted(os.listdir(self.path), key=str.lower) if n.lower().endswith((".tif", ".tiff")) and not n.startswith("._")]
-        return [self.path]
+        fs, path = file_system(self.path)
+        if fs.get_file_info(path).type != pafs.FileType.Directory:
+            return [path]
+        names = [i.base_name for i in fs.get_file_info(pafs.FileSelector(path)) if i.type == pafs.FileType.File]
+        if LISTED in names:
+            with fs.open_input_stream(posixpath.join(path, LISTED)) as f:
+                names = f.read().decode().split()
+        own = [n for n in names if n.lower().endswith((".tif", ".tiff")) and not n.startswith("._")]
+        return [posixpath.join(path, n) for n in sorted(own, key=str.lower)]
 
     def partitions(self) -> list[Frames]:
-        out = []
+        """Ranges of pages; of the files of other programs those outside start and end are left out unread."""
+        fs, _ = file_system(self.path)
+        out, base = [], 0
         for path in self.files():
-            with open(path, "rb") as f:
-                n = len(pages(f))
-            end = n if self.end < 0 else min(self.end, n)
-            out += [Frames(path, k, min(k + self.chunk, end)) for k in range(self.start, end, self.chunk)]
+            said = re.search(r"frames-(\d+)-(\d+)-(\d+)-\w+\.tif$", path)  # first and last frame, and how many, as written here
+            if said:
+                first, last, n = map(int, said.groups())
+                if last >= self.start and (self.end < 0 or first < self.end):
+                    out += [Frames(path, k, min(k + self.chunk, n), 0) for k in range(0, n, self.chunk)]
+                continue
+            with fs.open_input_file(path) as f:
+                n = count_pages(f)
+            first, last = max(self.start - base, 0), n if self.end < 0 else min(self.end - base, n)
+            out += [Frames(path, k, min(k + self.chunk, last), base) for k in range(first, last, self.chunk)]
+            base += n
         return out
 
     def read(self, partition: Frames) -> Iterator[Row]:
-        with open(partition.path, "rb") as f:
+        fs, _ = file_system(self.path)
+        with fs.open_input_file(partition.path) as f:
             directory = pages(f)
             for k in range(partition.first, partition.last):
-                image = page_pixels(f, directory[k])
-                yield Row(frame=k, h=image.shape[0], w=image.shape[1], data=image.ravel().tolist())
+                own = directory[k]["frame"]
+                frame = partition.base + k if own is None else own
+                if frame >= self.start and (self.end < 0 or frame < self.end):
+                    image = page_pixels(f, directory[k])
+                    yield Row(frame=frame, h=image.shape[0], w=image.shape[1], data=image.ravel().tolist())
 
 
 class Written(WriterCommitMessage):
-    def __init__(self, path: str | None):
-        self.path = path
-
-
-def write_stack(path: str, frames: list[np.ndarray]) -> None:
-    """Float frames as one file, a strip a page; BigTIFF where the file would be large."""
-    big = sum(f.nbytes for f in frames) >= BIG
-    with open(path, "wb") as f:
-        f.write(struct.pack("<2sHHHQ", b"II", 43, 8, 0, 16) if big else struct.pack("<2sHI", b"II", 42, 8))
-        for k, image in enumerate(frames):
-            h, w = image.shape
-            entries = [(WIDTH, 4, w), (HEIGHT, 4, h), (BITS, 3, 32), (COMPRESSION, 3, 1), (262, 3, 1), (OFFSETS, 16 if big else 4, None), (SAMPLES, 3, 1), (278, 4, h), (COUNTS, 16 if big else 4, h * w * 4), (FORMAT, 3, 3)]
-            at = f.tell()
-            data = at + (8 + 20 * len(entries) + 8 if big else 2 + 12 * len(entries) + 4)
-            after = data + h * w * 4
-            f.write(struct.pack("<Q" if big else "<H", len(entries)))
-            for tag, kind, value in entries:
-                value = data if value is None else value
-                f.write(struct.pack("<HHQQ", tag, kind, 1, value) if big else struct.pack("<HHII", tag, kind, 1, value))
-            f.write(struct.pack("<Q" if big else "<I", after if k + 1 < len(frames) else 0))
-            f.write(image.astype("<f4").tobytes())
+    def __init__(self, names: list[str]):
+        self.names = names
+
+
+def write_stack(f, images: list[np.ndarray], frames: list[int] | None = None) -> None:
+    """Float images to an open file, a strip a page, with their frame numbers if given; BigTIFF where it would be large."""
+    big = sum(i.nbytes for i in images) >= BIG
+    f.write(struct.pack("<2sHHHQ", b"II", 43, 8, 0, 16) if big else struct.pack("<2sHI", b"II", 42, 8))
+    at = 16 if big else 8
+    for k, image in enumerate(images):
+        h, w = image.shape
+        said = b"frame=%d\0" % frames[k] if frames else b""
+        entries = [(WIDTH, 4, 1, w), (HEIGHT, 4, 1, h), (BITS, 3, 1, 32), (COMPRESSION, 3, 1, PLAIN), (262, 3, 1, 1)]
+        entries += [(DESCRIPTION, 2, len(said), None)] * bool(said)
+        entries += [(OFFSETS, 16 if big else 4, 1, None), (SAMPLES, 3, 1, 1), (278, 4, 1, h), (COUNTS, 16 if big else 4, 1, h * w * 4), (FORMAT, 3, 1, 3)]
+        text = at + (8 + 20 * len(entries) + 8 if big else 2 + 12 * len(entries) + 4)
+        said += b"\0" * (-len(said) % 8 + 8 * bool(said))  # longer than a value's place in the directory, so it stands outside
+        data = text + len(said)
+        after = data + h * w * 4
+        f.write(struct.pack("<Q" if big else "<H", len(entries)))
+        for tag, kind, count, value in entries:
+            value = {DESCRIPTION: text, OFFSETS: data}.get(tag, value)
+            count = len(said) if tag == DESCRIPTION else count
+            f.write(struct.pack("<HHQQ", tag, kind, count, value) if big else struct.pack("<HHII", tag, kind, count, value))
+        f.write(struct.pack("<Q" if big else "<I", after if k + 1 < len(images) else 0))
+        f.write(said)
+        f.write(image.astype("<f4").tobytes())
+        at = after
 
 
 class TiffWriter(DataSourceWriter):
-    """Every task writes its frames, in order, to a file of its own; a failed job leaves none."""
+    """Every task writes its frames to files of its own, of `file_mb` megabytes about, which bounds what it holds."""
 
     def __init__(self, options: dict, overwrite: bool):
-        self.path, self.overwrite = options["path"], overwrite
+        self.path, self.overwrite, self.most = options["path"], overwrite, int(options.get("file_mb", 256)) << 20
+        self.job = uuid.uuid4().hex[:12]
 
     def write(self, iterator: Iterator[Row]) -> Written:
         from pyspark import TaskContext
 
-        rows = sorted(((r.frame, np.array(r.data, np.float32).reshape(r.h, r.w)) for r in iterator), key=lambda r: r[0])
-        if not rows:
-            return Written(None)
-        os.makedirs(self.path, exist_ok=True)
-        path = os.path.join(self.path, f"frames-{rows[0][0]:09d}-{TaskContext.get().taskAttemptId()}.tif")
-        write_stack(path + ".part", [image for _, image in rows])
-        return Written(path)
+        fs, path = file_system(self.path)
+        fs.create_dir(path, recursive=True)
+        names, held, size, attempt = [], [], 0, TaskContext.get().taskAttemptId()
+
+        def flush() -> None:
+            held.sort(key=lambda x: x[0])
+            frames = [k for k, _ in held]
+            names.append(f"frames-{frames[0]:09d}-{frames[-1]:09d}-{len(frames)}-{self.job}_{attempt}_{len(names)}.tif")
+            with fs.open_output_stream(posixpath.join(path, names[-1] + ".part")) as f:
+                write_stack(f, [image for _, image in held], frames)
+            held.clear()
+
+        for r in iterator:
+            image = np.array(r.data, np.float32).reshape(r.h, r.w)
+            held.append((r.frame, image))
+            size += image.nbytes
+            if size >= self.most:
+                flush()
+                size = 0
+        if held:
+            flush()
+        return Written(names)
+
+    def _names(self) -> list[str]:
+        fs, path = file_system(self.path)
+        found = fs.get_file_info(pafs.FileSelector(path, allow_not_found=True))
+        return [i.base_name for i in found if i.type == pafs.FileType.File]
 
     def commit(self, messages: list[Written]) -> None:
-        new = {m.path for m in messages if m and m.path}
-        if self.overwrite and os.path.isdir(self.path):
-            for n in os.listdir(self.path):
-                if n.endswith(".tif"):
-                    os.remove(os.path.join(self.path, n))
-        for path in new:
-            os.replace(path + ".part", path)
+        fs, path = file_system(self.path)
+        fs.create_dir(path, recursive=True)
+        new = [n for m in messages if m for n in m.names]
+        for n in new:
+            fs.move(posixpath.join(path, n + ".part"), posixpath.join(path, n))
+        there = self._names()
+        before = []
+        if not self.overwrite:
+            before = [posixpath.basename(p) for p in TiffReader({"path": self.path}).files() if posixpath.basename(p) not in new]
+        with fs.open_output_stream(posixpath.join(path, f"{LISTED}.{self.job}.part")) as f:
+            f.write("\n".join([*before, *new]).encode())
+        fs.move(posixpath.join(path, f"{LISTED}.{self.job}.part"), posixpath.join(path, LISTED))
+        self._remove(n for n in there if self.job in n and n.endswith(".part"))  # of attempts that lost
+        if self.overwrite:
+            self._remove(n for n in there if n.endswith(".tif") and n not in new)
 
     def abort(self, messages: list[Written]) -> None:
-        for m in messages:
-            if m and m.path and os.path.exists(m.path + ".part"):
-                os.remove(m.path + ".part")
+        self._remove(n for n in self._names() if self.job in n)
+
+    def _remove(self, names) -> None:
+        fs, path = file_system(self.path)
+        for n in names:
+            fs.delete_file(posixpath.join(path, n))
 
 
 class TiffSource(DataSource):
