@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, body) -> Column:
+    """body(value), with the value worked out once: inside another lambda it would be worked out for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def percentile(values: Column, q: float) -> Column:
     """Percentile q (0 to 1) of an array of numbers, linear between neighbours; null for an empty array. NaN sorts last."""
     ordered, at = F.sort_array(values.cast("array<double>")), (F.size(values) - 1) * F.lit(float(q))
@@ -14,6 +19,11 @@ def percentile(values: Column, q: float) -> Column:
     return F.when(F.size(values) > 0, a + (b - a) * (at - low))
 
 
+def percentiles(values: Column, *shares: float) -> list[Column]:
+    """Several percentiles of an array; Spark sorts it once, since the expressions are equal."""
+    return [percentile(values, q) for q in shares]
+
+
 def mean(values: Column) -> Column:
     total = F.aggregate(values, F.lit(0.0), lambda s, v: s + v.cast("double"))
     return F.when(F.size(values) > 0, total / F.size(values))
@@ -22,7 +32,7 @@ def mean(values: Column) -> Column:
 def std(values: Column) -> Column:
     """Population standard deviation, from the squares about the mean."""
     middle = mean(values)
-    squares = F.transform(F.array(middle), lambda m: F.aggregate(values, F.lit(0.0), lambda s, v: s + (v - m) * (v - m)))[0]
+    squares = bound(middle, lambda m: F.aggregate(values, F.lit(0.0), lambda s, v: s + (v - m) * (v - m)))
     return F.when(F.size(values) > 0, F.sqrt(squares / F.size(values)))
 
 

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,17 +57,50 @@ def product_image(footprint: DataFrame, traces: DataFrame, keep: DataFrame | Non
     return footprint.join(sums, ["patch", "k"]).groupBy("patch", "p").agg(F.sum(F.col("w").cast("double") * F.col("s")).alias("v"))
 
 
+BLOCK = 64  # frames that a task multiplies at once
+PART = 20_000  # weights of a task that are multiplied at once
+
+
+def _multiplied(key: tuple, weights: pd.DataFrame, series: pd.DataFrame) -> pd.DataFrame:
+    """(patch, p, t, v) of one patch and block of frames."""
+    rows, at = np.unique(series["q"], return_inverse=True)
+    first = int(series["t"].min()) if len(series) else 0
+    values = np.zeros((len(rows), int(series["t"].max()) - first + 1 if len(series) else 0))
+    there = np.zeros(values.shape)
+    values[at, series["t"] - first], there[at, series["t"] - first] = series["v"], 1
+    weights = weights[weights["q"].isin(rows)]
+    pixels, to = np.unique(weights["p"], return_inverse=True)
+    source, w = np.searchsorted(rows, weights["q"]), weights["w"].to_numpy(np.float64)
+    out, n = np.zeros((len(pixels), values.shape[1])), np.zeros((len(pixels), values.shape[1]))
+    for s in range(0, len(w), PART):
+        own = slice(s, s + PART)
+        np.add.at(out, to[own], w[own, None] * values[source[own]])
+        np.add.at(n, to[own], there[source[own]])
+    i, j = np.nonzero(n)
+    return pd.DataFrame({"patch": [key[0]] * len(i), "p": pixels[i], "t": j + first, "v": out[i, j]})
+
+
+def _product(weights: DataFrame, series: DataFrame) -> DataFrame:
+    """(patch, p, t, v): sparse weights (patch, p, q, w) times series (patch, q, t, v), patch by patch in blocks of frames.
+
+    Weights go out once for each block, and the series once; a row for every weight and frame is never made.
+    """
+    rows = series.select("patch", "q", F.col("t").cast("long").alias("t"), F.col("v").cast("double").alias("v"), F.floor(F.col("t") / BLOCK).alias("b"))
+    spread = weights.select("patch", "p", "q", F.col("w").cast("double").alias("w")).join(rows.select("patch", "b").distinct(), "patch")
+    spread = spread.select(*(F.col(c).alias(c) for c in ("patch", "p", "q", "w", "b")))  # both sides may come from one table
+    kind = weights.schema["patch"].dataType.simpleString()
+    return spread.groupBy("patch", "b").cogroup(rows.groupBy("patch", "b")).applyInPandas(_multiplied, f"patch {kind}, p long, t int, v double")
+
+
 def product_movie(footprint: DataFrame, traces: DataFrame, keep: DataFrame | None = None, residual: bool = False) -> DataFrame:
     """(patch, p, t, v): footprints times traces, by frame."""
     series = F.col("c")
     if residual:
         rest = F.coalesce(F.col("yra"), F.transform("c", lambda v: F.lit(0.0).cast("float")))
         series = F.zip_with("c", rest, lambda a, b: a.cast("double") + b.cast("double"))
-    rows = traces.select("patch", "k", F.posexplode(series).alias("t", "c"))
     if keep is not None:
-        rows = rows.join(keep, ["patch", "k"], "left_semi")
-    both = footprint.join(rows, ["patch", "k"])
-    return both.groupBy("patch", "p", "t").agg(F.sum(F.col("w").cast("double") * F.col("c")).alias("v"))
+        traces = traces.join(keep, ["patch", "k"], "left_semi")
+    return _product(footprint.withColumnRenamed("k", "q"), traces.select("patch", F.col("k").alias("q"), F.posexplode(series).alias("t", "v")))
 
 
 def ring_background(pixel: DataFrame, model: DataFrame, b0: DataFrame, ring: DataFrame, constant: bool = True) -> DataFrame:
@@ -75,8 +110,8 @@ def ring_background(pixel: DataFrame, model: DataFrame, b0: DataFrame, ring: Dat
     """
     base = b0.select("patch", "p", F.col("v").alias("b"))
     ac = model.select("patch", "p", "t", F.col("v").alias("m"))
-    rest = pixel.join(ac, ["patch", "p", "t"], "left").join(base, ["patch", "p"]).withColumn("r", F.col("v") - F.coalesce("m", F.lit(0.0)) - F.col("b"))
-    out = ring.join(rest.select("patch", F.col("p").alias("q"), "t", "r"), ["patch", "q"]).groupBy("patch", "p", "t").agg(F.sum(F.col("w") * F.col("r")).alias("v"))
+    rest = pixel.join(ac, ["patch", "p", "t"], "left").join(base, ["patch", "p"])
+    out = _product(ring, rest.select("patch", F.col("p").alias("q"), "t", (F.col("v") - F.coalesce("m", F.lit(0.0)) - F.col("b")).alias("v")))
     return out.join(base, ["patch", "p"]).select("patch", "p", "t", (F.col("v") + F.col("b")).alias("v")) if constant else out
 
 
@@ -130,9 +165,11 @@ def joint_only(footprint: DataFrame, active: DataFrame, least: float = 0.1) -> D
 
 
 def _durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint; without spark.checkpoint.dir (tests on one machine) in a temporary folder."""
+    """Cut the lineage with a checkpoint; only a session on one machine (tests) gets a folder where spark.checkpoint.dir is unset."""
     sc = df.sparkSession.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and not sc.getCheckpointDir():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tesserae-checkpoint-"))
     return df.checkpoint()
 
@@ -172,8 +209,12 @@ def nearest(points: DataFrame, key: str, size: float) -> DataFrame:
 
 
 def spacing(distances: DataFrame) -> DataFrame:
-    """One row: the median nearest-neighbour distance; 24 with fewer than two points."""
-    return distances.agg(F.when(F.count("*") >= 2, F.percentile("distance", F.lit(0.5))).otherwise(F.lit(24.0)).alias("sigma"))
+    """One row (sigma, median): the median nearest-neighbour distance, and the smoothing width max(24, 2 * median).
+
+    distances: nearest(); fewer than two points have none: (24, 0).
+    """
+    median = F.coalesce(F.percentile("distance", F.lit(0.5)), F.lit(0.0))
+    return distances.agg(median.alias("median")).select(F.greatest(F.lit(24.0), 2 * F.col("median")).alias("sigma"), "median")
 
 
 def scattered(points: DataFrame, value: str) -> DataFrame:
@@ -191,28 +232,45 @@ def painted(outlines: DataFrame, order: str, colour: str) -> DataFrame:
     return outlines.groupBy("y", "x").agg(F.max_by(colour, order).alias(colour))
 
 
+def _border(pdf: pd.DataFrame, share: float) -> np.ndarray:
+    """(y, x) of the border of one component's core, from its pixels."""
+    w = pdf["w"].to_numpy(np.float64)
+    y, x = pdf["y"].to_numpy(np.int64), pdf["x"].to_numpy(np.int64)
+    on = (w >= share * w.max()) & (w > 0)
+    if not on.any():
+        return np.zeros((0, 2), np.int64)
+    y, x, w = y[on], x[on], w[on]
+    top = np.lexsort((y, x, -w))[0]
+    y0, x0 = y.min() - 1, x.min() - 1
+    left = np.zeros((y.max() - y0 + 2, x.max() - x0 + 2), bool)
+    left[y - y0, x - x0] = True
+    part, new = np.zeros_like(left), [(y[top] - y0, x[top] - x0)]
+    left[new[0]] = False
+    while new:
+        i, j = new.pop()
+        part[i, j] = True
+        for n in ((i - 1, j), (i + 1, j), (i, j - 1), (i, j + 1)):
+            if left[n]:
+                left[n] = False
+                new.append(n)
+    inner = part.copy()
+    for dy in (-1, 0, 1):
+        for dx in (-1, 0, 1):
+            inner &= np.roll(part, (dy, dx), (0, 1))  # a rim of empty pixels is all that goes round
+    return np.argwhere(part & ~inner) + (y0, x0)
+
+
 def outlines(core: DataFrame, share: float = 0.2) -> DataFrame:
     """(patch, k, y, x): the border of each component's core.
 
     The core is the 4-connected part, about the peak, of pixels with at least a share of the greatest weight; its border
-    is what a 3 x 3 erosion takes away. The part grows from its newest pixels until it has no more neighbours.
+    is what a 3 x 3 erosion takes away. Each component is labelled by itself, in time with its bounding box.
     """
-    most = core.groupBy("patch", "k").agg(F.max("w").alias("_m"))
-    top = core.join(most, ["patch", "k"]).where((F.col("w") >= share * F.col("_m")) & (F.col("w") > 0)).select("patch", "k", "y", "x", "w")
-    best = F.max_by(F.struct("y", "x"), F.struct("w", (-F.col("x")).alias("a"), (-F.col("y")).alias("b"))).alias("m")
-    pieces = top.groupBy("patch", "k").agg(F.collect_set(F.struct("y", "x")).alias("cells"), best)  # one component's core is small
-
-    def grow(s, _):
-        def touches(c):
-            return F.exists(s["new"], lambda d: (F.abs(c["y"] - d["y"]) + F.abs(c["x"] - d["x"])) <= 1)
-
-        def moved(new):
-            return F.struct(F.concat(s["part"], new).alias("part"), new.alias("new"), F.array_except(s["left"], new).alias("left"))
+    kinds = {c: core.schema[c].dataType.simpleString() for c in ("patch", "k")}
 
-        return F.when(F.size(s["new"]) == 0, s).otherwise(F.transform(F.array(F.filter(s["left"], touches)), moved)[0])
+    def outline(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        at = _border(pdf, share)
+        return pd.DataFrame({"patch": [key[0]] * len(at), "k": [key[1]] * len(at), "y": at[:, 0], "x": at[:, 1]})
 
-    start = F.struct(F.array("m").alias("part"), F.array("m").alias("new"), F.array_except("cells", F.array("m")).alias("left"))
-    whole = F.aggregate(F.sequence(F.lit(1), F.size("cells")), start, grow, lambda s: s["part"])  # a step adds a pixel or is the last
-    part = pieces.select("patch", "k", whole.alias("part"))
-    inner = F.filter("part", lambda c: F.size(F.filter("part", lambda d: (F.abs(c["y"] - d["y"]) <= 1) & (F.abs(c["x"] - d["x"]) <= 1))) == 9)
-    return part.select("patch", "k", F.explode(F.array_except("part", inner)).alias("c")).select("patch", "k", "c.y", "c.x")
+    rows = core.where("w is not null").select("patch", "k", "y", "x", "w")
+    return rows.groupBy("patch", "k").applyInPandas(outline, f"patch {kinds['patch']}, k {kinds['k']}, y int, x int")

@@ -47,16 +47,26 @@ def correlation_map(reference: np.ndarray, moving: np.ndarray) -> np.ndarray:
     """Phase correlation, centred: the peak's distance from the middle is the shift of the moving image."""
     if reference.shape != moving.shape:
         raise ValueError(f"shapes differ: {reference.shape} and {moving.shape}")
-    low = np.clip(reference, *np.percentile(reference, [1, 99])), np.clip(moving, *np.percentile(moving, [1, 99]))
-    cross = np.fft.fft2(whitened(low[0])) * np.conj(np.fft.fft2(whitened(low[1])))
+    cross = np.fft.fft2(whitened(reference)) * np.conj(np.fft.fft2(whitened(moving)))
     return np.fft.fftshift(np.abs(np.fft.ifft2(cross / np.maximum(np.abs(cross), 1e-8))))
 
 
-def phase_correlation(pairs: DataFrame) -> DataFrame:
-    """(frame, h, w, corr) of rows with a reference (data) and a moving image (moving)."""
+def feature(image: np.ndarray, mode: str, keep: float, sigmas: tuple[float, ...]) -> np.ndarray:
+    """What is correlated: the clipped image itself ("raw"), or its strongest dark ridges ("ridges")."""
+    image = np.clip(image, *np.percentile(image, [1, 99]))
+    if mode == "raw":
+        return image
+    span = image.max() - image.min()
+    return strongest(ridge_response((image - image.min()) / span if span > 0 else np.zeros_like(image), sigmas), keep)[0]
+
+
+def phase_correlation(pairs: DataFrame, mode: str = "raw", keep: float = 20.0, sigmas: tuple[float, ...] = (4.0, 5.0, 6.0, 7.0)) -> DataFrame:
+    """(frame, h, w, corr) of rows with a reference (data) and a moving image (moving), by their values or their ridges."""
+    if mode not in ("raw", "ridges"):
+        raise ValueError("mode must be raw or ridges")
 
     def kernel(a, b):
-        out = _image(correlation_map(a, b))
+        out = _image(correlation_map(feature(a, mode, keep, sigmas), feature(b, mode, keep, sigmas)))
         return {"h": out["h"], "w": out["w"], "corr": out["data"]}
 
     return per_image(pairs, kernel, "frame int, h int, w int, corr array<float>", "data", "moving")
@@ -106,8 +116,8 @@ def band_pass(images: DataFrame) -> DataFrame:
 
 
 def regression_field(total: np.ndarray, count: np.ndarray, sigma: float) -> np.ndarray:
-    """Kernel regression of scattered values: blurred totals over blurred counts."""
-    return gaussian_blur(total, sigma) / np.maximum(gaussian_blur(count, sigma), 1e-12)
+    """Kernel regression of scattered values: blurred totals over blurred counts, which count as 1e-8 at least."""
+    return gaussian_blur(total, sigma) / np.maximum(gaussian_blur(count, sigma), 1e-8)
 
 
 # ---- ridges
@@ -164,16 +174,22 @@ def gaussian_peak(p: np.ndarray, yy: np.ndarray, xx: np.ndarray) -> np.ndarray:
 
 
 def fit_peak(corr: np.ndarray, window: tuple[int, int, int, int], most: int = 400) -> dict:
-    """Weighted least squares of the peak in a window, by Levenberg-Marquardt held to bounds; its start if that fails."""
+    """Weighted least squares of the peak in a window, by Levenberg-Marquardt held to bounds; its start if that fails.
+
+    The start is the window's centre, a quarter of its sides and its tenth percentile; the bounds follow the window and
+    its values.
+    """
     y0, y1, x0, x1 = window
-    part = corr[y0:y1, x0:x1]
+    part = np.asarray(corr, np.float64)[y0:y1, x0:x1]
+    (h, w), eps = part.shape, float(np.finfo(np.float64).eps)
     yy, xx = np.mgrid[y0:y1, x0:x1].astype(np.float64)
-    top = np.unravel_index(part.argmax(), part.shape)
-    peak, floor = float(part.max()), float(np.median(part))
-    weight = 0.25 + (part / peak) ** 2 if peak > 0 else np.ones_like(part)
-    p = np.array([max(peak - floor, 1e-6), y0 + top[0], x0 + top[1], np.log(1.5), np.log(1.5), 0.0, floor])
-    low = np.array([0, y0, x0, np.log(0.3), np.log(0.3), -3, -np.inf])
-    high = np.array([np.inf, y1 - 1, x1 - 1, np.log(max(y1 - y0, 1)), np.log(max(x1 - x0, 1)), 3, np.inf])
+    top = np.unravel_index(np.asarray(corr).argmax(), np.asarray(corr).shape)
+    least, peak, floor = float(part.min()), float(part.max()), float(np.percentile(part, 10))
+    weight = 0.25 + (part / max(peak, eps)) ** 2
+    p = np.array([max(peak - floor, eps), (y0 + y1 - 1) / 2, (x0 + x1 - 1) / 2, np.log(max(h / 4, 1.5)), np.log(max(w / 4, 1.5)), 0.0, floor])
+    low = np.array([0, y0, x0, np.log(0.5), np.log(0.5), -4, least])
+    high = np.array([max(5 * peak, 1), y1 - 1, x1 - 1, np.log(max(h, 2)), np.log(max(w, 2)), 4, max(peak, least + 1e-6)])
+    p = np.clip(p, low, high)
     start = p.copy()
     residual = lambda q: (weight * (gaussian_peak(q, yy, xx) - part)).ravel()
     r, damping, calls = residual(p), 1e-3, 1
@@ -204,7 +220,7 @@ def fit_peak(corr: np.ndarray, window: tuple[int, int, int, int], most: int = 40
     values, vectors = np.linalg.eigh(np.array([[sy * sy, rho * sy * sx], [rho * sy * sx, sx * sx]]))
     major = vectors[:, 1]
     return {
-        "peak_y": int(y0 + top[0]), "peak_x": int(x0 + top[1]), "centre_y": float(p[1]), "centre_x": float(p[2]), "sigma_y": float(sy), "sigma_x": float(sx),
+        "peak_y": int(top[0]), "peak_x": int(top[1]), "centre_y": float(p[1]), "centre_x": float(p[2]), "sigma_y": float(sy), "sigma_x": float(sx),
         "rho": float(rho), "angle": float(np.degrees(np.arctan2(major[0], major[1]))), "major": float(np.sqrt(values[1])), "minor": float(np.sqrt(max(values[0], 0.0))),
     }
 

@@ -6,10 +6,12 @@ array functions and no shuffle; what looks across frames groups exploded pixels,
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays
+from . import kernels
 
 
 def pixels(movie: DataFrame) -> DataFrame:
@@ -47,83 +49,113 @@ def scaled_image(movie: DataFrame) -> DataFrame:
     return movie.select("frame", "h", "w", data.alias("data"))
 
 
+def _limits(low, high) -> Column:
+    return F.struct(low.alias("low"), high.alias("high"))
+
+
+def _between(movie: DataFrame, limits: Column, pixel) -> DataFrame:
+    """Each frame's pixels by pixel(v, limits); the frame's limits are found once, not for every pixel."""
+    return movie.select("frame", "h", "w", arrays.bound(limits, lambda s: F.transform("data", lambda v: pixel(v, s))).alias("data"))
+
+
+def _unit(v: Column, low: Column, span: Column) -> Column:
+    return F.greatest(F.least((v.cast("double") - low) / span, F.lit(1.0)), F.lit(0.0))
+
+
 def clipped(movie: DataFrame, low: float = 1, high: float = 99) -> DataFrame:
     """Each frame held between two of its percentiles."""
-    with_limits = movie.withColumns({"_l": arrays.percentile(F.col("data"), low / 100), "_h": arrays.percentile(F.col("data"), high / 100)})
-    data = F.transform("data", lambda v: F.greatest(F.least(v.cast("double"), F.col("_h")), F.col("_l")))
-    return with_limits.select("frame", "h", "w", data.alias("data"))
+    limits = _limits(*arrays.percentiles(F.col("data"), low / 100, high / 100))
+    return _between(movie, limits, lambda v, s: F.greatest(F.least(v.cast("double"), s["high"]), s["low"]))
 
 
 def percentile_view(movie: DataFrame, low: float = 1, high: float = 99.5) -> DataFrame:
     """Each frame mapped to 0..1 between two of its percentiles."""
-    with_limits = movie.withColumns({"_l": arrays.percentile(F.col("data"), low / 100), "_h": arrays.percentile(F.col("data"), high / 100)})
-    scale = F.greatest(F.col("_h") - F.col("_l"), F.lit(1e-6))
-    data = F.transform("data", lambda v: F.greatest(F.least((v.cast("double") - F.col("_l")) / scale, F.lit(1.0)), F.lit(0.0)))
-    return with_limits.select("frame", "h", "w", data.alias("data"))
+    limits = _limits(*arrays.percentiles(F.col("data"), low / 100, high / 100))
+    return _between(movie, limits, lambda v, s: _unit(v, s["low"], F.greatest(s["high"] - s["low"], F.lit(1e-6))))
 
 
 def gray_levels(movie: DataFrame, low: float = 1, high: float = 99, cut: bool = True) -> DataFrame:
     """Bytes between two percentiles of the finite pixels; fractions cut off, or rounded half to even. No range: one is made."""
-    good = F.filter("data", arrays.finite)
-    out = movie.withColumns({"_l": arrays.percentile(good, low / 100), "_h0": arrays.percentile(good, high / 100)})
-    out = out.withColumn("_h", F.when(F.col("_h0") > F.col("_l"), F.col("_h0")).otherwise(F.col("_l") + 1.0))
 
-    def level(v: Column) -> Column:
-        unit = F.greatest(F.least((v.cast("double") - F.col("_l")) / (F.col("_h") - F.col("_l")), F.lit(1.0)), F.lit(0.0))
-        return F.when(arrays.finite(v), (F.floor if cut else F.rint)(unit * 255.0)).otherwise(F.lit(0)).cast("int")
+    def level(v: Column, s: Column) -> Column:
+        span = F.when(s["high"] > s["low"], s["high"] - s["low"]).otherwise(F.lit(1.0))
+        return F.when(arrays.finite(v), (F.floor if cut else F.rint)(_unit(v, s["low"], span) * 255.0)).otherwise(F.lit(0)).cast("int")
 
-    return out.select("frame", "h", "w", F.transform("data", level).alias("data"))
+    return _between(movie, _limits(*arrays.percentiles(F.filter("data", arrays.finite), low / 100, high / 100)), level)
 
 
 def saturated_levels(movie: DataFrame, saturated: float = 0.35) -> DataFrame:
     """Bytes with a share (per cent) saturated at each end; falls back to the range, then to zeros."""
     good = F.filter("data", arrays.finite)
-    low, high = arrays.percentile(good, saturated / 100), arrays.percentile(good, 1 - saturated / 100)
-    out = movie.withColumns({"_l0": low, "_h0": high, "_l1": F.array_min(good).cast("double"), "_h1": F.array_max(good).cast("double")})
-    use = F.col("_h0") > F.col("_l0")
-    out = out.withColumns({"_l": F.when(use, F.col("_l0")).otherwise(F.col("_l1")), "_h": F.when(use, F.col("_h0")).otherwise(F.col("_h1"))})
+    inner, whole = _limits(*arrays.percentiles(good, saturated / 100, 1 - saturated / 100)), _limits(F.array_min(good).cast("double"), F.array_max(good).cast("double"))
+    limits = arrays.bound(inner, lambda s: F.when(s["high"] > s["low"], s).otherwise(whole))
+    return _between(movie, limits, _byte)
 
-    def level(v: Column) -> Column:
-        unit = F.greatest(F.least((v.cast("double") - F.col("_l")) / (F.col("_h") - F.col("_l")), F.lit(1.0)), F.lit(0.0))
-        return F.when(arrays.finite(v) & (F.col("_h") > F.col("_l")), F.rint(unit * 255.0)).otherwise(F.lit(0)).cast("int")
 
-    return out.select("frame", "h", "w", F.transform("data", level).alias("data"))
+def _byte(v: Column, s: Column) -> Column:
+    """0..255 between limits, rounded half to even; 0 for what is not finite, and without a range."""
+    return F.when(arrays.finite(v) & (s["high"] > s["low"]), F.rint(_unit(v, s["low"], s["high"] - s["low"]) * 255.0)).otherwise(F.lit(0)).cast("int")
 
 
-def histogram(pixel: DataFrame, bins: int, keys: tuple[str, ...] = ("frame",)) -> DataFrame:
-    """(keys, bin, n, least, most) over the finite values of a group; the top edge belongs to the last bin."""
-    good = pixel.where(arrays.finite(F.col("v"))).withColumn("v", F.col("v").cast("double"))
-    ends = good.groupBy(*keys).agg(F.min("v").alias("least"), F.max("v").alias("most"))
-    spread = good.join(ends, list(keys)).where("most > least")
-    at = F.least(F.floor((F.col("v") - F.col("least")) * (bins / (F.col("most") - F.col("least")))), F.lit(bins - 1)).cast("int")
-    return spread.withColumn("bin", at).groupBy(*keys, "bin").agg(F.count("*").alias("n"), F.first("least").alias("least"), F.first("most").alias("most"))
+def _automatic(image: np.ndarray) -> dict:
+    """Limits of one image: bins of a 256-bin histogram with over a tenth of the pixels don't count; the first and last
+    with over a 5000th part bound the range. Without such a bin the search ends at the far side: 255 from below, 0 from above.
+    """
+    v = image[np.isfinite(image)]
+    if not v.size:
+        return {"low": None, "high": None}
+    a, b = float(v.min()), float(v.max())
+    first, last, step = 255, 0, (b - a) / 256.0
+    if b > a:
+        n = np.bincount(np.minimum(np.floor((v - a) * (256 / (b - a))), 255).astype(int), minlength=256)
+        good = np.flatnonzero((n <= v.size // 10) & (n > v.size // 5000))
+        first, last = (int(good[0]), int(good[-1])) if good.size else (first, last)
+    low, high = a + first * step, a + last * step
+    return {"low": low, "high": high} if high > low else {"low": a, "high": b}
 
 
-def display_range(pixel: DataFrame) -> DataFrame:
-    """(frame, low, high): the automatic display range of a 256-bin histogram.
+def display_range(movie: DataFrame) -> DataFrame:
+    """(frame, low, high): the automatic display range of each frame, in its row; null without finite pixels."""
+    return kernels.per_image(movie, _automatic, "frame int, low double, high double", "data")
 
-    Bins with over a tenth of the pixels don't count; the first and last bins with over a 5000th part bound the range.
-    """
-    counts = histogram(pixel, 256)
-    total = pixel.where(arrays.finite(F.col("v"))).groupBy("frame").agg(
-        F.count("*").alias("total"), F.min("v").cast("double").alias("a"), F.max("v").cast("double").alias("b")
-    )
-    joined = counts.join(total, "frame")
-    good = (F.col("n") <= F.floor(F.col("total") / 10)) & (F.col("n") > F.floor(F.col("total") / 5000))
-    ends = joined.where(good).groupBy("frame").agg(F.min("bin").alias("first"), F.max("bin").alias("last"))
-    out = total.join(ends, "frame", "left")
-    # without such a bin the search ends at the far side: 255 from below, 0 from above
-    step = (F.col("b") - F.col("a")) / 256.0
-    low, high = F.col("a") + F.coalesce("first", F.lit(255)) * step, F.col("a") + F.coalesce("last", F.lit(0)) * step
-    use = high > low
-    return out.select("frame", F.when(use, low).otherwise(F.col("a")).alias("low"), F.when(use, high).otherwise(F.col("b")).alias("high"))
+
+def display_bytes(movie: DataFrame) -> DataFrame:
+    """Bytes of each frame over its automatic display range; all 0 without a range."""
+
+    def kernel(image: np.ndarray) -> dict:
+        ends, out = _automatic(image), np.zeros(image.shape)
+        if ends["low"] is not None and ends["high"] > ends["low"]:
+            good = np.isfinite(image)
+            unit = np.clip((image[good] - ends["low"]) / (ends["high"] - ends["low"]), 0, 1)
+            out[good] = np.rint(unit * 255.0)
+        return {"h": image.shape[0], "w": image.shape[1], "data": out.astype(np.int32).ravel()}
+
+    return kernels.per_image(movie, kernel, "frame int, h int, w int, data array<int>", "data")
+
+
+def peaks(movie: DataFrame) -> DataFrame:
+    """(frame, y, x, v): the greatest pixel of each frame, the first of equal ones."""
+    top = F.struct(F.array_max("data").alias("v"))
+    at = arrays.bound(top, lambda s: F.struct(s["v"].alias("v"), (F.array_position("data", s["v"]) - 1).alias("i")))
+    rows = movie.select("frame", "w", at.alias("m"))
+    return rows.select("frame", F.expr("m.i div w").cast("int").alias("y"), (F.col("m.i") % F.col("w")).cast("int").alias("x"), F.col("m.v").alias("v"))
+
+
+def _ends(data: Column) -> Column:
+    good = F.filter(data, arrays.finite)
+    low, high = F.array_min(good).cast("double"), F.array_max(good).cast("double")
+    return F.struct(low.alias("low"), F.when(high > low, high).otherwise(low + 1e-6).alias("high"))
 
 
 def display_limits(movie: DataFrame) -> DataFrame:
     """(frame, low, high): the finite range, never empty."""
-    good = F.filter("data", arrays.finite)
-    low, high = F.array_min(good).cast("double"), F.array_max(good).cast("double")
-    return movie.select("frame", low.alias("low"), F.when(high > low, high).otherwise(low + 1e-6).alias("high"))
+    return movie.select("frame", _ends(F.col("data")).alias("m")).select("frame", "m.*")
+
+
+def joint_limits(pairs: DataFrame, other: str = "moving") -> DataFrame:
+    """(frame, low, high): display limits that serve two images of a row alike: the lower low and the higher high."""
+    one, two = _ends(F.col("data")), _ends(F.col(other))
+    return pairs.select("frame", F.least(one["low"], two["low"]).alias("low"), F.greatest(one["high"], two["high"]).alias("high"))
 
 
 def frames_between(movie: DataFrame, start: int, end: int, whole: str = "below one") -> DataFrame:

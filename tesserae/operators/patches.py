@@ -78,8 +78,19 @@ def covers_once(specs: DataFrame, h: int, w: int) -> bool:
     return tuple(row) == (h * w, 1, 1)
 
 
+def holes(specs: DataFrame, h: int, w: int) -> DataFrame:
+    """(y, x) of the image's pixels that no patch covers."""
+    every = specs.sparkSession.range(h * w).select(F.expr(f"cast(id div {w} as int)").alias("y"), F.expr(f"cast(id % {w} as int)").alias("x"))
+    return every.join(coverage(specs).select("y", "x"), ["y", "x"], "left_anti")
+
+
 def has_holes(specs: DataFrame, h: int, w: int) -> bool:
-    return coverage(specs).where((F.col("y") < h) & (F.col("x") < w)).count() < h * w
+    return not holes(specs, h, w).isEmpty()
+
+
+def in_both(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(y, x) that two masks share."""
+    return a.select("y", "x").intersect(b.select("y", "x"))
 
 
 def border_mask(specs: DataFrame, width: int) -> DataFrame:

@@ -85,15 +85,6 @@ def summary(judged: DataFrame, patch: str) -> DataFrame:
     return judged.groupBy(patch).agg(F.count("*").alias("n_before"), F.count_if("keep").alias("n_after"))
 
 
-def kept_ids(judged: DataFrame, patch: str, k: str) -> DataFrame:
-    """(id, patch, k): dense ids of the kept components, by patch and component."""
-    from pyspark.sql import Window as W
-
-    order = W.orderBy(patch, k)
-    # ids need one order over all components; only their keys go through it
-    return judged.where("keep").select(patch, k).withColumn("id", F.row_number().over(order) - 1)
-
-
 def bool_counts(profile: DataFrame, flag: str) -> DataFrame:
     return profile.agg(F.count_if(~F.col(flag)).alias("false_count"), F.count_if(flag).alias("true_count"))
 
@@ -146,6 +137,24 @@ def threshold_label(value: Column, kind: str = "value", decimals: int | None = N
     return F.concat(F.lit(f"reject: {kind} < "), text)
 
 
+def map_label(value: Column, key: str, scale: str = "linear") -> Column:
+    """How a value is written on a map: a flag as 1 or 0, a time with one decimal, else with two; scientific from 100 on
+    and below 0.01.
+    """
+    if scale == "boolean":
+        return F.when(value.cast("boolean"), F.lit("1")).otherwise(F.lit("0"))
+    v = value.cast("double")
+    if key in ("t_peak", "t_half"):
+        return F.format_string("%.1f", v)
+    far = (F.abs(v) >= 100) | ((F.abs(v) > 0) & (F.abs(v) < 0.01))
+    return F.when(far, F.format_string("%.2e", v)).otherwise(F.format_string("%.2f", v))
+
+
+def counts_by(rows: DataFrame, kind: str) -> DataFrame:
+    """(kind, n): how many rows of each kind, such as the anchors of a mosaic."""
+    return rows.groupBy(F.col(kind).alias("kind")).agg(F.count("*").alias("n"))
+
+
 def incomplete_profiles(profile: DataFrame, components: DataFrame, patch: str = "patch", k: str = "component_index") -> DataFrame:
     """(patch, rows, n, least, most) of patches whose profile has not one row for each component 0..n-1."""
     own = profile.groupBy(patch).agg(F.count("*").alias("rows"), F.min(k).alias("least"), F.max(k).alias("most"))

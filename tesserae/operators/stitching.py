@@ -1,20 +1,23 @@
-"""Stitching of shifted images as joins on pixel coordinates.
+"""Stitching of shifted images, inside the row that holds them.
 
-An image is pixels (frame, y, x, v); a movie is stitched frame by frame in one plan, since frame is part of every key.
+A pair is a row (frame, data, moving) of two images whose shapes and offset are the same for all rows; a mosaic is made of
+the four quadrants of one frame. Every pixel of the canvas is looked up in the arrays of its row, so a movie is stitched
+frame by frame without a shuffle, and what a frame needs is its own canvas.
 """
 
 from __future__ import annotations
 
 import math
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import movies
+from ..functions import arrays
+from . import kernels, movies
 
 Shape = tuple[int, int]
+Box = tuple[int, int, int, int]
 
 
 def split_offset(offset: float) -> tuple[int, float]:
@@ -22,16 +25,31 @@ def split_offset(offset: float) -> tuple[int, float]:
     return whole, offset - whole
 
 
-def shifted(pixel: DataFrame, dy: float, dx: float) -> DataFrame:
-    """The image moved by less than a pixel, bilinear: (frame, y, x, v, s). A pixel whose source lies outside has v = s = 0."""
-    out = pixel.select("frame", "y", "x", F.col("v").cast("double").alias("v"), F.lit(1.0).alias("s"))
-    for axis, other, f in (("y", "x", dy), ("x", "y", dx)):
-        if f:
-            order = W.partitionBy("frame", other).orderBy(axis)
-            before, there = F.lag("v").over(order), F.lag("s").over(order)
-            mixed = lambda now, last: F.when(last.isNull(), F.lit(0.0)).otherwise((1 - f) * now + f * last)  # noqa: E731, B023
-            out = out.withColumns({"_v": mixed(F.col("v"), before), "_s": mixed(F.col("s"), there)}).select("frame", "y", "x", F.col("_v").alias("v"), F.col("_s").alias("s"))
-    return out
+def _grid(shape: Shape, pixel) -> Column:
+    """An image of a shape: pixel(y, x) for every place."""
+    w = shape[1]
+    return F.transform(F.sequence(F.lit(0), F.lit(shape[0] * w - 1)), lambda i: pixel(F.floor(i / w).cast("int"), (i % w).cast("int")))
+
+
+def _at(data: Column, shape: Shape, y: Column, x: Column) -> Column:
+    """The pixel at (y, x); 0 outside."""
+    inside = (y >= 0) & (y < shape[0]) & (x >= 0) & (x < shape[1])
+    return F.when(inside, F.get(data, y * shape[1] + x).cast("double")).otherwise(F.lit(0.0))
+
+
+def _moved(data: Column, shape: Shape, fy: float, fx: float, y: Column, x: Column) -> tuple[Column, Column]:
+    """Value and support (1 or 0) at (y, x) of an image moved by less than a pixel, bilinear."""
+    there = (y >= (1 if fy else 0)) & (y < shape[0]) & (x >= (1 if fx else 0)) & (x < shape[1])
+    parts = [(dy, dx, wy * wx) for dy, wy in ((0, 1 - fy), (1, fy)) for dx, wx in ((0, 1 - fx), (1, fx)) if wy * wx]
+    value = sum((_at(data, shape, y - dy, x - dx) * weight for dy, dx, weight in parts), F.lit(0.0))
+    return F.when(there, value).otherwise(F.lit(0.0)), there.cast("double")
+
+
+def shifted(movie: DataFrame, shape: Shape, dy: float, dx: float) -> DataFrame:
+    """Frames moved by less than a pixel, bilinear: data, and support. A pixel whose source lies outside has 0 in both."""
+    value = arrays.bound(F.col("data"), lambda d: _grid(shape, lambda y, x: _moved(d, shape, dy, dx, y, x)[0]))
+    support = _grid(shape, lambda y, x: _moved(F.col("data"), shape, dy, dx, y, x)[1])
+    return movie.select("frame", F.lit(shape[0]).alias("h"), F.lit(shape[1]).alias("w"), value.alias("data"), support.alias("support"))
 
 
 def canvas(reference: Shape, moving: Shape, offset: tuple[float, float]) -> tuple[int, int, int, int]:
@@ -40,19 +58,50 @@ def canvas(reference: Shape, moving: Shape, offset: tuple[float, float]) -> tupl
     return min(0, iy), max(reference[0], iy + moving[0]), min(0, ix), max(reference[1], ix + moving[1])
 
 
-def _placed(reference: DataFrame, moving: DataFrame, shapes: tuple[Shape, Shape], offset: tuple[float, float]) -> DataFrame:
-    """(frame, y, x, rv, rs, mv, ms) on the canvas, where either has a pixel."""
-    y0, _, x0, _ = canvas(*shapes, offset)
+def _stitch(reference: Column, moving: Column, shapes: tuple[Shape, Shape], offset: tuple[float, float], axis: str | None) -> tuple[Column, Column]:
+    """Canvas of two images and its support; across their overlap averaged (axis None), or by a ramp along an axis."""
+    y0, y1, x0, x1 = canvas(*shapes, offset)
     (iy, fy), (ix, fx) = split_offset(offset[0]), split_offset(offset[1])
-    ref = reference.select("frame", (F.col("y") - y0).alias("y"), (F.col("x") - x0).alias("x"), F.col("v").cast("double").alias("rv"), F.lit(1.0).alias("rs"))
-    mov = shifted(moving, fy, fx).select("frame", (F.col("y") + (iy - y0)).alias("y"), (F.col("x") + (ix - x0)).alias("x"), F.col("v").alias("mv"), F.col("s").alias("ms"))
-    return ref.join(mov, ["frame", "y", "x"], "full").fillna(0.0, ["rv", "rs", "mv", "ms"])
+    box = overlap_box(shapes, offset) if axis else None
+
+    def parts(s: Column, y: Column, x: Column) -> tuple[Column, ...]:
+        ry, rx = y + y0, x + x0
+        rs = ((ry >= 0) & (ry < shapes[0][0]) & (rx >= 0) & (rx < shapes[0][1])).cast("double")
+        return _at(s["r"], shapes[0], ry, rx), rs, *_moved(s["m"], shapes[1], fy, fx, ry - iy, rx - ix)
+
+    def value(s: Column, y: Column, x: Column) -> Column:
+        rv, rs, mv, ms = parts(s, y, x)
+        total = (rv + mv) / F.greatest(rs + ms, F.lit(1e-6))
+        if box is None:
+            return total
+        at, first, n = (y, box[0], box[1] - box[0]) if axis == "vertical" else (x, box[2], box[3] - box[2])
+        alpha = F.lit(0.5) if n == 1 else 1.0 - (at - first) / F.lit(float(n - 1))
+        mixed = (rv * alpha + mv * (1 - alpha)) / F.greatest(rs * alpha + ms * (1 - alpha), F.lit(1e-6))
+        return F.when((rs > 1e-6) & (ms > 1e-6), mixed).otherwise(total)
+
+    def support(s: Column, y: Column, x: Column) -> Column:
+        _, rs, _, ms = parts(s, y, x)
+        return rs + ms
+
+    both, shape = F.struct(reference.alias("r"), moving.alias("m")), (y1 - y0, x1 - x0)
+    return tuple(arrays.bound(both, lambda s: _grid(shape, lambda y, x: f(s, y, x))) for f in (value, support))  # noqa: B023
 
 
-def averaged(reference: DataFrame, moving: DataFrame, shapes: tuple[Shape, Shape], offset: tuple[float, float]) -> DataFrame:
-    """Both images on one canvas, averaged by support where they overlap."""
-    both = _placed(reference, moving, shapes, offset)
-    return both.select("frame", "y", "x", ((F.col("rv") + F.col("mv")) / F.greatest(F.col("rs") + F.col("ms"), F.lit(1e-6))).alias("v"))
+def _rows(pairs: DataFrame, shapes: tuple[Shape, Shape], offset: tuple[float, float], axis: str | None) -> DataFrame:
+    value, support = _stitch(F.col("data"), F.col("moving"), shapes, offset, axis)
+    h, w = _size(shapes, offset, None)
+    return pairs.select("frame", F.lit(h).alias("h"), F.lit(w).alias("w"), value.alias("data"), support.alias("support"))
+
+
+def averaged(pairs: DataFrame, shapes: tuple[Shape, Shape], offset: tuple[float, float]) -> DataFrame:
+    """Both images of each row on one canvas, averaged by support where they overlap; 0 where neither is."""
+    return _rows(pairs, shapes, offset, None)
+
+
+def supported(stitched: DataFrame) -> DataFrame:
+    """(frame, y, x, v) of the pixels that any image supports."""
+    both = F.zip_with("data", "support", lambda v, s: F.struct(v.alias("v"), s.alias("s")))
+    return movies.pixels(stitched.withColumn("data", both)).where("v.s > 0").select("frame", "y", "x", F.col("v.v").alias("v"))
 
 
 def overlap_box(shapes: tuple[Shape, Shape], offset: tuple[float, float]) -> tuple[int, int, int, int] | None:
@@ -69,96 +118,88 @@ def overlap_box(shapes: tuple[Shape, Shape], offset: tuple[float, float]) -> tup
     return tuple(out)
 
 
-def blended(reference: DataFrame, moving: DataFrame, shapes: tuple[Shape, Shape], offset: tuple[float, float], axis: str) -> DataFrame:
+def blended(pairs: DataFrame, shapes: tuple[Shape, Shape], offset: tuple[float, float], axis: str) -> DataFrame:
     """Both images on one canvas; across their overlap the weight goes linearly from the reference to the moving image.
 
     axis: "vertical" ramps down the rows, "horizontal" along the columns. A ramp of one pixel is a half.
     """
     if axis not in ("vertical", "horizontal"):
         raise ValueError("axis must be vertical or horizontal")
-    both, box = _placed(reference, moving, shapes, offset), overlap_box(shapes, offset)
-    total = (F.col("rv") + F.col("mv")) / F.greatest(F.col("rs") + F.col("ms"), F.lit(1e-6))
-    if box is None:
-        return both.select("frame", "y", "x", total.alias("v"))
-    at, first, n = ("y", box[0], box[1] - box[0]) if axis == "vertical" else ("x", box[2], box[3] - box[2])
-    alpha = F.lit(0.5) if n == 1 else 1.0 - (F.col(at) - first) / F.lit(float(n - 1))
-    a, b = F.col("rs") * alpha, F.col("ms") * (1 - alpha)
-    mixed = (F.col("rv") * alpha + F.col("mv") * (1 - alpha)) / F.greatest(a + b, F.lit(1e-6))
-    shared = (F.col("rs") > 1e-6) & (F.col("ms") > 1e-6)
-    return both.select("frame", "y", "x", F.when(shared, mixed).otherwise(total).alias("v"))
+    return _rows(pairs, shapes, offset, axis)
 
 
-def stitched(pixel: DataFrame, shape: Shape, offsets: dict[str, tuple[float, float]], bounds: dict[str, tuple | None] | None = None) -> DataFrame:
-    """The mosaic of a movie's four quadrants: left and right columns, then both; each cropped to its bounds.
+def _cut(data: Column, shape: Shape, box: Box | None) -> Column:
+    if box is None:
+        return data
+    return arrays.bound(data, lambda d: _grid((box[1] - box[0], box[3] - box[2]), lambda y, x: F.get(d, (y + box[0]) * shape[1] + x + box[2])))
 
-    offsets: left, right and final (y, x) of the moving image against the reference.
+
+def stitched(movie: DataFrame, shape: Shape, offsets: dict[str, tuple[float, float]], bounds: dict[str, Box | None] | None = None) -> DataFrame:
+    """The mosaic of a movie's four quadrants, each turned by 180 degrees: left and right columns, then both; each cropped
+    to its bounds. offsets: left, right and final (y, x) of the moving image against the reference.
     """
     bounds = bounds or {}
     h, w = shape
-    parts = movies.quadrants(pixel, h, w)
+    if h % 2 or w % 2:
+        raise ValueError(f"height and width must be even, not {h} x {w}")
     quarter = (h // 2, w // 2)
-    sides, shapes = {}, {}
-    for name, column in (("left", 0), ("right", 1)):
-        upper, lower = (parts.where((F.col("quadrant_row") == r) & (F.col("quadrant_col") == column)).select("frame", "y", "x", "v") for r in (0, 1))
-        sides[name] = movies.cropped(blended(upper, lower, (quarter, quarter), offsets[name], "vertical"), bounds.get(name))
-        shapes[name] = _size((quarter, quarter), offsets[name], bounds.get(name))
-    whole = blended(sides["left"], sides["right"], (shapes["left"], shapes["right"]), offsets["final"], "horizontal")
-    return movies.cropped(whole, bounds.get("final"))
 
+    def quadrant(d: Column, r: int, c: int) -> Column:
+        top, left = (r + 1) * quarter[0] - 1, (c + 1) * quarter[1] - 1
+        return _grid(quarter, lambda y, x: F.get(d, (top - y) * w + left - x))
+
+    def whole(d: Column) -> Column:
+        sides, shapes = [], []
+        for c, name in enumerate(("left", "right")):
+            size = _size((quarter, quarter), offsets[name], None)
+            side, _ = _stitch(quadrant(d, 0, c), quadrant(d, 1, c), (quarter, quarter), offsets[name], "vertical")
+            sides.append(_cut(side, size, bounds.get(name)))
+            shapes.append(_size((quarter, quarter), offsets[name], bounds.get(name)))
+        final, _ = _stitch(*sides, tuple(shapes), offsets["final"], "horizontal")
+        return F.struct(*(F.lit(n).alias(k) for k, n in zip("hw", _size(tuple(shapes), offsets["final"], bounds.get("final")))), _cut(final, _size(tuple(shapes), offsets["final"], None), bounds.get("final")).alias("data"))
+
+    return movie.select("frame", arrays.bound(F.col("data"), whole).alias("m")).select("frame", "m.*")
 
-def _size(shapes: tuple[Shape, Shape], offset: tuple[float, float], box: tuple | None) -> Shape:
+
+def _size(shapes: tuple[Shape, Shape], offset: tuple[float, float], box: Box | None) -> Shape:
     y0, y1, x0, x1 = box or canvas(*shapes, offset)
     return y1 - y0, x1 - x0
 
 
-def largest_rectangle(mask: DataFrame) -> DataFrame:
-    """(frame, y0, y1, x0, x1): the largest box of true pixels of each image (frame, y, x); of equal ones the first found.
-
-    Heights of the columns come from windows; a stack per image finds the box, row by row.
+def _rectangle(mask: np.ndarray) -> dict:
+    """Largest box of true pixels of one image, by the boxes that end in each row; of equal ones the uppermost, then leftmost,
+    then flattest. None in an image without a true pixel.
     """
-    up = F.col("y") - F.row_number().over(W.partitionBy("frame", "x").orderBy("y"))
-    heights = mask.select("frame", "y", "x").distinct().withColumn("_g", up)
-    heights = heights.withColumn("n", F.row_number().over(W.partitionBy("frame", "x", "_g").orderBy("y")))
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        best = (0, None)
-        for y, row in pdf.sort_values(["y", "x"]).groupby("y"):
-            stack: list[tuple[int, int]] = []  # (first column, height), heights rising
-            cells = list(zip(row["x"], row["n"]))
-            for k, (x, n) in enumerate([*cells, (None, 0)]):
-                if k and (x is None or x != cells[k - 1][0] + 1):
-                    best = _closed(stack, 0, cells[k - 1][0] + 1, y, best)
-                if x is None:
-                    break
-                start = x
-                while stack and stack[-1][1] > n:
-                    start = stack[-1][0]
-                    best = _closed(stack, stack[-1][1] - 1, x, y, best, one=True)
-                if not stack or stack[-1][1] < n:
-                    stack.append((start, n))
-        return pd.DataFrame([(pdf["frame"].iloc[0], *best[1])], columns=["frame", "y0", "y1", "x0", "x1"])
-
-    return heights.select("frame", "y", "x", "n").groupBy("frame").applyInPandas(search, "frame int, y0 int, y1 int, x0 int, x1 int")
-
-
-def _closed(stack: list[tuple[int, int]], down_to: int, end: int, y: int, best: tuple, one: bool = False) -> tuple:
-    """Take boxes off the stack that end before column `end`; returns the best box so far."""
-    while stack and stack[-1][1] > down_to:
-        left, height = stack.pop()
-        if height * (end - left) > best[0]:
-            best = (height * (end - left), (y - height + 1, y + 1, left, end))
-        if one:
-            break
-    return best
-
-
-def crop_bounds(shapes: tuple[Shape, Shape], offset: tuple[float, float], spark) -> tuple[int, int, int, int]:
-    """The largest box of a stitched pair that both images fill."""
-    ones = []
-    for h, w in shapes:
-        ones.append(spark.range(h * w).select(F.lit(0).alias("frame"), F.expr(f"id div {w}").cast("int").alias("y"), F.expr(f"id % {w}").cast("int").alias("x"), F.lit(1.0).alias("v")))
-    support = averaged(ones[0], ones[1], shapes, offset).where("v > 1e-6")
-    row = largest_rectangle(support).first()
+    best, heights = None, np.zeros(mask.shape[1], int)
+    for y, row in enumerate(mask != 0):
+        heights = np.where(row, heights + 1, 0)
+        open_: list[tuple[int, int]] = []  # (first column, height) of boxes that may go on, heights rising
+        for x, n in enumerate([*heights.tolist(), 0]):
+            first = x
+            while open_ and open_[-1][1] >= n:
+                first, tall = open_.pop()
+                if tall:
+                    box = (tall * (x - first), tall - y - 1, -first, -y)
+                    best = box if best is None or box > best else best
+            open_.append((first, n))
+    if best is None:
+        return {"y0": None, "y1": None, "x0": None, "x1": None}
+    area, y0, x0, y = best[0], -best[1], -best[2], -best[3]
+    return {"y0": y0, "y1": y + 1, "x0": x0, "x1": x0 + area // (y + 1 - y0)}
+
+
+def largest_rectangle(masks: DataFrame) -> DataFrame:
+    """(frame, y0, y1, x0, x1): the largest box of pixels other than 0 of each image, found in its row; images without one are left out."""
+    found = kernels.per_image(masks, _rectangle, "frame int, y0 int, y1 int, x0 int, x1 int", "data")
+    return found.where("y0 is not null")
+
+
+def crop_bounds(shapes: tuple[Shape, Shape], offset: tuple[float, float], spark) -> Box:
+    """The largest box of a stitched pair that the two images fill."""
+    ones = [F.array_repeat(F.lit(1.0), h * w) for h, w in shapes]
+    pair = spark.range(1).select(F.lit(0).alias("frame"), ones[0].alias("data"), ones[1].alias("moving"))
+    filled = averaged(pair, shapes, offset).withColumn("data", F.transform("support", lambda s: (s > 1e-6).cast("float")))
+    row = largest_rectangle(filled).first()
     return row.y0, row.y1, row.x0, row.x1
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -97,6 +101,31 @@ def top_peaks(samples: DataFrame, keys: list[str], time: str, value: str, n: int
     return samples.where(F.col(value) > least).withColumn("rank", rank).where(F.col("rank") <= n)
 
 
+def packed(traces: DataFrame) -> DataFrame:
+    """(id, data): each trace (id, v) as the bytes of its single-precision values, as a raw buffer holds them, row after row."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [None if v is None else np.asarray(v, "<f4").tobytes() for v in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], ["id", "data"])
+
+    return traces.select(F.col("id").cast("long").alias("id"), "v").mapInArrow(pack, "id long, data binary")
+
+
+def buffer_size(buffers: DataFrame) -> DataFrame:
+    """One row (n, length, complete): traces, values in each, and whether the buffer holds n times length of them."""
+    size = F.octet_length("data") / 4
+    sums = buffers.agg(F.count("*").alias("n"), F.max(size).alias("length"), F.coalesce(F.sum(size), F.lit(0.0)).alias("total"))
+    length = F.coalesce("length", F.lit(0.0))
+    return sums.select("n", length.cast("long").alias("length"), (F.col("total") == F.col("n") * length).alias("complete"))
+
+
+def active_source(available: F.Column, wanted: F.Column, order: tuple[str, ...] = ("c", "c_plus_yra")) -> F.Column:
+    """The wanted trace source if it is available, else the first that is, else the wanted one."""
+    there = F.filter(F.array(*map(F.lit, order)), lambda s: F.array_contains(available, s))
+    return F.when(F.array_contains(there, wanted) | (F.size(there) == 0), wanted).otherwise(F.get(there, F.lit(0)))
+
+
 def pending(requested: DataFrame, done: DataFrame, on: list[str]) -> DataFrame:
     """What is asked for and not there yet."""
     return requested.join(done, on, "left_anti")

@@ -181,13 +181,16 @@ def saturated_levels(spark, d):
     return _frames(movies.saturated_levels(t.movie(spark, d)))
 
 
-@query(f"""with p as (select frame, cast(v as double) as v from {PX}), e as (select frame, min(v) as a, max(v) as b, count(*) as total from p group by 1),
+RANGES = f"""with p as (select frame, cast(v as double) as v from {PX}), e as (select frame, min(v) as a, max(v) as b, count(*) as total from p group by 1),
 h as (select frame, cast(least(floor((v - a) * (256 / (b - a))), 255) as integer) as bin, count(*) as n from p join e using (frame) group by 1, 2),
 g as (select frame, min(bin) as f, max(bin) as l from h join e using (frame) where n <= total // 10 and n > total // 5000 group by 1),
-r as (select frame, a, b, a + coalesce(f, 255) * ((b - a) / 256) as lo, a + coalesce(l, 0) * ((b - a) / 256) as hi from e left join g using (frame))
-select frame, (round(case when hi > lo then lo else a end, 6) + 0.0::double) as low, (round(case when hi > lo then hi else b end, 6) + 0.0::double) as high from r""")
+r as (select frame, a, b, a + coalesce(f, 255) * ((b - a) / 256) as lo, a + coalesce(l, 0) * ((b - a) / 256) as hi from e left join g using (frame)),
+ranges as (select frame, case when hi > lo then lo else a end as low, case when hi > lo then hi else b end as high from r)"""
+
+
+@query(f"{RANGES} select frame, (round(low, 6) + 0.0::double) as low, (round(high, 6) + 0.0::double) as high from ranges")
 def display_range(spark, d):
-    return movies.display_range(movies.pixels(t.movie(spark, d))).select("frame", _r("low").alias("low"), _r("high").alias("high"))
+    return movies.display_range(t.movie(spark, d)).select("frame", _r("low").alias("low"), _r("high").alias("high"))
 
 
 @query(f"select frame, cast(min(v) as double) as low, case when max(v) > min(v) then cast(max(v) as double) else min(v) + 1e-6 end as high from {PX} group by 1")
@@ -322,8 +325,10 @@ LO, HI = f"(select * from {PX} where frame % 2 = 0)", f"(select frame - 1 as fra
 
 
 def _pairs(spark, d):
-    px = movies.pixels(t.movie(spark, d))
-    return px.where("frame % 2 = 0"), px.where("frame % 2 = 1").withColumn("frame", F.col("frame") - 1)
+    """Frames with even numbers, and the next one beside each."""
+    movie = t.movie(spark, d)
+    odd = movie.where("frame % 2 = 1").select((F.col("frame") - 1).alias("frame"), F.col("data").alias("moving"))
+    return movie.where("frame % 2 = 0").join(odd, "frame")
 
 
 PLACED = f"""(select coalesce(r.frame, m.frame) as frame, coalesce(r.y, m.y) as y, coalesce(r.x, m.x) as x, coalesce(r.v, 0) as rv, coalesce(r.s, 0) as rs, coalesce(m.v, 0) as mv, coalesce(m.s, 0) as ms
@@ -332,21 +337,23 @@ from (select frame, y, cast(x + 2 as integer) as x, cast(v as double) as v, 1.0
 
 @query(f"select frame, y, x, (round((rv + mv) / greatest(rs + ms, 1e-6), 6) + 0.0::double) as v from {PLACED}")
 def stitch_average(spark, d):
-    a, b = _pairs(spark, d)
-    return stitching.averaged(a, b, ((8, 8), (8, 8)), (5.0, -2.0)).select("frame", "y", "x", _r("v").alias("v"))
+    both = stitching.averaged(_pairs(spark, d), ((8, 8), (8, 8)), (5.0, -2.0))
+    return stitching.supported(both).select("frame", "y", "x", _r("v").alias("v"))
 
 
 @query(f"""select frame, y, x, (round(case when rs > 0 and ms > 0 then rv * (1 - (y - 5) / 2.0) + mv * ((y - 5) / 2.0) else rv + mv end, 6) + 0.0::double) as v from {PLACED}""")
 def stitch_ramp(spark, d):
-    a, b = _pairs(spark, d)
-    return stitching.blended(a, b, ((8, 8), (8, 8)), (5.0, -2.0), "vertical").select("frame", "y", "x", _r("v").alias("v"))
+    both = stitching.blended(_pairs(spark, d), ((8, 8), (8, 8)), (5.0, -2.0), "vertical")
+    return stitching.supported(both).select("frame", "y", "x", _r("v").alias("v"))
 
 
 @query(f"""with a as (select frame, y, x, case when y = 0 then 0 else 0.75 * cast(v as double) + 0.25 * lag(cast(v as double)) over (partition by frame, x order by y) end as v, case when y = 0 then 0 else 1 end as s from {PX}),
 b as (select frame, y, x, case when x = 0 then 0 else 0.5 * v + 0.5 * lag(v) over (partition by frame, y order by x) end as v, case when x = 0 then 0 else 0.5 * s + 0.5 * lag(s) over (partition by frame, y order by x) end as s from a)
 select frame, y, x, (round(v, 6) + 0.0::double) as v, cast(s as double) as s from b""")
 def subpixel_shift(spark, d):
-    return stitching.shifted(movies.pixels(t.movie(spark, d)), 0.25, 0.5).select("frame", "y", "x", _r("v").alias("v"), "s")
+    both = stitching.shifted(t.movie(spark, d), (8, 8), 0.25, 0.5)
+    pixel = movies.pixels(both.withColumn("data", F.arrays_zip("data", "support")))
+    return pixel.select("frame", "y", "x", _r(F.col("v.data")).alias("v"), F.col("v.support").alias("s"))
 
 
 @query(f"select a.frame, (round(case when b = 0 then 1 else a / b end, 4) + 0.0::double) as ratio from (select frame, avg(cast(v as double)) as a from {PX} where y < 4 group by 1) a join (select frame, avg(cast(v as double)) as b from {PX} where y >= 4 group by 1) b using (frame)".replace("select a.frame", "select frame"))
@@ -369,10 +376,12 @@ def core_pixels(spark, d):
 CSUM = "(select cast(label as varchar) as patch, cast(vec_id as integer) as k, list_sum([cast(x as double) for x in embedding[1:16]]) as c, case when vec_id % 2 = 1 then list_sum([cast(x as double) for x in embedding[17:32]]) else 0 end as r from embeddings)"
 
 
-@query(f"select patch, p, (round(sum(cast(w as double) * (c + r)), 4) + 0.0::double) as v from {FP} join {CSUM} using (patch, k) where k % 3 <> 0 group by patch, p")
+@query(f"select patch, p, (round(sum(cast(w as double) * (c + r)), 4) + 0.0::double) as v from {FP} join {CSUM} using (patch, k) where k in (select c_custkey from (select c_custkey, ((case when c_acctbal > 0 then log10(c_acctbal) else '-infinity'::double end) - m) / s as z from customer, (select avg(log10(c_acctbal)) as m, stddev_pop(log10(c_acctbal)) as s from customer where c_acctbal > 0)) where not (z < -1.5 or z > 2.0)) group by patch, p")
 def product_image_qc(spark, d):
     rows = t.footprints(spark, d)
-    keep = rows.select("patch", "k").distinct().where("k % 3 <> 0")
+    accounts = t.accounts(spark, d)
+    kept = quality.with_keep(accounts, quality.fit(accounts, [ACCOUNT]), [ACCOUNT]).where("keep").select("k")
+    keep = rows.select("patch", "k").distinct().join(kept, "k", "left_semi")
     return footprints.product_image(rows, t.traces(spark, d), keep, residual=True).select("patch", "p", _r("v", 4).alias("v"))
 
 
@@ -395,7 +404,7 @@ BASE, RING = "(select distinct patch, p, 0.01 * p as b from FP)", "(select disti
 
 
 @query(f"""with m as (select patch, p, t, sum(cast(w as double) * c) as v from {FP} join {CT} using (patch, k) group by 1, 2, 3),
-b as {BASE}, r as {RING}, y as (select patch, p, t, 0.5 * v + 0.1 * p as v from m where t < 4),
+b as {BASE}, r as {RING}, y as (select patch, p, t, 0.5 * v + 0.1 * p as v from m),
 rest as (select y.patch, y.p as q, y.t, y.v - coalesce(m.v, 0) - b as r from y left join m using (patch, p, t) join b using (patch, p))
 select patch, p, cast(t as integer) as t, (round(sum(w * r) + any_value(b), 4) + 0.0::double) as v from r join rest using (patch, q) join b using (patch, p) group by patch, p, t""".replace("from FP", f"from {FP}"))
 def ring_background(spark, d):
@@ -404,7 +413,7 @@ def ring_background(spark, d):
     cells = rows.select("patch", "p").distinct()
     b0 = cells.withColumn("v", F.col("p") * 0.01)
     ring = cells.withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(3)))).select("patch", "p", ((F.col("p") + 9 * F.col("j")) % 64).alias("q"), (1.0 / (2 + F.col("j"))).alias("w"))
-    movie = model.where("t < 4").withColumn("v", 0.5 * F.col("v") + 0.1 * F.col("p"))
+    movie = model.withColumn("v", 0.5 * F.col("v") + 0.1 * F.col("p"))
     return footprints.ring_background(movie, model, b0, ring).select("patch", "p", "t", _r("v", 4).alias("v"))
 
 
@@ -444,14 +453,14 @@ def _points(spark, d):
     return t.table(spark, d, "customer").select(k.alias("k"), (k * 37 % 211).cast("double").alias("y"), (k * 53 % 197).cast("double").alias("x"))
 
 
-@query(f"select a.k, (round(min(sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2)), 6) + 0.0::double) as distance from {POINTS} a join {POINTS} b on a.k <> b.k group by a.k having min(sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2)) <= 12".replace("select a.k, round", "select a.k as k, round"))
+@query(f"select a.k, (round(min(sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2)), 6) + 0.0::double) as distance from {POINTS} a join {POINTS} b on a.k <> b.k group by a.k".replace("select a.k, round", "select a.k as k, round"))
 def nearest_neighbours(spark, d):
-    return footprints.nearest(_points(spark, d), "k", 12.0).where("distance <= 12").select("k", _r("distance").alias("distance"))
+    return footprints.nearest(_points(spark, d), "k", 12.0).select("k", _r("distance").alias("distance"))
 
 
-@query(f"select case when count(*) >= 2 then round(quantile_cont(d, 0.5), 6) + 0.0::double else 24 end as sigma from (select min(sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2)) as d from {POINTS} a join {POINTS} b on a.k <> b.k group by a.k) where d <= 12")
+@query(f"select round(greatest(24, 2 * m), 6) + 0.0::double as sigma, round(m, 6) + 0.0::double as median from (select coalesce(quantile_cont(d, 0.5), 0) as m from (select min(sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2)) as d from {POINTS} a join {POINTS} b on a.k <> b.k group by a.k))")
 def typical_spacing(spark, d):
-    return footprints.spacing(footprints.nearest(_points(spark, d), "k", 12.0).where("distance <= 12")).select(_r("sigma").alias("sigma"))
+    return footprints.spacing(footprints.nearest(_points(spark, d), "k", 12.0)).select(_r("sigma").alias("sigma"), _r("median").alias("median"))
 
 
 @query("select cast(c_custkey % 20 as integer) as y, cast(c_nationkey as integer) as x, (round(sum(c_acctbal), 4) + 0.0::double) as total, count(*) as n from customer group by 1, 2")
@@ -546,11 +555,32 @@ def top_peaks(spark, d):
     return traces.top_peaks(t.samples(spark, d), ["id"], "event_id", "v").select("id", "event_id", "rank")
 
 
-@query("select distinct user_id as id from events where event_type = 'view' except select user_id from events where event_type = 'purchase'")
+@query("select distinct user_id as id, epoch_us(ts) // 3600000000 as t from events where event_type = 'view' except select user_id, epoch_us(ts) // 3600000000 from events where event_type = 'purchase'")
 def pending_work(spark, d):
-    e = t.table(spark, d, "events")
-    ids = lambda kind: e.where(F.col("event_type") == kind).select(F.col("user_id").alias("id")).distinct()
-    return traces.pending(ids("view"), ids("purchase"), ["id"])
+    hour = F.expr("unix_micros(cast(ts as timestamp)) div 3600000000")
+    e = t.table(spark, d, "events").select(F.col("user_id").alias("id"), hour.alias("t"), "event_type")
+    of = lambda kind: e.where(F.col("event_type") == kind).select("id", "t").distinct()
+    return traces.pending(of("view"), of("purchase"), ["id", "t"])
+
+
+@query("select event_id, (round((value - p05) / greatest(p95 - p05, 1e-6) - 1.08 * user_id, 6) + 0.0::double) as level from events join (select user_id, quantile_cont(value, 0.05) as p05, quantile_cont(value, 0.95) as p95 from events group by 1) using (user_id)")
+def trace_levels(spark, d):
+    rows = t.samples(spark, d)
+    offsets = rows.select("id").distinct().withColumn("offset", 1.08 * F.col("id"))
+    return traces.laid_out(rows, traces.sample_stats(rows, ["id"], "v"), offsets, "v").select("event_id", _r("level").alias("level"))
+
+
+@query("""select p_partkey as k, case when p_size % 3 = 0 then 'c' when p_size % 3 = 1 then case when p_size % 2 = 0 then 'c' else 'c_plus_yra' end else 'c_plus_yra' end as source from part""")
+def trace_sources(spark, d):
+    size = F.col("p_size")
+    there = F.when(size % 3 == 0, F.array(F.lit("c"))).when(size % 3 == 1, F.array(F.lit("c_plus_yra"), F.lit("c"))).otherwise(F.array(F.lit("c_plus_yra")))
+    wanted = F.when(size % 2 == 0, F.lit("c")).otherwise(F.lit("c_plus_yra"))
+    return t.table(spark, d, "part").select(F.col("p_partkey").alias("k"), traces.active_source(there, wanted).alias("source"))
+
+
+@query("select count(*) as n, cast(64 as bigint) as length, true as complete from embeddings")
+def trace_buffer_size(spark, d):
+    return traces.buffer_size(traces.packed(t.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))))
 
 
 # ---- timing
@@ -600,12 +630,15 @@ def axis_spans(spark, d):
     return intervals.spans_by_axis(intervals.cuts_of_runs(runs, ["id"], "length", 200), "id", "length", 24)
 
 
-@query("select s_nationkey, count(*) as n from supplier where s_nationkey in (select c_nationkey from customer) group by 1 intersect select s_nationkey, count(*) from supplier group by 1")
+@query(f"select y, x from {PX} where frame % 3 = 0 and v > 0.35 intersect select y, x from {PX} where frame % 3 = 1 and v > 0.35")
 def mask_intersection(spark, d):
-    s = t.table(spark, d, "supplier")
-    alive = s.join(t.table(spark, d, "customer").select(F.col("c_nationkey").alias("s_nationkey")).distinct(), "s_nationkey", "left_semi")
-    count = lambda df: df.groupBy("s_nationkey").agg(F.count("*").alias("n"))
-    return count(alive).intersect(count(s))
+    on = movies.pixels(t.movie(spark, d)).where("v > cast(0.35 as decimal(3, 2))")
+    return patches.in_both(on.where("frame % 3 = 0"), on.where("frame % 3 = 1"))
+
+
+@query(f"select cast(i as integer) as y, cast(j as integer) as x from range(8) a(i), range(8) b(j) where not exists (select 1 from {GRID} where name not in ('0-0-1-1', '0-0-2-0') and i >= y0 and i < y1 and j >= x0 and j < x1)")
+def grid_holes(spark, d):
+    return patches.holes(patches.regular_grid(spark, 8, 8, 3).where("name not in ('0-0-1-1', '0-0-2-0')"), 8, 8)
 
 
 @query("select to_json({'id': c_custkey, 'x': c_nationkey, 'y': c_custkey % 7, 'v': case when c_acctbal > 0 then c_custkey + 0.5::double end}) as value from customer")
@@ -630,6 +663,59 @@ def clamped_boxes(spark, d):
     return rows.select("k", "b.*", geometry.in_roi(F.lit(20), F.lit(30), F.col("b")).alias("has_point"))
 
 
+@query("""with s as (select c_custkey as k, c_custkey % 17 + 5 as rh, c_custkey % 11 + 4 as rw, c_custkey % 13 + 6 as mh, c_custkey % 7 + 3 as mw from customer)
+select k, cast(least(rh, mh) as integer) as h, cast(least(rw, mw) as integer) as w, cast((rh - least(rh, mh)) // 2 as integer) as ry, cast((rw - least(rw, mw)) // 2 as integer) as rx,
+cast((mh - least(rh, mh)) // 2 as integer) as my, cast((mw - least(rw, mw)) // 2 as integer) as mx from s""")
+def common_crops(spark, d):
+    k = F.col("c_custkey").cast("int")
+    size = lambda h, w: F.struct(h.alias("h"), w.alias("w"))
+    crop = geometry.common_crop(size(k % 17 + 5, k % 11 + 4), size(k % 13 + 6, k % 7 + 3))
+    return t.table(spark, d, "customer").select(F.col("c_custkey").alias("k"), crop.alias("c")).select("k", "c.*")
+
+
+@query("""select c_custkey as k, round(c_custkey % 9 + (c_acctbal / 1000 - 10), 6) + 0.0::double as offset_y, round(c_custkey % 5 + (c_custkey % 30 - 15), 6) + 0.0::double as offset_x,
+round(c_custkey % 9 + (c_acctbal / 1000 - 10) - 40, 6) + 0.0::double as shift_y, round(c_custkey % 5 + (c_custkey % 30 - 15), 6) + 0.0::double as shift_x from customer""")
+def final_offsets(spark, d):
+    k = F.col("c_custkey")
+    base = F.struct((k % 9).cast("double").alias("y"), (k % 5).cast("double").alias("x"))
+    out = geometry.final_offset(base, F.col("c_acctbal") / 1000, (k % 30).cast("double"), (20, 30), (40, 50), "vertical")
+    return t.table(spark, d, "customer").select(k.alias("k"), out.alias("o")).select("k", *(_r(F.col(f"o.{c}")).alias(c) for c in ("offset_y", "offset_x", "shift_y", "shift_x")))
+
+
+@query("""with p as (select c_custkey as k, c_custkey % 5 + 8 as h, c_custkey % 3 + 9 as w, c_custkey % 4 as y0, c_custkey % 4 + 8 as y1, 0 as x0, 9 as x1 from customer)
+select k from p where h - (y1 - y0) < 0 or (h - (y1 - y0)) % 2 <> 0 or w - (x1 - x0) < 0 or (w - (x1 - x0)) % 2 <> 0""")
+def bad_paddings(spark, d):
+    k = F.col("c_custkey")
+    rows = t.table(spark, d, "customer").select(k.alias("k"), (k % 5 + 8).alias("h"), (k % 3 + 9).alias("w"), (k % 4).alias("y0"), (k % 4 + 8).alias("y1"), F.lit(0).alias("x0"), F.lit(9).alias("x1"))
+    return footprints.bad_padding(rows).select("k")
+
+
+@query(f"select cast(max(y0) + 6 as integer) as h, cast(max(x0) + 6 as integer) as w from {SPEC}")
+def canvas_size(spark, d):
+    return footprints.canvas_size(t.specs(spark, d))
+
+
+@query(f"""with e as (select frame, min(v) as a, max(v) as b from {PX} group by 1) select frame, cast(least(a, c) as double) as low, cast(greatest(b, f) as double) as high
+from e join (select frame - 1 as frame, a as c, b as f from e) using (frame) where frame % 2 = 0""")
+def joint_limits(spark, d):
+    return movies.joint_limits(_pairs(spark, d))
+
+
+@query("select cast(c_custkey as integer) as frame, 0 as y, 0 as x, cast(round_even(c_custkey * 7919 % 65536 / 257.0, 0) as integer) as r, cast(round_even(c_custkey * 104729 % 65536 / 257.0, 0) as integer) as g, 0 as b from customer")
+def narrowed_colours(spark, d):
+    k = F.col("c_custkey")
+    rows = t.table(spark, d, "customer").select(k.cast("int").alias("frame"), F.lit(0).alias("y"), F.lit(0).alias("x"), (k * 7919 % 65536).alias("r"), (k * 104729 % 65536).alias("g"), F.lit(0).alias("b"))
+    return rendering.narrowed(rows)
+
+
+@query("""select p_partkey as k, case when abs(v) >= 100 or (abs(v) > 0 and abs(v) < 0.01) then printf('%.2e', v) else printf('%.2f', v) end as label, printf('%.1f', v) as time, case when p_size > 20 then '1' else '0' end as flag
+from (select p_partkey, p_size, p_retailprice / 13 - 80 as v from part)""")
+def map_labels(spark, d):
+    v = F.col("p_retailprice") / 13 - 80
+    label = lambda *how: quality.map_label(v, *how)
+    return t.table(spark, d, "part").select(F.col("p_partkey").alias("k"), label("snr").alias("label"), label("t_peak").alias("time"), quality.map_label(F.col("p_size") > 20, "flag", "boolean").alias("flag"))
+
+
 @query("""with b as (select c_custkey as k, cast(c_custkey % 40 as integer) as y0, cast(c_custkey % 40 + 12 as integer) as y1, cast(c_custkey % 30 as integer) as x0, cast(c_custkey % 30 + 9 as integer) as x1 from customer)
 select k, y0, y1, x0, x1, cast(60 - y1 as integer) as my0, cast(60 - y0 as integer) as my1, x0 as mx0, x1 as mx1 from b""")
 def mirrored_boxes(spark, d):
@@ -650,9 +736,11 @@ def match_point_mosaic(spark, d):
     return match_points.mosaic(movies.pixels(t.movie(spark, d)), (8, 8), points).select("frame", "y", "x", _r("v").alias("v"))
 
 
-@query()
+@query(f"""{RANGES} select frame, y, x, g as r, g, g as b from (select frame, y, x,
+cast(round_even(greatest(least((cast(v as double) - low) / (high - low), 1), 0) * 255, 0) as integer) as g from {PX} join ranges using (frame))""")
 def display_bytes(spark, d):
-    return rendering.rgb(rendering.display_bytes(movies.pixels(t.movie(spark, d))))
+    gray = movies.pixels(movies.display_bytes(t.movie(spark, d))).withColumnRenamed("v", "g")
+    return rendering.rgb(gray)
 
 
 @query(f"select frame, y, x, case when y = x then 255 else 0 end as r, case when y = x then 255 else 0 end as g, case when y = x then 255 else 0 end as b from {PX}")
@@ -664,18 +752,16 @@ def mask_pictures(spark, d):
 @query("select n_regionkey as kind, count(*) as n from customer join nation on c_nationkey = n_nationkey group by 1")
 def anchor_kinds(spark, d):
     c, n = t.table(spark, d, "customer"), t.table(spark, d, "nation")
-    return c.join(F.broadcast(n), c["c_nationkey"] == n["n_nationkey"]).groupBy(F.col("n_regionkey").alias("kind")).agg(F.count("*").alias("n"))
+    return quality.counts_by(c.join(F.broadcast(n), c["c_nationkey"] == n["n_nationkey"]), "n_regionkey")
 
 
 @query(f"select frame, cast(y as integer) as y, cast(x as integer) as x, v from (select *, row_number() over (partition by frame order by v desc, y, x) as r from {PX}) where r = 1")
 def image_peaks(spark, d):
-    px = movies.pixels(t.movie(spark, d))
-    best = F.max_by(F.struct("y", "x", "v"), F.struct("v", (-F.col("y")).alias("a"), (-F.col("x")).alias("b")))
-    return px.groupBy("frame").agg(best.alias("m")).select("frame", "m.y", "m.x", "m.v")
+    return movies.peaks(t.movie(spark, d))
 
 
 @query()
-def spatial_fields(spark, d):
+def adaptive_fields(spark, d):
     rows = t.table(spark, d, "customer").select((F.col("c_custkey") % 40).cast("int").alias("y"), (F.col("c_custkey") * 7 % 50).cast("int").alias("x"), F.col("c_mktsegment").alias("metric"), "c_acctbal")
     return rendering.spatial_field(rows, "c_acctbal", (40, 50), 6.0)
 
@@ -690,13 +776,18 @@ def phase_correlation(spark, d):
     return kernels.phase_correlation(rows.join(other, "frame"))
 
 
+@query()
+def ridge_correlation(spark, d):
+    return kernels.phase_correlation(_pairs(spark, d), "ridges", 40.0, (1.0, 2.0))
+
+
 @query()
 def band_pass(spark, d):
     return kernels.band_pass(t.movie(spark, d))
 
 
 @query()
-def adaptive_fields(spark, d):
+def blurred_frames(spark, d):
     return kernels.blurred(t.movie(spark, d), 1.5)
 
 
@@ -712,15 +803,31 @@ def vesselness(spark, d):
     return kernels.vesselness(t.movie(spark, d), (1.0, 2.0))
 
 
-@query()
+#: Left: canvas 7 x 4, overlap of row 3 and columns 1 to 3. Right: canvas 7 x 4 (offset 3.25: the first moving row has no support), no overlap.
+MOSAIC = f"""with q as (select frame, y // 4 as r, x // 4 as c, 3 - y % 4 as y, 3 - x % 4 as x, cast(v as double) as v from {PX}),
+cell as (select y, x from range(7) a(y), range(4) b(x)), f as (select distinct frame from q),
+lm as (select a.frame, a.y + 3 as y, a.x, 0.5 * (a.v + b.v) as v from q a join q b on a.frame = b.frame and a.y = b.y and a.x = b.x + 1 where a.r = 1 and a.c = 0 and b.r = 1 and b.c = 0),
+l as (select f.frame, cell.y, cell.x, case when a.v is not null and m.v is not null then (a.v * 0.5 + m.v * 0.5) / 1.0 else coalesce(a.v, 0) + coalesce(m.v, 0) end as v from f cross join cell
+ left join (select * from q where r = 0 and c = 0) a on a.frame = f.frame and a.y = cell.y and a.x = cell.x left join lm m on m.frame = f.frame and m.y = cell.y and m.x = cell.x),
+rm as (select a.frame, a.y + 3 as y, a.x, 0.75 * a.v + 0.25 * b.v as v from q a join q b on a.frame = b.frame and a.y = b.y + 1 and a.x = b.x where a.r = 1 and a.c = 1 and b.r = 1 and b.c = 1),
+r as (select f.frame, cell.y, cell.x, coalesce(a.v, 0) + coalesce(m.v, 0) as v from f cross join cell
+ left join (select * from q where r = 0 and c = 1) a on a.frame = f.frame and a.y = cell.y and a.x = cell.x left join rm m on m.frame = f.frame and m.y = cell.y and m.x = cell.x)
+select frame, cast(y as integer) as y, cast(x as integer) as x, round(v, 6) + 0.0::double as v from (
+ select frame, y, x, v from l where x < 3 union all select frame, y, x + 3, v from r where x > 0
+ union all select l.frame as frame, l.y as y, 3 as x, (l.v * 0.5 + r.v * 0.5) / 1.0 as v from l join r on l.frame = r.frame and l.y = r.y where l.x = 3 and r.x = 0)"""
+
+
+@query(MOSAIC)
 def quadrant_mosaic(spark, d):
     offsets = {"left": (3.0, 0.5), "right": (3.25, 0.0), "final": (0.0, 3.0)}
-    return stitching.stitched(movies.pixels(t.movie(spark, d)), (8, 8), offsets)
+    return movies.pixels(stitching.stitched(t.movie(spark, d), (8, 8), offsets)).select("frame", "y", "x", _r("v").alias("v"))
 
 
-@query()
+@query(f"""with b as (select cast(y0 as integer) as y0, cast(y1 as integer) as y1, cast(x0 as integer) as x0, cast(x1 as integer) as x1 from range(8) a(y0), range(1, 9) b(y1), range(8) c(x0), range(1, 9) d(x1) where y1 > y0 and x1 > x0),
+m as (select frame, y, x from {PX} where v > -0.1), f as (select frame, y0, y1, x0, x1 from m join b on y >= y0 and y < y1 and x >= x0 and x < x1 group by all having count(*) = (y1 - y0) * (x1 - x0))
+select frame, y0, y1, x0, x1 from (select *, row_number() over (partition by frame order by (y1 - y0) * (x1 - x0) desc, y0, x0, y1) as r from f) where r = 1""")
 def largest_rectangles(spark, d):
-    return stitching.largest_rectangle(movies.pixels(t.movie(spark, d)).where("v > -0.1").select("frame", "y", "x"))
+    return stitching.largest_rectangle(t.movie(spark, d).withColumn("data", F.transform("data", lambda v: (v > F.lit(-0.1).cast("decimal(2, 1)")).cast("float"))))
 
 
 @query()
@@ -732,7 +839,11 @@ def seam_patches(spark, d):
     return patches.seam_specs(spark, supports, seams, h, w, 2, 0.8, 5)
 
 
-@query()
+@query(f"""with recursive c as (select patch, k, cast(p % 8 - 1 + y0 as integer) as y, cast(p // 8 - 1 + x0 as integer) as x, cast(w as double) as w from {FP} join {SPEC} using (patch) where p % 8 between 1 and 6 and p // 8 between 1 and 6),
+top as (select c.*, row_number() over (partition by patch, k order by w desc, x, y) as r from c join (select patch, k, max(w) as m from c group by 1, 2) using (patch, k) where w >= 0.2 * m and w > 0),
+part(patch, k, y, x) as (select patch, k, y, x from top where r = 1 union
+ select t.patch, t.k, t.y, t.x from part p join top t on t.patch = p.patch and t.k = p.k and abs(t.y - p.y) + abs(t.x - p.x) = 1)
+select a.patch, a.k, a.y, a.x from part a join part b on a.patch = b.patch and a.k = b.k and abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1 group by all having count(*) < 9""".replace("select a.patch, a.k, a.y, a.x from part a", "select a.patch as patch, a.k as k, a.y as y, a.x as x from part a"))
 def component_outlines(spark, d):
     return footprints.outlines(footprints.core_pixels(t.footprints(spark, d), t.specs(spark, d)))
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,9 +84,57 @@ def fingerprint(files: DataFrame, *settings: str) -> str:
     return "-".join([str(total[0]), str(total[1]), *settings])
 
 
-def cached(spark: SparkSession, path: str, make) -> DataFrame:
-    """The table at path; if it is not there, make() is written to it first."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(str(PurePosixPath(path) / "_SUCCESS") if "://" not in path else f"{path}/_SUCCESS")
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        make().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+def _there(spark: SparkSession, path: str) -> bool:
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark._jsc.hadoopConfiguration()).exists(own)
+
+
+def cached(spark: SparkSession, path: str, make, key: str = "") -> DataFrame:
+    """The table under path that belongs to a key; if it is not there, make() is written to it first.
+
+    key: what the result depends on, such as fingerprint() of its inputs: other inputs find another table.
+    """
+    own = f"{path}/{key}" if key else path
+    if not _there(spark, f"{own}/_SUCCESS"):
+        make().write.mode("overwrite").parquet(own)
+    return spark.read.parquet(own)
+
+
+def cache_is_valid(spark: SparkSession, folder: str, sources: dict[str, str], needs: list[str]) -> bool:
+    """Whether folder/metadata.json was made from these sources (name to path), and the files it needs and names are there.
+
+    The trace sources it names as {"trace_sources": {name: {"file": ...}}} are among them.
+    """
+    found = mapping(spark, [f"{folder}/metadata.json"], [*sources, "trace_sources"])
+    named = found.get("trace_sources")
+    if not isinstance(named, dict) or not all(isinstance(v, dict) and isinstance(v.get("file"), str) and v["file"] for v in named.values()):
+        return False
+    same = all(str(found[k]).rstrip("/") == v.rstrip("/") for k, v in sources.items())
+    return same and all(_there(spark, f"{folder}/{f}") for f in [*needs, *(v["file"] for v in named.values())])
+
+
+def composed(spark: SparkSession, paths: list[str], changes: dict[str, object] | None = None) -> dict:
+    """Configuration files one over the other, later ones over earlier ones, key by key; then changes, by dotted names.
+
+    A file that is not there is passed over; a change of a name that no file has is an error.
+    """
+    out: dict = {}
+    for path in paths:
+        _merge(out, mapping(spark, [path], []))
+    for name, value in (changes or {}).items():
+        *groups, last = name.split(".")
+        at = out
+        for g in groups:
+            at = at.get(g) if isinstance(at, dict) else None
+        if not isinstance(at, dict) or last not in at:
+            raise KeyError(name)
+        at[last] = value
+    return out
+
+
+def _merge(into: dict, more: dict) -> None:
+    for k, v in more.items():
+        if isinstance(v, dict) and isinstance(into.get(k), dict):
+            _merge(into[k], v)
+        else:
+            into[k] = v

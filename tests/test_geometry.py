@@ -99,12 +99,12 @@ def test_distances_and_fields(spark):
 
 def test_pictures(spark):
     image = np.arange(64.0).reshape(8, 8)
-    px = movies.pixels(image_rows(spark, [image, np.full((8, 8), 3.0)]))
-    rows = rendering.display_bytes(px).collect()
+    gray = movies.pixels(movies.display_bytes(image_rows(spark, [image, np.full((8, 8), 3.0)]))).withColumnRenamed("v", "g")
+    rows = gray.collect()
     assert {r.g for r in rows if r.frame == 1} == {0}
     shown = {(r.y, r.x): r.g for r in rows if r.frame == 0}
     assert shown[0, 0] == 0 and shown[7, 7] == 255
-    back = rendering.rgb(rendering.display_bytes(px)).where("frame = 0").drop("frame")
+    back = rendering.rgb(gray).where("frame = 0").drop("frame")
     front = spark.createDataFrame([(5, 1, 1, 9, 0, 0), (6, 2, 2, 0, 0, 0)], "frame int, y int, x int, r int, g int, b int")
     over = {(r.frame, r.y, r.x): (r.r, r.g, r.b) for r in rendering.overlaid(back, front).collect()}
     assert over[5, 1, 1] == (9, 0, 0) and over[6, 2, 2] == (shown[2, 2],) * 3 and len(over) == 128

@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -130,16 +131,35 @@ def test_blending(spark, offset, axis):
         for y, x in zip(*np.nonzero(both)):
             alpha = ramp[(y if axis == "vertical" else x) - at.min()]
             want[y, x] = (big[0][y, x] * alpha + big[2][y, x] * (1 - alpha)) / max(big[1][y, x] * alpha + big[3][y, x] * (1 - alpha), 1e-6)
-    pa, pb = (movies.pixels(image_rows(spark, [i])) for i in (a, b))
-    got = stitching.blended(pa, pb, (a.shape, b.shape), offset, axis)
-    assert np.allclose(as_image(got.collect(), *want.shape), want, atol=1e-6)
+    pair = image_rows(spark, [a]).withColumn("moving", F.array(*[F.lit(float(v)) for v in b.ravel()]))
+    got = stitching.blended(pair, (a.shape, b.shape), offset, axis).first()
+    assert (got.h, got.w) == want.shape and np.allclose(np.reshape(got.data, want.shape), want, atol=1e-6)
+
+
+def test_mosaic_and_its_plan(spark):
+    pick = np.random.default_rng(7)
+    image = pick.random((20, 24))
+    df = image_rows(spark, [image, image + 1])
+    flat = {"left": (10.0, 0.0), "right": (10.0, 0.0), "final": (0.0, 12.0)}
+    out = stitching.stitched(df, (20, 24), flat)
+    want = np.block([[np.rot90(image[y : y + 10, x : x + 12], 2) for x in (0, 12)] for y in (0, 10)])
+    assert np.allclose(np.reshape(out.where("frame = 0").first().data, (20, 24)), want, atol=1e-6)
+    box = stitching.stitched(df, (20, 24), flat, {"left": (1, 19, 0, 12), "right": (1, 19, 0, 12), "final": (0, 18, 2, 20)}).where("frame = 0").first()
+    assert (box.h, box.w) == (18, 18) and np.allclose(np.reshape(box.data, (18, 18)), want[1:19, 2:20], atol=1e-6)
+    pair = df.withColumn("moving", F.col("data"))
+    for one in (out, stitching.averaged(pair, ((20, 24), (20, 24)), (3.5, 2.0)), stitching.shifted(df, (20, 24), 0.5, 0.5), stitching.largest_rectangle(df)):
+        plan = one._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+    with pytest.raises(ValueError):
+        stitching.stitched(df, (19, 24), flat)
 
 
 def test_largest_rectangle(spark):
     pick = np.random.default_rng(6)
     masks = [pick.random((7, 9)) < p for p in (0.9, 0.7, 0.5, 0.8, 1.1)]
-    df = spark.createDataFrame([(k, int(y), int(x)) for k, m in enumerate(masks) for y, x in zip(*np.nonzero(m))], "frame int, y int, x int")
+    df = image_rows(spark, [m.astype(float) for m in [*masks, np.zeros((7, 9), bool)]])
     got = {r.frame: r for r in stitching.largest_rectangle(df).collect()}
+    assert len(got) == len(masks)
     for k, m in enumerate(masks):
         best = max((y1 - y0) * (x1 - x0) for y0 in range(7) for y1 in range(y0 + 1, 8) for x0 in range(9) for x1 in range(x0 + 1, 10) if m[y0:y1, x0:x1].all())
         r = got[k]
@@ -205,6 +225,39 @@ def test_outlines(spark):
     assert got == {(y, x) for y, x in cells if y in (2, 6) or x in (3, 7)}
 
 
+def test_cuts_spacing_and_floors(spark):
+    cut = lambda c, n: spark.range(1).select(intervals.centre_cut(F.lit(c), F.lit(n))).first()[0]
+    assert [cut(3.0, 1), cut(3.0, 0), cut(0.1, 8), cut(2.5, 8), cut(99.0, 8)] == [0, 0, 1, 3, 7]
+    spaces = lambda rows: tuple(footprints.spacing(spark.createDataFrame(rows, "k int, distance double")).first())
+    assert spaces([]) == (24.0, 0.0) and spaces([(1, 100.0), (2, 100.0)]) == (200.0, 100.0) and spaces([(1, 3.0), (2, 5.0)]) == (24.0, 4.0)
+    one, none = np.zeros((101, 101)), np.zeros((101, 101))
+    none[0, 0] = one[0, 0] = 1.0
+    far = kernels.regression_field(2 * one, none, 3.0)
+    weight = kernels.gaussian_blur(none, 3.0)
+    assert far[0, 0] == pytest.approx(2) and far[11, 11] == pytest.approx(2 * weight[11, 11] / max(weight[11, 11], 1e-8)) and weight[11, 11] < 1e-3
+    assert far[12, 12] < 2.001 and far[13, 12] == pytest.approx(2 * weight[13, 12] / max(weight[13, 12], 1e-8))
+
+
+def test_peak_fit_keeps_to_its_bounds():
+    corr = np.zeros((20, 20))
+    corr[10, 10] = 1.0  # narrower than the least deviation, so that bound is where the fit ends
+    got = kernels.fit_peak(corr, (6, 15, 6, 15))
+    assert (got["peak_y"], got["peak_x"]) == (10, 10)
+    assert got["sigma_y"] >= 0.5 - 1e-9 and got["sigma_x"] >= 0.5 - 1e-9 and abs(got["centre_y"] - 10) < 0.2
+    assert kernels.fit_peak(np.full((9, 9), 2.0), (0, 9, 0, 9))["centre_y"] == pytest.approx(4.0)
+
+
+def test_frame_statistics_stay_in_the_row(spark):
+    df = image_rows(spark, [np.arange(16.0).reshape(4, 4)])
+    for out in (movies.clipped(df), movies.percentile_view(df), movies.gray_levels(df), movies.saturated_levels(df), movies.display_range(df), movies.peaks(df)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" not in plan and "Join" not in plan and "Repartition" not in plan
+    big = image_rows(spark, [np.random.default_rng(0).random((200, 200))])
+    began = time.time()
+    assert movies.clipped(big).first() and movies.percentile_view(big).first()  # a sort for every pixel would take minutes
+    assert time.time() - began < 30
+
+
 def test_outlines_reach_the_end_of_a_long_core(spark):
     rows = [("p", 1, 0, x, 1.0 + (x == 0)) for x in range(150)]
     got = {(r.y, r.x) for r in footprints.outlines(spark.createDataFrame(rows, "patch string, k int, y int, x int, w double")).collect()}
@@ -228,18 +281,52 @@ def test_regions(spark):
     assert rows(traces.toggled(members, 3, "a")) == [("a", 1), ("a", 3), ("b", 2)]
 
 
+def stack(path, frames):
+    with open(path, "wb") as f:
+        tiff.write_stack(f, frames)
+
+
 def test_tiff_round_trip(spark, tmp_path):
     spark.dataSource.register(tiff.TiffSource)
     frames = [np.random.default_rng(k).random((5, 7)).astype(np.float32) for k in range(10)]
-    tiff.write_stack(str(tmp_path / "a.tif"), frames)
+    stack(tmp_path / "a.tif", frames)
+    same = lambda df, n=10: sorted(r.frame for r in df.collect()) == list(range(n)) and all(np.allclose(np.array(r["data"]).reshape(5, 7), frames[r.frame]) for r in df.collect())
     df = spark.read.format("tiff").option("chunk", 4).load(str(tmp_path / "a.tif"))
-    assert df.rdd.getNumPartitions() == 3
-    assert all(np.allclose(np.array(r["data"]).reshape(5, 7), frames[r.frame]) for r in df.collect())
-    assert spark.read.format("tiff").option("start", 2).option("end", 5).load(str(tmp_path / "a.tif")).count() == 3
-    df.coalesce(1).write.format("tiff").mode("overwrite").save(str(tmp_path / "out"))
-    assert os.listdir(tmp_path / "out")[0].endswith(".tif")
-    again = spark.read.format("tiff").load(str(tmp_path / "out"))
-    assert again.count() == 10 and np.allclose(np.array(again.where("frame = 3").first()["data"]).reshape(5, 7), frames[3])
+    assert df.rdd.getNumPartitions() == 3 and same(df)
+    assert sorted(r.frame for r in spark.read.format("tiff").option("start", 2).option("end", 5).load(str(tmp_path / "a.tif")).collect()) == [2, 3, 4]
+    out = str(tmp_path / "out")
+    for parts in (1, 3, 2):  # each replaces what was there; frames are dealt to tasks in any order
+        df.repartition(parts).write.format("tiff").mode("overwrite").save(out)
+        assert len([n for n in os.listdir(out) if n.endswith(".tif")]) == parts and not [n for n in os.listdir(out) if n.endswith(".part")]
+        assert same(spark.read.format("tiff").option("chunk", 2).load(out))
+    assert sorted(r.frame for r in spark.read.format("tiff").option("start", 7).load("file://" + out).collect()) == [7, 8, 9]
+    more = df.where("frame < 2").withColumn("frame", F.col("frame") + 10)
+    more.write.format("tiff").mode("append").save(out)
+    assert sorted(r.frame for r in spark.read.format("tiff").load(out).collect()) == list(range(12))
+
+
+def test_tiff_folder_is_one_movie(spark, tmp_path):
+    spark.dataSource.register(tiff.TiffSource)
+    frames = [np.full((3, 4), float(k), np.float32) for k in range(9)]
+    for name, own in (("b", frames[4:6]), ("A", frames[:4]), ("c", frames[6:])):
+        stack(tmp_path / f"{name}.tif", own)
+    (tmp_path / "._c.tif").write_bytes(b"no movie")
+    got = {r.frame: r["data"][0] for r in spark.read.format("tiff").option("chunk", 3).load(str(tmp_path)).collect()}
+    assert got == {k: float(k) for k in range(9)}
+    some = spark.read.format("tiff").option("start", 3).option("end", 7).load(str(tmp_path))
+    assert sorted(r.frame for r in some.collect()) == [3, 4, 5, 6]
+
+
+def test_failed_write_leaves_the_movie(spark, tmp_path):
+    spark.dataSource.register(tiff.TiffSource)
+    df = image_rows(spark, [np.full((2, 2), float(k)) for k in range(4)])
+    out = str(tmp_path / "out")
+    df.write.format("tiff").mode("overwrite").save(out)
+    before = sorted(os.listdir(out))
+    bad = df.withColumn("w", F.when(F.col("frame") == 3, 5).otherwise(F.col("w")))
+    with pytest.raises(Exception):
+        bad.coalesce(1).write.format("tiff").mode("overwrite").option("file_mb", 0).save(out)
+    assert sorted(os.listdir(out)) == before and spark.read.format("tiff").load(out).count() == 4
 
 
 def test_parameter_files(spark, tmp_path):
