@@ -43,31 +43,31 @@ def _tokens(line) -> F.Column:
     return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "))) + 1
 
 
-def _node(line, depth: int, least_tokens: int) -> F.Column:
-    """Number of the line's node; null for short lines. It only says what is worth a look, so it need not be unique."""
-    n = _tokens(line)
-    return F.when(n >= least_tokens, F.xxhash64(n, F.call_function("substring_index", line, F.lit(" "), F.lit(depth))))
+def _node(line, n, depth: int) -> F.Column:
+    """Number of a line's node, masked or not. It only says what is worth a look, so it need not be unique."""
+    return F.xxhash64(n, masked(F.call_function("substring_index", line, F.lit(" "), F.lit(depth))))
 
 
-def _rows(documents: DataFrame) -> DataFrame:
-    """doc_id, copy (number of the text: ids may repeat), lines (different ones, masked)."""
+def _copy(documents: DataFrame) -> tuple[F.Column, F.Column]:
+    """The text, and its number: ids may repeat."""
     text = F.coalesce(documents["text"].cast("string"), F.lit(""))
-    lines = F.array_distinct(F.transform(F.split(text, "\n"), masked))
-    return documents.select(documents["doc_id"].alias("doc_id"), F.xxhash64(text).alias("copy"), lines.alias("lines"))
+    return text, F.xxhash64(text).alias("copy")
 
 
 def leaf_lines(documents: DataFrame, depth: int, least_tokens: int, least_docs: int, share: int) -> DataFrame:
     """doc_id, copy, line, n, counts: the lines of nodes that enough documents reach, and whether the document counts."""
-    rows = _rows(documents)
-    own = F.array_compact(F.array_distinct(F.transform("lines", lambda x: _node(x, depth, least_tokens))))
-    nodes = rows.select(own.alias("own")).select(F.explode("own").alias("node")).groupBy("node").agg(F.count("*").alias("docs"))
+    text, copy = _copy(documents)
+    long = F.filter(F.split(text, "\n"), lambda x: _tokens(x) >= least_tokens)
+    own = F.array_distinct(F.transform(long, lambda x: _node(x, _tokens(x), depth)))
+    nodes = documents.select(F.explode(own).alias("node")).groupBy("node").agg(F.count("*").alias("docs"))
     busy = few(nodes.where(F.col("docs") >= least_docs).select("node"))
-    sizes = F.transform("lines", _tokens)
-    total = F.aggregate(F.filter(sizes, lambda n: n >= least_tokens), F.lit(0), lambda s, n: s + n)
-    lines = rows.select("doc_id", "copy", total.alias("total"), F.explode("lines").alias("line"))
-    lines = lines.withColumn("node", _node(F.col("line"), depth, least_tokens)).where("node is not null").join(busy, "node", "left_semi")
+    # different lines as they are masked, with their tokens; what repeats for each line is a column before explode
+    lines = F.transform(F.array_distinct(F.transform(long, masked)), lambda x: F.struct(x.alias("line"), _tokens(x).alias("n")))
+    rows = documents.select("doc_id", copy, lines.alias("own"))
+    lines = rows.select("doc_id", "copy", F.aggregate("own.n", F.lit(0), lambda s, n: s + n).alias("total"), F.explode("own").alias("one"))
+    lines = lines.select("doc_id", "copy", "total", "one.line", "one.n").withColumn("node", _node(F.col("line"), F.col("n"), depth)).join(busy, "node", "left_semi")
     # rows that repeat a document are one; all that follows stays with the document but for the counts of whole lines
-    lines = durable(lines.repartition("doc_id", "copy").dropDuplicates(["doc_id", "copy", "line"]).select("doc_id", "copy", "total", "line", _tokens(F.col("line")).alias("n")))
+    lines = durable(lines.repartition("doc_id", "copy").dropDuplicates(["doc_id", "copy", "line"]).select("doc_id", "copy", "total", "line", "n"))
     shared = few(lines.groupBy("line").agg(F.count("*").alias("docs")).where(F.col("docs") >= least_docs).select("line", F.lit(True).alias("shared")))
     marked = lines.join(shared, "line", "left")
     common = F.sum(F.when(F.col("shared"), F.col("n")).otherwise(0)).over(W.partitionBy("doc_id", "copy"))
@@ -77,15 +77,25 @@ def leaf_lines(documents: DataFrame, depth: int, least_tokens: int, least_docs:
 
 
 def _templates(depth: int, blocks: int) -> F.Column:
-    """The templates that a line fits, as text, from columns line and n."""
-    t, n = F.split("line", " "), F.col("n")
-    text = lambda lo, hi: F.array_join(F.slice(t, lo + 1, hi - lo), " ")
+    """The templates that a line fits, as text, from columns line and n. Its parts are made once, outside the templates."""
+    n = F.col("n")
     edges = [(F.lit(depth) + F.floor((n - depth) * j / blocks)).cast("int") for j in range(blocks + 1)]
-    head, parts = text(F.lit(0), F.lit(depth)), [text(a, b) for a, b in zip(edges, edges[1:])]
     ways = [set(c) for k in range(3) for c in combinations(range(blocks), k)]
-    long = F.array(*(F.concat_ws(" ", head, *(F.lit(OPEN) if j in c else p for j, p in enumerate(parts))) for c in ways))
-    one = F.transform(F.sequence(F.lit(depth + 1), n), lambda i: F.array_join(F.transform(t, lambda x, k: F.when(k + 1 == i, F.lit(OPEN)).otherwise(x)), " "))
-    return F.when(n >= depth + 2 * blocks, long).otherwise(F.concat(F.array("line"), one))
+
+    def parts(t):
+        text = lambda lo, hi: F.array_join(F.slice(t, lo + 1, hi - lo), " ")
+        return F.array(text(F.lit(0), F.lit(depth)), *(text(a, b) for a, b in zip(edges, edges[1:])))
+
+    def long(p):
+        return F.array(*(F.concat_ws(" ", p[0], *(F.lit(OPEN) if j in c else p[j + 1] for j in range(blocks))) for c in ways))
+
+    def short(t):
+        one = F.transform(F.sequence(F.lit(depth), n - 1), lambda i: F.array_join(F.transform(t, lambda x, k: F.when(k == i, F.lit(OPEN)).otherwise(x)), " "))
+        return F.concat(F.array("line"), one)
+
+    once = lambda value, body: F.transform(F.array(value), body)[0]
+    t = F.split("line", " ")
+    return F.when(n >= depth + 2 * blocks, once(once(t, parts), long)).otherwise(once(t, short))
 
 
 def recurring(lines: DataFrame, depth: int, blocks: int, least_docs: int) -> DataFrame:

@@ -58,6 +58,17 @@ def test_clean_cuts_passages_and_keeps_clean_documents(spark):
     assert got[2].text == "Nothing to see" and got[3].text is None
 
 
+def test_clean_does_not_depend_on_the_blocks(spark):
+    """Two items of 12 words in a document of 44: over half is covered, whichever block finds them."""
+    word = lambda a, n: " ".join(f"{a}{k}" for k in range(n))
+    bench = items(spark, [(1, word("x", 12), 0), (2, word("y", 12), 0)])
+    texts = [f"{word('a', 10)} {word('x', 12)} {word('b', 10)} {word('y', 12)}", f"{word('a', 10)} {word('x', 12)} {word('b', 20)}", word("c", 30), None]
+    df = documents(spark, texts).selectExpr("*", "0 as hits", "1 as items")
+    rows = lambda **how: sorted(map(tuple, decontaminate.clean(df, bench, **how).collect()), key=str)
+    assert rows() == rows(most_words=1) and {r[0] for r in rows()} == {1, 2, 3}
+    assert next(r for r in rows() if r[0] == 1)[1] == f"{word('a', 10)} {word('b', 20)}"
+
+
 def test_empty_tables(spark):
     assert decontaminate.report(documents(spark, []), items(spark, ITEMS)).count() == 0
     rows = decontaminate.report(documents(spark, ["a b"]), items(spark, [])).collect()

@@ -32,6 +32,25 @@ def test_every_stage_does_its_work(spark, tmp_path):
     assert packed.groupBy("sequence_id").agg({"length": "sum"}).where("`sum(length)` > 2048").count() == 0
 
 
+def test_awkward_documents_pass_every_stage(spark, tmp_path):
+    """Null ids and texts, repeated rows, extra columns and an empty table; labels and benchmark with nulls of their own."""
+    from .helpers import awkward, documents
+
+    d = str(tmp_path / "sf")
+    spark.createDataFrame([(3, 1, 0), (4, None, None), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, None), (None, "a b"), (2, "!!")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    for k, docs in enumerate((awkward(spark), documents(spark, []))):
+        names, kept = docs.columns, []
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            docs = stage(spark, docs, d)
+            docs.write.parquet(str(tmp_path / f"{k}-{i}"))
+            docs = spark.read.parquet(str(tmp_path / f"{k}-{i}"))
+            assert i == 4 or docs.columns == names
+            kept.append(docs.count())
+        # rows of equal texts are copies: of 3, 4 and 4 the first stays; a null id is no copy of anything
+        assert kept[:4] == ([10, 10, 8, 8] if k == 0 else [0, 0, 0, 0]) and (kept[4] >= 8) == (k == 0)
+
+
 def test_run_gives_the_last_stage(spark):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert rows.columns[-2:] == ["sequence_id", "offset"] and rows.count() > 0
