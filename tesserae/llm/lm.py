@@ -39,7 +39,7 @@ from .common import arrow, blob_arrays, by_key, doc_texts, durable, partitions,
 CODES = 8192  # codes of spelling; the last bits of a word's number
 CODE = np.uint64(CODES - 1)
 FREQUENT = 4096  # leaves of single words at most
-DIM, CONTEXT, NOISE, BATCH, SCORED = 16, 4, 32, 8192, 16384
+DIM, CONTEXT, NOISE, BATCH, SCORED = 16, 4, 24, 8192, 16384
 SHARD, ROUNDS = 2_000_000, 3
 EDGES = b".,;:!?\"'()[]{}<>|-_*"
 
@@ -279,7 +279,7 @@ class LogBilinear:
         """One pass of noise-contrastive estimation with Adagrad; the noise of a batch is shared by its tokens."""
         pick, p = np.random.default_rng(seed), self.p
         order = pick.permutation(len(target))
-        batch = int(min(BATCH, max(256, len(target) // 200)))
+        batch = int(min(BATCH, max(256, len(target) // 150)))
         levels = []
         for vectors, bias, noise in (("t", "b", self.noise), ("u", "a", self.group_noise)):
             levels.append((vectors, bias, np.log(NOISE * noise).astype(np.float32), np.cumsum(noise) / noise.sum()))
@@ -402,7 +402,7 @@ def _total(rows: DataFrame) -> tuple[int, np.ndarray | None]:
     return (found[0].n, np.frombuffer(found[0].sums)) if found else (0, None)
 
 
-def fit(encoded: DataFrame, counts: np.ndarray, rate: float = 0.1) -> LogBilinear:
+def fit(encoded: DataFrame, counts: np.ndarray, rate: float = 0.04) -> LogBilinear:
     """Parameters averaged over the shards by tokens, round by round."""
     model, state = LogBilinear(counts), None
     for turn in range(ROUNDS):
