@@ -149,6 +149,29 @@ def marks_of(word: str) -> list[str]:
     return [word + "$", *(word[:k] for k in BEGINNINGS if k <= len(word))]
 
 
+def hides(token: str) -> bool:
+    """Whether a token may stand for another word than WORD reads in it; others have one path, themselves."""
+    bare = token.strip(SEPARATORS)
+    return not bare.isalpha() or RUNS.search(bare) is not None
+
+
+class Tokens(dict):
+    """What is known of tokens, remembered up to a bound; forgetting costs time only."""
+
+    def __init__(self, find, most: int = 200_000):
+        super().__init__()
+        self.find, self.most = find, most
+
+    def __missing__(self, token: str) -> frozenset:
+        if len(self) >= self.most:
+            self.clear()
+        got = self[token] = self.find(token)
+        return got
+
+    def __reduce__(self):
+        return Tokens, (self.find, self.most)  # tasks start with nothing known
+
+
 class Restorer:
     """The marks that a text holds, written plainly or not."""
 
@@ -159,7 +182,7 @@ class Restorer:
         self.lengths = sorted({len(s) for s in self.skeletons})
         self.inside = re.compile("|".join(map(re.escape, sorted(self.skeletons, key=len, reverse=True)))) if marks else None
         self.plain: dict[str, frozenset] = {}
-        self.known: dict[str, frozenset] = {}
+        self.known = Tokens(self.of_token)
 
     def of_word(self, word: str) -> frozenset:
         """Marks of a clean word."""
@@ -175,28 +198,24 @@ class Restorer:
 
     def restored(self, token: str) -> frozenset:
         """Marks of the decoded token."""
-        got = self.known.get(token)
-        if got is None:
-            if len(self.known) > 50_000:
-                self.known = {}
-            got = self.of_word(decode(token, self.model)) if self.reachable(skeleton(token)) else NONE
-            self.known[token] = got
-        return got
+        return self.of_word(decode(token, self.model)) if self.reachable(skeleton(token)) else NONE
+
+    def of_token(self, token: str) -> frozenset:
+        """Marks of a written token: of the words in it, and of what it decodes to."""
+        found = NONE.union(*(self.of_word(w) for w in WORD.findall(token) if w[:3] in self.heads))
+        return (found | self.restored(token) if hides(token) else found) or NONE
 
     def __call__(self, text: str) -> set[str]:
         found: set[str] = set()
         if not self.marks:
             return found
-        low, heads = text.lower(), self.heads
-        for word in set(WORD.findall(low)):
-            if word[:3] in heads:
-                found |= self.of_word(word)
-        for token in set(low.split()):
-            if not token.isalpha() or RUNS.search(token):
-                found |= self.restored(token)
-        for m in SPACED.finditer(low):
-            for part in self.spelled(m[0]):
-                found |= self.restored(part)
+        low = text.lower()
+        tokens = set(low.split())
+        found.update(*map(self.known.__getitem__, tokens))
+        if sum(len(t) == 1 for t in tokens) >= min(2, self.lengths[0]):  # a spelled word of two letters has two different ones
+            for m in SPACED.finditer(low):
+                for part in self.spelled(m[0]):
+                    found |= self.restored(part)
         return found
 
     def spelled(self, token: str) -> list[str]:
@@ -234,10 +253,7 @@ def training_rows(documents: DataFrame, labels: DataFrame, folds: int, held: int
 
 def _hidden(low: str) -> Iterator[str]:
     """Written tokens that may stand for another word than WORD reads in them."""
-    for token in set(low.split()):
-        bare = token.strip(SEPARATORS)
-        if not bare.isalpha() or RUNS.search(bare):  # others have one path, themselves
-            yield token
+    yield from filter(hides, set(low.split()))
     for m in SPACED.finditer(low):
         yield m[0]
 
