@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tesserae import schemas
 from tesserae.functions import arrays, kinetics
 from tesserae.operators import footprints, intervals, kernels, movies, patches, quality, stitching, traces
 from tesserae.sources import params, tiff
@@ -347,6 +348,59 @@ def test_parameter_files(spark, tmp_path):
     assert params.cached(spark, str(tmp_path / "c"), make).count() == params.cached(spark, str(tmp_path / "c"), make).count() == 3 and len(calls) == 1
 
 
+def test_cached_results_and_configuration(spark, tmp_path):
+    path, calls = str(tmp_path / "c"), []
+    make = lambda: calls.append(1) or spark.range(len(calls))
+    assert [params.cached(spark, path, make, k).count() for k in ("a", "b", "a", "b")] == [1, 2, 1, 2] and len(calls) == 2
+    (tmp_path / "main.yaml").write_text("chunk: 16\nsave: {fold: a, keep: true}\n")
+    (tmp_path / "own.yaml").write_text("save: {fold: b}\n")
+    files = [str(tmp_path / n) for n in ("main.yaml", "none.yaml", "own.yaml")]
+    assert params.composed(spark, files) == {"chunk": 16, "save": {"fold": "b", "keep": True}}
+    assert params.composed(spark, files, {"save.keep": False})["save"] == {"fold": "b", "keep": False}
+    with pytest.raises(KeyError):
+        params.composed(spark, files, {"save.other.name": 1})
+    sources = {"load": "/data/x"}
+    assert not params.cache_is_valid(spark, str(tmp_path), sources, ["points.json"])
+    (tmp_path / "metadata.json").write_text('{"load": "/data/x/", "trace_sources": {"c": {"file": "c.bin"}}}')
+    (tmp_path / "points.json").write_text("[]")
+    assert not params.cache_is_valid(spark, str(tmp_path), sources, ["points.json"])
+    (tmp_path / "c.bin").write_bytes(b"")
+    assert params.cache_is_valid(spark, str(tmp_path), sources, ["points.json"])
+    assert not params.cache_is_valid(spark, str(tmp_path), {"load": "/data/y"}, ["points.json"])
+
+
+def test_trace_buffers(spark):
+    rows = spark.createDataFrame([(1, [1.0, 2.5]), (2, [0.0, -1.0])], "id long, v array<double>")
+    got = {r.id: np.frombuffer(r.data, "<f4").tolist() for r in traces.packed(rows).collect()}
+    assert got == {1: [1.0, 2.5], 2: [0.0, -1.0]}
+    size = lambda df: tuple(traces.buffer_size(traces.packed(df)).first())
+    assert size(rows) == (2, 2, True) and size(rows.where("id < 0")) == (0, 0, True)
+    assert size(rows.unionByName(spark.createDataFrame([(3, [1.0])], rows.schema))) == (3, 2, False)
+
+
+def test_ridge_features_find_the_shift(spark):
+    image = np.ones((64, 64))
+    image[20:40, 30], image[25, 15:50] = 0, 0
+    image = kernels.gaussian_blur(image, 1)
+    moved = np.roll(image, (-4, 6), (0, 1))
+    df = image_rows(spark, [image]).withColumn("moving", F.array(*[F.lit(float(v)) for v in moved.ravel()]))
+    corr = np.array(kernels.phase_correlation(df, "ridges", 30.0, (1.0, 2.0)).first()["corr"]).reshape(64, 64)
+    assert np.unravel_index(corr.argmax(), corr.shape) == (32 + 4, 32 - 6)
+    with pytest.raises(ValueError):
+        kernels.phase_correlation(df, "other")
+
+
+def test_profiles_and_patches_go_to_files(spark, tmp_path):
+    own = [(p, k, *([0.5] * 9), True) for p in ("0-0-0-0", "0-0-0-1") for k in range(2)]
+    table = spark.createDataFrame(own, schemas.PROFILE)
+    params.write_profiles(table, str(tmp_path / "profile"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "profile"))
+    assert back.count() == 4 and {r.patch for r in back.select("patch").distinct().collect()} == {"0-0-0-0", "0-0-0-1"}
+    px = movies.pixels(image_rows(spark, [np.arange(16.0).reshape(4, 4)]))
+    patches.write_patches(px, patches.regular_grid(spark, 4, 4, 2), str(tmp_path / "patch"), 1)
+    assert spark.read.parquet(str(tmp_path / "patch")).where("name = '0-0-1-1'").count() == 9
+
+
 def test_streaming_equals_batch(spark, tmp_path):
     pick = np.random.default_rng(3)
     movie = image_rows(spark, [pick.random((4, 4)) for _ in range(12)])
