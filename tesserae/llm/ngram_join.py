@@ -1,7 +1,8 @@
 """N-gram Jaccard join by T-occurrence search with DivideSkip.
 
 Words are runs of what is no ASCII white space, A-Z lower-cased; a document's set is its distinct five-word shingles. Two
-documents link when 100 * shared >= 75 * union. The join is exact and set-based:
+documents link when 100 * shared >= 75 * union. The join is set-based and leaves no pair out; overlaps are counted on 48
+bits of the shingles' numbers, so within one pair of documents a false one has a chance of about 1e-9:
 
 1. Every shingle gets a number; numbers travel packed, by range, and those of one document only are left out (they cannot
    be shared). A document that keeps less than 75 % of its set links with nothing and is done. Sizes and the test for

@@ -14,7 +14,9 @@ by anchors, without loss:
    in one leaf are equal strings; all but the first one's bytes go.
 4. By document, the spans are united and cut out.
 
-Numbers of anchors and surroundings go with 48 bits; surroundings are told apart within one anchor only.
+Anchors are told apart by 48 bits of their numbers, which costs time only: places of two anchors in one are sorted
+together. Surroundings are told apart by 64 bits within one anchor: of a million different ones the chance that any two
+are taken for equal is about 3e-8. All else is compared byte by byte.
 
 Defined results: null text is empty; texts under `length` bytes lose nothing; rows that repeat doc_id and text count as
 one document and give a row each; rows of one doc_id with different texts are documents ordered by the texts' CRC-32;
@@ -153,7 +155,7 @@ def _sent(held: list[tuple], buckets: int) -> pa.RecordBatch:
     order = np.argsort(bucket, kind="stable")
     docs, marks, places, grams, arounds = (x[order] for x in (docs, marks, places, grams, arounds))
     high, low = (grams >> np.uint64(32)).astype(np.uint32), (grams >> np.uint64(16)).astype(np.uint16)
-    around_high, around_low = (arounds >> np.uint64(32)).astype(np.uint32), (arounds >> np.uint64(16)).astype(np.uint16)
+    around_high, around_low = (arounds >> np.uint64(32)).astype(np.uint32), arounds.astype(np.uint32)
     edges = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
     rows = []
     for k, (s, e) in enumerate(zip(edges, edges[1:])):
@@ -211,10 +213,9 @@ def _meet(length: int, dests: int):
         counts, _ = blob_arrays(t["counts"], np.uint32)
         docs, marks = (np.repeat(blob_arrays(t[c], k)[0], counts) for c, k in (("docs", np.int64), ("marks", np.uint32)))
         places, _ = blob_arrays(t["places"], np.int32)
-        grams, arounds = (
-            blob_arrays(t[h], np.uint32)[0].astype(np.uint64) << np.uint64(32) | blob_arrays(t[w], np.uint16)[0].astype(np.uint64) << np.uint64(16)
-            for h, w in (("high", "low"), ("around_high", "around_low"))
-        )
+        wide = lambda name: blob_arrays(t[name], np.uint32)[0].astype(np.uint64)
+        grams = wide("high") << np.uint64(32) | blob_arrays(t["low"], np.uint16)[0].astype(np.uint64) << np.uint64(16)
+        arounds = wide("around_high") << np.uint64(32) | wide("around_low")
         del t
         order = np.argsort(grams, kind="stable")
         same = grams[order][1:] == grams[order][:-1]
