@@ -67,7 +67,7 @@ def test_long_documents_in_stretches(spark, monkeypatch):
         for b in batches:
             for r in b.to_pylist():
                 docs = np.repeat(np.frombuffer(r["docs"], np.int64), np.frombuffer(r["counts"], np.uint32))
-                numbers = [np.frombuffer(r[c], k).tolist() for c, k in (("high", "u4"), ("low", "u2"), ("around_high", "u4"), ("around_low", "u2"))]
+                numbers = [np.frombuffer(r[c], k).tolist() for c, k in (("high", "u4"), ("low", "u2"), ("around_high", "u4"), ("around_low", "u4"))]
                 out |= set(zip(docs.tolist(), np.frombuffer(r["places"], np.int32).tolist(), *numbers))
         return out
 
