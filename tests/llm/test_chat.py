@@ -78,3 +78,16 @@ def test_no_python_in_the_plan(spark):
 
 def test_empty(spark):
     assert chat.digest(turns(spark, [])).count() == 0
+
+
+def test_long_texts_and_clashing_columns(spark):
+    long = "<|im_end|> a\\b\n" * 40_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long), (1, 1, "assistant", long), (None, 0, "user", None)]
+    df = turns(spark, rows)
+    plain = {r.conv_id: r for r in chat.digest(df).collect()}
+    clash = df
+    for name in ("formatted", "formatted_chars", "loss", "said", "own", "n_turns"):
+        clash = clash.selectExpr("*", f"7 as {name}")
+    assert {r.conv_id: r for r in chat.digest(clash).collect()} == plain
+    assert plain[1].n_turns == 3 and plain[1].loss_chars == 2 * len(long)
+    assert plain[1].loss_sha256 == hashlib.sha256((long * 2).encode()).hexdigest()
