@@ -13,6 +13,7 @@ ignored; an empty table gives an empty table.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -60,9 +61,22 @@ def encoder(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("byte level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+#: Runs of white space that the pattern's look-ahead would need too deep a stack for; the characters are those of \s in it.
+BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{20000,}")
+
+
 def ids_of(path: str, text: str | None, end_id: int) -> np.ndarray:
-    """Ids of the text, control strings in it as their own ids, and the end id."""
-    return np.array([*encoder(path).encode(text or "", allowed_special="all"), end_id], "<u4")
+    """Ids of the text, control strings in it as their own ids, and the end id.
+
+    A very long run of white space is one piece, as the pattern has it: all of the run at the end of a text or before a
+    control string, all but its last character elsewhere.
+    """
+    tokens, text, parts, last = encoder(path), text or "", [], 0
+    for m in BLANK.finditer(text) if len(text) >= 20_000 else ():
+        stop = m.end() - (m.end() < len(text) and not text.startswith(tuple(tokens.special_tokens_set), m.end()))
+        parts += [tokens.encode_to_numpy(text[last : m.start()], allowed_special="all"), tokens._encode_single_piece(text[m.start() : stop])]
+        last = stop
+    return np.concatenate([*parts, tokens.encode_to_numpy(text[last:], allowed_special="all"), [end_id]]).astype("<u4")
 
 
 def cuts(n: int, size: int) -> list[tuple[int, int]]:
@@ -153,9 +167,10 @@ def slots(patterns: list[tuple[int, list[int]]]) -> list[tuple[int, int, int, in
 
 def _place(table: list[tuple[int, int, int, int, int]]):
     """Rank within the length, to sequence and offset; the table is as long as the plan, which size bounds."""
-    by: dict[int, np.ndarray] = {}
-    for length in {x[0] for x in table}:
-        by[length] = np.array(sorted(x[1:] for x in table if x[0] == length), np.int64)
+    rows: dict[int, list] = {}
+    for length, *own in table:
+        rows.setdefault(length, []).append(own)
+    by = {length: np.array(sorted(own), np.int64) for length, own in rows.items()}
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -61,6 +61,13 @@ def test_odd_spaces_split_as_the_tokenizer_does():
         assert packing.ids_of(tokenizer_path(), text, 0).tolist() == ids_of(text), text
 
 
+def test_very_long_runs_of_white_space():
+    for blank in (" " * 30_000, "\n" * 25_000, " \u3000" * 12_000):
+        for text in (blank, f"a{blank}", f"a{blank}b", f"a{blank}<|endoftext|>{blank}'s c", f"{blank}. d"):
+            assert packing.ids_of(tokenizer_path(), text, 0).tolist() == ids_of(text)
+    assert len(packing.ids_of(tokenizer_path(), "a" + " " * 2_000_000 + "b", 0)) > 3
+
+
 def test_two_pieces_replace_the_smallest():
     # 60 + 30 leaves 10; instead of 30, 25 + 15 fill the gap of 40
     assert packing.plan({60: 1, 30: 1, 25: 1, 15: 1}, 100)[0] == (1, [60, 25, 15])
