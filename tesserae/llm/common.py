@@ -22,18 +22,20 @@ def durable(df: DataFrame) -> DataFrame:
 
     Only a session on one machine (tests) gets a temporary folder where that setting is absent. The shuffle files of
     plans that a checkpoint has finished go when the driver's JVM collects its garbage; a driver with much memory seldom
-    does, so it is asked to here. With spark.cleaner.referenceTracking.cleanCheckpoints, checkpoints that nothing refers
-    to any more go likewise.
+    does, so on a cluster it is asked to here. With spark.cleaner.referenceTracking.cleanCheckpoints, checkpoints that
+    nothing refers to any more go likewise.
     """
     sc = df.sparkSession.sparkContext
+    one_machine = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
     if not sc.getConf().get("spark.checkpoint.dir") and not sc.getCheckpointDir():
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        if not one_machine:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tesserae-checkpoint-"))
     out = df.checkpoint()
-    del df
-    gc.collect()
-    sc._jvm.System.gc()
+    if not one_machine:
+        del df
+        gc.collect()
+        sc._jvm.System.gc()
     return out
 
 
