@@ -761,11 +761,20 @@ def image_peaks(spark, d):
 
 
 @query()
-def adaptive_fields(spark, d):
+def spatial_fields(spark, d):
     rows = t.table(spark, d, "customer").select((F.col("c_custkey") % 40).cast("int").alias("y"), (F.col("c_custkey") * 7 % 50).cast("int").alias("x"), F.col("c_mktsegment").alias("metric"), "c_acctbal")
     return rendering.spatial_field(rows, "c_acctbal", (40, 50), 6.0)
 
 
+@query()
+def adaptive_fields(spark, d):
+    """The widths follow the spacing of the points, one row that is read first."""
+    spacing = footprints.spacing(footprints.nearest(_points(spark, d), "k", 12.0)).first()["median"]
+    k = F.col("c_custkey")
+    rows = t.table(spark, d, "customer").select((k * 37 % 211).cast("int").alias("y"), (k * 53 % 197).cast("int").alias("x"), F.col("c_mktsegment").alias("metric"), "c_acctbal")
+    return rendering.spatial_field(rows, "c_acctbal", (211, 197), spacing)
+
+
 # ---- array kernels and iterative operators, checked against numpy in the tests
 
 
