@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, line_templates, lm, ngram_join, packing, pii, suffix_dedup, toxicity, vector_dedup
+from . import chat, decontaminate, line_templates, lm, ngram_join, packing, pii, suffix_dedup, token_counts, toxicity, vector_dedup
 from .common import table, tokenizer_path
 
 
@@ -60,10 +60,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_decontaminate, op2_chat_format, op3_line_templates, op4_ngram_join, op5_suffix_dedup, op6_best_two_fit,
-        op7_vector_passes, op8_log_bilinear, op9_personal_data, op10_toxicity,
+        op7_vector_passes, op8_log_bilinear, op9_personal_data, op10_toxicity, op13_token_counts,
     )
     return {f.__name__: f for f in own}
 
