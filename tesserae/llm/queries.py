@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, line_templates, lm, ngram_join, packing, pii, suffix_dedup, token_counts, toxicity, vector_dedup
+from . import chat, decontaminate, lexical, line_templates, lm, ngram_join, packing, pii, suffix_dedup, token_counts, toxicity, vector_codes, vector_dedup
 from .common import table, tokenizer_path
 
 
@@ -60,6 +60,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_segment_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -67,7 +75,8 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_decontaminate, op2_chat_format, op3_line_templates, op4_ngram_join, op5_suffix_dedup, op6_best_two_fit,
-        op7_vector_passes, op8_log_bilinear, op9_personal_data, op10_toxicity, op13_token_counts,
+        op7_vector_passes, op8_log_bilinear, op9_personal_data, op10_toxicity, op11_segment_bounds, op12_lexical_search,
+        op13_token_counts,
     )
     return {f.__name__: f for f in own}
 
@@ -166,5 +175,65 @@ from w left join n using (doc_id) join (select doc_id, min(component_id) as comp
 """
 
 
+
+
+def _op11_sql(rounds: int = 4) -> str:
+    """Codebooks moved round by round; an assignment is the least of distance * 256 + entry."""
+    square = "cast(list_sum(list_transform(range(1, len(p.v) + 1), lambda i: (p.v[i] - c.v[i]) * (p.v[i] - c.v[i]))) as bigint)"
+    out = """
+with k as materialized (
+  select vec_id, label, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v from embeddings
+  where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as materialized (
+  select vec_id, label, part, v[part * (len(v) // 4) + 1:(part + 1) * (len(v) // 4)] as v
+  from (select *, unnest([0, 1, 2, 3]) as part from k)),
+c0 as materialized (
+  select part, row_number() over (partition by part order by vec_id) - 1 as entry, v from p
+  where vec_id in (select vec_id from k order by vec_id limit 256)),
+"""
+    for k in range(rounds + 1):
+        out += f"""a{k} as materialized (
+  select vec_id, label, part, min({square} * 256 + c.entry) as near from p join c{k} c using (part) group by all),
+"""
+        if k < rounds:
+            out += f"""m{k} as (
+  select part, entry, list((s - (s % n + n) % n) // n order by i) as v from (
+    select part, near % 256 as entry, i, cast(sum(x) as bigint) as s, count(*) as n
+    from (select a.part, near, unnest(v) as x, unnest(range(len(v))) as i from a{k} a join p using (vec_id, part)) group by all) group by 1, 2),
+c{k + 1} as materialized (select c.part, c.entry, coalesce(m.v, c.v) as v from c{k} c left join m{k} m using (part, entry)),
+"""
+    return out + f"""d as (
+  select vec_id, label, string_agg(printf('%02x', near % 256), '' order by part) as code, cast(sum(near // 256) as bigint) as error
+  from a{rounds} group by all),
+h as (select sha256(string_agg(array_to_string(v, ','), ',' order by part, entry)) as codebooks_sha256 from c{rounds})
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256 from d, h
+"""
+
+
+OP12_SQL = r"""
+with t as (
+  select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents),
+q as (
+  select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from benchmark where item_id is not null and text is not null),
+p as (select doc_id, term, count(*) as tf from t group by all),
+n as (select doc_id, cast(sum(tf) as bigint) as n from p group by 1),
+c as (select count(*) as docs, cast(sum(n) as bigint) as terms from n),
+w as (
+  select term, cast(floor(1000 * ln(cast(2 * docs + 2 as double) / cast(2 * df + 1 as double))) as bigint) as w
+  from (select term, count(*) as df from p group by 1), c),
+s as (
+  select item_id, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)))) as bigint) as score
+  from q join p using (term) join w using (term) join n using (doc_id), c group by all)
+select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) as rank, doc_id, score
+from s where score > 0 qualify rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op2_chat_format": OP2_SQL, "op3_line_templates": OP3_SQL, "op4_ngram_join": OP4_SQL}
+    return {
+        "op1_decontaminate": OP1_SQL, "op2_chat_format": OP2_SQL, "op3_line_templates": OP3_SQL, "op4_ngram_join": OP4_SQL,
+        "op11_segment_bounds": _op11_sql(), "op12_lexical_search": OP12_SQL,
+    }
