@@ -60,13 +60,14 @@ def shingles(words: np.ndarray, width: int, multipliers: np.ndarray) -> np.ndarr
 
 EMITTED = "bucket int, block long, docs binary, counts binary, high binary, low binary, home binary"
 EMITTED_NAMES = [x.split()[0] for x in EMITTED.split(", ")]
-HOME = np.dtype([("doc_id", "<i8"), ("mark", "<u8"), ("size", "<i4")])
+HOME = np.dtype([("doc_id", "<i8"), ("copy", "<i8"), ("mark", "<u8"), ("size", "<i4")])
 
 
 def _emit(buckets: int, width: int):
     """Per block of documents and range of numbers: which documents have how many of them, and the numbers' first 48 bits.
 
-    One more row of a block has its documents' ids, marks (sums of their numbers, the same for equal sets) and sizes.
+    One more row of a block has its documents' ids, numbers of their texts, marks (sums of their shingles' numbers, the same
+    for equal sets) and sizes.
     """
     multipliers = odd_numbers(width, 5)
 
@@ -78,6 +79,7 @@ def _emit(buckets: int, width: int):
                 sets = [shingles(known.of((t or b"").lower().split()), width, multipliers) for t in part.column(1).to_pylist()]
                 home = np.zeros(len(sets), HOME)
                 home["doc_id"] = part.column(0).to_numpy(zero_copy_only=False)
+                home["copy"] = part.column(2).to_numpy(zero_copy_only=False)
                 home["mark"] = [s.sum(dtype=np.uint64) if len(s) else 0 for s in sets]
                 home["size"] = [len(s) for s in sets]
                 every = np.concatenate(sets)
@@ -149,7 +151,7 @@ def _whole(high: pa.ChunkedArray, low: pa.ChunkedArray) -> tuple[np.ndarray, np.
     return a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64) << np.uint64(16), counts
 
 
-OWN = "key long, doc_id long, mark long, size int, able boolean, high binary, low binary"
+OWN = "key long, doc_id long, copy long, mark long, size int, able boolean, high binary, low binary"
 OWN_NAMES = [x.split()[0] for x in OWN.split(", ")]
 
 
@@ -181,11 +183,12 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 high[k], low[k] = a[edges[k] : edges[k + 1]].tobytes(), b[edges[k] : edges[k + 1]].tobytes()
         marks = home["mark"].astype(np.int64)
         key = np.where(able, marks, mix(home["doc_id"].astype(np.uint64)).view(np.int64))
-        columns = [pa.array(key), pa.array(home["doc_id"]), pa.array(marks), pa.array(home["size"]), pa.array(able), pa.array(high, pa.binary()), pa.array(low, pa.binary())]
+        columns = [pa.array(key), pa.array(home["doc_id"]), pa.array(home["copy"]), pa.array(marks), pa.array(home["size"]), pa.array(able), pa.array(high, pa.binary()), pa.array(low, pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, OWN_NAMES)
 
 
-SETS = "doc_id long, mark long, size int, first long, high binary, low binary"
+SETS = "doc_id long, copy long, mark long, size int, able boolean, first long, high binary, low binary"
+SETS_NAMES = [x.split()[0] for x in SETS.split(", ")]
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,22 +196,23 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     t = by_key(batches)
     if t is None:
         return
-    docs, marks, sizes, able = (t[c].to_numpy() for c in ("doc_id", "mark", "size", "able"))
+    docs, copies, marks, sizes, able = (t[c].to_numpy() for c in ("doc_id", "copy", "mark", "size", "able"))
     first = docs.copy()
     at = np.flatnonzero(able)
     at = at[np.lexsort((docs[at], sizes[at], marks[at]))]
     new = np.flatnonzero(np.append(True, (np.diff(marks[at]) != 0) | (np.diff(sizes[at]) != 0))) if len(at) else at
     first[at] = np.repeat(docs[at][new], np.diff(np.append(new, len(at))))
     none = pa.nulls(len(docs), pa.binary())
-    names = ["doc_id", "mark", "size", "first", "high", "low"]
-    yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(marks), pa.array(sizes), pa.array(first), none, none], names)
+    columns = [pa.array(docs), pa.array(copies), pa.array(marks), pa.array(sizes), pa.array(able), pa.array(first), none, none]
+    yield pa.RecordBatch.from_arrays(columns, SETS_NAMES)
     full = np.flatnonzero(t["high"].is_valid().to_numpy())
     full = full[np.unique(marks[full], return_index=True)[1]]
     for s in range(0, len(full), 2000):
         k = full[s : s + 2000]
         own = t.take(pa.array(k)).combine_chunks()
-        columns = [pa.nulls(len(k), pa.int64()), pa.array(marks[k]), pa.array(sizes[k]), pa.array(first[k]), own["high"].chunk(0), own["low"].chunk(0)]
-        yield pa.RecordBatch.from_arrays(columns, names)
+        none = pa.nulls(len(k), pa.int64())
+        columns = [none, none, pa.array(marks[k]), pa.array(sizes[k]), pa.array(able[k]), pa.array(first[k]), own["high"].chunk(0), own["low"].chunk(0)]
+        yield pa.RecordBatch.from_arrays(columns, SETS_NAMES)
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -428,17 +432,25 @@ def _search_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
 
-def join(documents: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included): one row per document."""
-    spark = documents.sparkSession
-    parts = partitions(spark)
-    docs = doc_texts(documents)
-    emitted = docs.where("doc_id is not null").transform(arrow, _emit(text_ranges(docs), width), EMITTED)
+def _copy(text) -> F.Column:
+    return F.xxhash64(text.cast("string").cast("binary"))
+
+
+def _classified(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows of documents with an id (doc_id, copy, mark, size, able, first), the different sets, and (id, component) of marks."""
+    parts = partitions(docs.sparkSession)
+    emitted = docs.where("doc_id is not null").withColumn("copy", _copy(F.col("text"))).transform(arrow, _emit(text_ranges(docs), width), EMITTED)
     kept = emitted.repartitionById(parts, "bucket").transform(arrow, _shared, KEPT)
     own = kept.repartition(parts, "block").transform(arrow, _candidates, OWN)
     both = durable(own.repartition(parts, "key").transform(arrow, _classes, SETS))
-    sets, rows = both.where("doc_id is null"), both.where("doc_id is not null").select("doc_id", "mark", "size", "first")
-    named = durable(components(links(sets), "u", "v"))
+    sets, rows = both.where("doc_id is null"), both.where("doc_id is not null").drop("high", "low")
+    return rows, sets, durable(components(links(sets), "u", "v"))
+
+
+def join(documents: DataFrame, width: int = WIDTH) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included): one row per document."""
+    docs = doc_texts(documents)
+    rows, sets, named = _classified(docs, width)
     least = named.join(sets.select(F.col("mark").alias("id"), "first"), "id").groupBy("component").agg(F.min("first").alias("least"))
     least = named.join(least, "component").select(F.col("id").alias("mark"), "least")
     out = rows.join(least, "mark", "left").select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.coalesce("least", "first").alias("component_id"))
@@ -457,6 +469,22 @@ def _sizes(width: int):
 
 
 def distinct_documents(documents: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The documents in their own columns, one of each component (that of the smallest id); null ids stay."""
-    heads = join(documents.select("doc_id", "text"), width).where("component_id < doc_id").select(F.col("doc_id").alias("_copy")).distinct()
-    return documents.join(heads, documents["doc_id"] == heads["_copy"], "left_anti")
+    """The documents in their own columns, one row of each component: that of the smallest id, then number of its text.
+
+    Rows are told apart by id and text, so an id that stands for several texts loses only those that are copies; of rows
+    with one id and text one stays. Rows that link with nothing all stay: null ids, and texts without words.
+    """
+    rows, _, named = _classified(doc_texts(documents.select("doc_id", "text")), width)
+    rows = rows.where("able").select("doc_id", "copy", "mark", F.struct("doc_id", "copy").alias("row"))
+    rows = rows.join(named.withColumnRenamed("id", "mark"), "mark", "left").withColumn("group", F.coalesce("component", "mark"))
+    rows = durable(rows.select("doc_id", "copy", "row", "group"))
+    judged = rows.join(rows.groupBy("group").agg(F.min("row").alias("least")), "group")
+    gone = judged.where("row <> least").select("doc_id", "copy").distinct()
+    repeated = durable(judged.where("row = least").groupBy("doc_id", "copy").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    names = documents.columns
+    keyed = documents.select(*(F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(names)), documents["doc_id"].cast("long").alias("doc_id"), _copy(documents["text"]).alias("copy"))
+    kept = keyed.join(gone, ["doc_id", "copy"], "left_anti")
+    if not repeated.isEmpty():
+        once = kept.join(repeated, ["doc_id", "copy"], "left_semi").dropDuplicates(["doc_id", "copy"])
+        kept = kept.join(repeated, ["doc_id", "copy"], "left_anti").unionByName(once)
+    return kept.select(*(F.col(f"_{k}").alias(c) for k, c in enumerate(names)))

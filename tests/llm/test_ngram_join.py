@@ -91,3 +91,18 @@ def test_one_document_of_each_component_stays(spark):
     text = "a text of more than five words stands here"
     df = documents(spark, [(5, text), (3, text), (9, "some other text that is not the same"), (7, None), (8, "")])
     assert sorted(r.doc_id for r in ngram_join.distinct_documents(df).collect()) == [3, 7, 8, 9]
+
+
+def test_rows_go_by_id_and_text(spark):
+    a, b = "a text of more than five words stands here", "another one of at least five words that is alone"
+    rows = [(1, a), (5, a), (5, b), (7, a), (7, a), (9, b + " too"), (2, b), (2, b), (3, None), (3, None), (None, a)]
+    df = documents(spark, rows).repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in ngram_join.distinct_documents(df).collect()), key=str)
+    assert got == sorted([(1, a), (2, b), (3, None), (3, None), (None, a)], key=str)
+    assert ngram_join.distinct_documents(df).columns == df.columns
+
+
+def test_an_id_of_several_texts_keeps_the_others(spark):
+    a, b = "a text of more than five words stands here", "quite other words are said in this one of that id"
+    df = documents(spark, [(1, a), (5, a), (5, b), (7, a), (7, a)])
+    assert sorted((r.doc_id, r.text) for r in ngram_join.distinct_documents(df).collect()) == [(1, a), (5, b)]

@@ -47,7 +47,7 @@ def test_awkward_documents_pass_every_stage(spark, tmp_path):
             docs = spark.read.parquet(str(tmp_path / f"{k}-{i}"))
             assert i == 4 or docs.columns == names
             kept.append(docs.count())
-        # rows of equal texts are copies: of 3, 4 and 4 the first stays; a null id is no copy of anything
+        # rows of equal texts are copies: of 3, 4 and 4 one row stays; a null id is no copy of anything
         assert kept[:4] == ([10, 10, 8, 8] if k == 0 else [0, 0, 0, 0]) and (kept[4] >= 8) == (k == 0)
 
 
