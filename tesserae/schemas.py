@@ -7,6 +7,7 @@ def _nested(ddl: str) -> str:
 
 
 MOVIE = "frame int, h int, w int, data array<float>"
+PAGE = "frame int, h int, w int, samples int, label string, data binary"  # a byte a sample, row by row
 PIXEL = "frame int, y int, x int, v double"
 BOX = "struct<y0:int,y1:int,x0:int,x1:int>"
 PATCH_SPEC = "name string, quadrant_row int, quadrant_col int, patch_row int, patch_col int, y0 int, y1 int, x0 int, x1 int"
