@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import products
+
 
 def core_pixels(footprint: DataFrame, patches: DataFrame) -> DataFrame:
     """(patch, k, y, x, w) of the core area in mosaic coordinates.
@@ -57,41 +59,6 @@ def product_image(footprint: DataFrame, traces: DataFrame, keep: DataFrame | Non
     return footprint.join(sums, ["patch", "k"]).groupBy("patch", "p").agg(F.sum(F.col("w").cast("double") * F.col("s")).alias("v"))
 
 
-BLOCK = 64  # frames that a task multiplies at once
-PART = 20_000  # weights of a task that are multiplied at once
-
-
-def _multiplied(key: tuple, weights: pd.DataFrame, series: pd.DataFrame) -> pd.DataFrame:
-    """(patch, p, t, v) of one patch and block of frames."""
-    rows, at = np.unique(series["q"], return_inverse=True)
-    first = int(series["t"].min()) if len(series) else 0
-    values = np.zeros((len(rows), int(series["t"].max()) - first + 1 if len(series) else 0))
-    there = np.zeros(values.shape)
-    values[at, series["t"] - first], there[at, series["t"] - first] = series["v"], 1
-    weights = weights[weights["q"].isin(rows)]
-    pixels, to = np.unique(weights["p"], return_inverse=True)
-    source, w = np.searchsorted(rows, weights["q"]), weights["w"].to_numpy(np.float64)
-    out, n = np.zeros((len(pixels), values.shape[1])), np.zeros((len(pixels), values.shape[1]))
-    for s in range(0, len(w), PART):
-        own = slice(s, s + PART)
-        np.add.at(out, to[own], w[own, None] * values[source[own]])
-        np.add.at(n, to[own], there[source[own]])
-    i, j = np.nonzero(n)
-    return pd.DataFrame({"patch": [key[0]] * len(i), "p": pixels[i], "t": j + first, "v": out[i, j]})
-
-
-def _product(weights: DataFrame, series: DataFrame) -> DataFrame:
-    """(patch, p, t, v): sparse weights (patch, p, q, w) times series (patch, q, t, v), patch by patch in blocks of frames.
-
-    Weights go out once for each block, and the series once; a row for every weight and frame is never made.
-    """
-    rows = series.select("patch", "q", F.col("t").cast("long").alias("t"), F.col("v").cast("double").alias("v"), F.floor(F.col("t") / BLOCK).alias("b"))
-    spread = weights.select("patch", "p", "q", F.col("w").cast("double").alias("w")).join(rows.select("patch", "b").distinct(), "patch")
-    spread = spread.select(*(F.col(c).alias(c) for c in ("patch", "p", "q", "w", "b")))  # both sides may come from one table
-    kind = weights.schema["patch"].dataType.simpleString()
-    return spread.groupBy("patch", "b").cogroup(rows.groupBy("patch", "b")).applyInPandas(_multiplied, f"patch {kind}, p long, t int, v double")
-
-
 def product_movie(footprint: DataFrame, traces: DataFrame, keep: DataFrame | None = None, residual: bool = False) -> DataFrame:
     """(patch, p, t, v): footprints times traces, by frame."""
     series = F.col("c")
@@ -100,7 +67,7 @@ def product_movie(footprint: DataFrame, traces: DataFrame, keep: DataFrame | Non
         series = F.zip_with("c", rest, lambda a, b: a.cast("double") + b.cast("double"))
     if keep is not None:
         traces = traces.join(keep, ["patch", "k"], "left_semi")
-    return _product(footprint.withColumnRenamed("k", "q"), traces.select("patch", F.col("k").alias("q"), F.posexplode(series).alias("t", "v")))
+    return products.of_traces(footprint.withColumnRenamed("k", "q"), traces.select("patch", F.col("k").alias("q"), series.alias("series")))
 
 
 def ring_background(pixel: DataFrame, model: DataFrame, b0: DataFrame, ring: DataFrame, constant: bool = True) -> DataFrame:
@@ -111,7 +78,7 @@ def ring_background(pixel: DataFrame, model: DataFrame, b0: DataFrame, ring: Dat
     base = b0.select("patch", "p", F.col("v").alias("b"))
     ac = model.select("patch", "p", "t", F.col("v").alias("m"))
     rest = pixel.join(ac, ["patch", "p", "t"], "left").join(base, ["patch", "p"])
-    out = _product(ring, rest.select("patch", F.col("p").alias("q"), "t", (F.col("v") - F.coalesce("m", F.lit(0.0)) - F.col("b")).alias("v")))
+    out = products.of_pixels(ring, rest.select("patch", F.col("p").alias("q"), "t", (F.col("v") - F.coalesce("m", F.lit(0.0)) - F.col("b")).alias("v")))
     return out.join(base, ["patch", "p"]).select("patch", "p", "t", (F.col("v") + F.col("b")).alias("v")) if constant else out
 
 
