@@ -624,7 +624,21 @@ def kernel_means(spark, d):
     return means.select(*(_r(c, 8 if c[0] == "g" else 6).alias(c) for c in means.columns))
 
 
-@query()
+@query(f"""with recursive c as (
+  select distinct id, cut from (select *, cast(greatest(1, least(floor((start + "end") / 2.0 + 0.5), 474059)) as bigint) as cut from {MERGED})
+  where start > 0 and "end" < 474060 and cut > 200 and cut < 473860),
+e as (select id, list(cut order by cut) as cs from c group by id),
+w as (select id, list_transform(range(1, len(cs) + 2), lambda i: coalesce(cs[i], 474060) - coalesce(cs[i - 1], 0)) as ws from e),
+s(id, ws, i, width, passed) as (
+  select id, ws, 2, ws[1], cast([] as bigint[]) from w
+  union all
+  select id, ws, i + 1,
+    case when width < 24 and i <= len(ws) and (len(passed) = 0 or passed[-1] > ws[i]) then width + ws[i] else ws[i] end,
+    case when width < 24 and len(passed) > 0 and (i > len(ws) or passed[-1] <= ws[i]) then list_append(passed[:-2], passed[-1] + width)
+         when width < 24 and i <= len(ws) then passed else list_append(passed, width) end
+  from s where width is not null),
+d as (select id, passed, unnest(range(1, len(passed) + 1)) as k from s where width is null)
+select id, cast(k - 1 as integer) as row, cast(coalesce(list_sum(passed[:k - 1]), 0) as integer) as start, cast(list_sum(passed[:k]) as integer) as "end" from d""")
 def axis_spans(spark, d):
     runs = intervals.merged_runs(_lives(spark, d), ["id"]).withColumn("length", F.lit(474060))
     return intervals.spans_by_axis(intervals.cuts_of_runs(runs, ["id"], "length", 200), "id", "length", 24)

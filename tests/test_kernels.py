@@ -172,6 +172,16 @@ def test_spans_and_seam_specs(spark):
     assert intervals.spans(100, [30, 33, 60], 10) == [(0, 30), (30, 60), (60, 100)] or intervals.spans(100, [30, 33, 60], 10) == [(0, 33), (33, 60), (60, 100)]
     assert intervals.spans(100, [3], 10) == [(0, 100)] and intervals.spans(0, [], 5) == [] and intervals.spans(10, [], 50) == [(0, 10)]
     assert intervals.spans(30, [10, 14, 24], 5) == [(0, 14), (14, 24), (24, 30)]
+    pick = np.random.default_rng(12)
+    for _ in range(300):  # merged one by one, as the rule says
+        cuts = pick.integers(-3, 45, pick.integers(0, 12)).tolist()
+        own = np.diff([0, *sorted({c for c in cuts if 0 < c < 40}), 40]).tolist()
+        while len(own) > 1 and min(own) < 7:
+            k = next(i for i, w in enumerate(own) if w < 7)
+            near = [i for i in (k - 1, k + 1) if 0 <= i < len(own)]
+            to = min(near, key=lambda i: (own[i], i))
+            own[min(k, to) : max(k, to) + 1] = [own[k] + own[to]]
+        assert [b - a for a, b in intervals.spans(40, cuts, 7)] == own
     h = w = 60
     half = lambda c: F.expr(f"cast({c} div 30 as int)")
     supports = spark.range(h * w).select(F.expr(f"cast(id div {w} as int)").alias("y"), F.expr(f"cast(id % {w} as int)").alias("x")).select(half("y").alias("quadrant_row"), half("x").alias("quadrant_col"), "y", "x")
