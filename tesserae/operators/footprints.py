@@ -5,14 +5,13 @@ A footprint row is (patch, k, p, w) with p counted down the columns: y = p % h,
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import products
+from ..checkpoints import durable
+from . import products, selection
 
 
 def core_pixels(footprint: DataFrame, patches: DataFrame) -> DataFrame:
@@ -131,16 +130,6 @@ def joint_only(footprint: DataFrame, active: DataFrame, least: float = 0.1) -> D
     return footprint.select("patch", "k").distinct().join(private, ["patch", "k"], "left").select("patch", "k", F.col("own").isNull().alias("joint_only"))
 
 
-def _durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint; only a session on one machine (tests) gets a folder where spark.checkpoint.dir is unset."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and not sc.getCheckpointDir():
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tesserae-checkpoint-"))
-    return df.checkpoint()
-
-
 def _near(some: DataFrame, points: DataFrame, size: float) -> DataFrame:
     """(id, distance) of some points to the nearest other one within `size`: a join over neighbouring cells of a grid of that size."""
 
@@ -166,7 +155,7 @@ def nearest(points: DataFrame, key: str, size: float) -> DataFrame:
     widest = 0.0 if span[0] is None else (span[0] ** 2 + span[1] ** 2) ** 0.5
     found = _near(rows, rows, size)
     while size < widest:
-        found = _durable(found)
+        found = durable(found)
         left = rows.join(found, "id", "left_anti")
         if left.isEmpty():
             break
@@ -180,8 +169,9 @@ def spacing(distances: DataFrame) -> DataFrame:
 
     distances: nearest(); fewer than two points have none: (24, 0).
     """
-    median = F.coalesce(F.percentile("distance", F.lit(0.5)), F.lit(0.0))
-    return distances.agg(median.alias("median")).select(F.greatest(F.lit(24.0), 2 * F.col("median")).alias("sigma"), "median")
+    median = selection.percentiles(durable(distances.select("distance")), [], "distance", {"median": 0.5})
+    median = median.agg(F.coalesce(F.max("median"), F.lit(0.0)).alias("median"))  # one row, whether or not there is a distance
+    return median.select(F.greatest(F.lit(24.0), 2 * F.col("median")).alias("sigma"), "median")
 
 
 def scattered(points: DataFrame, value: str) -> DataFrame:

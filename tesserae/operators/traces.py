@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import arrays
+from . import selection
 
 COLOURS = 6  # default colours that regions take in turn
 
@@ -22,11 +23,14 @@ def trace_stats(traces: DataFrame, keys: list[str], values: str) -> DataFrame:
 
 
 def sample_stats(samples: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """The same from a row for each sample."""
+    """The same from a row for each sample. Percentiles are found by counting, so a trace may be of any length."""
     v = F.col(value).cast("double")
-    return samples.groupBy(*keys).agg(
-        F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.percentile(v, F.lit(0.05)).alias("p05"), F.percentile(v, F.lit(0.95)).alias("p95")
-    )
+    moments = samples.groupBy(*keys).agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"))
+    ends = selection.percentiles(samples, keys, value, {"p05": 0.05, "p95": 0.95})
+    named = [F.col(k).alias(f"_{k}") for k in keys]
+    ends = ends.select(*named, "p05", "p95")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return moments.join(ends, same, "left").select(*keys, "mean", "std", "p05", "p95")
 
 
 def heat_levels(samples: DataFrame, stats: DataFrame, keys: list[str], value: str) -> DataFrame:
