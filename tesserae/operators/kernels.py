@@ -9,7 +9,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 IMAGE = "frame int, h int, w int, data array<float>"
 
@@ -28,6 +30,46 @@ def per_image(df: DataFrame, kernel: Callable[..., dict], schema: str, *columns:
     return df.select("frame", "h", "w", *columns).mapInPandas(run, schema)
 
 
+STACK = 4 << 20  # pixels of the rows that a kernel gets at once
+
+
+def per_stack(df: DataFrame, kernel: Callable[..., dict[str, np.ndarray]], columns: dict[str, tuple[int, int]]) -> DataFrame:
+    """(frame, h, w, and the kernel's arrays) of each row.
+
+    columns: which arrays the kernel gets, and their shape. It gets stacks (rows, height, width) of as many rows as fit
+    STACK, so that weights of rows and columns are made once for all of them, and gives stacks of one shape by name. A row
+    with a null array has null results; an array of another size fails.
+    """
+    names = list(kernel(*(np.zeros((0, h, w)) for h, w in columns.values())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, STACK // max(h * w for h, w in columns.values()))
+        for b in batches:
+            for first in range(0, b.num_rows, step):
+                part = b.slice(first, step)
+                valid = np.ones(part.num_rows, bool)
+                for name in columns:
+                    valid &= part.column(name).is_valid().to_numpy(zero_copy_only=False)
+                own = part.filter(pa.array(valid))
+                stacks = []
+                for name, (h, w) in columns.items():
+                    values = own.column(name).flatten().to_numpy(zero_copy_only=False)
+                    if not (np.diff(own.column(name).offsets.to_numpy()) == h * w).all():
+                        raise ValueError(f"{name} does not have {h} x {w} pixels")
+                    stacks.append(values.astype(np.float64).reshape(-1, h, w))
+                made = kernel(*stacks)
+                h, w = next(iter(made.values())).shape[1:]
+                place = pa.array(np.cumsum(valid) - 1, mask=~valid)
+                out = [part.column("frame"), pa.array(np.full(len(valid), h, np.int32)), pa.array(np.full(len(valid), w, np.int32))]
+                for x in made.values():
+                    edges = np.arange(len(x) + 1, dtype=np.int32) * (h * w)
+                    out.append(pa.ListArray.from_arrays(pa.array(edges), pa.array(np.ascontiguousarray(x).ravel())).take(place))
+                yield pa.RecordBatch.from_arrays(out, ["frame", "h", "w", *names])
+
+    schema = f"frame {df.schema['frame'].dataType.simpleString()}, h int, w int, " + ", ".join(f"{n} array<double>" for n in names)
+    return df.select("frame", *(F.col(c).cast("array<double>").alias(c) for c in columns)).mapInArrow(run, schema)
+
+
 def _image(a: np.ndarray) -> dict:
     return {"h": a.shape[0], "w": a.shape[1], "data": a.astype(np.float32).ravel()}
 

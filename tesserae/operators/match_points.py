@@ -1,16 +1,16 @@
 """Stitching by match points: pairs of pixels (x, y, counted from 1) that show the same spot in two images.
 
-Each image is faded linearly over the overlap and the two are added. Images are pixels (frame, y, x, v).
+Each image is faded linearly over the overlap and the two are added, as arrays of their row: nothing is shuffled.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from . import intervals, movies
+from . import intervals, kernels, stitching
 
 Point = tuple[tuple[int, int], tuple[int, int]]
 Shape = tuple[int, int]
@@ -48,54 +48,51 @@ def overlap(axis: str, shapes: tuple[Shape, Shape], point: Point) -> Overlap:
     across = yb - ya if axis == "x" else xb - xa
     na, nb = (ha, hb) if axis == "x" else (wa, wb)
     first, last = max(1 - across, 1), min(nb - across, na)
-    if depth <= 0 or last < first:
+    if not 0 < depth <= (min(wa, wb) if axis == "x" else min(ha, hb)) or last < first:
         raise ValueError("the match point leaves no overlap")
     return Overlap(axis, depth, first - 1, max(1 + across, 1) - 1, last - first + 1, shapes)
 
 
-def _faded(pixel: DataFrame, where: Overlap, first: bool) -> DataFrame:
-    """Shared lines of one image, faded and in place."""
-    k = 0 if where.axis == "y" else 1
-    other, size = ("x", "y")[k], where.shapes[0 if first else 1][k]
-    low = where.a if first else where.b
-    start = size - where.depth if first else 0
-    at = F.col(where.axis) - start
-    ramp = F.lit(0.5) if where.depth == 1 else at / F.lit(float(where.depth - 1))
-    inside = (at >= 0) & (at < where.depth)
-    alpha = F.when(inside, 1.0 - ramp if first else ramp).otherwise(F.lit(1.0))
-    shift = 0 if first else where.shapes[0][k] - where.depth
-    rows = pixel.where((F.col(other) >= low) & (F.col(other) < low + where.n)).withColumn("v", F.col("v").cast("double") * alpha)
-    return rows.withColumn(other, F.col(other) - low).withColumn(where.axis, F.col(where.axis) + shift).select("frame", "y", "x", "v")
-
-
-def _shared_mean(pixel: DataFrame, where: Overlap, first: bool) -> DataFrame:
-    k = 0 if where.axis == "y" else 1
-    other, size = ("x", "y")[k], where.shapes[0 if first else 1][k]
-    low, start = (where.a, size - where.depth) if first else (where.b, 0)
-    inside = F.col(other).between(low, low + where.n - 1) & F.col(where.axis).between(start, start + where.depth - 1)
-    return pixel.where(inside).groupBy("frame").agg(F.avg(F.col("v").cast("double")).alias("m"))
-
-
-def pair(a: DataFrame, b: DataFrame, where: Overlap, match_brightness: bool = False) -> DataFrame:
-    """Both images faded and added; with match_brightness the second is scaled to the first by the means of the overlap."""
-    left, right = _faded(a, where, True), _faded(b, where, False)
+def _joined(a: np.ndarray, b: np.ndarray, where: Overlap, match_brightness: bool) -> np.ndarray:
+    """Two stacks faded by a ramp over the overlap and added; the ramp is one vector along the axis."""
+    if where.axis == "x":
+        turned = Overlap("y", where.depth, where.a, where.b, where.n, tuple((w, h) for h, w in where.shapes))
+        return _joined(a.transpose(0, 2, 1), b.transpose(0, 2, 1), turned, match_brightness).transpose(0, 2, 1)
+    d, after = where.depth, a.shape[1] - where.depth
+    a, b = a[:, :, where.a : where.a + where.n], b[:, :, where.b : where.b + where.n]
+    ramp = np.full(1, 0.5) if d == 1 else np.arange(d) / (d - 1)
+    falling, rising = np.concatenate([np.ones(after), 1 - ramp]), np.concatenate([ramp, np.ones(b.shape[1] - d)])
+    weight = np.ones(len(a))
     if match_brightness:
-        means = _shared_mean(a, where, True).join(_shared_mean(b, where, False).withColumnRenamed("m", "d"), "frame")
-        ratio = means.select("frame", F.when(F.col("d") == 0, F.lit(1.0)).otherwise(F.col("m") / F.col("d")).alias("ratio"))
-        right = right.join(ratio, "frame").withColumn("v", F.col("v") * F.col("ratio")).drop("ratio")
-    return left.unionByName(right).groupBy("frame", "y", "x").agg(F.sum("v").alias("v"))
-
-
-def mosaic(pixel: DataFrame, shape: Shape, points: tuple[Point, Point, Point], match_brightness: bool = False) -> DataFrame:
-    """Upper quadrants side by side, lower quadrants side by side, then both below each other."""
-    parts, quarter = movies.quadrants(pixel, *shape), (shape[0] // 2, shape[1] // 2)
-    rows, shapes = [], []
-    for r in (0, 1):
-        left, right = (parts.where((F.col("quadrant_row") == r) & (F.col("quadrant_col") == c)).select("frame", "y", "x", "v") for c in (0, 1))
-        where = overlap("x", (quarter, quarter), points[r])
-        rows.append(pair(left, right, where, match_brightness))
-        shapes.append(where.shape)
-    return pair(rows[0], rows[1], overlap("y", tuple(shapes), points[2]), match_brightness)
+        ours, theirs = a[:, after:].mean(axis=(1, 2)), b[:, :d].mean(axis=(1, 2))
+        np.divide(ours, theirs, out=weight, where=theirs != 0)
+    out = np.zeros((len(a), *where.shape))
+    out[:, : a.shape[1]] += a * falling[:, None]
+    out[:, after:] += b * rising[:, None] * weight[:, None, None]
+    return out
+
+
+def pair(pairs: DataFrame, where: Overlap, match_brightness: bool = False) -> DataFrame:
+    """(frame, h, w, data): both images of rows (frame, data, moving) faded and added, inside the row.
+
+    With match_brightness the second is scaled to the first by the means of the overlap; it stays where its mean is 0.
+    """
+    return kernels.per_stack(pairs, lambda a, b: {"data": _joined(a, b, where, match_brightness)}, {"data": where.shapes[0], "moving": where.shapes[1]})
+
+
+def mosaic(movie: DataFrame, shape: Shape, points: tuple[Point, Point, Point], match_brightness: bool = False) -> DataFrame:
+    """(frame, h, w, data): upper quadrants side by side, lower quadrants side by side, then both below each other."""
+    if shape[0] % 2 or shape[1] % 2:
+        raise ValueError(f"height and width must be even, not {shape[0]} x {shape[1]}")
+    quarter = (shape[0] // 2, shape[1] // 2)
+    sides = [overlap("x", (quarter, quarter), p) for p in points[:2]]
+    both = overlap("y", (sides[0].shape, sides[1].shape), points[2])
+
+    def whole(d: np.ndarray) -> dict[str, np.ndarray]:
+        rows = [_joined(*q, where, match_brightness) for q, where in zip(stitching.quadrants(d), sides)]
+        return {"data": _joined(*rows, both, match_brightness)}
+
+    return kernels.per_stack(movie, whole, {"data": shape})
 
 
 def seam_lines(shape: Shape, points: tuple[Point, Point, Point], width: int) -> list[tuple[int, int, int, int]]:

@@ -1,8 +1,8 @@
 """Stitching of shifted images, inside the row that holds them.
 
 A pair is a row (frame, data, moving) of two images whose shapes and offset are the same for all rows; a mosaic is made of
-the four quadrants of one frame. Every pixel of the canvas is looked up in the arrays of its row, so a movie is stitched
-frame by frame without a shuffle, and what a frame needs is its own canvas.
+the four quadrants of one frame. Images are moved and weighted as whole arrays, many rows at once, so a movie is stitched
+without a shuffle, and what a task needs is a few canvases.
 """
 
 from __future__ import annotations
@@ -10,10 +10,9 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import arrays
 from . import kernels, movies
 
 Shape = tuple[int, int]
@@ -25,31 +24,26 @@ def split_offset(offset: float) -> tuple[int, float]:
     return whole, offset - whole
 
 
-def _grid(shape: Shape, pixel) -> Column:
-    """An image of a shape: pixel(y, x) for every place."""
-    w = shape[1]
-    return F.transform(F.sequence(F.lit(0), F.lit(shape[0] * w - 1)), lambda i: pixel(F.floor(i / w).cast("int"), (i % w).cast("int")))
-
-
-def _at(data: Column, shape: Shape, y: Column, x: Column) -> Column:
-    """The pixel at (y, x); 0 outside."""
-    inside = (y >= 0) & (y < shape[0]) & (x >= 0) & (x < shape[1])
-    return F.when(inside, F.get(data, y * shape[1] + x).cast("double")).otherwise(F.lit(0.0))
-
-
-def _moved(data: Column, shape: Shape, fy: float, fx: float, y: Column, x: Column) -> tuple[Column, Column]:
-    """Value and support (1 or 0) at (y, x) of an image moved by less than a pixel, bilinear."""
-    there = (y >= (1 if fy else 0)) & (y < shape[0]) & (x >= (1 if fx else 0)) & (x < shape[1])
-    parts = [(dy, dx, wy * wx) for dy, wy in ((0, 1 - fy), (1, fy)) for dx, wx in ((0, 1 - fx), (1, fx)) if wy * wx]
-    value = sum((_at(data, shape, y - dy, x - dx) * weight for dy, dx, weight in parts), F.lit(0.0))
-    return F.when(there, value).otherwise(F.lit(0.0)), there.cast("double")
+def _moved(image: np.ndarray, fy: float, fx: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A stack moved down and to the right by less than a pixel, bilinear, and which of its rows and columns have a source."""
+    rows, columns = np.ones(image.shape[1]), np.ones(image.shape[2])
+    if fy:
+        image = np.concatenate([np.zeros_like(image[:, :1]), (1 - fy) * image[:, 1:] + fy * image[:, :-1]], axis=1)
+        rows[0] = 0
+    if fx:
+        image = np.concatenate([np.zeros_like(image[:, :, :1]), (1 - fx) * image[:, :, 1:] + fx * image[:, :, :-1]], axis=2)
+        columns[0] = 0
+    return image * rows[:, None] * columns, rows, columns
 
 
 def shifted(movie: DataFrame, shape: Shape, dy: float, dx: float) -> DataFrame:
     """Frames moved by less than a pixel, bilinear: data, and support. A pixel whose source lies outside has 0 in both."""
-    value = arrays.bound(F.col("data"), lambda d: _grid(shape, lambda y, x: _moved(d, shape, dy, dx, y, x)[0]))
-    support = _grid(shape, lambda y, x: _moved(F.col("data"), shape, dy, dx, y, x)[1])
-    return movie.select("frame", F.lit(shape[0]).alias("h"), F.lit(shape[1]).alias("w"), value.alias("data"), support.alias("support"))
+
+    def shift(d: np.ndarray) -> dict[str, np.ndarray]:
+        out, rows, columns = _moved(d, dy, dx)
+        return {"data": out, "support": np.broadcast_to(rows[:, None] * columns, out.shape)}
+
+    return kernels.per_stack(movie, shift, {"data": shape})
 
 
 def canvas(reference: Shape, moving: Shape, offset: tuple[float, float]) -> tuple[int, int, int, int]:
@@ -58,39 +52,37 @@ def canvas(reference: Shape, moving: Shape, offset: tuple[float, float]) -> tupl
     return min(0, iy), max(reference[0], iy + moving[0]), min(0, ix), max(reference[1], ix + moving[1])
 
 
-def _stitch(reference: Column, moving: Column, shapes: tuple[Shape, Shape], offset: tuple[float, float], axis: str | None) -> tuple[Column, Column]:
-    """Canvas of two images and its support; across their overlap averaged (axis None), or by a ramp along an axis."""
+def _stitch(r: np.ndarray, m: np.ndarray, offset: tuple[float, float], axis: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Canvases of two stacks, and their support; across their overlap averaged (axis None), or by a ramp along an axis."""
+    shapes = r.shape[1:], m.shape[1:]
     y0, y1, x0, x1 = canvas(*shapes, offset)
     (iy, fy), (ix, fx) = split_offset(offset[0]), split_offset(offset[1])
+    moved, rows, columns = _moved(m, fy, fx)
+    here = slice(-y0, shapes[0][0] - y0), slice(-x0, shapes[0][1] - x0)
+    there = slice(iy - y0, iy - y0 + shapes[1][0]), slice(ix - x0, ix - x0 + shapes[1][1])
+    total, support = np.zeros((len(r), y1 - y0, x1 - x0)), np.zeros((y1 - y0, x1 - x0))
+    support[here] += 1
+    support[there] += rows[:, None] * columns
+    total[:, *here] += r
+    total[:, *there] += moved
+    total /= np.maximum(support, 1)
     box = overlap_box(shapes, offset) if axis else None
-
-    def parts(s: Column, y: Column, x: Column) -> tuple[Column, ...]:
-        ry, rx = y + y0, x + x0
-        rs = ((ry >= 0) & (ry < shapes[0][0]) & (rx >= 0) & (rx < shapes[0][1])).cast("double")
-        return _at(s["r"], shapes[0], ry, rx), rs, *_moved(s["m"], shapes[1], fy, fx, ry - iy, rx - ix)
-
-    def value(s: Column, y: Column, x: Column) -> Column:
-        rv, rs, mv, ms = parts(s, y, x)
-        total = (rv + mv) / F.greatest(rs + ms, F.lit(1e-6))
-        if box is None:
-            return total
-        at, first, n = (y, box[0], box[1] - box[0]) if axis == "vertical" else (x, box[2], box[3] - box[2])
-        alpha = F.lit(0.5) if n == 1 else 1.0 - (at - first) / F.lit(float(n - 1))
-        mixed = (rv * alpha + mv * (1 - alpha)) / F.greatest(rs * alpha + ms * (1 - alpha), F.lit(1e-6))
-        return F.when((rs > 1e-6) & (ms > 1e-6), mixed).otherwise(total)
-
-    def support(s: Column, y: Column, x: Column) -> Column:
-        _, rs, _, ms = parts(s, y, x)
-        return rs + ms
-
-    both, shape = F.struct(reference.alias("r"), moving.alias("m")), (y1 - y0, x1 - x0)
-    return tuple(arrays.bound(both, lambda s: _grid(shape, lambda y, x: f(s, y, x))) for f in (value, support))  # noqa: B023
+    if box:
+        a0, a1, b0, b1 = box
+        n, line = (a1 - a0, (slice(None), None)) if axis == "vertical" else (b1 - b0, (None, slice(None)))
+        alpha = (np.full(1, 0.5) if n == 1 else 1 - np.arange(n) / (n - 1))[line]
+        first = r[:, a0 + y0 : a1 + y0, b0 + x0 : b1 + x0]
+        second = moved[:, a0 + y0 - iy : a1 + y0 - iy, b0 + x0 - ix : b1 + x0 - ix]
+        total[:, a0:a1, b0:b1] = first * alpha + second * (1 - alpha)
+    return total, support
 
 
 def _rows(pairs: DataFrame, shapes: tuple[Shape, Shape], offset: tuple[float, float], axis: str | None) -> DataFrame:
-    value, support = _stitch(F.col("data"), F.col("moving"), shapes, offset, axis)
-    h, w = _size(shapes, offset, None)
-    return pairs.select("frame", F.lit(h).alias("h"), F.lit(w).alias("w"), value.alias("data"), support.alias("support"))
+    def pair(r: np.ndarray, m: np.ndarray) -> dict[str, np.ndarray]:
+        total, support = _stitch(r, m, offset, axis)
+        return {"data": total, "support": np.broadcast_to(support, total.shape)}
+
+    return kernels.per_stack(pairs, pair, {"data": shapes[0], "moving": shapes[1]})
 
 
 def averaged(pairs: DataFrame, shapes: tuple[Shape, Shape], offset: tuple[float, float]) -> DataFrame:
@@ -128,10 +120,8 @@ def blended(pairs: DataFrame, shapes: tuple[Shape, Shape], offset: tuple[float,
     return _rows(pairs, shapes, offset, axis)
 
 
-def _cut(data: Column, shape: Shape, box: Box | None) -> Column:
-    if box is None:
-        return data
-    return arrays.bound(data, lambda d: _grid((box[1] - box[0], box[3] - box[2]), lambda y, x: F.get(d, (y + box[0]) * shape[1] + x + box[2])))
+def _cut(image: np.ndarray, box: Box | None) -> np.ndarray:
+    return image if box is None else image[:, box[0] : box[1], box[2] : box[3]]
 
 
 def stitched(movie: DataFrame, shape: Shape, offsets: dict[str, tuple[float, float]], bounds: dict[str, Box | None] | None = None) -> DataFrame:
@@ -139,31 +129,21 @@ def stitched(movie: DataFrame, shape: Shape, offsets: dict[str, tuple[float, flo
     to its bounds. offsets: left, right and final (y, x) of the moving image against the reference.
     """
     bounds = bounds or {}
-    h, w = shape
-    if h % 2 or w % 2:
-        raise ValueError(f"height and width must be even, not {h} x {w}")
-    quarter = (h // 2, w // 2)
-
-    def quadrant(d: Column, r: int, c: int) -> Column:
-        top, left = (r + 1) * quarter[0] - 1, (c + 1) * quarter[1] - 1
-        return _grid(quarter, lambda y, x: F.get(d, (top - y) * w + left - x))
-
-    def whole(d: Column) -> Column:
-        sides, shapes = [], []
-        for c, name in enumerate(("left", "right")):
-            size = _size((quarter, quarter), offsets[name], None)
-            side, _ = _stitch(quadrant(d, 0, c), quadrant(d, 1, c), (quarter, quarter), offsets[name], "vertical")
-            sides.append(_cut(side, size, bounds.get(name)))
-            shapes.append(_size((quarter, quarter), offsets[name], bounds.get(name)))
-        final, _ = _stitch(*sides, tuple(shapes), offsets["final"], "horizontal")
-        return F.struct(*(F.lit(n).alias(k) for k, n in zip("hw", _size(tuple(shapes), offsets["final"], bounds.get("final")))), _cut(final, _size(tuple(shapes), offsets["final"], None), bounds.get("final")).alias("data"))
-
-    return movie.select("frame", arrays.bound(F.col("data"), whole).alias("m")).select("frame", "m.*")
-
-
-def _size(shapes: tuple[Shape, Shape], offset: tuple[float, float], box: Box | None) -> Shape:
-    y0, y1, x0, x1 = box or canvas(*shapes, offset)
-    return y1 - y0, x1 - x0
+    if shape[0] % 2 or shape[1] % 2:
+        raise ValueError(f"height and width must be even, not {shape[0]} x {shape[1]}")
+
+    def whole(d: np.ndarray) -> dict[str, np.ndarray]:
+        quarters = quadrants(d)
+        sides = [_cut(_stitch(quarters[0][c], quarters[1][c], offsets[name], "vertical")[0], bounds.get(name)) for c, name in enumerate(("left", "right"))]
+        return {"data": _cut(_stitch(*sides, offsets["final"], "horizontal")[0], bounds.get("final"))}
+
+    return kernels.per_stack(movie, whole, {"data": shape})
+
+
+def quadrants(d: np.ndarray) -> list[list[np.ndarray]]:
+    """By row and column, the quarters of a stack, each turned by 180 degrees."""
+    h, w = d.shape[1] // 2, d.shape[2] // 2
+    return [[d[:, r * h : (r + 1) * h, c * w : (c + 1) * w][:, ::-1, ::-1] for c in (0, 1)] for r in (0, 1)]
 
 
 def _rectangle(mask: np.ndarray) -> dict:

@@ -747,7 +747,7 @@ a as (select frame, y, x, v * case when y < 2 then 1 else 1 - (y - 2) end as v f
 select frame, cast(y as integer) as y, cast(x as integer) as x, round(sum(v), 6) + 0.0::double as v from a group by frame, y, x""")
 def match_point_mosaic(spark, d):
     points = (((3, 1), (1, 1)), ((3, 1), (1, 1)), ((1, 3), (1, 1)))
-    return match_points.mosaic(movies.pixels(t.movie(spark, d)), (8, 8), points).select("frame", "y", "x", _r("v").alias("v"))
+    return movies.pixels(match_points.mosaic(t.movie(spark, d), (8, 8), points)).select("frame", "y", "x", _r("v").alias("v"))
 
 
 @query(f"""{RANGES} select frame, y, x, g as r, g, g as b from (select frame, y, x,

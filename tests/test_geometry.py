@@ -40,11 +40,13 @@ def test_match_point_pair(spark, point, bright):
     want[:, 8 - depth :] += ratio * faded(b[low_b : low_b + n], 1, depth, False)
     where = match_points.overlap("x", ((6, 8), (6, 8)), point)
     assert where.shape == want.shape
-    rows = match_points.pair(*(movies.pixels(image_rows(spark, [i])) for i in (a, b)), where, bright).collect()
-    got = np.zeros_like(want)
-    for r in rows:
-        got[r.y, r.x] = r.v
-    assert len(rows) == want.size and np.allclose(got, want, atol=1e-5)
+    pairs = image_rows(spark, [a, a]).withColumn("moving", F.array(*[F.lit(float(v)) for v in b.ravel()]))
+    done = match_points.pair(pairs, where, bright)
+    for r in done.collect():
+        assert np.allclose(np.reshape(r.data, (r.h, r.w)), want, atol=1e-5)
+    assert "Exchange" not in done._jdf.queryExecution().executedPlan().toString()
+    dark = match_points.pair(pairs.withColumn("moving", F.transform("moving", lambda v: F.lit(0.0))), where, bright).first()
+    assert np.isfinite(dark.data).all()
 
 
 def test_seam_lines_and_bad_points():

@@ -153,6 +153,10 @@ def test_mosaic_and_its_plan(spark):
         assert "Exchange" not in plan and "Join" not in plan
     with pytest.raises(ValueError):
         stitching.stitched(df, (19, 24), flat)
+    gaps = stitching.shifted(df.unionByName(df.limit(1).withColumns({"frame": F.lit(9), "data": F.lit(None).cast("array<float>")})), (20, 24), 0.5, 0)
+    assert {r.frame: r.data is None for r in gaps.collect()} == {0: False, 1: False, 9: True}
+    with pytest.raises(Exception, match="20 x 20"):
+        stitching.shifted(df, (20, 20), 0.5, 0).count()
 
 
 def test_largest_rectangle(spark):
