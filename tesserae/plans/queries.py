@@ -293,8 +293,8 @@ def pixels_in_patches(spark, d):
 @query(f"""with g as (select name, frame, i as y, j as x, y0, x0 from {GRID}, range(5) a(i), range(5) b(j), (select vec_id as frame from embeddings) where i < y1 - y0 + 2 and j < x1 - x0 + 2)
 select g.name, cast(g.frame as integer) as frame, cast(g.y as integer) as y, cast(g.x as integer) as x, coalesce(cast(p.v as double), 0) as v from g left join {PX} p on p.frame = g.frame and p.y = g.y + y0 - 1 and p.x = g.x + x0 - 1""")
 def padded_patches(spark, d):
-    movie = t.movie(spark, d)
-    return patches.padded_patches(movies.pixels(movie), patches.regular_grid(spark, 8, 8, 3), movie, 1).select("name", "frame", "y", "x", "v")
+    cut = patches.padded_patches(t.movie(spark, d), (8, 8), patches.regular_grid(spark, 8, 8, 3), 1)
+    return cut.select("name", "frame", "w", F.posexplode("data").alias("i", "v")).select("name", "frame", F.expr("i div w").cast("int").alias("y"), F.expr("i % w").alias("x"), "v")
 
 
 @query(f"select cast(i as integer) as y, cast(j as integer) as x, count(*) as n from {GRID}, range(8) a(i), range(8) b(j) where i >= y0 and i < y1 and j >= x0 and j < x1 group by 1, 2")
@@ -853,7 +853,16 @@ def largest_rectangles(spark, d):
     return stitching.largest_rectangle(t.movie(spark, d).withColumn("data", F.transform("data", lambda v: (v > F.lit(-0.1).cast("decimal(2, 1)")).cast("float"))))
 
 
-@query()
+@query("""with p as (select y, x, y // 30 as r, x // 30 as c, y % 30 as qy, x % 30 as qx from range(60) a(y), range(60) b(x)),
+seam as (select r, c, qy, qx from p where qy in (0, 29) or qx in (0, 29) or qy in (11, 12, 23, 24) or qx in (11, 12, 23, 24)),
+line as (select r, c, 'y' as along, qy as k from seam group by all having count(*) >= 24 union all select r, c, 'x', qx from seam group by all having count(*) >= 24),
+run as (select r, c, along, min(k) as s, max(k) + 1 as e from (select *, k - row_number() over (partition by r, c, along order by k) as g from line) group by r, c, along, g),
+cut as (select r, c, along, (s + e + 1) // 2 as k from run where s > 0 and e < 30 and (s + e + 1) // 2 > 2 and (s + e + 1) // 2 < 28),
+edge as (select * from cut union select distinct r, c, along, unnest([0, 30]) from line),
+span as (select *, lead(k) over w as n, row_number() over w - 1 as i from edge window w as (partition by r, c, along order by k))
+select a.r || '-' || a.c || '-' || a.i || '-' || b.i as name, cast(a.r as integer) as quadrant_row, cast(a.c as integer) as quadrant_col, cast(a.i as integer) as patch_row, cast(b.i as integer) as patch_col,
+cast(a.r * 30 + a.k as integer) as y0, cast(a.r * 30 + a.n as integer) as y1, cast(a.c * 30 + b.k as integer) as x0, cast(a.c * 30 + b.n as integer) as x1
+from span a join span b on a.r = b.r and a.c = b.c and a.along = 'y' and b.along = 'x' and a.n - a.k >= 5 and b.n - b.k >= 5""")
 def seam_patches(spark, d):
     h = w = 60
     seams = patches.seam_masks(spark, h, w, 12, 2)

@@ -410,9 +410,10 @@ def test_profiles_and_patches_go_to_files(spark, tmp_path):
     params.write_profiles(table, str(tmp_path / "profile"))
     back = spark.read.option("header", True).csv(str(tmp_path / "profile"))
     assert back.count() == 4 and {r.patch for r in back.select("patch").distinct().collect()} == {"0-0-0-0", "0-0-0-1"}
-    px = movies.pixels(image_rows(spark, [np.arange(16.0).reshape(4, 4)]))
-    patches.write_patches(px, patches.regular_grid(spark, 4, 4, 2), str(tmp_path / "patch"), 1)
-    assert spark.read.parquet(str(tmp_path / "patch")).where("name = '0-0-1-1'").count() == 9
+    movie = image_rows(spark, [np.arange(16.0).reshape(4, 4)])
+    patches.write_patches(movie, (4, 4), patches.regular_grid(spark, 4, 4, 2), str(tmp_path / "patch"), 1)
+    (row,) = spark.read.parquet(str(tmp_path / "patch")).where("name = '0-0-1-1'").collect()
+    assert row.data == [5, 6, 7, 0, 9, 10, 11, 0, 13, 14, 15, 0, 0, 0, 0, 0]
 
 
 def test_streaming_equals_batch(spark, tmp_path):
