@@ -8,7 +8,7 @@ import tempfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FEW_MB = 16  # of a table that is broadcast at most
+FEW_MB = 64  # of a table that is broadcast at most, on an executor with a gigabyte or more
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -39,8 +39,12 @@ def row_bytes(df: DataFrame) -> F.Column:
     return sum(sizes, F.lit(64 + 16 * len(sizes)))
 
 
+def small(df: DataFrame, most_mb: int = FEW_MB) -> bool:
+    """Whether a written table is small enough to be broadcast, by the bytes of its rows."""
+    return (df.agg(F.sum(row_bytes(df).cast("long"))).first()[0] or 0) <= most_mb << 20
+
+
 def few(df: DataFrame, most_mb: int = FEW_MB) -> DataFrame:
     """The table written once; broadcast if it has few bytes, else left to a shuffled join."""
     df = durable(df)
-    size = df.agg(F.sum(row_bytes(df).cast("long"))).first()[0] or 0
-    return F.broadcast(df) if size <= most_mb << 20 else df
+    return F.broadcast(df) if small(df, most_mb) else df
