@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,38 +12,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MASK = 0xFFFFFFFFFFFFFFFF
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of df with a checkpoint in the folder that spark.checkpoint.dir names.
+from ..checkpoints import durable, few, small  # noqa: F401
 
-    Only a session on one machine (tests) gets a temporary folder where that setting is absent. The shuffle files of
-    plans that a checkpoint has finished go when the driver's JVM collects its garbage; a driver with much memory seldom
-    does, so on a cluster it is asked to here. With spark.cleaner.referenceTracking.cleanCheckpoints, checkpoints that
-    nothing refers to any more go likewise.
-    """
-    sc = df.sparkSession.sparkContext
-    one_machine = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
-    if not sc.getConf().get("spark.checkpoint.dir") and not sc.getCheckpointDir():
-        if not one_machine:
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tesserae-checkpoint-"))
-    out = df.checkpoint()
-    if not one_machine:
-        del df
-        gc.collect()
-        sc._jvm.System.gc()
-    return out
-
-
-FEW = 200_000  # rows of a few numbers that are broadcast at most
-
-
-def few(df: DataFrame) -> DataFrame:
-    """A table of a few numbers a row, written once; broadcast if it has few rows, else left to a shuffled join."""
-    df = durable(df)
-    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+MASK = 0xFFFFFFFFFFFFFFFF
 
 
 def partitions(spark: SparkSession) -> int:

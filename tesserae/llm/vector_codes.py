@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FEW, arrow, durable
+from .common import arrow, durable, small
 
 SCALE, BOUND = 1024, 1 << 25
 SEGMENTS = (1, 2, 4)
@@ -220,7 +220,7 @@ def with_label_error(coded: DataFrame) -> DataFrame:
     rows is many tasks' work.
     """
     sums = durable(coded.groupBy("label").agg(F.sum("error").alias("label_error")).withColumnRenamed("label", "of"))
-    if sums.limit(FEW + 1).count() <= FEW:
+    if small(sums):
         return coded.join(F.broadcast(sums), coded["label"].eqNullSafe(sums["of"])).drop("of")
     salted = sums.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = coded.withColumn("salt", F.pmod(F.xxhash64("vec_id", "code", "error"), F.lit(SALTS)).cast("int"))

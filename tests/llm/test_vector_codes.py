@@ -80,7 +80,7 @@ def test_awkward_tables(spark):
 
 
 def test_many_labels_are_joined_with_a_salt(spark, monkeypatch):
-    monkeypatch.setattr(vector_codes, "FEW", 1)
+    monkeypatch.setattr(vector_codes, "small", lambda df: False)
     same(spark, [(i, [float(i % 7), 0.0, 1.0, float(i)], None if i % 2 else i % 3) for i in range(50)])
 
 
