@@ -34,6 +34,7 @@ from .common import arrow, durable, small
 SCALE, BOUND = 1024, 1 << 25
 SEGMENTS = (1, 2, 4)
 ROWS = 2000  # vectors that are compared at once
+DENSE = 0.2  # of all pairs: if more are left, they are taken as a matrix
 SALTS = 16
 
 
@@ -71,30 +72,49 @@ class Codebook:
         return (d * d).sum(axis=1)
 
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
-        """Of each row: its entry and the exact squared distance. Also how many pairs were left after each level."""
-        own = [means_and_norms(x, s) for s in SEGMENTS]
+        """Of each row: its entry and the exact squared distance. Also how many pairs were left after each level.
+
+        While many pairs are left, bounds and distances are taken for whole matrices, by products; when few are, pair by
+        pair. Both give the same: bounds have a margin that is wider than what rounding does to either.
+        """
         margin = 1e-9 * ((x.astype(np.float64) ** 2).sum(axis=1) + self.largest)
-        low = np.zeros((len(x), len(self.entries)))
-        for k in range(own[0].shape[1]):
-            low += (own[0][:, k, None] - self.levels[0][None, :, k]) ** 2
-        best = self.exact(x, low.argmin(axis=1)) + margin
-        row, entry = np.nonzero(low <= best[:, None])
-        low, left = low[row, entry], [len(row)]
-        for mine, theirs in zip(own[1:], self.levels[1:]):
-            low = ((mine[row] - theirs[entry]) ** 2).sum(axis=1)
-            starts = np.flatnonzero(np.diff(row, prepend=-1))
-            least = low == np.repeat(np.minimum.reduceat(low, starts), np.diff(np.append(starts, len(row))))
-            probe = np.flatnonzero(least)
-            np.minimum.at(best, row[probe], self.exact(x[row[probe]], entry[probe]) + margin[row[probe]])
-            stays = low <= best[row]
-            row, entry = row[stays], entry[stays]
-            left.append(len(row))
+        best, left, pairs = np.full(len(x), np.inf), [], None
+        alive = np.ones((len(x), len(self.entries)), bool)
+        for k, segments in enumerate(SEGMENTS):
+            mine, theirs = means_and_norms(x, segments), self.levels[k]
+            if pairs is None:
+                low = np.where(alive, squares(mine, theirs), np.inf)
+                probe, at = np.arange(len(x)), low.argmin(axis=1)
+            else:
+                row, entry = pairs
+                low = ((mine[row] - theirs[entry]) ** 2).sum(axis=1)
+                first = np.lexsort((low, row))[np.flatnonzero(np.diff(row, prepend=-1))]
+                probe, at = row[first], entry[first]
+            best[probe] = np.minimum(best[probe], self.exact(x[probe], at) + margin[probe])
+            if pairs is None:
+                alive &= low <= best[:, None]
+                if alive.sum() < DENSE * alive.size:
+                    pairs = np.nonzero(alive)
+            else:
+                stays = low <= best[row]
+                pairs = row[stays], entry[stays]
+            left.append(int(alive.sum()) if pairs is None else len(pairs[0]))
+        if pairs is None and (np.abs(x).max(initial=0) + np.abs(self.entries).max(initial=0)) ** 2 * x.shape[1] < 1 << 51:
+            exact = np.where(alive, squares(x.astype(np.float64), self.entries.astype(np.float64)), np.inf)  # integers that a double holds
+            entry = exact.argmin(axis=1)
+            return entry, exact[np.arange(len(x)), entry].astype(np.int64), left
+        row, entry = np.nonzero(alive) if pairs is None else pairs
         distance = self.exact(x[row], entry)
         order = np.lexsort((entry, distance, row))
         first = order[np.flatnonzero(np.diff(row[order], prepend=-1))]
         return entry[first], distance[first], left
 
 
+def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of a to all of b, by one matrix product."""
+    return (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * (a @ b.T)
+
+
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Vectors without null or non-finite components, as packed integers."""
     for b in batches:

@@ -54,8 +54,10 @@ def test_few_entries_ties_and_odd_rows(spark):
     same(spark, rows[:5])
 
 
+@pytest.mark.parametrize("dense", [0.0, 0.2, 2.0])
 @pytest.mark.parametrize("spread", [1, 40, 1 << 24])
-def test_bounds_leave_out_no_nearest_entry(spread):
+def test_bounds_leave_out_no_nearest_entry(monkeypatch, spread, dense):
+    monkeypatch.setattr(vector_codes, "DENSE", dense)
     pick = np.random.default_rng(spread)
     for dim in (1, 3, 16):
         centres = pick.integers(-spread, spread + 1, (20, dim))
