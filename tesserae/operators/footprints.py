@@ -130,44 +130,10 @@ def joint_only(footprint: DataFrame, active: DataFrame, least: float = 0.1) -> D
     return footprint.select("patch", "k").distinct().join(private, ["patch", "k"], "left").select("patch", "k", F.col("own").isNull().alias("joint_only"))
 
 
-def _near(some: DataFrame, points: DataFrame, size: float) -> DataFrame:
-    """(id, distance) of some points to the nearest other one within `size`: a join over neighbouring cells of a grid of that size."""
-
-    def cells(df):
-        return df.select("id", "y", "x", F.floor(F.col("y") / size).alias("cy"), F.floor(F.col("x") / size).alias("cx"))
-
-    around = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]))
-    spread = cells(points).withColumn("o", around).select(F.col("id").alias("j"), F.col("y").alias("v"), F.col("x").alias("u"), (F.col("cy") + F.col("o.dy")).alias("cy"), (F.col("cx") + F.col("o.dx")).alias("cx"))
-    gap = F.sqrt((F.col("y") - F.col("v")) ** 2 + (F.col("x") - F.col("u")) ** 2)
-    pairs = cells(some).join(spread, ["cy", "cx"]).where("id <> j").withColumn("distance", gap)
-    return pairs.where(F.col("distance") <= size).groupBy("id").agg(F.min("distance").alias("distance"))
-
-
-def nearest(points: DataFrame, key: str, size: float) -> DataFrame:
-    """(key, distance) to the nearest other point, however far: a self-join over a grid whose cells are `size` wide at first.
-
-    Points without a neighbour that near go on to cells twice as wide, until none is left. Points without a finite place
-    or a key are left out.
-    """
-    rows = points.select(F.col(key).alias("id"), F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"))
-    rows = rows.where("id is not null").where((F.abs("y") < float("inf")) & (F.abs("x") < float("inf")))
-    span = rows.agg(F.max("y") - F.min("y"), F.max("x") - F.min("x")).first()
-    widest = 0.0 if span[0] is None else (span[0] ** 2 + span[1] ** 2) ** 0.5
-    found = _near(rows, rows, size)
-    while size < widest:
-        found = durable(found)
-        left = rows.join(found, "id", "left_anti")
-        if left.isEmpty():
-            break
-        size = 2 * size
-        found = found.unionByName(_near(left, rows, size))
-    return found.select(F.col("id").alias(key), "distance")
-
-
 def spacing(distances: DataFrame) -> DataFrame:
     """One row (sigma, median): the median nearest-neighbour distance, and the smoothing width max(24, 2 * median).
 
-    distances: nearest(); fewer than two points have none: (24, 0).
+    distances: neighbours.nearest(); fewer than two points have none: (24, 0).
     """
     median = selection.percentiles(durable(distances.select("distance")), [], "distance", {"median": 0.5})
     median = median.agg(F.coalesce(F.max("median"), F.lit(0.0)).alias("median"))  # one row, whether or not there is a distance

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kinetics
-from ..operators import footprints, geometry, intervals, kernels, match_points, movies, patches, quality, rendering, stitching, traces
+from ..operators import footprints, geometry, intervals, kernels, match_points, movies, neighbours, patches, quality, rendering, stitching, traces
 from ..schemas import BOX
 from ..sources import params
 from . import tables as t
@@ -455,12 +455,12 @@ def _points(spark, d):
 
 @query(f"select a.k, (round(min(sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2)), 6) + 0.0::double) as distance from {POINTS} a join {POINTS} b on a.k <> b.k group by a.k".replace("select a.k, round", "select a.k as k, round"))
 def nearest_neighbours(spark, d):
-    return footprints.nearest(_points(spark, d), "k", 12.0).select("k", _r("distance").alias("distance"))
+    return neighbours.nearest(_points(spark, d), "k").select("k", _r("distance").alias("distance"))
 
 
 @query(f"select round(greatest(24, 2 * m), 6) + 0.0::double as sigma, round(m, 6) + 0.0::double as median from (select coalesce(quantile_cont(d, 0.5), 0) as m from (select min(sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2)) as d from {POINTS} a join {POINTS} b on a.k <> b.k group by a.k))")
 def typical_spacing(spark, d):
-    return footprints.spacing(footprints.nearest(_points(spark, d), "k", 12.0)).select(_r("sigma").alias("sigma"), _r("median").alias("median"))
+    return footprints.spacing(neighbours.nearest(_points(spark, d), "k")).select(_r("sigma").alias("sigma"), _r("median").alias("median"))
 
 
 @query("select cast(c_custkey % 20 as integer) as y, cast(c_nationkey as integer) as x, (round(sum(c_acctbal), 4) + 0.0::double) as total, count(*) as n from customer group by 1, 2")
@@ -783,7 +783,7 @@ def spatial_fields(spark, d):
 @query()
 def adaptive_fields(spark, d):
     """The widths follow the spacing of the points, one row that is read first."""
-    spacing = footprints.spacing(footprints.nearest(_points(spark, d), "k", 12.0)).first()["median"]
+    spacing = footprints.spacing(neighbours.nearest(_points(spark, d), "k")).first()["median"]
     k = F.col("c_custkey")
     rows = t.table(spark, d, "customer").select((k * 37 % 211).cast("int").alias("y"), (k * 53 % 197).cast("int").alias("x"), F.col("c_mktsegment").alias("metric"), "c_acctbal")
     return rendering.spatial_field(rows, "c_acctbal", (211, 197), spacing)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tesserae import schemas
 from tesserae.functions import arrays, kinetics
-from tesserae.operators import footprints, intervals, kernels, movies, patches, quality, stitching, traces
+from tesserae.operators import footprints, intervals, kernels, movies, neighbours, patches, quality, stitching, traces
 from tesserae.sources import params, tiff
 from tesserae.streaming import incremental
 
@@ -283,9 +283,9 @@ def test_nearest_has_no_radius(spark):
     places = {1: (0.0, 0.0), 2: (0.0, 3.0), 3: (500.0, 0.0), 4: (-1000.0, 2000.0), 5: (520.0, 0.0)}
     points = spark.createDataFrame([(k, y, x) for k, (y, x) in places.items()] + [(6, float("nan"), 0.0)], "k int, y double, x double")
     want = {k: min(((y - v) ** 2 + (x - u) ** 2) ** 0.5 for j, (v, u) in places.items() if j != k) for k, (y, x) in places.items()}
-    got = {r.k: r.distance for r in footprints.nearest(points, "k", 12.0).collect()}
+    got = {r.k: r.distance for r in neighbours.nearest(points, "k").collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
-    assert footprints.nearest(points.where("k = 1"), "k", 12.0).count() == 0
+    assert neighbours.nearest(points.where("k = 1"), "k").count() == 0
 
 
 def test_regions(spark):
