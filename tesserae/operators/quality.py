@@ -23,8 +23,10 @@ class Metric:
     high_is_bad: bool = False
 
     def __post_init__(self):
-        if self.scale not in ("linear", "log"):
+        if self.scale not in ("linear", "log", "boolean"):
             raise ValueError(f"unknown scale {self.scale}")
+        if self.scale == "boolean" and (self.lower_z is not None or self.upper_z is not None):
+            raise ValueError("a flag has no z-score to bound")
 
 
 def qc_space(value: Column, scale: str) -> Column:
@@ -36,8 +38,11 @@ def qc_space(value: Column, scale: str) -> Column:
 
 
 def fit(profile: DataFrame, metrics: list[Metric]) -> DataFrame:
-    """(metric, scale, mean, std): a normal fit of each metric over its finite (for log: positive) values; a std of 0 is 1."""
-    parts = []
+    """(metric, scale, mean, std): a normal fit of each metric over its finite (for log: positive) values; a std of 0 is 1.
+
+    Flags have no fit: bool_counts counts them.
+    """
+    parts, metrics = [], [m for m in metrics if m.scale != "boolean"]
     for m in metrics:
         v = F.col(m.key).cast("double")
         good = arrays.finite(v) & (v > 0) if m.scale == "log" else arrays.finite(v)
@@ -71,6 +76,7 @@ def rejected(z: Column, lower: Column, upper: Column) -> Column:
 
 def with_keep(profile: DataFrame, stats: DataFrame, metrics: list[Metric]) -> DataFrame:
     """The profile and keep: whether every bounded metric is within its bounds."""
+    metrics = [m for m in metrics if m.scale != "boolean"]
     wide = stats.agg(*[F.max(F.when(F.col("metric") == m.key, F.struct("mean", "std"))).alias(f"_{m.key}") for m in metrics])
     joined = profile.crossJoin(F.broadcast(wide))  # one row
     keep = F.lit(True)
@@ -96,8 +102,10 @@ def truth(text: Column) -> Column:
 
 def render_values(profile: DataFrame, metric: Metric, keys: list[str]) -> DataFrame:
     """(keys, value): the metric for display: log with non-positive values at the least positive one, what is not finite at
-    the mean, held to three deviations about the mean."""
+    the mean, held to three deviations about the mean; a flag as 0 or 1."""
     v = F.col(metric.key).cast("double")
+    if metric.scale == "boolean":
+        return profile.select(*keys, F.when(v.isNull() | F.isnan(v), v).otherwise(F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))).alias("value"))
     if metric.scale == "log":
         positive = F.when(arrays.finite(v) & (v > 0), v)
         floor = profile.agg(F.min(positive).alias("_floor"))
@@ -113,7 +121,13 @@ def render_values(profile: DataFrame, metric: Metric, keys: list[str]) -> DataFr
 
 
 def sweep(profile: DataFrame, stats: DataFrame, metric: Metric) -> DataFrame:
-    """(cut, n_rejected, n_kept) for 61 cuts from -3 to 3 deviations; z is turned round where high values are bad."""
+    """(cut, n_rejected, n_kept) for 61 cuts from -3 to 3 deviations; z is turned round where high values are bad.
+
+    A flag has one row, without a cut: what it marks is rejected, what is null too little known to be.
+    """
+    if metric.scale == "boolean":
+        marked = F.coalesce(F.col(metric.key).cast("boolean"), F.lit(False))
+        return profile.agg(F.lit(None).cast("double").alias("cut"), F.count_if(marked).alias("n_rejected"), F.count_if(~marked).alias("n_kept"))
     one = stats.where(F.col("metric") == metric.key).select("mean", "std")
     z = (qc_space(F.col(metric.key), metric.scale) - F.col("mean")) / F.col("std")
     z = -z if metric.high_is_bad else z
@@ -163,6 +177,19 @@ def incomplete_profiles(profile: DataFrame, components: DataFrame, patch: str =
     return out.where(bad).select(patch, "rows", "n", "least", "most")
 
 
+def profiles_of_models(models: DataFrame, profile: DataFrame, patch: str = "patch", k: str = "component_index") -> DataFrame:
+    """The profile rows of the models (patch, n components) that have a profile; the others are passed over.
+
+    A profile that has not one row for each component 0..n-1 of its model fails, naming the patch.
+    """
+    own = profile.groupBy(patch).agg(F.count("*").alias("_rows"), F.countDistinct(k).alias("_different"), F.min(k).alias("_least"), F.max(k).alias("_most"))
+    sized = models.select(patch, F.col("n").alias("_n")).join(own, patch)
+    whole = (F.col("_rows") == F.col("_n")) & (F.col("_different") == F.col("_n")) & (F.col("_least") == 0) & (F.col("_most") == F.col("_n") - 1)
+    said = F.concat(F.lit("profile of patch "), F.col(patch).cast("string"), F.lit(" does not fit its model"))
+    checked = sized.withColumn("_ok", F.when(whole, True).otherwise(F.raise_error(said).cast("boolean"))).where("_ok")
+    return profile.join(checked.select(patch), patch)
+
+
 def metric_histogram(profile: DataFrame, key: str, bins: int = 80) -> DataFrame:
     """(bin, n, density) of the finite values; the top edge belongs to the last bin."""
     good = profile.where(arrays.finite(F.col(key))).select(F.col(key).cast("double").alias("v"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import kinetics
@@ -104,6 +105,30 @@ def flag_counts(spark, d):
     return quality.bool_counts(t.profile(spark, d), "flag")
 
 
+FLAG = quality.Metric("flag", "boolean")
+
+
+@query("select cast(null as double) as cut, count(*) filter (l_returnflag = 'R') as n_rejected, count(*) filter (l_returnflag <> 'R') as n_kept from lineitem")
+def flag_sweep(spark, d):
+    return quality.sweep(t.profile(spark, d), None, FLAG)
+
+
+@query("select l_orderkey as k, l_linenumber as i, case when l_returnflag = 'R' then 1.0::double else 0.0::double end as value from lineitem")
+def flag_values(spark, d):
+    rows = t.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("i"), (F.col("l_returnflag") == "R").alias("flag"))
+    return quality.render_values(rows, FLAG, ["k", "i"])
+
+
+@query("""with m as (select c_nationkey as patch, count(*) as n from customer group by 1 having c_nationkey % 3 > 0)
+select c_nationkey as patch, cast(row_number() over (partition by c_nationkey order by c_custkey) - 1 as integer) as component_index, c_acctbal as snr from customer semi join m on m.patch = c_nationkey""")
+def profiles_of_models(spark, d):
+    rows = t.accounts(spark, d)
+    within = W.partitionBy("patch").orderBy("k")  # a patch's components are numbered from 0
+    profile = rows.select("patch", (F.row_number().over(within) - 1).alias("component_index"), "snr")
+    models = rows.where("patch % 3 > 0").groupBy("patch").agg(F.count("*").alias("n"))
+    return quality.profiles_of_models(models, profile)
+
+
 @query("""with e as (select l_extendedprice as v from lineitem), a as (select min(v) as a, max(v) as b, count(*) as total from e)
 select bin, count(*) as n, (round(count(*) / (any_value(total) * ((any_value(b) - any_value(a)) / 80)), 12) + 0.0::double) as density
 from (select cast(least(floor((v - a) / ((b - a) / 80)), 79) as integer) as bin, total, a, b from e, a) group by bin""")
@@ -586,19 +611,34 @@ def trace_buffer_size(spark, d):
 # ---- timing
 
 
-@query("""with g as (select p_partkey as k, 0.9::double + p_size / 80.0::double as g0, -0.05::double - p_size / 150.0::double as g1 from part),
+#: Roots of the kernels of all parts in SQL, and their time constants.
+KERNELS = """g as (select p_partkey as k, 0.9::double + p_size / 80.0::double as g0, -0.05::double - p_size / 150.0::double as g1 from part),
 r as (select k, g0, g1, g0 * g0 + 4 * g1 as disc, sqrt(greatest(g0 * g0 + 4 * g1, 0)) as h from g),
-v as (select k, case when disc > 0 and 0.5 * (g0 + h) < 1 and 0.5 * (g0 - h) > 0 then -0.1::double / ln(0.5 * (g0 + h)) end as slow, case when disc > 0 and 0.5 * (g0 + h) < 1 and 0.5 * (g0 - h) > 0 then -0.1::double / ln(0.5 * (g0 - h)) end as fast from r)
+v as (select k, case when disc > 0 and 0.5 * (g0 + h) < 1 and 0.5 * (g0 - h) > 0 then -0.1::double / ln(0.5 * (g0 + h)) end as slow, case when disc > 0 and 0.5 * (g0 + h) < 1 and 0.5 * (g0 - h) > 0 then -0.1::double / ln(0.5 * (g0 - h)) end as fast from r)"""
+
+
+@query(f"""with {KERNELS}
 select k, case when slow is null then 'nan'::double else (round(1000 * fast * slow / (slow - fast) * ln(slow / fast), 4) + 0.0::double) end as t_peak from v""")
 def kernel_peaks(spark, d):
     rows = t.table(spark, d, "part").select(F.col("p_partkey").alias("k"), (0.9 + F.col("p_size") / 80.0).alias("g_0"), (-0.05 - F.col("p_size") / 150.0).alias("g_1"))
     return kinetics.with_timing(rows).select("k", _r("t_peak", 4).alias("t_peak"))
 
 
-@query()
+@query(f"""with recursive {KERNELS},
+p as (select distinct slow, fast, fast * slow / (slow - fast) * ln(slow / fast) as peak from v where slow is not null),
+t as (select *, 0.5 * (exp(-peak / slow) - exp(-peak / fast)) as target from p),
+b as (select *, (select min(peak + (20 + 10 * i) * slow) from range(19) w(i) where exp(-(peak + (20 + 10 * i) * slow) / slow) - exp(-(peak + (20 + 10 * i) * slow) / fast) <= target) as high from t),
+s(slow, fast, peak, target, low, high, n) as (
+  select slow, fast, peak, target, peak, high, 0 from b where high is not null
+  union all
+  select slow, fast, peak, target, case when above then (low + high) / 2 else low end, case when above then high else (low + high) / 2 end, n + 1
+  from (select *, exp(-((low + high) / 2) / slow) - exp(-((low + high) / 2) / fast) > target as above from s where n < 120))
+select v.k, case when s.peak is null then 'nan'::double else round(1000 * s.peak, 4) + 0.0::double end as t_peak,
+  case when s.peak is null then 'nan'::double else round(1000 * ((s.low + s.high) / 2 - s.peak), 4) + 0.0::double end as t_half
+from v left join s on v.slow = s.slow and v.fast = s.fast and s.n = 120""")
 def kernel_half_decay(spark, d):
     rows = t.table(spark, d, "part").select(F.col("p_partkey").alias("k"), (0.9 + F.col("p_size") / 80.0).alias("g_0"), (-0.05 - F.col("p_size") / 150.0).alias("g_1"))
-    return kinetics.with_timing(rows)
+    return kinetics.with_timing(rows).select("k", _r("t_peak", 4).alias("t_peak"), _r("t_half", 4).alias("t_half"))
 
 
 @query("""select n_regionkey, n_nationkey, cast(coalesce(sum(n_nationkey % 5 + 1) over (partition by n_regionkey order by n_nationkey rows between unbounded preceding and 1 preceding), 0) as bigint) as "offset" from nation""")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.arrays import json_number
 
+Box = tuple[int, int, int, int]
+
 
 def stitch_para(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.STITCH_PARA).option("multiLine", True).json(path)
@@ -43,6 +45,87 @@ def mapping(spark: SparkSession, paths: list[str], needs: list[str]) -> dict:
     return {}
 
 
+STAGE_FILES = ("selection.json", "para.yaml", "paa.yaml")  # older names of a stage's parameters, fixed values
+VERSION = 1
+
+
+def stage_para(spark: SparkSession, path: str, shapes: tuple[tuple[int, int], tuple[int, int]]) -> tuple[Box, Box, Box] | None:
+    """(reference box, moving box, window) of a stage that was run before, each (y0, y1, x0, x1); None if no file has them.
+
+    Older names beside the path are tried after it. A file of another version, or without three whole boxes, is passed
+    over. Boxes are moved inside images of these shapes, and cut to them if they are larger.
+    """
+    folder = path.rpartition("/")[0]
+    for candidate in (path, *(f"{folder}/{name}" for name in STAGE_FILES)):
+        try:
+            found = mapping(spark, [candidate], ["reference_roi", "moving_roi", "fit_window"])
+        except ValueError:  # no JSON
+            continue
+        boxes = [found.get(k) for k in ("reference_roi", "moving_roi", "fit_window")]
+        if found.get("version", VERSION) == VERSION and all(_is_box(b) for b in boxes):
+            return _moved_inside(boxes[0], shapes[0]), _moved_inside(boxes[1], shapes[1]), tuple(map(int, boxes[2]))
+    return None
+
+
+def _is_box(box) -> bool:
+    return isinstance(box, list) and len(box) == 4 and all(isinstance(v, int | float) for v in box) and box[0] < box[1] and box[2] < box[3]
+
+
+def _moved_inside(box: list, shape: tuple[int, int]) -> Box:
+    out = []
+    for low, high, most in ((*box[:2], shape[0]), (*box[2:], shape[1])):
+        size = min(int(high) - int(low), most)
+        first = min(max(int(low), 0), most - size)
+        out += [first, first + size]
+    return tuple(out)
+
+
+def qc_stats(spark: SparkSession, root: str) -> DataFrame:
+    """(metric, scale, mean, std) of an extraction: stats/stats.json, or stats.json where older runs left it."""
+    paths = [f"{root}/stats/stats.json", f"{root}/stats.json"]
+    there = next((p for p in paths if _there(spark, p)), None)
+    if there is None:
+        raise FileNotFoundError(f"bounds need the fits of the metrics, but there is neither of {paths}")
+    found = mapping(spark, [there], [])
+    rows = [(k, v.get("scale"), *(None if v.get(n) is None else float(v[n]) for n in ("mean", "std"))) for k, v in found.items() if isinstance(v, dict)]
+    return spark.createDataFrame(rows, "metric string, scale string, mean double, std double")
+
+
+#: What a run may save, each under its name: fixed values.
+OUTPUTS = ("Bc", "ACsum", "ACYrAsum", "ACsum-qc", "ACYrAsum-qc", "Bf", "B", "AC", "ACYrA", "AC-qc", "ACYrA-qc")
+
+
+def missing_outputs(spark: SparkSession, folder: str, asked: list[str] | None = None) -> list[str]:
+    """The outputs that are asked for (all, if not said) and have no file, or an empty one, in their order."""
+    names = list(OUTPUTS if asked is None else asked)
+    unknown = [n for n in names if n not in OUTPUTS]
+    if unknown:
+        raise ValueError(f"unknown outputs: {unknown}")
+    if not _there(spark, folder):
+        return names
+    full = listing(spark, folder, ".tif").where("length > 0")
+    done = {r.name for r in full.where(F.col("name").isin([f"{n}.tif" for n in names])).collect()}
+    return [n for n in names if f"{n}.tif" not in done]
+
+
+def complete_profiles(spark: SparkSession, path: str) -> DataFrame:
+    """(patch): the profiles of a folder whose header has every column that one needs."""
+    own = [c.split()[0] for c in schemas.PROFILE.split(", ")[1:]]
+    lines = spark.read.option("pathGlobFilter", "*.csv").text(path).select("value", F.col("_metadata.file_name").alias("name"))
+    heads = lines.where(~F.col("name").startswith("._")).where(F.size(F.array_except(F.lit(own), F.transform(F.split("value", ","), F.trim))) == 0)
+    return heads.select(F.regexp_replace("name", r"(\.tif)?\.csv$", "").alias("patch")).distinct()
+
+
+def pending_patches(spark: SparkSession, patches: DataFrame, models: str, profile: str, suffix: str = ".hdf5") -> DataFrame:
+    """The patches (column name) that lack a model file with anything in it, or a complete profile."""
+    made = listing(spark, models, suffix).where("length > 0") if _there(spark, models) else None
+    if made is None or not _there(spark, profile):
+        return patches
+    stems = made.select(F.regexp_replace("name", rf"(\.tif)?\{suffix}$", "").alias("name"))
+    done = stems.join(complete_profiles(spark, profile).withColumnRenamed("patch", "name"), "name")
+    return patches.join(done, "name", "left_anti")
+
+
 def profiles(spark: SparkSession, path: str) -> DataFrame:
     """Profile CSVs of a file or folder, with the patch their file is named by; hidden copies are passed over."""
     own = schemas.PROFILE.removeprefix("patch string, ")
