@@ -814,10 +814,23 @@ def image_peaks(spark, d):
     return movies.peaks(t.movie(spark, d))
 
 
-@query()
+@query("""with c as (select c_mktsegment as metric, c_custkey % 40 as y, c_custkey * 7 % 50 as x, sum(c_acctbal) as total, count(*) as n from customer group by all),
+s as (select * from (values (6.0::double), (12.0::double), (24.0::double)) v(s)),
+g as (select s, k, exp(-0.5 * (k / s) * (k / s)) as w from s, range(-96, 97) r(k) where abs(k) <= floor(4 * s + 0.5)),
+u as (select s, k, w / sum(w) over (partition by s) as w from g),
+ay as (select s, y, greatest(least(y + k, 39), 0) as py, sum(w) as w from u, range(40) r(y) group by all),
+ax as (select s, x, greatest(least(x + k, 49), 0) as px, sum(w) as w from u, range(50) r(x) group by all),
+b as (select metric, s, ay.y as y, c.x as x, sum(w * total) as total, sum(w * n) as n from c join ay on ay.py = c.y group by all),
+h as (select metric, b.s as s, b.y as y, ax.x as x, sum(w * total) / greatest(sum(w * n), 1e-8) as v from b join ax on ax.s = b.s and ax.px = b.x group by all),
+d as (select metric, r.y as y, q.x as x, sqrt(min((r.y - c.y) * (r.y - c.y) + (q.x - c.x) * (q.x - c.x))) as away from c, range(40) r(y), range(50) q(x) group by all),
+e as (select metric, y, x, greatest(least(1 - away / 12, 1), 0) as near, greatest(least((away - 12) / 12, 1), 0) as far from d),
+o as (select metric, y, x, cast(sum(v * case when s = 6 then near when s = 12 then greatest(least(1 - near - far, 1), 0) else far end) as float) as v from h join e using (metric, y, x) group by all)
+select metric, round(sum(cast(v as double)), 1) + 0.0::double as total, round(sum(cast(v as double) * (y * 50 + x + 1)) / 1000, 1) + 0.0::double as weighted from o group by metric""")
 def spatial_fields(spark, d):
     rows = t.table(spark, d, "customer").select((F.col("c_custkey") % 40).cast("int").alias("y"), (F.col("c_custkey") * 7 % 50).cast("int").alias("x"), F.col("c_mktsegment").alias("metric"), "c_acctbal")
-    return rendering.spatial_field(rows, "c_acctbal", (40, 50), 6.0)
+    field = rendering.spatial_field(rows, "c_acctbal", (40, 50), 6.0)
+    pixel = field.select("metric", F.posexplode("data").alias("i", "v")).withColumn("v", F.col("v").cast("double"))
+    return pixel.groupBy("metric").agg(_r(F.sum("v"), 1).alias("total"), _r(F.sum(F.col("v") * (F.col("i") + 1)) / 1000, 1).alias("weighted"))
 
 
 @query()
@@ -832,11 +845,20 @@ def adaptive_fields(spark, d):
 # ---- array kernels and iterative operators, checked against numpy in the tests
 
 
-@query()
+@query(f"""with e as (select frame, y, x, cast(v as double) as v from {PX}),
+q as (select frame, quantile_cont(v, 0.01) as a, quantile_cont(v, 0.99) as b from e group by 1),
+c as (select frame, y, x, greatest(least(v, b), a) as v from e join q using (frame)),
+z as (select frame, y, x, (v - avg(v) over w) / stddev_pop(v) over w * (0.5 - 0.5 * cos(2 * pi() * y / 7)) * (0.5 - 0.5 * cos(2 * pi() * x / 7)) as v from c window w as (partition by frame)),
+f as (select frame, fy, fx, sum(v * cos(2 * pi() * (fy * y + fx * x) / 8)) as re, -sum(v * sin(2 * pi() * (fy * y + fx * x) / 8)) as im from z, range(8) r(fy), range(8) q(fx) group by all),
+p as (select a.frame, a.fy, a.fx, a.re * b.re + a.im * b.im as re, a.im * b.re - a.re * b.im as im from f a join f b on b.frame = a.frame + 1 and b.fy = a.fy and b.fx = a.fx),
+n as (select frame, fy, fx, re / greatest(sqrt(re * re + im * im), 1e-8) as re, im / greatest(sqrt(re * re + im * im), 1e-8) as im from p),
+o as (select frame, (sy + 4) % 8 as y, (sx + 4) % 8 as x, cast(sqrt(power(sum(re * cos(2 * pi() * (fy * sy + fx * sx) / 8) - im * sin(2 * pi() * (fy * sy + fx * sx) / 8)) / 64, 2)
+  + power(sum(re * sin(2 * pi() * (fy * sy + fx * sx) / 8) + im * cos(2 * pi() * (fy * sy + fx * sx) / 8)) / 64, 2)) as float) as v from n, range(8) r(sy), range(8) q(sx) group by frame, sy, sx)
+{_sums("select * from o")}""")
 def phase_correlation(spark, d):
     rows = t.movie(spark, d)
     other = rows.withColumn("frame", F.col("frame") - 1).select("frame", F.col("data").alias("moving"))
-    return kernels.phase_correlation(rows.join(other, "frame"))
+    return _frames(kernels.phase_correlation(rows.join(other, "frame")).withColumnRenamed("corr", "data"))
 
 
 @query()
@@ -844,14 +866,23 @@ def ridge_correlation(spark, d):
     return kernels.phase_correlation(_pairs(spark, d), "ridges", 40.0, (1.0, 2.0))
 
 
-@query()
+@query(_sums(f"""with f as (select a as fy, b as fx, case when a = 0 and b = 0 then 1.0::double else (1 - exp(-(a * a + b * b) * 0.390625::double)) * exp(-(a * a + b * b) * 0.015625::double) end as gain from range(-8, 8) r(a), range(-8, 8) q(b)),
+g as (select dy, dx, sum(gain * cos(2 * pi() * (fy * dy + fx * dx) / 16)) / 256 as g from f, range(16) r(dy), range(16) q(dx) group by dy, dx),
+m as (select i, case when i < 4 then 3 - i when i < 12 then i - 4 else 19 - i end as s from range(16) r(i)),
+k as (select y, x, a.s as py, b.s as px, sum(g) as w from range(8) r(y), range(8) q(x), m a, m b, g where dy = (y + 4 - a.i + 16) % 16 and dx = (x + 4 - b.i + 16) % 16 group by all)
+select frame, k.y as y, k.x as x, cast(sum(w * cast(v as double)) as float) as v from k join {PX} p on p.y = py and p.x = px group by frame, k.y, k.x"""))
 def band_pass(spark, d):
-    return kernels.band_pass(t.movie(spark, d))
+    return _frames(kernels.band_pass(t.movie(spark, d)))
 
 
-@query()
+#: Weights of a Gaussian of 1.5 pixels out to four deviations.
+GAUSS = "(select k, g / sum(g) over () as w from (select k, exp(-0.5 * (k / 1.5::double) * (k / 1.5::double)) as g from range(-6, 7) r(k)))"
+
+
+@query(_sums(f"""select a.frame as frame, a.y as y, a.x as x, cast(sum(v.w * h.w * cast(p.v as double)) as float) as v from {PX} a, {GAUSS} v, {GAUSS} h, {PX} p
+where p.frame = a.frame and p.y = greatest(least(a.y + v.k, 7), 0) and p.x = greatest(least(a.x + h.k, 7), 0) group by a.frame, a.y, a.x"""))
 def blurred_frames(spark, d):
-    return kernels.blurred(t.movie(spark, d), 1.5)
+    return _frames(kernels.blurred(t.movie(spark, d), 1.5))
 
 
 @query()
