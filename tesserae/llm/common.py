@@ -24,11 +24,11 @@ def partitions(spark: SparkSession) -> int:
 RANGE = 4 << 20  # bytes of text behind a range of numbers
 
 
-def text_ranges(docs: DataFrame, least: int = 48) -> int:
+def text_ranges(docs: DataFrame, least: int = 48, size: int = RANGE) -> int:
     """How many ranges the packed numbers of these texts are dealt to: by bytes, so that cells stay full however many
     partitions there are. doc_texts' columns.
     """
-    return max(least, (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE)
+    return max(least, (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // size)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -41,6 +41,10 @@ CODE = np.uint64(CODES - 1)
 FREQUENT = 4096  # leaves of single words at most
 DIM, CONTEXT, NOISE, BATCH, SCORED = 16, 4, 24, 8192, 16384
 SHARD, ROUNDS = 2_000_000, 3
+TOGETHER = 4  # shards that a task trains one after the other, so that it sends their sum
+DOCS = 2000  # documents of a block
+SOME = 200  # blocks whose sums are made at once
+RANGE = 64 << 20  # bytes of text behind a range of words: a document has sums for each range it has words of
 EDGES = b".,;:!?\"'()[]{}<>|-_*"
 
 
@@ -86,42 +90,44 @@ def _numbers(known: Remembered, words: list[bytes]) -> np.ndarray:
     return out
 
 
-COUNTED = "bucket int, block long, docs binary, trains binary, spans binary, words binary, times binary, keys binary"
+COUNTED = "bucket int, block long, words binary, spans binary, docs binary, times binary, trains binary, keys binary"
 COUNTED_NAMES = [x.split()[0] for x in COUNTED.split(", ")]
 
 
 def _emit(buckets: int, folds: int, held: int):
-    """Per block of documents and range of word numbers: the documents with their words of the range, and how often.
+    """Per block of documents and range of word numbers: the words, each once, with the documents that hold it and how often.
 
-    One more row of a block has the keys of its documents.
+    Each row also says which documents of the block are for training. One more row of a block has the keys of its documents.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, block = Remembered(number_of), TaskContext.get().partitionId() << 32
         for b in batches:
-            for first in range(0, b.num_rows, 2000):
-                part = b.slice(first, 2000)
-                keys, trains, words, times = [], [], [], []
+            for first in range(0, b.num_rows, DOCS):
+                part = b.slice(first, DOCS)
+                keys, trains, words = [], [], []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    w, n = np.unique(_numbers(known, tokens_of(text)), return_counts=True)
                     keys.append(_key(doc, text))
                     trains.append(not held_out(doc, folds, held))
-                    words.append(w)
-                    times.append(n.astype(np.uint32))
+                    words.append(_numbers(known, tokens_of(text)))
                 doc = np.repeat(np.arange(len(keys), dtype=np.uint16), [len(w) for w in words])
-                every, n = np.concatenate(words), np.concatenate(times)
-                bucket = (every >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-                order = np.argsort(bucket.astype(np.uint16 if buckets < 65536 else np.int64), kind="stable")
-                every, n, doc, bucket = every[order], n[order], doc[order], bucket[order]
+                every = np.concatenate(words)
+                order = np.argsort(every, kind="stable")  # documents stay in order within a word
+                every, doc = every[order], doc[order]
+                pairs = np.flatnonzero(np.append(True, (every[1:] != every[:-1]) | (doc[1:] != doc[:-1])))
+                times = np.diff(np.append(pairs, len(every))).astype(np.uint32)
+                every, doc = every[pairs], doc[pairs]
+                starts = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+                spans, every = np.diff(np.append(starts, len(doc))).astype(np.uint16), every[starts]
+                bucket = (every >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)  # ranges of numbers, so it rises with them
                 edges = np.searchsorted(bucket, np.arange(buckets + 1)).tolist()
-                trains = np.array(trains, np.uint8)
+                starts = np.append(starts, len(doc)).tolist()
+                train = np.packbits(np.array(trains, bool)).tobytes()
                 rows = [(block % buckets, block, *[None] * 5, np.array(keys, np.uint64).tobytes())]
                 for k, (s, e) in enumerate(zip(edges, edges[1:])):
                     if s < e:
-                        starts = np.flatnonzero(np.append(True, doc[s + 1 : e] != doc[s : e - 1]))
-                        own = doc[s:e][starts]
-                        spans = np.diff(np.append(starts, e - s)).astype(np.int32)
-                        rows.append((k, block, *(x.tobytes() for x in (own, trains[own], spans, every[s:e], n[s:e])), None))
+                        own = slice(starts[s], starts[e])
+                        rows.append((k, block, every[s:e].tobytes(), spans[s:e].tobytes(), doc[own].tobytes(), times[own].tobytes(), train, None))
                 block += 1
                 types = [pa.int32(), pa.int64()] + [pa.binary()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], COUNTED_NAMES)
@@ -142,32 +148,49 @@ def _answer(top: int):
             return
         home = t.filter(pc.is_valid(t["keys"]))
         rows = [("home", b, None, None, None, k, None, None, None) for b, k in zip(home["block"].to_pylist(), home["keys"].to_pylist())]
-        t = t.filter(pc.is_null(t["keys"]))
-        words, _ = blob_arrays(t["words"], np.uint64)
+        t = t.filter(pc.is_null(t["keys"])).sort_by("block")
+        words, held = blob_arrays(t["words"], np.uint64)
+        spans, _ = blob_arrays(t["spans"], np.uint16)
+        docs, pairs = blob_arrays(t["docs"], np.uint16)
         times, _ = blob_arrays(t["times"], np.uint32)
-        spans, _ = blob_arrays(t["spans"], np.int32)
-        trains, per_row = blob_arrays(t["trains"], np.uint8)
-        docs, blocks = t["docs"].to_pylist(), t["block"].to_pylist()
+        block = t["block"].to_numpy()
+        trains = [np.unpackbits(np.frombuffer(raw, np.uint8)) for raw in t["trains"].to_pylist()]
         del t
         if len(words):
             order = np.argsort(words, kind="stable")
             fresh = np.flatnonzero(np.append(True, np.diff(words[order]) != 0))
-            counted = np.where(np.repeat(trains, spans), times, 0).astype(np.int64)
+            cell = np.repeat(np.arange(len(pairs)), pairs)
+            wide = max(map(len, trains))
+            table = np.zeros((len(trains), wide), bool)
+            for k, own in enumerate(trains):
+                table[k, : len(own)] = own
+            starts = np.cumsum(spans, dtype=np.int64) - spans
+            counted = np.add.reduceat(np.where(table[cell, docs], times, 0).astype(np.int64), starts)  # of one word and block
             per_word = np.add.reduceat(counted[order], fresh)
             count = np.empty(len(words), np.int64)
             count[order] = np.repeat(per_word, np.diff(np.append(fresh, len(order))))
             distinct = words[order][fresh]
             del order, counted
-            starts = np.cumsum(spans) - spans
-            logs = np.add.reduceat(times * np.log10(count + 1), starts)
-            knowns = np.add.reduceat(times * (count > 0), starts).astype(np.uint32)
             code, seen = (distinct & CODE).astype(np.int64), per_word > 0
             codes = np.stack([np.bincount(code, per_word, CODES), np.bincount(code[seen], minlength=CODES)])
             rows.append(("codes", *[None] * 7, codes.tobytes()))
             best = np.lexsort((distinct, -per_word))[: top + 1]
             rows += [("word", *[None] * 5, w, n, None) for w, n in zip(distinct[best].view(np.int64).tolist(), per_word[best].tolist()) if n]
-            edges = np.append(0, np.cumsum(per_row)).tolist()
-            rows += [("sums", b, d, logs[s:e].tobytes(), knowns[s:e].tobytes(), *[None] * 4) for b, d, s, e in zip(blocks, docs, edges, edges[1:])]
+            # each document's sums over all ranges that this task has, some blocks at a time
+            log, known = np.log10(count + 1), count > 0
+            word_ends, pair_ends = np.append(0, np.cumsum(held)), np.append(0, np.cumsum(pairs))
+            firsts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+            for s in range(0, len(firsts), SOME):
+                i, j = firsts[s], firsts[s + SOME] if s + SOME < len(firsts) else len(block)
+                ours, own = slice(pair_ends[i], pair_ends[j]), slice(word_ends[i], word_ends[j])
+                names, which = np.unique(block[i:j], return_inverse=True)
+                place, size, n = which[cell[ours] - i] * DOCS + docs[ours], len(names) * DOCS, times[ours]
+                logs = np.bincount(place, n * np.repeat(log[own], spans[own]), size).reshape(-1, DOCS)
+                knowns = np.bincount(place, n * np.repeat(known[own], spans[own]), size).reshape(-1, DOCS)
+                there = (np.bincount(place, minlength=size) > 0).reshape(-1, DOCS)
+                for b, has, x, k in zip(names.tolist(), there, logs, knowns):
+                    at = np.flatnonzero(has).astype(np.uint16)
+                    rows.append(("sums", b, at.tobytes(), x[at].tobytes(), k[at].astype(np.uint32).tobytes(), *[None] * 4))
         types = [pa.string(), pa.int64()] + [pa.binary()] * 4 + [pa.int64()] * 2 + [pa.binary()]
         for s in range(0, len(rows), 5000):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[s : s + 5000]), types)], ANSWER_NAMES)
@@ -184,7 +207,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys[block] = np.frombuffer(k, np.int64)
                 continue
             if block not in logs:
-                logs[block], knowns[block] = np.zeros(2000), np.zeros(2000, np.int64)
+                logs[block], knowns[block] = np.zeros(DOCS), np.zeros(DOCS, np.int64)
             at = np.frombuffer(d, np.uint16)
             logs[block][at] += np.frombuffer(x)
             knowns[block][at] += np.frombuffer(n, np.uint32)
@@ -305,8 +328,8 @@ class LogBilinear:
                 self.squares[k] += step * step
                 v += np.float32(rate) * step / np.sqrt(self.squares[k])
 
-    def packed(self, times: float) -> bytes:
-        return np.concatenate([(v.astype(np.float64) * times).ravel() for d in (self.p, self.squares) for v in d.values()]).tobytes()
+    def packed(self, times: float) -> np.ndarray:
+        return np.concatenate([(v.astype(np.float64) * times).ravel() for d in (self.p, self.squares) for v in d.values()])
 
     def unpack(self, numbers: np.ndarray) -> None:
         at = 0
@@ -371,6 +394,7 @@ def _trainer(state: np.ndarray | None, counts: np.ndarray, turn: int, rate: floa
             return
         t = t.filter(t["trains"])
         shard, keys = t["shard"].to_numpy(), t["key"].to_numpy()
+        n, sums = 0, 0.0
         for k in np.unique(shard).tolist():
             rows = np.flatnonzero(shard == k)
             rows = rows[np.argsort(keys[rows], kind="stable")][turn::ROUNDS]
@@ -381,7 +405,9 @@ def _trainer(state: np.ndarray | None, counts: np.ndarray, turn: int, rate: floa
                 own = [np.frombuffer(x, np.int16) for x in t["ids"].take(pa.array(rows)).to_pylist()]
                 before, target, _ = sequences(own, len(counts), model.context)
                 model.train(before, target, k * ROUNDS + turn, rate)
-                yield pa.RecordBatch.from_arrays([pa.array([len(target)], pa.int64()), pa.array([model.packed(len(target))], pa.binary())], ["n", "sums"])
+                n, sums = n + len(target), sums + model.packed(len(target))
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([sums.tobytes()], pa.binary())], ["n", "sums"])
 
     return trainer
 
@@ -438,7 +464,7 @@ def score(documents: DataFrame, folds: int = 7, held: int = 2, frequent: int = F
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per document, logarithms to base 10."""
     spark, docs = documents.sparkSession, doc_texts(documents)
     parts = partitions(spark)
-    emitted = docs.transform(arrow, _emit(text_ranges(docs), folds, held), COUNTED).repartitionById(parts, "bucket")
+    emitted = docs.transform(arrow, _emit(text_ranges(docs, size=RANGE), folds, held), COUNTED).repartitionById(parts, "bucket")
     answers = durable(emitted.transform(arrow, _answer(frequent), ANSWERS))
     del emitted
     _, codes = _total(answers.where("kind = 'codes'").select(F.lit(1).cast("long").alias("n"), F.col("codes").alias("sums")))
@@ -448,7 +474,7 @@ def score(documents: DataFrame, folds: int = 7, held: int = 2, frequent: int = F
     leaves = Leaves([(r.word % (1 << 64), r.n) for r in top], codes, frequent)
     shards = n // SHARD + 1
     encoded = docs.transform(arrow, _encode(leaves, shards, folds, held), ENCODED)
-    encoded = durable(encoded.repartitionById(shards, "shard"))
+    encoded = durable(encoded.withColumn("task", F.expr(f"shard div {TOGETHER}").cast("int")).repartitionById(-(-shards // TOGETHER), "task").drop("task"))
     model = fit(encoded, leaves.counts)
     scored = encoded.transform(arrow, _scorer(model.p, leaves), "doc_id long, held_out boolean, key long, n_tokens long, model double")
     packed = answers.where("kind in ('sums', 'home')").select("block", "docs", "logs", "knowns", "keys")
