@@ -98,17 +98,47 @@ def peaks(footprint: DataFrame) -> DataFrame:
     return footprint.groupBy("patch", "k").agg(F.max_by(F.struct("p", "w"), F.struct("w", (-F.col("p")).alias("o"))).alias("m")).select("patch", "k", "m.p", "m.w")
 
 
+ALIKE = 512  # vectors of a block that is compared with another at once
+
+
 def dot_products(vectors: DataFrame, key: str, vector: str, group: list[str], least: float) -> DataFrame:
     """(group, a, b, cosine) of pairs of one group over a threshold.
 
-    Products are taken on arrays, pair by pair inside the group (a patch's components), not by exploding pixels.
+    A group's vectors are dealt to blocks, and a task multiplies two blocks as matrices; so no task has a whole group, and
+    only pairs over the threshold become rows. Null vectors, those of zeros and those with a null have no cosine.
     """
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
-    rows = vectors.select(*group, key, F.col(vector).alias("_v"), norm.alias("_n")).where("_n > 0")
-    other = rows.select(*group, F.col(key).alias("b"), F.col("_v").alias("_w"), F.col("_n").alias("_m"))
-    dot = F.aggregate(F.zip_with("_v", "_w", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    pairs = rows.withColumnRenamed(key, "a").join(other, group).where("a < b").withColumn("cosine", dot / (F.col("_n") * F.col("_m")))
-    return pairs.where(F.col("cosine") > least).select(*group, "a", "b", "cosine")
+    own = vectors.select(*group, F.col(key).alias("_key"), F.col(vector).cast("array<double>").alias("_v")).where("_key is not null and size(_v) > 0")
+    sizes = own.groupBy(*group).agg(F.ceil(F.count("*") / ALIKE).cast("int").alias("_n")).select(*(F.col(g).alias(f"_{g}") for g in group), "_n")
+    same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group]
+    dealt = own.join(sizes, same).withColumn("_part", F.pmod(F.xxhash64("_key"), F.col("_n")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda k: F.struct(F.least("_part", k).alias("_i"), F.greatest("_part", k).alias("_j")))
+    tasks = dealt.withColumn("_task", F.explode(pairs)).select(*group, "_task._i", "_task._j", "_part", "_key", "_v")
+    kinds = ", ".join(f"`{c}` {vectors.schema[c].dataType.simpleString()}" for c in group)
+
+    def alike(names: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = names[len(group) :]
+        found = []
+        for size in pdf["_v"].map(len).unique():  # vectors of different length have no product
+            rows = pdf[pdf["_v"].map(len) == size]
+            x = np.stack([np.asarray(v, np.float64) for v in rows["_v"]])
+            norm = np.sqrt((x * x).sum(axis=1))
+            rows, x = rows[norm > 0], x[norm > 0] / norm[norm > 0, None]
+            here = rows["_part"].to_numpy()
+            left, right = np.flatnonzero(here == i), np.flatnonzero(here == j)
+            cosine = x[left] @ x[right].T
+            p, q = np.nonzero(cosine > least)
+            keys = rows["_key"].to_numpy()
+            a, b = keys[left[p]], keys[right[q]]
+            use = a < b if i == j else a != b
+            first = np.where(a < b, a, b)
+            found.append(pd.DataFrame({"a": first[use], "b": np.where(a < b, b, a)[use], "cosine": cosine[p, q][use]}))
+        out = pd.concat(found) if found else pd.DataFrame({"a": [], "b": [], "cosine": []})
+        for c, value in zip(group, names):
+            out[c] = value
+        return out[[*group, "a", "b", "cosine"]]
+
+    kind = vectors.schema[key].dataType.simpleString()
+    return tasks.groupBy(*group, "_i", "_j").applyInPandas(alike, f"{kinds}, a {kind}, b {kind}, cosine double")
 
 
 def overlaps(footprint: DataFrame) -> DataFrame:

@@ -102,3 +102,23 @@ def test_a_large_patch_needs_a_block_at_a_time():
     tracemalloc.stop()
     assert np.allclose(sums, 2.0) and found.all()
     assert peak < 300 << 20
+
+
+@pytest.mark.parametrize("block", [512, 5])
+def test_alike_vectors_by_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(footprints, "ALIKE", block)
+    pick = np.random.default_rng(9)
+    base = pick.normal(size=(6, 4))
+    rows = [(int(k), "x" if k % 3 else None, (base[k % 6] + 0.2 * pick.normal(size=4)).tolist()) for k in range(40)]
+    rows += [(90, "x", [0.0] * 4), (91, "x", None), (92, "x", [1.0, None, 0.0, 0.0]), (93, "x", [1.0, 2.0]), (94, "x", [2.0, 4.0]), (95, "y", [])]
+    df = spark.createDataFrame(rows, "k int, g string, v array<double>").repartition(3)
+    want = {}
+    whole = [(k, g, np.array(v)) for k, g, v in rows if v and None not in v and any(v)]
+    for k, g, v in whole:
+        for j, h, w in whole:
+            if k < j and g == h and len(v) == len(w):
+                cosine = v @ w / np.linalg.norm(v) / np.linalg.norm(w)
+                if cosine > 0.9:
+                    want[k, j] = cosine
+    got = {(r.a, r.b): r.cosine for r in footprints.dot_products(df, "k", "v", ["g"], 0.9).collect()}
+    assert len(want) > 20 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
