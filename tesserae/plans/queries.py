@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import kinetics
+from ..functions import arrays, kinetics
 from ..operators import footprints, geometry, intervals, kernels, match_points, movies, neighbours, patches, quality, rendering, stitching, traces
 from ..schemas import BOX
 from ..sources import params
@@ -695,6 +695,23 @@ def grid_holes(spark, d):
     return patches.holes(patches.regular_grid(spark, 8, 8, 3).where("name not in ('0-0-1-1', '0-0-2-0')"), 8, 8)
 
 
+@query(QC_FIT + """ select to_json({'r_value': {'scale': 'linear', 'mean': round(mr, 4), 'std': round(sr, 4)}, 'snr': {'scale': 'log', 'mean': round(ms, 4), 'std': round(ss, 4)}}) as value from s""")
+def stats_json(spark, d):
+    fitted = quality.fit(t.profile(spark, d), QC)
+    return params.stats_json(fitted.select("metric", "scale", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std")))
+
+
+@query("""select k, cast(len(ramp) as integer) as n, coalesce(ramp[1], -1.0::double) as first, round(coalesce(list_sum(list_transform(ramp, lambda v, i: v * i)), 0), 6) + 0.0::double as weighted, array_to_string(lines, ',') as lines from (
+select p_partkey as k, case p_size % 7 when 0 then cast([] as double[]) when 1 then [0.5::double]
+ else list_transform(range(p_size % 7), lambda i: 2.0::double + i * (-1.5::double / (p_size % 7 - 1))) end as ramp,
+ case when p_size % 5 <= p_size % 7 then range(p_size % 5, p_size % 7 + 1) else cast([] as bigint[]) end as lines from part)""")
+def ramps_and_ranges(spark, d):
+    n = (F.col("p_size") % 7).cast("int")
+    rows = t.table(spark, d, "part").select(F.col("p_partkey").alias("k"), arrays.linspace(2.0, 0.5, n).alias("ramp"), arrays.one_based((F.col("p_size") % 5).cast("int"), n).alias("lines"))
+    weighted = F.aggregate(F.transform("ramp", lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v)
+    return rows.select("k", F.size("ramp").alias("n"), F.coalesce(F.get("ramp", F.lit(0)), F.lit(-1.0)).alias("first"), _r(weighted).alias("weighted"), F.array_join("lines", ",").alias("lines"))
+
+
 @query("select to_json({'id': c_custkey, 'x': c_nationkey, 'y': c_custkey % 7, 'v': case when c_acctbal > 0 then c_custkey + 0.5::double end}) as value from customer")
 def points_json(spark, d):
     c = t.table(spark, d, "customer")
@@ -797,6 +814,16 @@ def display_bytes(spark, d):
     return rendering.rgb(gray)
 
 
+@query(f"""select frame, y, x, case when v > 0 then cast(frame % 200 + 1 as integer) else cast(y * 8 + x + 1 as integer) end as r,
+case when v > 0 then 0 else cast(y * 8 + x + 1 as integer) end as g, case when v > 0 then 0 else cast(y * 8 + x + 1 as integer) end as b from {PX}""")
+def overlay_stack(spark, d):
+    px = movies.pixels(t.movie(spark, d))
+    gray = (F.col("y") * 8 + F.col("x") + 1).cast("int")
+    back = px.select("y", "x").distinct().select("y", "x", *(gray.alias(c) for c in "rgb"))
+    red = F.when(F.col("v") > 0, (F.col("frame") % 200 + 1).cast("int")).otherwise(F.lit(0))
+    return rendering.overlaid(back, px.select("frame", "y", "x", red.alias("r"), F.lit(0).alias("g"), F.lit(0).alias("b")))
+
+
 @query(f"select frame, y, x, case when y = x then 255 else 0 end as r, case when y = x then 255 else 0 end as g, case when y = x then 255 else 0 end as b from {PX}")
 def mask_pictures(spark, d):
     px = movies.pixels(t.movie(spark, d))

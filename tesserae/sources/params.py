@@ -172,6 +172,28 @@ def _there(spark: SparkSession, path: str) -> bool:
     return own.getFileSystem(spark._jsc.hadoopConfiguration()).exists(own)
 
 
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, replaced if it is there."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = own.getFileSystem(spark._jsc.hadoopConfiguration()).create(own, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
+def write_stats(spark: SparkSession, root: str, stats: DataFrame) -> None:
+    """The fits of an extraction where qc_stats finds them; one text, as there are a few metrics."""
+    put_text(spark, f"{root}/stats/stats.json", stats_json(stats).first().value)
+
+
+def write_metadata(spark: SparkSession, folder: str, sources: dict[str, str], shape: tuple[int, int], frames: int, rate: float, neurons: int, traces: dict[str, str]) -> None:
+    """folder/metadata.json: what the tables of a viewer were made from, and the file of each kind of trace."""
+    named = {name: {"file": file, "dtype": "float32"} for name, file in traces.items()}
+    size = {"full_height": shape[0], "full_width": shape[1], "trace_length": frames, "frame_rate_hz": rate, "neuron_count": neurons}
+    put_text(spark, f"{folder}/metadata.json", json.dumps({**sources, **size, "trace_sources": named}, indent=2))
+
+
 def cached(spark: SparkSession, path: str, make, key: str = "") -> DataFrame:
     """The table under path that belongs to a key; if it is not there, make() is written to it first.
 

@@ -91,3 +91,20 @@ def test_profiles_fit_their_models(spark):
     twice = spark.createDataFrame([("a", 0, 1.0), ("a", 0, 1.0), ("a", 2, 1.0)], profile.schema)
     with pytest.raises(Exception, match="patch a"):
         quality.profiles_of_models(models(("a", 3)), twice).count()
+
+
+def test_fits_and_metadata_are_written_and_found(spark, tmp_path):
+    df = spark.createDataFrame([("snr", 10.0), ("snr", 1000.0)], "name string, snr double")
+    metric = quality.Metric("snr", "log", -1.0)
+    params.write_stats(spark, str(tmp_path), quality.fit(df, [metric]))
+    back = params.qc_stats(spark, str(tmp_path))
+    assert {tuple(r) for r in back.collect()} == {("snr", "log", 2.0, 1.0)} and quality.specs(back, [metric]).count() == 1
+    sources, folder = {"dataset_root": "/data/a", "crop": "/data/b/"}, str(tmp_path / "viewer")
+    assert not params.cache_is_valid(spark, folder, sources, [])
+    params.write_metadata(spark, folder, sources, (40, 50), 1000, 10.0, 7, {"c": "traces_c.bin"})
+    assert not params.cache_is_valid(spark, folder, sources, [])  # the traces are not there
+    params.put_text(spark, f"{folder}/traces_c.bin", "x")
+    assert params.cache_is_valid(spark, folder, sources, ["metadata.json"])
+    assert not params.cache_is_valid(spark, folder, {**sources, "crop": "/data/c"}, [])
+    found = params.mapping(spark, [f"{folder}/metadata.json"], ["neuron_count"])
+    assert found["full_height"] == 40 and found["trace_sources"]["c"]["file"] == "traces_c.bin"
