@@ -105,18 +105,17 @@ def _emit(buckets: int, folds: int, held: int):
         for b in batches:
             for first in range(0, b.num_rows, DOCS):
                 part = b.slice(first, DOCS)
-                keys, trains, words = [], [], []
+                keys, trains, words, times = [], [], [], []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     keys.append(_key(doc, text))
                     trains.append(not held_out(doc, folds, held))
-                    words.append(_numbers(known, tokens_of(text)))
+                    w, n = np.unique(_numbers(known, tokens_of(text)), return_counts=True)
+                    words.append(w)
+                    times.append(n.astype(np.uint32))
                 doc = np.repeat(np.arange(len(keys), dtype=np.uint16), [len(w) for w in words])
-                every = np.concatenate(words)
-                order = np.argsort(every, kind="stable")  # documents stay in order within a word
-                every, doc = every[order], doc[order]
-                pairs = np.flatnonzero(np.append(True, (every[1:] != every[:-1]) | (doc[1:] != doc[:-1])))
-                times = np.diff(np.append(pairs, len(every))).astype(np.uint32)
-                every, doc = every[pairs], doc[pairs]
+                every, times = np.concatenate(words), np.concatenate(times)
+                order = np.argsort(every)  # the documents of a word in any order
+                every, doc, times = every[order], doc[order], times[order]
                 starts = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
                 spans, every = np.diff(np.append(starts, len(doc))).astype(np.uint16), every[starts]
                 bucket = (every >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)  # ranges of numbers, so it rises with them
@@ -309,20 +308,30 @@ class LogBilinear:
         for s in range(0, len(order), batch):
             own = order[s : s + batch]
             w, h = target[own].astype(np.int64), before[own]
-            q = self.predicted(h)
+            around = p["r"].take(h.T.ravel(), axis=0).reshape(self.context, len(own), -1)  # looked up once for all that needs it
+            q = np.einsum("ijk,ik->jk", around, p["c"])
             dq, g = np.zeros_like(q), {}
             for (vectors, bias, shift, steps), true in zip(levels, (w, w % self.groups)):
                 v, b = p[vectors], p[bias]
                 false = np.minimum(np.searchsorted(steps, pick.random(NOISE)), len(b) - 1)
-                up = 1 / (1 + np.exp(np.einsum("ij,ij->i", q, v[true]) + b[true] - shift[true]))  # 1 - P(true)
-                down = -1 / (1 + np.exp(-(q @ v[false].T + b[false] - shift[false])))
-                dq += up[:, None] * v[true] + down @ v[false]
+                mine, theirs = v.take(true, axis=0), v[false]
+                up = 1 / (1 + np.exp(np.einsum("ij,ij->i", q, mine) + (b - shift)[true]))  # 1 - P(true)
+                down = q @ theirs.T
+                down += b[false] - shift[false]
+                np.negative(down, out=down)
+                np.exp(down, out=down)
+                down += 1
+                np.divide(-1, down, out=down)
+                mine *= up[:, None]
+                dq += mine
+                dq += down @ theirs
                 g[vectors] = _summed(true, up[:, None] * q, len(b))
                 g[bias] = np.bincount(true, up, len(b)).astype(np.float32)
-                np.add.at(g[vectors], false, down.T @ q)
+                np.add.at(g[vectors], false, down.T @ q)  # a few rows
                 np.add.at(g[bias], false, down.sum(axis=0))
-            g["c"] = np.stack([(dq * p["r"][h[:, i]]).sum(axis=0) for i in range(self.context)])
-            g["r"] = _summed(h.T.ravel(), np.concatenate([dq * p["c"][i] for i in range(self.context)]), self.n + 1)
+            g["c"] = np.einsum("ijk,jk->ik", around, dq)
+            np.multiply(dq[None], p["c"][:, None], out=around)
+            g["r"] = _summed(h.T.ravel(), around.reshape(-1, dq.shape[1]), self.n + 1)
             for k, v in p.items():
                 step = g[k] / np.float32(len(own))
                 self.squares[k] += step * step
@@ -349,7 +358,10 @@ def _normalised(scores: np.ndarray, own: np.ndarray) -> np.ndarray:
 
 
 def _summed(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    return np.stack([np.bincount(rows, values[:, d], n) for d in range(values.shape[1])], axis=1).astype(np.float32)
+    out = np.empty((n, values.shape[1]), np.float32)
+    for d, own in enumerate(np.ascontiguousarray(values.T, np.float64)):
+        out[:, d] = np.bincount(rows, own, n)
+    return out
 
 
 ENCODED = "shard int, doc_id long, key long, trains boolean, ids binary"
