@@ -31,7 +31,7 @@ def test_counts_and_base_score(spark, sf_dir):
 
 def test_model_beats_the_base_on_held_out_documents(spark):
     rows = [r for r in lm.score(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).collect() if r.held_out]
-    assert sum(r.score for r in rows) > 0.97 * sum(r.base_score for r in rows)  # both below zero
+    assert sum(r.score for r in rows) > (1 - 0.066) * sum(r.base_score for r in rows)  # both below zero; 6.89 % measured
     assert sum(r.score > r.base_score for r in rows) > 0.8 * len(rows)
 
 
