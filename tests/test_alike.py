@@ -58,3 +58,32 @@ def test_pairs_do_not_cross_a_shuffle(spark):
     before = shuffled_rows(spark)
     assert footprints.overlaps(df).count() == 400 * 399
     assert shuffled_rows(spark) - before < 20_000
+
+
+@pytest.mark.parametrize("entries, most", [(alike.ENTRIES, alike.COMPONENTS), (96, 8)])
+def test_frames_that_no_neighbour_has(spark, monkeypatch, entries, most):
+    monkeypatch.setattr(alike, "ENTRIES", entries)
+    monkeypatch.setattr(alike, "COMPONENTS", most)
+    pick = np.random.default_rng(9)
+    rows = components(pick)
+    active = {(patch, int(k), int(t)) for patch, k in {r[:2] for r in rows} for t in pick.integers(0, 600, 30)} | {("0", 1000, 3), ("1", 302, 9)}
+    frames = {}
+    for patch, k, t in active:
+        frames.setdefault((patch, k), set()).add(t)
+    rest = {key: set(own) for key, own in frames.items()}
+    for (patch, i, j), v in by_pairs(rows).items():
+        if not v <= 0.2:
+            rest[patch, i] -= frames[patch, j]
+    want = {(patch, k): not rest[patch, k] for patch, k in {r[:2] for r in rows}}
+    f = spark.createDataFrame(rows, "patch string, k int, p long, w double").repartition(3)
+    a = spark.createDataFrame(sorted(active), "patch string, k int, t int").repartition(3)
+    got = footprints.joint_only(f, a, 0.2).collect()
+    assert len(got) == len(want) and {(r.patch, r.k): r.joint_only for r in got} == want
+    assert 0 < sum(want.values()) < len(want)
+
+
+def test_neighbours_do_not_cross_a_shuffle(spark):
+    f = spark.range(400).selectExpr("'a' as patch", "cast(id as int) as k", "explode(sequence(0L, 9L)) as p", "1.0D + id % 7 as w")
+    before = shuffled_rows(spark)
+    assert footprints.joint_only(f, f.selectExpr("patch", "k", "k % 5 as t").distinct(), 0.2).where("joint_only").count() == 400
+    assert shuffled_rows(spark) - before < 20_000
