@@ -43,6 +43,7 @@ DIM, CONTEXT, NOISE, BATCH, SCORED = 16, 4, 32, 8192, 16384
 SHARD, ROUNDS = 2_000_000, 3
 TOGETHER = 4  # shards that a task trains one after the other, so that it sends their sum
 DOCS = 2000  # documents of a block
+TEXT = 8 << 20  # bytes of text that are split at once
 SOME = 200  # blocks whose sums are made at once
 RANGE = 64 << 20  # bytes of text behind a range of words: a document has sums for each range it has words of
 EDGES = b".,;:!?\"'()[]{}<>|-_*"
@@ -83,11 +84,31 @@ def _key(doc: int | None, text: bytes | None) -> int:
     return xxhash.xxh3_64_intdigest(b"%d\0" % (doc if doc is not None else -1) + (b"n" if doc is None else b"") + (text or b""))
 
 
-def _numbers(known: Remembered, words: list[bytes]) -> np.ndarray:
-    """Numbers of the words and the end."""
-    out = np.full(len(words) + 1, END, np.uint64)
-    out[:-1] = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    return out
+def _tails() -> Remembered:
+    """Codes of spelling by the last three bytes."""
+    return Remembered(lambda tail: xxhash.xxh3_64_intdigest(tail) & (CODES - 1))
+
+
+def _numbers(tails: Remembered, words: list[bytes]) -> np.ndarray:
+    """number_of() each word."""
+    whole = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    return whole & ~CODE | np.fromiter(map(tails.__getitem__, [(w.strip(EDGES) or w)[-3:] for w in words]), np.uint64, len(words))
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Runs of texts of about TEXT bytes, with the place of the first."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    edges = np.flatnonzero(np.append(True, np.diff(sizes // TEXT) > 0)).tolist() if len(sizes) else []
+    return ((i, texts.slice(i, j - i)) for i, j in zip(edges, [*edges[1:], len(texts)]))
+
+
+def _split(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(different words, for each token its word, for each token its text): tokens_of() all texts, as places in lists."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.binary()), b"").view(pa.string())))
+    words = lists.flatten()
+    coded, used = words.dictionary_encode(), pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+    text = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+    return coded.dictionary.view(pa.binary()).to_pylist(), coded.indices.to_numpy(zero_copy_only=False)[used], text[used]
 
 
 COUNTED = "bucket int, block long, words binary, spans binary, docs binary, times binary, trains binary, keys binary"
@@ -101,19 +122,23 @@ def _emit(buckets: int, folds: int, held: int):
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, block = Remembered(number_of), TaskContext.get().partitionId() << 32
+        tails, block = _tails(), TaskContext.get().partitionId() << 32
         for b in batches:
             for first in range(0, b.num_rows, DOCS):
                 part = b.slice(first, DOCS)
-                keys, trains, words, times = [], [], [], []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    keys.append(_key(doc, text))
-                    trains.append(not held_out(doc, folds, held))
-                    w, n = np.unique(_numbers(known, tokens_of(text)), return_counts=True)
-                    words.append(w)
-                    times.append(n.astype(np.uint32))
-                doc = np.repeat(np.arange(len(keys), dtype=np.uint16), [len(w) for w in words])
-                every, times = np.concatenate(words), np.concatenate(times)
+                ids = part.column(0).to_pylist()
+                keys = [_key(doc, text) for doc, text in zip(ids, part.column(1).to_pylist())]
+                trains = [not held_out(doc, folds, held) for doc in ids]
+                # each document has its end once, and its words
+                words, docs, times = [np.full(len(ids), END, np.uint64)], [np.arange(len(ids))], [np.ones(len(ids), np.int64)]
+                for at, texts in _slices(part.column(1)):
+                    distinct, word, text = _split(texts)
+                    numbers, place = np.unique(_numbers(tails, distinct), return_inverse=True)
+                    pair, n = np.unique(place[word] * DOCS + text, return_counts=True)
+                    words.append(numbers[pair // DOCS])
+                    docs.append(pair % DOCS + at)
+                    times.append(n)
+                every, doc, times = np.concatenate(words), np.concatenate(docs).astype(np.uint16), np.concatenate(times).astype(np.uint32)
                 order = np.argsort(every)  # the documents of a word in any order
                 every, doc, times = every[order], doc[order], times[order]
                 starts = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
@@ -243,6 +268,16 @@ class Leaves:
     def of(self, number: int) -> int:
         return self.numbers.get(number, len(self.numbers) + number % CODES % self.spelled)
 
+    def of_all(self, numbers: np.ndarray) -> np.ndarray:
+        """of() each number."""
+        out = (len(self.numbers) + (numbers & CODE).astype(np.int64) % self.spelled).astype(np.int16)
+        known = np.array(sorted(self.numbers), np.uint64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, numbers), len(known) - 1)
+            same = known[at] == numbers
+            out[same] = np.array([self.numbers[n] for n in known.tolist()], np.int16)[at[same]]
+        return out
+
 
 class LogBilinear:
     """Probabilities of leaves given the leaves before, by groups.
@@ -371,17 +406,18 @@ def _encode(leaves: Leaves, shards: int, folds: int, held: int):
     """Documents as leaf numbers, with their shard."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, end = Remembered(lambda word: leaves.of(number_of(word))), len(leaves) - 1
+        tails, end = _tails(), len(leaves) - 1
         for b in batches:
-            for first in range(0, b.num_rows, 1000):
-                part = b.slice(first, 1000)
-                rows = []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    words = tokens_of(text)
-                    ids = np.full(len(words) + 1, end, np.int16)
-                    ids[:-1] = np.fromiter(map(known.__getitem__, words), np.int16, len(words))
-                    key = _key(doc, text)
-                    rows.append((key * shards >> 64, doc, key - (key >> 63 << 64), not held_out(doc, folds, held), ids.tobytes()))
+            for at, texts in _slices(b.column(1)):
+                distinct, word, text = _split(texts)
+                sizes = np.bincount(text, minlength=len(texts)) + 1
+                ends = np.cumsum(sizes)
+                ids = np.full(ends[-1], end, np.int16)
+                ids[np.arange(len(word)) + text] = leaves.of_all(_numbers(tails, distinct))[word]
+                raw, rows = ids.tobytes(), []
+                for doc, own, i, j in zip(b.column(0).slice(at, len(texts)).to_pylist(), texts.to_pylist(), (ends - sizes).tolist(), ends.tolist()):
+                    key = _key(doc, own)
+                    rows.append((key * shards >> 64, doc, key - (key >> 63 << 64), not held_out(doc, folds, held), raw[2 * i : 2 * j]))
                 types = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [x.split()[0] for x in ENCODED.split(", ")])
 
